@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, toxicity
+from . import simhash, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +20,20 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash}
-ORACLES: dict[str, str] = {}
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op5_substrings": op5_substrings}
+ORACLES: dict[str, str] = {
+    "op5_substrings": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), x -> x <> '') AS l FROM documents),
+        s AS (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM w WHERE len(l) >= 50),
+        x AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 49], ' ')) AS k FROM s),
+        m AS (SELECT k, min(doc_id) AS lo FROM x GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN m USING (k) WHERE doc_id > lo),
+        g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN l ELSE list_transform(list_filter(range(1, len(l) + 1), q -> NOT list_contains(ps, q)), q -> l[q]) END, ' '), '')) AS kept_sha256
+        FROM w LEFT JOIN g USING (doc_id)""",
+}
