@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substrings, toxicity
+from . import mixing, neighbours, simhash, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,16 +24,30 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op5_substrings": op5_substrings}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op10_neighbours": op10_neighbours}
 ORACLES: dict[str, str] = {
     "op5_substrings": r"""
-        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), x -> x <> '') AS l FROM documents),
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS l FROM documents),
         s AS (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM w WHERE len(l) >= 50),
         x AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 49], ' ')) AS k FROM s),
         m AS (SELECT k, min(doc_id) AS lo FROM x GROUP BY k),
         gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN m USING (k) WHERE doc_id > lo),
         g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
         SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
-          sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN l ELSE list_transform(list_filter(range(1, len(l) + 1), q -> NOT list_contains(ps, q)), q -> l[q]) END, ' '), '')) AS kept_sha256
+          sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN l ELSE list_transform(list_filter(range(1, len(l) + 1), lambda q: NOT list_contains(ps, q)), lambda q: l[q]) END, ' '), '')) AS kept_sha256
         FROM w LEFT JOIN g USING (doc_id)""",
+    "op10_neighbours": """
+        WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(c.v, lambda x: x * x)))) AS score
+              FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+        SELECT * FROM r WHERE rank <= 5""",
 }
