@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, simhash, substrings, toxicity
+from . import mixing, neighbours, secrets, simhash, sketches, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +28,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_edits(_documents(spark, sf_dir))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op10_neighbours": op10_neighbours}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op7_sketches": op7_sketches, "op8_secrets": op8_secrets, "op10_neighbours": op10_neighbours}
 ORACLES: dict[str, str] = {
     "op5_substrings": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS l FROM documents),
