@@ -1,13 +1,59 @@
-"""documents, filtered, deduplicated, redacted, mixed and tokenized."""
+"""documents without toxic texts, near copies and secrets, mixed to source weights and turned into piece ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tendril.llm import mixing, pieces, secrets, simhash, toxicity
 
-STAGES: list = []
+#: SQL has no learned models: the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score the threshold or more go; the lexicon is learned from labels."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the smallest doc_id stays, once; rows without an id stay.
+
+    Groups join texts whose SimHash over distinct words differs in 7 bits or fewer and whose signatures of five-word
+    shingles show a similarity of 0.8 or more.
+    """
+    near = simhash.near_duplicates(docs, size=1, radius=7, blocks=9, distinct=True, checked=5, alike=0.78)
+    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    own = docs.where("doc_id IS NOT NULL")
+    first = own.join(kept, own["doc_id"] == F.col("_kept"), "left_semi")
+    return first.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs, secrets.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as its source's target weight asks for."""
+    return mixing.repeat(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, pieces.load())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, secrets, simhash, sketches, substrings, toxicity
+from . import mixing, neighbours, pieces, scoring, secrets, simhash, sketches, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(_documents(spark, sf_dir))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_documents(spark, sf_dir)).drop("kept")
 
@@ -37,11 +41,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_documents(spark, sf_dir), pieces.load())
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op7_sketches": op7_sketches, "op8_secrets": op8_secrets, "op10_neighbours": op10_neighbours}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op4_scoring": op4_scoring, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op7_sketches": op7_sketches, "op8_secrets": op8_secrets, "op9_pieces": op9_pieces, "op10_neighbours": op10_neighbours}
 ORACLES: dict[str, str] = {
     "op5_substrings": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS l FROM documents),
