@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, pieces, scoring, secrets, simhash, sketches, substrings, toxicity
+from . import mixing, neighbours, pieces, pii, scoring, secrets, simhash, sketches, substrings, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(_documents(spark, sf_dir), b"a key that only the query uses")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_simhash": op3_simhash, "op4_scoring": op4_scoring, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op7_sketches": op7_sketches, "op8_secrets": op8_secrets, "op9_pieces": op9_pieces, "op10_neighbours": op10_neighbours}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_scoring": op4_scoring, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op7_sketches": op7_sketches, "op8_secrets": op8_secrets, "op9_pieces": op9_pieces, "op10_neighbours": op10_neighbours}
 ORACLES: dict[str, str] = {
     "op5_substrings": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS l FROM documents),
