@@ -60,8 +60,9 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
         offsets = np.sort(np.fromiter(node, np.int64, len(node))) + 1
         while low < size and not free[low]:
             low += 1
-        start, at = low, None
+        start, at, tried = low, None, 0
         while at is None:
+            tried += 1
             if start + 600 > size:
                 base, check, value = (np.r_[a, np.full(size, fill)] for a, fill in ((base, 0), (check, -1), (value, -1)))
                 free = np.r_[free, np.ones(size, bool)]
@@ -70,6 +71,8 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
             fits = first[free[(first - offsets[0])[:, None] + offsets].all(axis=1) & (first >= offsets[0])]
             at = int(fits[0] - offsets[0]) if len(fits) else None
             start += 256
+        if tried > 3:  # the slots before are too sparse to be worth another look
+            low = start - 256
         base[state] = at
         check[at + offsets] = state
         free[at + offsets] = False
@@ -111,6 +114,8 @@ class Encoder:
 
     def segment(self, chunks: list[bytes]) -> list[np.ndarray]:
         """Viterbi over many chunks in step. Where no piece is a character alone, its bytes (or unknown) may be taken at a loss."""
+        if not chunks:
+            return []
         lengths = np.array([len(c) for c in chunks])
         offset = np.r_[0, np.cumsum(lengths + 1)]
         flat = np.frombuffer(b"\xff".join([*chunks, b""]), np.uint8).astype(np.int64)
