@@ -440,3 +440,6 @@ def uncompressed_objects(i):
 def tail_object(i):
     pages = i.select((F.col("object_id") % 7).alias("file_id"), "object_id", (F.col("part_key") * 10 + F.col("partition_number")).alias("page"))
     return catalog.tail_object(pages, 1000)
+
+
+from . import estate_queries  # noqa: E402, F401  (registers its queries above; it needs the names defined here)
