@@ -17,8 +17,10 @@ from .words import texts, whole_groups, words
 
 #: A tree's leaves hold as many fingerprints; a bucket's shards hold as many on average.
 LEAF, SHARD = 16, 512
-#: Bins of the one-bit min-hash signature that checks the likeness of linked texts.
-BINS = 256
+#: Bins of the one-bit min-hash signature that checks the likeness of linked texts, and hashes a shingle has in it.
+BINS, ROUNDS = 512, 8
+#: Odd multipliers, one a round.
+_ODD = np.array([xxhash.xxh64_intdigest(b"round", i) | 1 for i in range(ROUNDS)], np.uint64)
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -44,12 +46,17 @@ def _hashes(parts: list[bytes]) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """One bit of the least hash in each of BINS bins; an empty bin takes the bit of the nearest full one to its right.
+    """One bit of the least value in each of BINS bins, over ROUNDS rehashes of the shingles, so that short texts fill bins too.
 
-    Of two texts, the share of equal bits is about (1 + their shingles' Jaccard similarity) / 2.
+    A bin that stays empty takes the bit of the nearest full one to its right. Of two texts, the share of equal bits
+    is about (1 + their shingles' Jaccard similarity) / 2.
     """
     low = np.full(BINS, np.iinfo(np.uint64).max)
-    np.minimum.at(low, (hashes >> np.uint64(48)) % np.uint64(BINS), hashes & np.uint64((1 << 48) - 1))
+    for odd in _ODD:
+        mixed = hashes * odd
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _ODD[0]
+        np.minimum.at(low, (mixed >> np.uint64(48)) % np.uint64(BINS), mixed & np.uint64((1 << 48) - 1))
     full = np.flatnonzero(low != np.iinfo(np.uint64).max)
     if len(full):
         low = low[full[np.searchsorted(full, np.arange(BINS)) % len(full)]]
