@@ -77,3 +77,18 @@ def test_signature_estimates_similarity():
     a, b = simhash._hashes(words[:360]), simhash._hashes(words[40:])
     same = 1 - 2 * np.bitwise_count(np.frombuffer(simhash.signature(a), np.uint64) ^ np.frombuffer(simhash.signature(b), np.uint64)).sum() / simhash.BINS
     assert abs(same - 320 / 400) < 0.12
+
+
+def test_signatures_estimate_similarity_of_short_and_long_texts():
+    rng = np.random.default_rng(3)
+    for size in (40, 200, 5000):
+        for jaccard in (0.5, 0.8, 0.95):
+            shared = round(2 * size * jaccard / (1 + jaccard))
+            told = []
+            for _ in range(20):
+                h = rng.integers(0, 1 << 64, 2 * size - shared, np.uint64)
+                a, b = (np.frombuffer(simhash.signature(x), np.uint8) for x in (h[:size], h[size - shared :]))
+                told.append(1 - 2 * np.bitwise_count(a ^ b).sum(dtype=np.int64) / simhash.BINS)
+            assert abs(np.mean(told) - shared / (2 * size - shared)) < 0.03
+            assert np.std(told) < 0.07
+    assert simhash.signature(np.empty(0, np.uint64)) == simhash.signature(np.empty(0, np.uint64))
