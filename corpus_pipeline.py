@@ -20,16 +20,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays, once; rows without an id stay.
+    """Of each group of near copies the row of the smallest doc_id stays, once; rows without an id stay.
 
-    Groups join texts whose SimHash over distinct words differs in 7 bits or fewer and whose signatures of five-word
-    shingles show a similarity of 0.8 or more.
+    Groups join texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (checked exactly; see
+    ``simhash.near_copies`` for the candidates). One doc_id with two texts is two documents.
     """
-    near = simhash.near_duplicates(docs, size=1, radius=7, blocks=9, distinct=True, checked=5, alike=0.78)
-    kept = near.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.where("doc_id IS NOT NULL")
-    first = own.join(kept, own["doc_id"] == F.col("_kept"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    kept = simhash.near_copies(docs).groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_kept"))
+    own = docs.where("doc_id IS NOT NULL").withColumn("_node", simhash.node_of(F.col("text")))
+    first = own.join(kept, (own["doc_id"].cast("long") == F.col("_id")) & (own["_node"] == F.col("_kept")), "left_semi")
+    return first.dropDuplicates(["doc_id", "_node"]).drop("_node").unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
-from .words import texts, whole_groups, words
+from .words import SPLIT, texts, whole_groups, words
 
 #: A tree's leaves hold as many fingerprints; a bucket's shards hold as many on average.
 LEAF, SHARD = 16, 512
@@ -21,6 +21,11 @@ LEAF, SHARD = 16, 512
 BINS, ROUNDS = 512, 8
 #: Odd multipliers, one a round.
 _ODD = np.array([xxhash.xxh64_intdigest(b"round", i) | 1 for i in range(ROUNDS)], np.uint64)
+#: Near copies: words a shingle; independently seeded fingerprints of distinct words, the bits they may differ in, their blocks.
+SHINGLE, SEEDS, RADIUS, BLOCKS = 5, 1, 7, 9
+#: Bits of the min-hash that spares pairs the exact check, and the least similarity it must show: 0.8 less over four errors (0.043).
+MINIMA, LEAST = 192, 0.62
+_MORE = np.array([xxhash.xxh64_intdigest(b"minimum", i) | 1 for i in range(MINIMA)], np.uint64)
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -63,24 +68,38 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.packbits((low >> np.uint64(7)) & np.uint64(1)).tobytes()
 
 
-def fingerprints(docs: DataFrame, size: int = 3, distinct: bool = False, checked: int = 0) -> DataFrame:
-    """(doc_id, fp, sig) of every row. size: words a shingle; distinct: each counts once.
+def reseeded(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """The hashes again, as independent ones; seed 0 leaves them."""
+    if not seed:
+        return hashes
+    mixed = hashes * _ODD[seed]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= _ODD[0]
+    return mixed ^ (mixed >> np.uint64(29))
 
-    checked: shingle size of a signature with which links are checked; 0 for none (sig is then null).
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """One bit of the least of the hashes under each of MINIMA multipliers, as longs; zeros for no hashes.
+
+    Of two texts, the share of equal bits is about (1 + their Jaccard similarity) / 2, however short they are.
     """
+    if not len(hashes):
+        return np.zeros(MINIMA // 64, np.int64)
+    low = np.full(MINIMA, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(low, (hashes[i : i + 1024, None] * _MORE).min(axis=0), out=low)
+    return np.packbits((low >> np.uint64(17)) & np.uint64(1)).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row. size: words a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sigs = [], []
-            for text in batch.column("text").to_pylist():
-                parts = shingles(text, size)
-                fps.append(fingerprint(_hashes(list(set(parts)) if distinct else parts)))
-                sigs.append(signature(_hashes(shingles(text, checked))) if checked else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sigs, pa.binary())], ["doc_id", "fp", "sig"]
-            )
+            fps = [fingerprint(_hashes(shingles(text, size))) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long, sig binary")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 class BKTree:
@@ -114,6 +133,7 @@ class Forest:
 
     def __init__(self):
         self.up: dict[int, int] = {}
+        self.pairs: list[tuple[int, int]] = []
 
     def find(self, x: int) -> int:
         up, top = self.up, x
@@ -128,33 +148,45 @@ class Forest:
         top = np.array([self.find(x) for x in ids.tolist()], np.int64)[at]
         x, y = top[: len(a)], top[len(a) :]
         if (new := x != y).any():
-            for p, q in np.unique(np.stack([x[new], y[new]]), axis=1).T.tolist():
+            tops, first = np.unique(np.stack([x[new], y[new]]), axis=1, return_index=True)
+            for (p, q), i in zip(tops.T.tolist(), np.flatnonzero(new)[first].tolist(), strict=True):
                 p, q = self.find(p), self.find(q)
                 if p != q:
                     low, high = min(p, q), max(p, q)
                     self.up[high] = low
                     self.up.setdefault(low, low)
+                    self.pairs.append((int(a[i]), int(b[i])))
 
     def edges(self) -> tuple[list[int], list[int]]:
         u = [x for x, y in self.up.items() if x != y]
         return u, [self.find(x) for x in u]
 
 
-def _link(radius: int, alike: float):
+def _link(radius: int, minima: bool = False, labels: bool = False):
+    """Of dealt rows: a forest of links, as stars; with minima, of pairs that were found, the likeliest first; with labels, all pairs across them."""
+    names = [f"s{i}" for i in range(MINIMA // 64)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for rows in whole_groups(batches, "key"):
             key, side = rows["key"].to_numpy(), rows["side"].to_numpy()
             fp, node = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy()
-            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint64).reshape(len(key), -1) if alike else None
-
-            def keep(i: np.ndarray, j: np.ndarray, node=node, sig=sig) -> None:
-                if alike and len(i):
-                    same = 1 - 2 * np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64) / BINS
-                    i, j = i[same >= alike], j[same >= alike]
-                ok = node[i] != node[j]
-                if ok.any():
-                    forest.add(node[i][ok], node[j][ok])
+            sig = np.stack([rows[c].to_numpy().view(np.uint64) for c in names], axis=1) if minima else None
+            label = rows["label"].to_numpy() if labels else node
+            across = []
+
+            def keep(i: np.ndarray, j: np.ndarray, node=node, sig=sig, label=label, across=across) -> None:
+                ok = label[i] != label[j]
+                i, j = i[ok], j[ok]
+                parts = [(i, j)]
+                if minima and len(i):
+                    same = 1 - 2 * np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64) / MINIMA
+                    parts = [(i[at], j[at]) for at in (same >= 0.9, (same >= LEAST) & (same < 0.9))]
+                for i, j in parts:
+                    if len(i) and labels:
+                        across.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]))
+                    elif len(i):
+                        forest.add(node[i], node[j])
 
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[starts[1:], len(key)]
@@ -172,27 +204,34 @@ def _link(radius: int, alike: float):
                 if len(own):
                     for i, j in BKTree(fp, own).probe(fp, asked, radius):
                         keep(i, j)
-        u, v = forest.edges()
+            if across:
+                u, v = np.unique(np.concatenate(across, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        u, v = zip(*forest.pairs, strict=True) if minima and forest.pairs else forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
-def links(classes: DataFrame, radius: int, blocks: int, alike: float = 0.0) -> DataFrame:
-    """Of classes (node, fp, sig): edges (u, v) that join all nodes whose fingerprints differ in ``radius`` bits or fewer.
+def links(classes: DataFrame, radius: int, blocks: int, fps: tuple[str, ...] = ("fp",), minima: bool = False, labels: bool = False) -> DataFrame:
+    """Of classes (node, and fps): edges (u, v) that join all nodes of which a fingerprint differs in ``radius`` bits or fewer.
 
-    The 64 bits are cut into ``blocks``; two fingerprints within the radius agree on blocks - radius of them at
-    least, so each choice of so many blocks is a table of buckets, and a bucket is a shard with its own BK-tree.
+    The 64 bits are cut into ``blocks``; two fingerprints within the radius agree on blocks - radius of them (two, if
+    that is less) at least, so each choice of so many blocks is a table of buckets, and a bucket is a shard with its
+    own BK-tree. With a radius over blocks - 2, pairs that agree on no two blocks are missed.
     A bucket of more than SHARD nodes is split; its shards meet in pairs, each a task's group of bounded size.
     A task returns a spanning forest of its links, not the links: what it returns grows with nodes, not pairs.
-    alike: also the signatures must show this similarity.
+    minima: also their columns s0, s1 and so on must show LEAST. labels: all links between nodes of different
+    ``label`` are returned, since none may stand for another.
     """
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(blocks)]
-    tables = [sum(masks[i] for i in choice) for choice in combinations(range(blocks), blocks - radius)]
+    tables = [sum(masks[i] for i in choice) for choice in combinations(range(blocks), blocks - radius if len(fps) == 1 and not minima else max(blocks - radius, 2))]
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    at = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed)))
-    rows = classes.select("node", "fp", "sig", at.alias("t", "value")).withColumn("bucket", F.xxhash64("t", "value"))
+    extra = [*(f"s{i}" for i in range(MINIMA // 64) if minima), *(["label"] if labels else [])]
+    at = F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m).cast("long")) for c in fps for m in signed)))
+    fp = F.element_at(F.array(*fps), (F.floor(F.col("t") / len(signed)) + 1).cast("int")) if len(fps) > 1 else F.col(fps[0])
+    rows = classes.select("node", *fps, *extra, at.alias("t", "value")).select("node", fp.alias("fp"), *extra, F.xxhash64("t", "value").alias("bucket"))
     hot = scratch.table(
         rows.groupBy("bucket").count().where(F.col("count") > 2 * SHARD).select("bucket", F.ceil(F.col("count") / SHARD).cast("int").alias("m")), "hot"
     )
@@ -202,33 +241,83 @@ def links(classes: DataFrame, radius: int, blocks: int, alike: float = 0.0) -> D
         rows.join(hot, "bucket", "left")
         .withColumn("m", F.coalesce("m", F.lit(1)))
         .withColumn("own", own)
-        .select("bucket", "node", "fp", "sig", "own", pairs.alias("p"))
-        .select(F.xxhash64("bucket", "p.a", "p.b").alias("key"), (F.col("own") > F.col("p.a")).cast("int").alias("side"), "node", "fp", "sig")
+        .select("bucket", "node", "fp", *extra, "own", pairs.alias("p"))
+        .select(F.xxhash64("bucket", "p.a", "p.b").alias("key"), (F.col("own") > F.col("p.a")).cast("int").alias("side"), "node", "fp", *extra)
     )
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link(radius, alike), "u long, v long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link(radius, minima, labels), "u long, v long")
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = 3, radius: int = 3, blocks: int | None = None, distinct: bool = False, checked: int = 0, alike: float = 0.0
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of docs.
 
-    size, distinct, checked: as of ``fingerprints``. Texts of the same fingerprint (and signature, if checked) are
-    one node, named by its smallest doc_id, so copies cost a row and not pairs. component_id is the smallest doc_id
-    that can be reached over links, the row's own included. Null and empty texts have fingerprint 0 and are linked
-    like others; rows with a null doc_id get a fingerprint and a null component_id; an empty table gives no rows.
+    size: words a shingle. Texts of the same fingerprint are one node, named by its smallest doc_id, so copies cost
+    a row and not pairs. component_id is the smallest doc_id that can be reached over links, the row's own included.
+    Null and empty texts have fingerprint 0 and are linked like others; rows with a null doc_id get a fingerprint
+    and a null component_id; an empty table gives no rows.
     blocks: by default the fewest (at most radius + 3) whose buckets hold a thousand of evenly spread fingerprints.
     """
-    fps = scratch.table(fingerprints(docs, size, distinct, checked), "fps")
-    by = ["fp", "sig"] if checked else ["fp"]
-    classes = fps.where("doc_id IS NOT NULL").groupBy(by).agg(F.min("doc_id").alias("node"))
-    classes = scratch.table(classes.select("node", "fp", F.col("sig") if checked else F.lit(None).cast("binary").alias("sig")), "classes")
+    fps = scratch.table(fingerprints(docs, size), "fps")
+    classes = scratch.table(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")).select("node", "fp"), "classes")
     if blocks is None:
         n = classes.count()
         blocks = next((b for b in range(radius + 1, radius + 3) if n >> (64 * (b - radius) // b) < 1000), radius + 3)
-    roots = components(links(classes, radius, blocks, alike))
-    named = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("component_id"), *by)
+    roots = components(links(classes, radius, blocks))
+    named = classes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("component_id"), "fp")
     return (
-        fps.join(named, by, "left")
+        fps.join(named, "fp", "left")
         .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     )
+
+
+def node_of(text: Column) -> Column:
+    """A 64-bit hash of the words of a text, A-Z lowered: texts of the same words are one node."""
+    upper = "".join(map(chr, range(65, 91)))
+    return F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SPLIT, " ")))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, alike) of pairs of nodes: whether the Jaccard similarity of their shingles is 0.8 or more, exactly."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    return both.select("u", "v", (9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).alias("alike"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, root) of every row with a doc_id: node as of ``node_of``; rows of one root are a group of near copies.
+
+    Links join nodes whose sets of SHINGLE-word shingles have a Jaccard similarity of 0.8 or more. Candidates are
+    pairs of which one of SEEDS fingerprints of distinct words is within RADIUS, if their minima show LEAST; each is
+    checked on the shingles themselves. First a forest of the candidates is checked. If a link of it fails, others may
+    hold where it was to stand for them, so then all candidates between the groups found so far are checked.
+    """
+    fps, minimal = tuple(f"f{i}" for i in range(SEEDS)), tuple(f"s{i}" for i in range(MINIMA // 64))
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.zeros((len(batch), len(fps) + len(minimal)), np.int64)
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                w = _hashes(list(set(shingles(text, 1))))
+                made[i, : len(fps)] = np.array([fingerprint(reseeded(w, s)) for s in range(len(fps))], np.uint64).view(np.int64)
+                made[i, len(fps) :] = minima(_hashes(list(set(shingles(text, SHINGLE)))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), *map(pa.array, made.T.copy())], ["doc_id", "node", *fps, *minimal])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_hashes(shingles(text, SHINGLE))).view(np.int64) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+
+    rows = scratch.table(own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "node", *fps, *minimal))), "fps")
+    classes = scratch.table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in (*fps, *minimal))), "classes")
+    forest = scratch.table(links(classes, RADIUS, BLOCKS, fps, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+    ends = forest.select(F.col("u").alias("node")).union(forest.select("v")).distinct()
+    asked = own.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    sets = scratch.table(asked.mapInArrow(hashed, "node long, hashes array<long>"), "shingles")
+    checked = scratch.table(_alike(forest, sets), "checked")
+    roots = components(checked.where("alike").select("u", "v"))
+    if not checked.where("NOT alike").isEmpty():
+        named = classes.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        more = links(named, RADIUS, BLOCKS, fps, True, True).distinct().join(checked, ["u", "v"], "left_anti")
+        more = scratch.table(_alike(more, sets).where("alike").select("u", "v"), "more")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
