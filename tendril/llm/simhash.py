@@ -22,7 +22,7 @@ BINS, ROUNDS = 512, 8
 #: Odd multipliers, one a round.
 _ODD = np.array([xxhash.xxh64_intdigest(b"round", i) | 1 for i in range(ROUNDS)], np.uint64)
 #: Near copies: words a shingle; independently seeded fingerprints of distinct words, the bits they may differ in, their blocks.
-SHINGLE, SEEDS, RADIUS, BLOCKS = 5, 1, 7, 9
+SHINGLE, SEEDS, RADIUS, BLOCKS = 5, 3, 16, 9
 #: Bits of the min-hash that spares pairs the exact check, and the least similarity it must show: 0.8 less over four errors (0.043).
 MINIMA, LEAST = 192, 0.62
 _MORE = np.array([xxhash.xxh64_intdigest(b"minimum", i) | 1 for i in range(MINIMA)], np.uint64)

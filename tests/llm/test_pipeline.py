@@ -49,6 +49,23 @@ def test_near_misses_stay(spark):
     assert sorted(r.doc_id for r in got.collect()) == [r[0] for r in rows] == plain_kept(rows)
 
 
+def test_longer_copies_are_found(spark):
+    rows = docs_of(8, 60, 300, 60)  # a similarity of 0.83
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert plain_kept(rows) == list(range(0, 120, 2)) and len(got.collect()) <= 61
+
+
+def test_a_failed_link_does_not_hide_others(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    rows = [(i, " ".join(base[6 * i : 6 * i + 280]), "en", "web", 0) for i in range(20)]  # a chain: neighbours 0.96, ends far below 0.8
+    assert len(plain_kept(rows)) == 1
+    sparse = rows[::5] + [(100 + i, " ".join([*base[:240], *(f"y{i}_{k}" for k in range(34))]), "en", "web", 0) for i in range(30)]
+    for case in (rows, sparse):
+        got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(case, SCHEMA), "").collect()
+        assert sorted(r.doc_id for r in got) == plain_kept(case)
+
+
 def test_nulls_repeated_ids_and_ties(spark):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(1, "one text", "en", "a", 0), (1, "quite another", "en", "a", 0), (1, "ONE  text", "en", "b", 0), (2, "one text", "en", "a", 0),
