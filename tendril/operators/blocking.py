@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scratch
 from ..functions.columns import over
 
 #: Verbs whose blocked request turns into an outage of the table, and maintenance verbs.
@@ -46,20 +45,6 @@ def blocked_behind(sessions: DataFrame) -> DataFrame:
     return seen.where("node <> root").groupBy("poll_ts", F.col("root").alias("spid")).agg(F.count("*").alias("behind"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as written to the folder of spark.checkpoint.dir and read back; a session on one machine has a temporary folder instead."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='tendril-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/blocking-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def active_request_count(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("poll_ts").agg(F.count_if(F.lower("status") != "sleeping").alias("active"))
 
