@@ -1,13 +1,13 @@
 """PII surrogates: keyed, type-consistent replacements that keep gender, script and format, and stay distinct.
 
 A surrogate is the image of an entity under a keyed permutation of all strings of its shape, so equal entities get
-equal surrogates everywhere and different ones different surrogates, without a table of entities.
+equal surrogates everywhere and different ones different surrogates, without a table of entities. What is permuted is
+the entity without its format (the digits of a number, the letters of a name in lower case); the format is put back.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,19 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from ..functions import scratch
 from .words import texts
 
-#: Forms of entities, in order of precedence at the same place; titles by gender; given names by gender and script.
-FORMS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+#: Forms of numbers, in order of precedence at the same place; titles by gender; given names by gender and script.
+NUMBERS = {
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.])",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "phone": r"(?<![\d+])\+?\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]?\d{3,4}(?!\d)",
-    "name": r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? +[^\W\d_]{2,}(?: +[A-ZÀ-ÖØ-ÞА-Я][^\W\d_]+)?",
 }
-FEMALE = {"Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа"}
+TITLES = {
+    "Mr": "m", "Herr": "m", "Señor": "m", "Monsieur": "m", "Господин": "m",
+    "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Madame": "f", "Госпожа": "f",
+}
 GIVEN = {
     ("f", "latin"): ("Alice", "Anna", "Clara", "Diana", "Elena", "Emma", "Greta", "Helen", "Ida", "Julia", "Karen", "Laura", "Maria", "Nina", "Olivia", "Paula", "Rosa", "Sara", "Teresa", "Vera"),
     ("m", "latin"): ("Adam", "Anton", "Bruno", "Carl", "David", "Eric", "Felix", "George", "Henry", "Ivan", "Jacob", "Karl", "Leo", "Martin", "Noah", "Oscar", "Paul", "Robert", "Simon", "Victor"),
@@ -36,11 +37,20 @@ GIVEN = {
     ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Денис", "Иван", "Максим", "Олег", "Павел"),
 }
 #: Characters that are exchanged within their class only.
-CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
-_CLASS = {c: (k, i) for k, chars in enumerate(CLASSES) for i, c in enumerate(chars)}
-_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMS.items()))
+CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
 ROUNDS = 8
 
+_CLASS = {c: (k, i) for k, chars in enumerate(CLASSES) for i, c in enumerate(chars)}
+_LISTED = {n.lower(): (of, i) for of, names in GIVEN.items() for i, n in enumerate(names)}
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_RUN = re.compile(r"[+\d][\d .()+-]{6,}")
+_NUMBER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in NUMBERS.items()))
+_PROPER = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+#: A capitalised word and, after blanks, up to two more: told apart by the tables above.
+_CAPITAL = re.compile(rf"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+(?=\.? +{_PROPER})")
+_NAMES = re.compile(rf"( +)({_PROPER})(?:( +)({_PROPER}))?")
+
 
 def permute(key: bytes, label: str, n: int, size: int) -> int:
     """A keyed permutation of range(size): a balanced Feistel network, walked until it lands inside."""
@@ -48,10 +58,11 @@ def permute(key: bytes, label: str, n: int, size: int) -> int:
         return n
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
+    key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
     while True:
         a, b = n >> half, n & mask
         for r in range(ROUNDS):
-            f = hmac.digest(key, f"{label}:{size}:{r}:{b}".encode(), "sha256")
+            f = hashlib.blake2b(f"{label}:{size}:{r}:{b}".encode(), key=key).digest()
             a, b = b, a ^ (int.from_bytes(f, "big") & mask)
         n = a << half | b
         if n < size:
@@ -59,7 +70,7 @@ def permute(key: bytes, label: str, n: int, size: int) -> int:
 
 
 def reshape(key: bytes, label: str, text: str) -> str:
-    """The image of a text among all texts of its shape: each character stays in its class, others stay as they are."""
+    """The image of a lower-case text among all texts of its shape: each character stays in its class, others stay as they are."""
     at = [_CLASS.get(c) for c in text]
     shape = "".join(c if a is None else f"\0{a[0]}" for c, a in zip(text, at, strict=True))
     n, size = 0, 1
@@ -81,47 +92,108 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def surrogate(kind: str, text: str, key: bytes) -> str:
-    """One entity's surrogate; of the same kind and form, and never another entity's."""
+def surrogate(kind: str, entity: str, key: bytes) -> str:
+    """One entity's surrogate, without format; of the same kind and shape, and never another entity's of the kind."""
     if kind == "email":
-        local, _, domain = text.partition("@")
+        local, _, domain = entity.partition("@")
         name, dot, top = domain.rpartition(".")
         return reshape(key, "email", f"{local}@{name}") + dot + top
     if kind == "ip":
-        octets = [int(x) for x in text.split(".")]
-        n = permute(key, "ip", int.from_bytes(bytes(octets), "big"), 1 << 32)
+        n = permute(key, "ip", int.from_bytes(bytes(map(int, entity.split("."))), "big"), 1 << 32)
         return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "card":
-        lead, rest, good = text[0], text[1:], luhn(re.sub(r"\D", "", text))
+        lead, rest, good = entity[0], entity[1:], luhn(entity)
         while True:  # permuted until it is as valid as the original, which keeps the map one to one
             rest = reshape(key, f"card{lead}", rest)
-            if luhn(re.sub(r"\D", "", lead + rest)) == good:
+            if luhn(lead + rest) == good:
                 return lead + rest
-    if kind == "name":
-        title, gap, rest = re.match(r"(\S+?\.?)( +)(.*)", text, re.S).groups()
-        gender = "f" if title.rstrip(".") in FEMALE else "m"
-        script = "cyrillic" if re.search("[а-яА-Я]", rest) else "latin"
-        given, space, family = re.match(r"(\S+)( *)(.*)", rest, re.S).groups()
-        names = GIVEN[gender, script]
-        if family and given in names:
-            return title + gap + names[permute(key, f"given:{gender}:{script}", names.index(given), len(names))] + space + reshape(key, "family", family)
-        while True:  # never a listed given name before a family name: those are images of listed ones
-            rest = reshape(key, f"name:{gender}", rest)
-            if not family or rest.split()[0] not in names:
-                return title + gap + rest
-    return reshape(key, kind, text)
-
-
-def _scan(text: str) -> list[tuple[str, int, int]]:
-    return [(m.lastgroup, m.start(), m.end()) for m in _FIND.finditer(text)]
+    if kind == "given":
+        if entity in _LISTED:
+            of, i = _LISTED[entity]
+            return GIVEN[of][permute(key, f"given:{of}", i, len(GIVEN[of]))].lower()
+        while True:  # never a listed name: those are images of listed ones
+            entity = reshape(key, "given", entity)
+            if entity not in _LISTED:
+                return entity
+    return reshape(key, kind, entity)
+
+
+def _recase(like: str, text: str) -> str:
+    """The text with capitals where ``like`` has them; a capital first stays one, however long the text is."""
+    if len(like) == len(text):
+        return "".join(c.upper() if o.isupper() else c for o, c in zip(like, text, strict=True))
+    return text.upper() if like.isupper() and len(like) > 1 else text[:1].upper() + text[1:] if like[:1].isupper() else text
+
+
+def _put(kind: str, found: str, made: str) -> str:
+    """A surrogate in the format of what was found."""
+    if kind in ("card", "ssn", "phone"):
+        digits = iter(made)
+        return "".join(next(digits) if "0" <= c <= "9" else c for c in found)
+    return made if kind == "ip" else _recase(found, made)
+
+
+def entity_of(kind: str, found: str) -> str:
+    return "".join(c for c in found if "0" <= c <= "9") if kind in ("card", "ssn", "phone") else found.lower()
+
+
+def _people(t: str) -> Iterator[tuple[str, int, int]]:
+    """Names after a title, or after a listed given name."""
+    end = 0
+    for m in _CAPITAL.finditer(t):
+        word, start = m.group(), m.start()
+        if start < end or (start and t[start - 1].isalnum()):
+            continue
+        if word in TITLES:
+            got = _NAMES.match(t, m.end() + (t[m.end()] == "."))
+            if got:
+                kind = "given" if got.group(4) or got.group(2).lower() in _LISTED else "family"
+                yield kind, got.start(2), got.end(2)
+                if got.group(4):
+                    yield "family", got.start(4), got.end(4)
+                end = got.end()
+        elif word.lower() in _LISTED and t[m.end()] == " ":
+            got = _NAMES.match(t, m.end())
+            yield "given", start, m.end()
+            yield "family", got.start(2), got.end(2)
+            end = got.end(2)
+
+
+def scan(t: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of a text's entities, in order, none over another."""
+    out = []
+    at = t.find("@")
+    while at >= 0:
+        start = at
+        while start and t[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(t, at + 1) if start < at else None
+        if m:
+            out.append(("email", start, m.end()))
+        at = t.find("@", m.end() if m else at + 1)
+    for run in _RUN.finditer(t):
+        out += [(m.lastgroup, m.start(), m.end()) for m in _NUMBER.finditer(t, run.start(), run.end())]
+    people = list(_people(t))
+    if people:
+        out += people
+        families = {t[a:b] for k, a, b in people if k == "family"}
+        # a name that the text has given once is the same person's wherever it stands alone
+        lone = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, sorted(families, key=lambda f: (-len(f), f)))) + r")(?![^\W_])")
+        out += [("family", m.start(), m.end()) for m in lone.finditer(t)] if families else []
+    kept, end = [], 0
+    for kind, a, b in sorted(out, key=lambda x: (x[1], -x[2])):
+        if a >= end:
+            kept.append((kind, a, b))
+            end = b
+    return kept
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, entity) of all texts."""
+    """Distinct (kind, entity) of all texts, without their formats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {(k, t[a:b]) for raw in batch.column("text").to_pylist() for t in [raw.decode("utf-8", "replace")] for k, a, b in _scan(t)}
+            seen = {(k, entity_of(k, t[a:b])) for raw in batch.column("text").to_pylist() for t in [raw.decode("utf-8", "replace")] for k, a, b in scan(t)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([e for _, e in seen], pa.string())], ["kind", "entity"])
 
     return texts(docs).mapInArrow(run, "kind string, entity string").distinct()
@@ -136,34 +208,39 @@ def collisions(found: DataFrame, key: bytes) -> DataFrame:
             made = [surrogate(k, e, key) for k, e in zip(kinds, batch.column("entity").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(made, pa.string())], ["kind", "surrogate"])
 
-    return found.mapInArrow(run, "kind string, surrogate string").groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts, "kind", "entity").mapInArrow(run, "kind string, surrogate string").groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_entities, spans, text_sha256) of every row: the text with surrogates, and what was replaced, as kind:start:end.
 
-    Before any text is changed, the surrogates of all distinct entities are checked to be distinct, by a grouping of
-    the table of entities. Null texts are empty; repeated rows are treated alike; an empty table gives no rows.
+    Entities are e-mail addresses, IP addresses, card, social-security and phone numbers, and names after a title or
+    a listed given name; a family name found so is replaced wherever the text has it. Given names keep their gender
+    and script (of listed ones), numbers their punctuation, cards their validity, names their capitals, whatever the
+    mention. Before any text is changed, the surrogates of all distinct entities are checked to be distinct, by a
+    grouping of the table of entities. Null texts are empty; repeated rows are treated alike; other columns, whatever
+    their names, take no part; an empty table gives no rows.
     """
     found = scratch.table(entities(docs), "entities")
     if not collisions(found, key).isEmpty():
         raise ValueError("two entities share a surrogate; use another key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = lru_cache(100_000)(lambda kind, text: surrogate(kind, text, key))
+        made = lru_cache(100_000)(lambda kind, entity: surrogate(kind, entity, key))
         for batch in batches:
             out, spans = [], []
             for raw in batch.column("text").to_pylist():
                 t = raw.decode("utf-8", "replace")
-                own, at, parts = _scan(t), 0, []
+                own, at, parts = scan(t), 0, []
                 for k, a, b in own:
-                    parts += [t[at:a], made(k, t[a:b])]
+                    parts += [t[at:a], _put(k, t[a:b], made(k, entity_of(k, t[a:b])))]
                     at = b
                 out.append("".join(parts) + t[at:] if own else t)
                 spans.append(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in s) for s in spans]),
-                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in out])],
+                [batch.column("doc_id"), pa.array(out, pa.string()), pa.array([len(s) for s in spans], pa.int64()), pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in s) for s in spans], pa.string()),
+                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in out], pa.string())],
                 ["doc_id", "text", "n_entities", "spans", "text_sha256"],
             )
 

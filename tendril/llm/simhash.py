@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,20 +12,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from ..functions import scratch
 from .components import components
 from .words import SPLIT, texts, whole_groups, words
 
-#: A tree's leaves hold as many fingerprints; a bucket's shards hold as many on average.
-LEAF, SHARD = 16, 512
-#: Bins of the one-bit min-hash signature that checks the likeness of linked texts, and hashes a shingle has in it.
-BINS, ROUNDS = 512, 8
-#: Odd multipliers, one a round.
-_ODD = np.array([xxhash.xxh64_intdigest(b"round", i) | 1 for i in range(ROUNDS)], np.uint64)
-#: Near copies: words a shingle; independently seeded fingerprints of distinct words, the bits they may differ in, their blocks.
-SHINGLE, SEEDS, RADIUS, BLOCKS = 5, 3, 16, 9
-#: Bits of the min-hash that spares pairs the exact check, and the least similarity it must show: 0.8 less over four errors (0.043).
-MINIMA, LEAST = 192, 0.62
+#: Fingerprints of a shard at most (on average, where a bucket is split), of a bundle of shards; MB of trees that a wave broadcasts.
+SHARD, BUNDLE, WAVE_MB = 512, 65_536, 16
+#: Near copies: words a shingle; seeded fingerprints of distinct words, the bits they may differ in; masks of each, bits of a mask.
+SHINGLE, SEEDS, RADIUS, MASKS, MASK_BITS = 5, 10, 16, 8, 16
+#: Bits of the min-hash that spares pairs the exact check, and the least similarity it must show: 0.8 less over four errors (0.075).
+MINIMA, LEAST = 64, 0.45
+#: Visits of a slice of questions at most, so that what a search holds is bounded.
+VISITS = 2_000_000
+_ODD = np.array([xxhash.xxh64_intdigest(b"round", i) | 1 for i in range(SEEDS)], np.uint64)
 _MORE = np.array([xxhash.xxh64_intdigest(b"minimum", i) | 1 for i in range(MINIMA)], np.uint64)
 
 
@@ -50,24 +50,6 @@ def _hashes(parts: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in parts), np.uint64, len(parts))
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """One bit of the least value in each of BINS bins, over ROUNDS rehashes of the shingles, so that short texts fill bins too.
-
-    A bin that stays empty takes the bit of the nearest full one to its right. Of two texts, the share of equal bits
-    is about (1 + their shingles' Jaccard similarity) / 2.
-    """
-    low = np.full(BINS, np.iinfo(np.uint64).max)
-    for odd in _ODD:
-        mixed = hashes * odd
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _ODD[0]
-        np.minimum.at(low, (mixed >> np.uint64(48)) % np.uint64(BINS), mixed & np.uint64((1 << 48) - 1))
-    full = np.flatnonzero(low != np.iinfo(np.uint64).max)
-    if len(full):
-        low = low[full[np.searchsorted(full, np.arange(BINS)) % len(full)]]
-    return np.packbits((low >> np.uint64(7)) & np.uint64(1)).tobytes()
-
-
 def reseeded(hashes: np.ndarray, seed: int) -> np.ndarray:
     """The hashes again, as independent ones; seed 0 leaves them."""
     if not seed:
@@ -78,17 +60,17 @@ def reseeded(hashes: np.ndarray, seed: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """One bit of the least of the hashes under each of MINIMA multipliers, as longs; zeros for no hashes.
+def minima(hashes: np.ndarray) -> int:
+    """One bit of the least of the hashes under each of MINIMA multipliers; 0 for no hashes.
 
     Of two texts, the share of equal bits is about (1 + their Jaccard similarity) / 2, however short they are.
     """
     if not len(hashes):
-        return np.zeros(MINIMA // 64, np.int64)
+        return 0
     low = np.full(MINIMA, np.iinfo(np.uint64).max)
     for i in range(0, len(hashes), 1024):
         np.minimum(low, (hashes[i : i + 1024, None] * _MORE).min(axis=0), out=low)
-    return np.packbits((low >> np.uint64(17)) & np.uint64(1)).view(np.int64)
+    return int(np.packbits((low >> np.uint64(17)) & np.uint64(1)).view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -102,30 +84,71 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-class BKTree:
-    """Children are keyed by their integer distance to the parent; a subtree of LEAF or fewer is a flat bucket."""
+class Trees:
+    """BK-trees, one a shard, in arrays: a node's children are keyed by their integer Hamming distance to it.
 
-    def __init__(self, values: np.ndarray, which: np.ndarray):
-        self.values, self.root, self.leaf, self.children = values, None, None, {}
-        if len(which) <= LEAF:
-            self.leaf = which
-            return
-        self.root, rest = which[0], which[1:]
-        far = np.bitwise_count(values[rest] ^ values[self.root])
-        self.children = {int(k): BKTree(values, rest[far == k]) for k in np.unique(far)}
-
-    def probe(self, of: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (tree position, position in ``of``) within the radius, for those asked; only edges within it are followed."""
-        if self.leaf is not None:
-            i, j = np.nonzero(np.bitwise_count(self.values[self.leaf][:, None] ^ of[asked][None, :]) <= radius)
-            yield self.leaf[i], asked[j]
+    Equal values of a shard are one node with several members. ``edges`` are 65 times the parent plus the distance,
+    ascending, and ``kids`` the children they lead to. ``visits`` counts the nodes that searches came to.
+    """
+
+    def __init__(self, shard: np.ndarray, values: np.ndarray):
+        order = np.lexsort((values, shard))
+        s, v = shard[order], values[order]
+        at = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (v[1:] != v[:-1])][: len(s)])
+        self.members, self.begin, self.values, s, self.visits = order, np.r_[at, len(order)], v[at], s[at], 0
+        root = np.r_[True, s[1:] != s[:-1]][: len(s)]
+        self.roots = np.flatnonzero(root)
+        self.shards, self.sizes = s[self.roots], np.diff(np.r_[self.roots, len(s)])
+        parent = np.repeat(self.roots, self.sizes)
+        live, edges, kids = np.flatnonzero(~root), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(live):  # a level of all trees at once: the first value at a distance becomes the child, the rest goes below it
+            edge = parent[live] * 65 + np.bitwise_count(self.values[live] ^ self.values[parent[live]])
+            order = np.argsort(edge, kind="stable")
+            edge, live = edge[order], live[order]
+            first = np.r_[True, edge[1:] != edge[:-1]]
+            edges.append(edge[first])
+            kids.append(live[first])
+            parent[live] = live[first][np.cumsum(first) - 1]
+            live = live[~first]
+        edges, kids = np.concatenate(edges), np.concatenate(kids)
+        order = np.argsort(edges)
+        self.edges, self.kids = edges[order], kids[order]
+
+    @classmethod
+    def joined(cls, parts: list[Trees]) -> Trees:
+        """The trees of several bundles, no shard of which is in two."""
+        made = cls.__new__(cls)
+        base = np.cumsum([0, *(len(p.values) for p in parts)])[:-1]
+        rows = np.cumsum([0, *(len(p.members) for p in parts)])
+        made.values, made.visits = np.concatenate([p.values for p in parts]), 0
+        made.edges, made.kids = np.concatenate([p.edges + 65 * b for p, b in zip(parts, base, strict=True)]), np.concatenate([p.kids + b for p, b in zip(parts, base, strict=True)])
+        made.members = np.concatenate([p.members + r for p, r in zip(parts, rows, strict=False)])
+        made.begin = np.r_[np.concatenate([p.begin[:-1] + r for p, r in zip(parts, rows, strict=False)]), rows[-1]]
+        shards, roots = np.concatenate([p.shards for p in parts]), np.concatenate([p.roots + b for p, b in zip(parts, base, strict=True)])
+        order = np.argsort(shards)
+        made.shards, made.roots, made.sizes = shards[order], roots[order], np.concatenate([p.sizes for p in parts])[order]
+        return made
+
+    def probe(self, shard: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row of the trees, question) of a shard within the radius; only edges within it are followed."""
+        if not len(self.shards):
             return
-        far = np.bitwise_count(of[asked] ^ self.values[self.root]).astype(np.int64)
-        near = asked[far <= radius]
-        yield np.full(len(near), self.root), near
-        for k, child in self.children.items():
-            if len(go := asked[np.abs(far - k) <= radius]):
-                yield from child.probe(of, go, radius)
+        place = np.minimum(np.searchsorted(self.shards, shard), len(self.shards) - 1)
+        known = np.flatnonzero(self.shards[place] == shard)
+        cut = np.cumsum(self.sizes[place[known]]) // VISITS
+        for part in np.split(known, np.flatnonzero(np.diff(cut)) + 1):
+            q, at = part, self.roots[place[part]]
+            while len(q):
+                self.visits += len(q)
+                far = np.bitwise_count(self.values[at] ^ asked[q]).astype(np.int64)
+                hit = far <= radius
+                n = (self.begin[at[hit] + 1] - self.begin[at[hit]]).astype(np.int64)
+                if len(n):
+                    yield self.members[np.repeat(self.begin[at[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(q[hit], n)
+                low = np.searchsorted(self.edges, at * 65 + np.maximum(far - radius, 0))
+                n = np.searchsorted(self.edges, at * 65 + np.minimum(far + radius, 64), "right") - low
+                at = self.kids[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                q = np.repeat(q, n)
 
 
 class Forest:
@@ -162,89 +185,81 @@ class Forest:
         return u, [self.find(x) for x in u]
 
 
-def _link(radius: int, minima: bool = False, labels: bool = False):
-    """Of dealt rows: a forest of links, as stars; with minima, of pairs that were found, the likeliest first; with labels, all pairs across them."""
-    names = [f"s{i}" for i in range(MINIMA // 64)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for rows in whole_groups(batches, "key"):
-            key, side = rows["key"].to_numpy(), rows["side"].to_numpy()
-            fp, node = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy()
-            sig = np.stack([rows[c].to_numpy().view(np.uint64) for c in names], axis=1) if minima else None
-            label = rows["label"].to_numpy() if labels else node
-            across = []
-
-            def keep(i: np.ndarray, j: np.ndarray, node=node, sig=sig, label=label, across=across) -> None:
-                ok = label[i] != label[j]
-                i, j = i[ok], j[ok]
-                parts = [(i, j)]
-                if minima and len(i):
-                    same = 1 - 2 * np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64) / MINIMA
-                    parts = [(i[at], j[at]) for at in (same >= 0.9, (same >= LEAST) & (same < 0.9))]
-                for i, j in parts:
-                    if len(i) and labels:
-                        across.append(np.stack([np.maximum(node[i], node[j]), np.minimum(node[i], node[j])]))
-                    elif len(i):
-                        forest.add(node[i], node[j])
+def _pair_batch(u, v) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[starts[1:], len(key)]
-            large = (ends - starts > LEAF) | (np.add.reduceat(side, starts) > 0)
-            small = np.repeat(~large, ends - starts)
-            for step in range(1, LEAF):  # all trees of one leaf at once
-                i = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
-                if not len(i):
-                    break
-                hit = np.bitwise_count(fp[i] ^ fp[i + step]) <= radius
-                keep(i[hit], i[hit] + step)
-            for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
-                own, other = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
-                asked = other if len(other) else own
-                if len(own):
-                    for i, j in BKTree(fp, own).probe(fp, asked, radius):
-                        keep(i, j)
-            if across:
-                u, v = np.unique(np.concatenate(across, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-        u, v = zip(*forest.pairs, strict=True) if minima and forest.pairs else forest.edges()
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return run
+def split_hot(rows: DataFrame) -> DataFrame:
+    """Of rows with a bucket and a node: adds ``m`` and ``own``: buckets of more than 2 * SHARD rows are cut into m shards."""
+    hot = scratch.table(rows.groupBy("bucket").count().where(F.col("count") > 2 * SHARD).select("bucket", F.ceil(F.col("count") / SHARD).cast("int").alias("m")), "hot")
+    dealt = rows.join(hot, "bucket", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    return dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")).cast("int"))
 
 
-def links(classes: DataFrame, radius: int, blocks: int, fps: tuple[str, ...] = ("fp",), minima: bool = False, labels: bool = False) -> DataFrame:
-    """Of classes (node, and fps): edges (u, v) that join all nodes of which a fingerprint differs in ``radius`` bits or fewer.
+def links(classes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Of classes (node, fp): edges (u, v) that join all nodes whose fingerprints differ in ``radius`` bits or fewer.
 
-    The 64 bits are cut into ``blocks``; two fingerprints within the radius agree on blocks - radius of them (two, if
-    that is less) at least, so each choice of so many blocks is a table of buckets, and a bucket is a shard with its
-    own BK-tree. With a radius over blocks - 2, pairs that agree on no two blocks are missed.
-    A bucket of more than SHARD nodes is split; its shards meet in pairs, each a task's group of bounded size.
-    A task returns a spanning forest of its links, not the links: what it returns grows with nodes, not pairs.
-    minima: also their columns s0, s1 and so on must show LEAST. labels: all links between nodes of different
-    ``label`` are returned, since none may stand for another.
+    The 64 bits are cut into ``blocks``; two fingerprints within the radius agree on blocks - radius of them at least,
+    so for each choice of so many, a bucket is a shard with its own BK-tree, and a question goes to the shards of its
+    own buckets only. A bucket of more than 2 * SHARD fingerprints is cut into shards, each of which is asked by the
+    fingerprints of its own and later ones. Trees are built once, by tasks, and broadcast in waves of WAVE_MB at most;
+    a wave reads only the questions to its shards. So neither what is broadcast at once nor a task's share grows with
+    the input; the number of waves does. A task returns a spanning forest of its links, not the links.
     """
+    spark = classes.sparkSession
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << cuts[i + 1]) - (1 << cuts[i])) for i in range(blocks)]
-    tables = [sum(masks[i] for i in choice) for choice in combinations(range(blocks), blocks - radius if len(fps) == 1 and not minima else max(blocks - radius, 2))]
-    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    extra = [*(f"s{i}" for i in range(MINIMA // 64) if minima), *(["label"] if labels else [])]
-    at = F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m).cast("long")) for c in fps for m in signed)))
-    fp = F.element_at(F.array(*fps), (F.floor(F.col("t") / len(signed)) + 1).cast("int")) if len(fps) > 1 else F.col(fps[0])
-    rows = classes.select("node", *fps, *extra, at.alias("t", "value")).select("node", fp.alias("fp"), *extra, F.xxhash64("t", "value").alias("bucket"))
-    hot = scratch.table(
-        rows.groupBy("bucket").count().where(F.col("count") > 2 * SHARD).select("bucket", F.ceil(F.col("count") / SHARD).cast("int").alias("m")), "hot"
-    )
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("m")).cast("int")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b"))))
-    dealt = (
-        rows.join(hot, "bucket", "left")
-        .withColumn("m", F.coalesce("m", F.lit(1)))
-        .withColumn("own", own)
-        .select("bucket", "node", "fp", *extra, "own", pairs.alias("p"))
-        .select(F.xxhash64("bucket", "p.a", "p.b").alias("key"), (F.col("own") > F.col("p.a")).cast("int").alias("side"), "node", "fp", *extra)
-    )
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link(radius, minima, labels), "u long, v long")
+    tables = [sum(masks[i] for i in choice) for choice in combinations(range(blocks), blocks - radius)]
+    at = F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in tables)))
+    dealt = split_hot(classes.select("node", "fp", at.alias("t", "value")).select("node", "fp", F.xxhash64("t", "value").alias("bucket")))
+    bundles = max(1, -(-classes.count() * len(tables) // BUNDLE))
+    bundle = F.pmod(F.xxhash64("shard", F.lit(3)), F.lit(bundles)).cast("long").alias("bundle")
+    kept = dealt.select(F.xxhash64("bucket", "own").alias("shard"), "fp", "node").select(bundle, "shard", "fp", "node")
+    later = F.explode(F.sequence(F.lit(0), "own")).alias("to")
+    asks = dealt.select("bucket", later, "fp", "node").select(F.xxhash64("bucket", "to").alias("shard"), "fp", "node").select(bundle, "shard", "fp", "node")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "bundle"):
+            every = rows["bundle"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(every)], strict=True):
+                shard, fp, node = (rows[c].to_numpy()[s:e] for c in ("shard", "fp", "node"))
+                tree = pickle.dumps((Trees(shard, fp.view(np.uint64)), node), protocol=5)
+                yield pa.RecordBatch.from_arrays([pa.array([int(every[s])]), pa.array([len(tree)], pa.int64()), pa.array([tree], pa.binary())], ["bundle", "size", "tree"])
+
+    trees = scratch.table(kept.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(build, "bundle long, size long, tree binary"), "trees")
+    asked = scratch.table(asks.repartitionByRange("bundle"), "asked")
+    out, wave, held = [], [], 0
+    for b, size in [*((r["bundle"], r["size"]) for r in trees.select("bundle", "size").orderBy("bundle").collect()), (None, 0)]:  # a row a bundle
+        if wave and (b is None or held + size > WAVE_MB << 20):
+            out.append(_search(spark, trees, asked, wave, radius))
+            wave, held = [], 0
+        wave, held = [*wave, b], held + size
+    none = classes.select(F.col("node").alias("u"), F.col("node").alias("v")).where(F.lit(False))
+    for x in out:
+        none = none.unionByName(x)
+    return none
+
+
+def _search(spark, trees: DataFrame, asked: DataFrame, wave: list[int], radius: int) -> DataFrame:
+    """One wave: its trees are broadcast, and the questions to their shards run through them."""
+    inside = F.col("bundle").between(wave[0], wave[-1])
+    sent = spark.sparkContext.broadcast([bytes(r["tree"]) for r in trees.where(inside).select("tree").collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [pickle.loads(x) for x in sent.value]
+        every, nodes, forest = Trees.joined([t for t, _ in parts]), np.concatenate([n for _, n in parts]), Forest()
+        for batch in batches:
+            shard, fp, node = (batch.column(c).to_numpy() for c in ("shard", "fp", "node"))
+            for i, j in every.probe(shard, fp.view(np.uint64), radius):
+                u, v = nodes[i], node[j]
+                if (u != v).any():
+                    forest.add(u[u != v], v[u != v])
+        yield _pair_batch(*forest.edges())
+
+    found = scratch.table(asked.where(inside).select("shard", "fp", "node").mapInArrow(run, "u long, v long"), "links")
+    sent.destroy()
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, blocks: int | None = None) -> DataFrame:
@@ -275,49 +290,117 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SPLIT, " ")))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, alike) of pairs of nodes: whether the Jaccard similarity of their shingles is 0.8 or more, exactly."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    return both.select("u", "v", (9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).alias("alike"))
+def masks() -> list[int]:
+    """MASKS choices of MASK_BITS of 64 bits, made by a rule."""
+    order = [sorted(range(64), key=lambda b: xxhash.xxh64_intdigest(f"{i}:{b}".encode())) for i in range(MASKS)]
+    return [sum(1 << b for b in o[:MASK_BITS]) for o in order]
+
+
+def _close(labels: bool):
+    """Of dealt rows: a forest of the pairs within RADIUS and LEAST, the likeliest first; with labels, all such pairs across them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for rows in whole_groups(batches, "key"):
+            key, side, node = (rows[c].to_numpy() for c in ("key", "side", "node"))
+            fp, sig = rows["fp"].to_numpy().view(np.uint64), rows["sig"].to_numpy().view(np.uint64)
+            label = rows["label"].to_numpy() if labels else node
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            guests = np.repeat(np.add.reduceat(side, starts) > 0, np.diff(np.r_[starts, len(key)]))
+            own, ask = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | ~guests)
+            across = []
+            for i, j in Trees(key[own], fp[own]).probe(key[ask], fp[ask], RADIUS):
+                i, j = own[i], ask[j]
+                ok = ((side[j] == 1) | (i < j)) & (label[i] != label[j])
+                i, j = i[ok], j[ok]
+                like = 1 - 2 * np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64) / MINIMA
+                for at in (like >= 0.9, (like >= LEAST) & (like < 0.9)):
+                    if at.any() and labels:
+                        across.append(np.stack([np.maximum(node[i[at]], node[j[at]]), np.minimum(node[i[at]], node[j[at]])]))
+                    elif at.any():
+                        forest.add(node[i[at]], node[j[at]])
+            if across:
+                yield _pair_batch(*np.unique(np.concatenate(across, axis=1), axis=1))
+        if forest.pairs:
+            yield _pair_batch(*zip(*forest.pairs, strict=True))
+
+    return run
+
+
+def candidates(classes: DataFrame, labels: bool = False) -> DataFrame:
+    """Of classes (node, f0, f1 and so on, sig): pairs of which a fingerprint is within RADIUS and agrees on a mask.
+
+    A mask's bucket is a shard with its own BK-tree; here trees are built where they are asked, since there are
+    SEEDS * MASKS of them a text, too many to broadcast. A bucket of more than 2 * SHARD nodes is cut; its shards meet
+    in pairs, each a group of bounded size. labels: nodes of different ``label`` only, and all their pairs.
+    """
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
+    extra = ["sig", *(["label"] if labels else [])]
+    fps = [f"f{i}" for i in range(SEEDS)]
+    at = F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m).cast("long")) for c in fps for m in signed)))
+    fp = F.element_at(F.array(*fps), (F.floor(F.col("t") / len(signed)) + 1).cast("int"))
+    rows = classes.select("node", *fps, *extra, at.alias("t", "value")).select("node", fp.alias("fp"), *extra, F.xxhash64("t", "value").alias("bucket"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b"))))
+    dealt = split_hot(rows).select("bucket", "node", "fp", *extra, "own", pairs.alias("p"))
+    dealt = dealt.select(F.xxhash64("bucket", "p.a", "p.b").alias("key"), (F.col("own") > F.col("p.a")).cast("int").alias("side"), "node", "fp", *extra)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close(labels), "u long, v long")
+
+
+def _alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(u, v, alike) of pairs of nodes: whether the Jaccard similarity of their texts' shingles is 0.8 or more, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, set[bytes]] = {}
+        for batch in batches:
+            u, v, same = batch.column("u").to_pylist(), batch.column("v").to_pylist(), []
+            for p, q, a, b in zip(u, v, batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                if len(known) > 1000:
+                    known.clear()
+                a = known.get(p) or known.setdefault(p, set(shingles(a, SHINGLE)))
+                b = known.get(q) or known.setdefault(q, set(shingles(b, SHINGLE)))
+                same.append(9 * len(a & b) >= 4 * (len(a) + len(b)))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(same, pa.bool_())], ["u", "v", "alike"])
+
+    both = pairs.join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, node, root) of every row with a doc_id: node as of ``node_of``; rows of one root are a group of near copies.
 
-    Links join nodes whose sets of SHINGLE-word shingles have a Jaccard similarity of 0.8 or more. Candidates are
-    pairs of which one of SEEDS fingerprints of distinct words is within RADIUS, if their minima show LEAST; each is
-    checked on the shingles themselves. First a forest of the candidates is checked. If a link of it fails, others may
-    hold where it was to stand for them, so then all candidates between the groups found so far are checked.
+    Links join nodes whose sets of SHINGLE-word shingles have a Jaccard similarity of 0.8 or more; each is checked on
+    the texts themselves. First each node's candidates in a forest are checked. If a link of it fails, others may hold
+    where it was to stand for them: then, inside the candidate groups in which one failed, all candidates between the
+    groups found so far are checked. Null and empty texts are one node; an empty table gives no rows; other columns
+    take no part.
     """
-    fps, minimal = tuple(f"f{i}" for i in range(SEEDS)), tuple(f"s{i}" for i in range(MINIMA // 64))
+    names = [*(f"f{i}" for i in range(SEEDS)), "sig"]
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.zeros((len(batch), len(fps) + len(minimal)), np.int64)
+            made = np.zeros((len(batch), len(names)), np.int64)
             for i, text in enumerate(batch.column("text").to_pylist()):
                 w = _hashes(list(set(shingles(text, 1))))
-                made[i, : len(fps)] = np.array([fingerprint(reseeded(w, s)) for s in range(len(fps))], np.uint64).view(np.int64)
-                made[i, len(fps) :] = minima(_hashes(list(set(shingles(text, SHINGLE)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), *map(pa.array, made.T.copy())], ["doc_id", "node", *fps, *minimal])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(_hashes(shingles(text, SHINGLE))).view(np.int64) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
-
-    rows = scratch.table(own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "node", *fps, *minimal))), "fps")
-    classes = scratch.table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in (*fps, *minimal))), "classes")
-    forest = scratch.table(links(classes, RADIUS, BLOCKS, fps, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
-    ends = forest.select(F.col("u").alias("node")).union(forest.select("v")).distinct()
-    asked = own.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = scratch.table(asked.mapInArrow(hashed, "node long, hashes array<long>"), "shingles")
-    checked = scratch.table(_alike(forest, sets), "checked")
+                made[i, :-1] = np.array([fingerprint(reseeded(w, s)) for s in range(SEEDS)], np.uint64).view(np.int64)
+                made[i, -1] = minima(_hashes(list(set(shingles(text, SHINGLE)))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), *map(pa.array, made.T.copy())], ["doc_id", "node", *names])
+
+    rows = scratch.table(own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "node", *names))), "fps")
+    classes = scratch.table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in names)), "classes")
+    found = candidates(classes).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    found = scratch.table(found, "candidates")
+    held = components(found)
+    ends = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
+    asked = scratch.table(own.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked")
+    checked = scratch.table(_alike(found, asked), "checked")
     roots = components(checked.where("alike").select("u", "v"))
-    if not checked.where("NOT alike").isEmpty():
-        named = classes.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        more = links(named, RADIUS, BLOCKS, fps, True, True).distinct().join(checked, ["u", "v"], "left_anti")
-        more = scratch.table(_alike(more, sets).where("alike").select("u", "v"), "more")
+    failed = scratch.table(checked.where("NOT alike").select(F.col("u").alias("node")).join(held, "node").select("root").distinct(), "failed")
+    if not failed.isEmpty():
+        again = held.join(failed, "root", "left_semi").select("node").distinct()
+        named = classes.join(again, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        more = candidates(named, True).distinct().join(checked, ["u", "v"], "left_anti")
+        more = scratch.table(_alike(more, asked).where("alike").select("u", "v"), "more")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -1,45 +1,82 @@
-import itertools
+import hashlib
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tendril.llm import pii
 
-KEY = b"k"
-SCHEMA = "doc_id long, text string, spans string, kind string"
-
-
-def test_permutation_is_one_to_one():
-    for size in (1, 2, 3, 10, 255, 1000):
-        assert sorted(pii.permute(KEY, "x", i, size) for i in range(size)) == list(range(size))
-
-
-def test_shapes_and_distinctness():
-    for kind, texts in {
-        "card": [f"42 42-{i:02d}"[:2] + f"{i:014d}" for i in range(400)],
-        "email": [f"{a}{b}.{i}@mail{i}.example.com" for a, b, i in itertools.product("abe", "xyu", range(10))],
-        "ip": [f"10.0.{i}.{j}" for i in range(20) for j in range(20)],
-        "phone": [f"+1 ({200 + i}) 555-{i:04d}" for i in range(400)],
-        "name": [f"{t} {g} {f}" for t in ("Mr.", "Mrs") for g in (*pii.GIVEN["m", "latin"], *pii.GIVEN["f", "latin"], "Zed") for f in ("Stone", "Brook")] + ["Mr Abe", "Mr Obe"],
-    }.items():
-        made = [pii.surrogate(kind, t, KEY) for t in texts]
-        assert len(set(made)) == len(set(texts)) and made == [pii.surrogate(kind, t, KEY) for t in texts]
-        assert made != [pii.surrogate(kind, t, b"other") for t in texts]
-        for a, b in zip(texts, made, strict=True):
-            assert pii._FIND.fullmatch(b).lastgroup == kind, (a, b)
-            if kind in ("card", "phone"):
-                assert re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b)
-            if kind == "card":
-                assert pii.luhn(a) == pii.luhn(b) and a[0] == b[0]
-            if kind == "name":
-                assert a.split()[0] == b.split()[0]
-    assert pii.surrogate("name", "Frau Anna Klein", KEY).split()[1] in pii.GIVEN["f", "latin"]
-    assert re.fullmatch("Госпожа [а-яА-Я]+ [а-яА-Я]+", pii.surrogate("name", "Госпожа Анна Белова", KEY))
-
-
-def test_table(spark):
-    rows = [(1, "write to Jo.b_1@mail7.example.com or 108.51.216.133, é 4308041181136552 +1 (302) 555-8032.", "", ""), (2, "again jo@x.org, Jo.b_1@mail7.example.com", "", ""), (3, None, "", ""), (4, "clean text 12 34", "", "")]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, SCHEMA), KEY).collect()}
-    assert [x.split(":")[0] for x in got[1].spans.split(",")] == ["email", "ip", "card", "phone"]
-    mail = pii.surrogate("email", "Jo.b_1@mail7.example.com", KEY)
-    assert mail in got[1].text and got[2].text.endswith(mail) and "108.51.216.133" not in got[1].text
-    assert (got[3].text, got[4].text, got[4].n_entities) == ("", "clean text 12 34", 0)
+KEY = b"test"
+SCHEMA = "doc_id long, text string, kind string, entity string, spans string"
+
+
+def one(text, key=KEY):
+    """A text with surrogates, by the scan and the surrogates alone."""
+    out, at = "", 0
+    for k, a, b in pii.scan(text):
+        out += text[at:a] + pii._put(k, text[a:b], pii.surrogate(k, pii.entity_of(k, text[a:b]), key))
+        at = b
+    return out + text[at:]
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(2, 3000), st.text("abc", max_size=3))
+def test_permutations_are_one_to_one(size, label):
+    assert sorted(pii.permute(KEY, label, n, size) for n in range(min(size, 300))) == sorted(set(pii.permute(KEY, label, n, size) for n in range(min(size, 300))))
+    if size <= 300:
+        assert sorted(pii.permute(KEY, label, n, size) for n in range(size)) == list(range(size))
+
+
+def plain_numbers(t):
+    """Every number by one pattern over the whole text, without the runs."""
+    return [(m.lastgroup, m.start(), m.end()) for m in re.finditer("|".join(f"(?P<{k}>{p})" for k, p in pii.NUMBERS.items()), t)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("0123456789 .()-+a", max_size=60))
+def test_runs_hide_no_number(text):
+    assert [s for s in pii.scan(text) if s[0] in pii.NUMBERS] == plain_numbers(text)
+
+
+def test_formats_genders_and_scripts():
+    text = "mail Bob.Lee@Mail.example.com or bob.lee@mail.example.com, 10.1.2.3, card 4111 1111 1111 1111 and 4111-1111-1111-1111, 123-45-6789, +1 (555) 123-4567 and +1 555-123-4567."
+    out = one(text)
+    assert re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "0", out)))[:20] == re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "0", text)))[:20]
+    a, b = re.findall(r"\S+@\S+[a-z]", out)
+    assert a.lower() == b and a != b and b != "bob.lee@mail.example.com"
+    c = re.findall(r"card (.{19}) and (.{19}),", out)[0]
+    assert c[0].replace(" ", "") == c[1].replace("-", "") and c[0] != "4111 1111 1111 1111" and pii.luhn(c[0].replace(" ", ""))
+    p = re.findall(r"\+.*?\d{3}-\d{4}", out)
+    assert re.sub(r"\D", "", p[0]) == re.sub(r"\D", "", p[1]) and re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}", p[0])
+    assert re.search(r"\d{3}-\d{2}-\d{4}", out) and "123-45-6789" not in out
+
+
+def test_mentions_of_one_person_stay_one():
+    out = one("Mr. Adam Smith came. Later Adam Smith left; Mr. Smith, SMITH? Smith said so, unlike Smithson. Mrs. Anna Smith and Dr Who; Herr Müller. Müller!")
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Later (\w+) (\w+) left; Mr\. (\w+), SMITH\? (\w+) said so, unlike Smithson\. Mrs\. (\w+) (\w+) and Dr Who; Herr (\w+)\. (\w+)!", out)
+    g = m.groups()
+    assert g[0] == g[2] and g[0] in pii.GIVEN["m", "latin"] and g[1] == g[3] == g[4] == g[5] == g[7] and g[1] != "Smith" and len(g[1]) == 5
+    assert g[6] in pii.GIVEN["f", "latin"] and g[8] == g[9] != "Müller" and "ü" in g[8]
+    assert one("Госпожа Анна Иванова") != "Госпожа Анна Иванова" and one("Госпожа Анна Иванова").split()[1] in pii.GIVEN["f", "cyrillic"]
+    assert one("The Der Mr. is. Herr der. Adam. Smith and Frau 7") == "The Der Mr. is. Herr der. Adam. Smith and Frau 7"
+
+
+def test_surrogates_are_distinct_within_a_kind():
+    given = [n.lower() for names in pii.GIVEN.values() for n in names] + ["bob", "tom", "tim", "jon", "leo", "zoe", "eva", "eve"]
+    made = [pii.surrogate("given", e, KEY) for e in dict.fromkeys(given)]
+    assert len(set(made)) == len(made)
+    cards = [f"4{i:015d}" for i in range(300)]
+    assert len({pii.surrogate("card", c, KEY) for c in cards}) == 300
+
+
+def test_replace_matches_plain_and_checks_collisions(spark):
+    long = "x y z " * 30_000 + "call 555-123-4567"
+    rows = [(1, None, "a", "b", "c"), (2, "", "a", "b", "c"), (3, "a.b@c.org", "a", "b", "c"), (3, "a.b@c.org", "a", "b", "c"), (None, "10.0.0.1", None, None, None), (4, long, "a", "b", "c"), (5, "Mr. Smith", "", "", ""), (6, "Frau Eva Smith é", "", "", "")]
+    got = pii.replace(spark.createDataFrame(rows, SCHEMA), KEY).collect()
+    want = [(d, one(t or "")) for d, t, *_ in rows]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
+    assert all(r.text_sha256 == hashlib.sha256(r.text.encode()).hexdigest() and r.n_entities == len([s for s in r.spans.split(",") if s]) for r in got)
     assert pii.replace(spark.createDataFrame([], SCHEMA), KEY).collect() == []
+    same = spark.createDataFrame([("ssn", "123456789"), ("ssn", "123456789")], "kind string, entity string")
+    assert pii.collisions(same, KEY).count() == 1 and pii.collisions(same.distinct(), KEY).count() == 0

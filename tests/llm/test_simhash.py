@@ -63,32 +63,63 @@ def test_empty_and_null_id(spark):
 
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.integers(0, 9), st.integers(0, 2**32))
-def test_tree_finds_all_within_radius(values, radius, seed):
+def test_trees_find_all_within_radius(values, radius, seed):
     rng = random.Random(seed)
-    values = values + [v ^ (1 << rng.randrange(64)) for v in values]
-    a = np.array(values, np.uint64)
-    every = np.arange(len(a))
-    got = {(int(i), int(j)) for p, q in simhash.BKTree(a, every).probe(a, every, radius) for i, j in zip(p, q, strict=True)}
-    assert got == {(i, j) for i in range(len(values)) for j in range(len(values)) if (values[i] ^ values[j]).bit_count() <= radius}
-
-
-def test_signature_estimates_similarity():
-    words = [b"s%d" % i for i in range(400)]
-    a, b = simhash._hashes(words[:360]), simhash._hashes(words[40:])
-    same = 1 - 2 * np.bitwise_count(np.frombuffer(simhash.signature(a), np.uint64) ^ np.frombuffer(simhash.signature(b), np.uint64)).sum() / simhash.BINS
-    assert abs(same - 320 / 400) < 0.12
-
-
-def test_signatures_estimate_similarity_of_short_and_long_texts():
+    values = values + [v ^ (1 << rng.randrange(64)) for v in values] + values[:3]
+    a, shard = np.array(values, np.uint64), np.array([rng.randrange(3) * 7 for _ in values])
+    for size in (3, 2_000_000):
+        simhash.VISITS = size
+        half = shard == 7
+        trees = simhash.Trees.joined([simhash.Trees(shard[half], a[half]), simhash.Trees(shard[~half], a[~half])])
+        row = np.r_[np.flatnonzero(half), np.flatnonzero(~half)]
+        got = [(int(row[i]), int(j)) for p, q in trees.probe(shard, a, radius) for i, j in zip(p, q, strict=True)]
+        every = [(i, j) for i in range(len(values)) for j in range(len(values)) if shard[i] == shard[j] and (values[i] ^ values[j]).bit_count() <= radius]
+        assert sorted(got) == sorted(every)
+        assert list(trees.probe(np.array([5]), a[:1], radius)) == []
+
+
+def test_trees_follow_few_edges():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 64, 4000, np.uint64)
+    trees = simhash.Trees(np.zeros(len(a), np.int64), a)
+    got = [(i, j) for p, q in trees.probe(np.zeros(len(a), np.int64), a, 3) for i, j in zip(p.tolist(), q.tolist(), strict=True)]
+    assert sorted(got) == [(i, i) for i in range(len(a))]
+    assert len(trees.edges) == len(a) - 1 and trees.visits < 0.4 * len(a) ** 2
+
+
+def test_links_come_from_trees_broadcast_in_waves(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) - (1 << 63) for _ in range(300)]
+    rows = [(i, v) for i, v in enumerate(base)] + [(1000 + i, v ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60))) for i, v in enumerate(base)]
+    waves, search = [], simhash._search
+    monkeypatch.setattr(simhash, "BUNDLE", 300)
+    monkeypatch.setattr(simhash, "WAVE_MB", 0)
+    monkeypatch.setattr(simhash, "_search", lambda *a: waves.append(a[3]) or search(*a))
+    got = {tuple(sorted(r)) for r in simhash.links(spark.createDataFrame(rows, "node long, fp long"), 3, 4).collect()}
+    assert {(i, 1000 + i) for i in range(300)} <= got and len(waves) == 8  # 600 * 4 / 300, a bundle a wave
+
+
+def test_minima_estimate_similarity():
     rng = np.random.default_rng(3)
     for size in (40, 200, 5000):
         for jaccard in (0.5, 0.8, 0.95):
             shared = round(2 * size * jaccard / (1 + jaccard))
             told = []
-            for _ in range(20):
+            for _ in range(60):
                 h = rng.integers(0, 1 << 64, 2 * size - shared, np.uint64)
-                a, b = (np.frombuffer(simhash.signature(x), np.uint8) for x in (h[:size], h[size - shared :]))
-                told.append(1 - 2 * np.bitwise_count(a ^ b).sum(dtype=np.int64) / simhash.BINS)
-            assert abs(np.mean(told) - shared / (2 * size - shared)) < 0.03
-            assert np.std(told) < 0.07
-    assert simhash.signature(np.empty(0, np.uint64)) == simhash.signature(np.empty(0, np.uint64))
+                a, b = (simhash.minima(x) & (2**64 - 1) for x in (h[:size], h[size - shared :]))
+                told.append(1 - 2 * (a ^ b).bit_count() / simhash.MINIMA)
+            assert abs(np.mean(told) - shared / (2 * size - shared)) < 0.06
+            assert np.std(told) < 0.15
+    assert simhash.minima(np.empty(0, np.uint64)) == 0
+
+
+def test_masks_reach_texts_with_a_passage_added():
+    """The share of pairs that the masks make candidates, where two texts' bits differ as a fifth of new words lets them."""
+    rng = np.random.default_rng(8)
+    found = 0
+    for _ in range(400):
+        flips = rng.random((simhash.SEEDS, 64)) < 0.145
+        differ = [int(sum(1 << b for b in np.flatnonzero(f))) for f in flips]
+        found += any(not d & m and d.bit_count() <= simhash.RADIUS for d in differ for m in simhash.masks())
+    assert found >= 0.95 * 400
