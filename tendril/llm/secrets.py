@@ -14,9 +14,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Strings that the models judge; documents (about) that they are trained on, documented bound; least log-likelihood ratio.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-SAMPLE, LEAST_RATIO = 4_000, 10.0
+#: Strings that the models judge. Documents (about) that they are trained on: a documented bound of labelled samples.
+CANDIDATE, SAMPLE = r"[A-Za-z0-9+/_=-]{16,}", 2_000
+#: Least log-likelihood ratio in all, and a pair of characters; weight of a class's single characters in the smoothing.
+LEAST_RATIO, LEAST_PAIR, PRIOR = 12.0, 1.25, 40.0
 
 _SPAN = "array<struct<kind:string,start:int,end:int,rank:int>>"
 
@@ -41,43 +42,72 @@ def base_spans(text: Column) -> Column:
     return F.concat(_matches(text, ASSIGN, "assign", 0, LEAST_VALUE), _matches(text, ACCESS, "access", 1), _matches(text, HEX, "hex", 2))
 
 
-def _pairs(tokens: DataFrame) -> DataFrame:
-    """(cell, n): how often a character of the alphabet, or another (0), follows one."""
-    cells = F.transform(F.sequence(F.lit(2), F.length("token")), lambda i: _code(F.substring(F.col("token"), i - 1, F.lit(1))) * (len(ALPHABET) + 1) + _code(F.substring(F.col("token"), i, F.lit(1))))
-    return tokens.where(F.length("token") > 1).select(F.explode(cells).alias("cell")).groupBy("cell").count()
-
-
 def _code(c: Column) -> Column:
     return F.call_function("instr", F.lit(ALPHABET), c)
 
 
-def train(docs: DataFrame) -> list[float]:
-    """Log-likelihood ratios of character pairs, random strings against ordinary identifiers, cell by cell.
+def _known(text: Column) -> Column:
+    """The strings of the known forms, of 16 characters or more."""
+    own = F.concat(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))
+    return F.filter(own, lambda v: F.length(v) >= 16)
+
+
+def samples(docs: DataFrame) -> DataFrame:
+    """(token, random): labelled samples of random strings and of ordinary identifiers, from about SAMPLE documents.
 
-    Labelled samples: of about SAMPLE documents, chosen by a hash of the text, the words outside known secrets, but
-    for those with a digit before a letter, are the ordinary class; the random class is the secrets' own matches and, so that it never lacks samples, digests of
-    the documents' ids in base 16 and 64. The table has (alphabet + 1)^2 cells whatever the input.
+    Random: strings of the known forms, and digests of texts' hashes in the alphabets that keys are written in (base
+    64, 62, 36, 32 and 16). Ordinary: the words outside known forms, but for those with a digit before a letter, which
+    may be unmarked secrets; and identifiers made of such words: joined by a sign, by capitals, or with a number.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     n = max(docs.count(), 1)
     d = docs.select(text.alias("text"), F.xxhash64(text, F.lit(23)).alias("h")).where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * min(1.0, SAMPLE / n))
     masked = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    plain = d.select(F.explode(F.split(masked, SPLIT)).alias("token")).where((F.length("token") >= 4) & ~F.col("token").rlike("[0-9][A-Za-z]"))
-    key = F.sha2(F.col("h").cast("string"), 256)
-    made = F.array(F.substring(key, 1, 40), F.regexp_replace(F.base64(F.unhex(key)), "=", ""), F.upper(F.base64(F.unhex(F.md5(F.col("h").cast("string"))))))
-    own = F.concat(F.regexp_extract_all(F.col("text"), F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all(F.col("text"), F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(F.col("text"), F.lit(HEX), F.lit(0)))
-    random = d.select(F.explode(F.concat(made, F.filter(own, lambda v: F.length(v) >= 20))).alias("token"))
+    plain = F.filter(F.split(masked, SPLIT), lambda w: (F.length(w) >= 3) & ~w.rlike("[0-9][A-Za-z]"))
+    bare = F.filter(F.transform(plain, lambda w: F.regexp_replace(w, "[^A-Za-z0-9]", "")), lambda w: F.length(w) >= 3)
+    number = lambda w: F.pmod(F.xxhash64(w), F.lit(3000)).cast("string")
+    after = lambda i: F.get(F.col("bare"), i + 1)
+    made = F.transform(
+        F.filter(F.transform(F.col("bare"), lambda w, i: F.struct(w.alias("a"), F.coalesce(after(i), w).alias("b"), F.pmod(F.xxhash64(w, i), F.lit(64)).alias("k"))), lambda x: x["k"] < 5),
+        lambda x: F.when(x["k"] == 0, F.concat_ws("_", x["a"], x["b"])).when(x["k"] == 1, F.concat_ws("-", x["a"], x["b"])).when(x["k"] == 2, F.concat(F.lower(x["a"]), F.initcap(x["b"])))
+        .when(x["k"] == 3, F.concat_ws("/", x["a"], x["b"])).otherwise(F.concat(x["a"], number(x["a"]))),
+    )
+    ordinary = d.withColumn("plain", plain).withColumn("bare", bare).select(F.explode(F.concat("plain", made)).alias("token"), F.lit(False).alias("random"))
+    key = lambda i: F.sha2(F.concat_ws(":", F.col("h").cast("string"), F.lit(str(i))), 256)
+    b64 = lambda i: F.regexp_replace(F.base64(F.unhex(key(i))), "=", "")
+    b62 = lambda i: F.regexp_replace(b64(i), "[+/]", "")
+    digests = F.array(b64(0), F.translate(b64(1), "+/", "-_"), b62(2), b62(3), b62(4), F.lower(b62(5)), F.upper(b62(6)), F.substring(key(7), 1, 40), F.upper(F.substring(key(8), 1, 32)))
+    random = d.select(F.explode(F.concat(digests, _known(F.col("text")))).alias("token"), F.lit(True).alias("random"))
+    return ordinary.unionByName(random)
+
+
+def fit(tokens: DataFrame) -> list[float]:
+    """Of (token, random): log-likelihood ratios of character pairs, cell by cell, random against ordinary.
+
+    A class's chance of a character after another is counted, smoothed by the class's chance of the character at all,
+    so that a small sample of words still finds digits and capitals rare. (alphabet + 1)^2 cells whatever the input.
+    """
     size = len(ALPHABET) + 1
+    pair = F.transform(F.sequence(F.lit(2), F.length("token")), lambda i: _code(F.substring(F.col("token"), i - 1, F.lit(1))) * size + _code(F.substring(F.col("token"), i, F.lit(1))))
+    cells = tokens.where(F.length("token") > 1).select("random", F.explode(pair).alias("cell")).groupBy("random", "cell").count()
+    counts = {True: [0.0] * (size * size), False: [0.0] * (size * size)}
+    for r in cells.collect():  # at most 2 * size * size rows
+        counts[r["random"]][r["cell"]] = float(r["count"])
     tables = []
-    for tokens in (random, plain):
-        counts = [0.25] * (size * size)
-        for r in _pairs(tokens).collect():  # at most size * size rows
-            counts[r["cell"]] += r["count"]
-        rows = [sum(counts[i * size : (i + 1) * size]) for i in range(size)]
-        tables.append([math.log(c / rows[i // size]) for i, c in enumerate(counts)])
+    for label in (True, False):
+        c = counts[label]
+        rows = [sum(c[i * size : (i + 1) * size]) for i in range(size)]
+        single = [sum(c[j::size]) + 0.5 for j in range(size)]
+        total = sum(single)
+        tables.append([math.log((c[i * size + j] + PRIOR * single[j] / total) / (rows[i] + PRIOR)) for i in range(size) for j in range(size)])
     return [a - b for a, b in zip(*tables, strict=True)]
 
 
+def train(docs: DataFrame) -> list[float]:
+    """The pair of models, as the ratios of ``fit`` on the ``samples`` of docs; an empty table gives ratios of 0."""
+    return fit(samples(docs))
+
+
 def ratio(token: Column, model: list[float]) -> Column:
     """Sum over a string's character pairs of the log-likelihood ratio."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
@@ -87,19 +117,25 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.when(F.length(token) > 1, F.transform(F.array(codes), at)[0]).otherwise(0.0)
 
 
-def spans(docs: DataFrame, model: list[float]) -> DataFrame:
-    """docs, all columns, with ``_spans``: array of (kind, start, end, rank), sorted by start, then rank; code points, end exclusive.
+def likely(token: Column, model: list[float]) -> Column:
+    """Is a string rather random: by its ratio in all and a pair."""
+    return F.transform(F.array(ratio(token, model)), lambda r: (r >= LEAST_RATIO) & (r >= LEAST_PAIR * (F.length(token) - 1)))[0]
 
-    The model adds strings of kind "markov" that overlap no known form and whose ratio is LEAST_RATIO or more.
-    Null and empty texts have no spans.
+
+def _spans(docs: DataFrame, model: list[float]) -> DataFrame:
+    """(row, text, spans) of every row: the row as it is, its text or "", and (start, rank, end, kind) sorted by start, then rank.
+
+    Spans count code points, end exclusive. The model adds strings of kind "markov" that overlap no known form and
+    are ``likely``. Null and empty texts have none. Columns of docs stay inside ``row``, so their names can't clash.
     """
-    text = F.coalesce(docs["text"], F.lit(""))
-    d = docs.withColumn("_base", base_spans(text)).withColumn("_candidates", _matches(text, CANDIDATE, "markov", 3))
-    free = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    likely = lambda c: ratio(F.substring(text, c["start"] + 1, c["end"] - c["start"]), model) >= LEAST_RATIO
-    d = d.withColumn("_candidates", F.filter("_candidates", free)).withColumn("_added", F.when(F.size("_candidates") > 0, F.filter("_candidates", likely)).otherwise(F.array().cast(_SPAN)))
+    d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    d = d.withColumn("base", base_spans(F.col("text"))).withColumn("more", _matches(F.col("text"), CANDIDATE, "markov", 3))
+    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    d = d.withColumn("more", F.filter("more", free))
+    rather = lambda c: likely(F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"]), model)
+    d = d.withColumn("more", F.when(F.size("more") > 0, F.filter("more", rather)).otherwise(F.array().cast(_SPAN)))
     order = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return d.withColumn("_spans", order(F.concat("_base", "_added"))).drop("_candidates", "_added", "_base")
+    return d.select("row", "text", order(F.concat("base", "more")).alias("spans"))
 
 
 def _listed(a: Column) -> Column:
@@ -107,22 +143,29 @@ def _listed(a: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: list[float]) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) of every row; an empty table gives no rows."""
-    d = spans(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), model)
-    n = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
-    base = _listed(F.filter("_spans", lambda s: s["kind"] != "markov"))
-    return d.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(F.col("_spans")).alias("spans"), n("markov").alias("n_markov"))
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) of every row.
+
+    Null texts are empty; rows that repeat get a row each; other columns take no part; an empty table gives no rows.
+    """
+    d = _spans(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), model)
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = _listed(F.filter("spans", lambda s: s["kind"] != "markov"))
+    return d.select("row.doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), n("markov").alias("n_markov"))
 
 
 def redact(docs: DataFrame, model: list[float], by: str = "[SECRET]") -> DataFrame:
-    """docs, all columns, with each run of overlapping spans in the text replaced; texts without spans stay as they are."""
-    d = spans(docs, model)
-    text = F.coalesce(docs["text"], F.lit(""))
+    """docs, all columns whatever their names, with each run of overlapping spans in the text replaced.
+
+    Texts without spans, null and empty ones among them, stay as they are; so do all other columns. Rows that repeat
+    are treated alike; an empty table gives no rows.
+    """
+    d = _spans(docs, model)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
+        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]) & ((s["start"] > 0) | (acc["at"] == 0)), fresh).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return d.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    done = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    text = F.when(F.size("spans") > 0, done).otherwise(F.col("row").getField("text"))
+    return d.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -60,41 +60,41 @@ def from_text(fingerprint: Column) -> Column:
     return F.when(F.length(fingerprint) == 0, F.array().cast("array<long>")).otherwise(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), part))
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """Of distinct (doc_id): (doc_id, next_id), the next smaller id; of the smallest, the largest.
+def following(keys: DataFrame) -> DataFrame:
+    """Of distinct (doc_id, h): adds next_id and next_h, the next in descending order; of the least, the greatest.
 
-    Ids are cut into at most 10,000 ranges of equal width and ordered inside each; a range's last id is followed by
-    the first of the range below that holds any, found in the table of ranges.
+    Keys are cut into ranges where a sample of them says and ordered inside each; a range's last key is followed by
+    the first of the range below, found in the table of ranges. Other columns stay.
     """
-    at = ids.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    if not at["n"]:
-        return ids.select("doc_id", F.col("doc_id").alias("next_id"))
-    ranges = min(10_000, max(1, at["n"] // 1000))
-    width = (at["hi"] - at["lo"]) // ranges + 1
-    cut = ids.withColumn("g", F.floor((F.col("doc_id") - F.lit(at["lo"])) / F.lit(width)))
-    heads = cut.groupBy("g").agg(F.max("doc_id").alias("head"))
-    heads = heads.select("g", F.lead("head", 1).over(W.orderBy(F.desc("g"))).alias("below"))
-    own = cut.withColumn("lead", F.lead("doc_id", 1).over(W.partitionBy("g").orderBy(F.desc("doc_id"))))
-    return own.join(heads, "g").select("doc_id", F.coalesce("lead", "below", F.lit(at["hi"])).alias("next_id"))
+    at = scratch.ranged(keys, "doc_id", "h", name="keys")
+    key = F.struct("doc_id", "h")
+    heads = at.groupBy("g").agg(F.max(key).alias("head"))
+    down = W.orderBy(F.desc("g"))  # a row a range
+    heads = heads.select("g", F.coalesce(F.lead("head").over(down), F.first("head").over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("below"))
+    own = at.withColumn("lead", F.lead(key).over(W.partitionBy("g").orderBy(F.desc("doc_id"), F.desc("h"))))
+    return own.join(heads, "g").withColumn("next", F.coalesce("lead", "below")).select(*keys.columns, F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, next_id).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_shingles, next_id), a row for each row with a doc_id.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next
     document by descending doc_id; the last is followed by the first. Null texts are empty. A single document follows
-    itself. Rows with a null doc_id take no part. If a doc_id repeats, there is a row for each pair of one of its
-    rows and one of the next id's. An empty table gives no rows. Texts are shuffled once, by doc_id; of the next
-    document only the prefix that is needed travels, with its sketch.
+    itself. Rows with a null doc_id take no part. Rows of one doc_id follow each other by descending hash of their
+    texts; rows that repeat both are one document in this order, and each gets its row. An empty table gives no rows;
+    other columns, whatever their names, take no part. Of the next document only the prefix that is needed travels,
+    with its sketch.
     """
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    ids = scratch.table(own.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")), "ids")
-    after = scratch.table(following(ids.select("doc_id")).join(ids, "doc_id").select("next_id", F.col("doc_id").alias("to"), "n"), "next")
-    text = lambda name: own.select(F.col("doc_id").alias(name), "text")
-    lent = text("next_id").join(after, "next_id").select("to", "next_id", F.substring("text", F.lit(1), F.floor(F.col("n") / 2).cast("int")).alias("lent"), as_text(sketch(F.col("text"))).alias("next_fingerprint"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")).where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    keys = own.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n"))
+    after = scratch.table(following(keys).select("next_id", "next_h", F.col("doc_id").alias("to"), F.col("h").alias("to_h"), "n"), "next")
+    text = lambda i, h: own.select(F.col("doc_id").alias(i), F.col("h").alias(h), "text")
+    lent = text("next_id", "next_h").join(after, ["next_id", "next_h"])
+    lent = lent.select("to", "to_h", "next_id", F.substring("text", F.lit(1), F.floor(F.col("n") / 2).cast("int")).alias("lent"), as_text(sketch(F.col("text"))).alias("next_fingerprint"))
+    lent = lent.dropDuplicates(["to", "to_h"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    d = text("to").join(lent, "to").withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("lent", F.lit(1), half)))
+    d = text("to", "to_h").join(lent, ["to", "to_h"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("lent", F.lit(1), half)))
     d = d.select("to", "next_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("a"), sketch(F.col("edited")).alias("b"), from_text(F.col("next_fingerprint")).alias("c"))
     return d.select(
         F.col("to").alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"),

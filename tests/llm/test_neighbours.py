@@ -37,3 +37,25 @@ def test_relaxed_recall_and_empty(spark):
     assert len(got & want) >= 0.9 * len(want)
     assert neighbours.nearest(spark.createDataFrame([], SCHEMA)).collect() == []
     assert neighbours.nearest(spark.createDataFrame([(50, [1.0], 0, "")], SCHEMA)).collect() == []
+
+
+def test_ties_on_one_ray(spark):
+    """Vectors of one direction and many lengths: their cosines differ by rounding only, and the exact ones decide."""
+    rng = random.Random(3)
+    ray = [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(i, [x * (1 + i) for x in ray], 0, "") for i in range(49)] + [(50 + i, [x * (3 + i) for x in ray], 0, "") for i in range(700)]
+    rows += [(5000 + i, [float(-i - 1), 0.0, 0.0, 0.0, 0.0, 0.0], 0, "") for i in range(100)]
+    got = sorted(map(tuple, neighbours.nearest(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == plain(rows)
+
+
+def test_search_is_exact_whatever_the_leaves():
+    rng = np.random.default_rng(5)
+    for n, d in ((1, 3), (4, 3), (900, 3), (900, 12)):
+        m = np.concatenate([rng.normal(size=(n, d)), np.repeat(rng.normal(size=(1, d)), 60, axis=0) * np.arange(1, 61)[:, None]])
+        ids = rng.permutation(len(m)) * 3
+        got = neighbours.Search(m, ids, m[:40], ids[:40], 5, 1.0)
+        for q in range(min(40, len(m))):
+            score = neighbours.cosine(np.repeat(m[q : q + 1], len(m), axis=0), m)
+            want = [x for x in np.lexsort((ids, -score)) if ids[x] != ids[q]][:5]
+            assert [x for x in got.found[q] if x >= 0] == want

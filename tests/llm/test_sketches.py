@@ -51,3 +51,24 @@ def test_single_and_empty(spark):
     assert sketches.fingerprint_edits(spark.createDataFrame([], SCHEMA)).collect() == []
     r = sketches.fingerprint_edits(spark.createDataFrame([(5, "abcd", "", "")], SCHEMA)).collect()
     assert [(x.doc_id, x.next_id, x.edited_sha256) for x in r] == [(5, 5, hashlib.sha256(b"abab").hexdigest())]
+
+
+def test_repeated_and_extreme_ids(spark):
+    rows = [(1, "a b c d e f", "", ""), (1, "g h i j k l m", "", ""), (2, "n o p q", "", ""), (2, "n o p q", "", ""), (2, None, "", ""), (-(2**63), "least", "", ""), (2**63 - 1, "most of all", "", "")]
+    got = sketches.fingerprint_edits(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    h = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t, *_ in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted({(d, h[t or ""], t or "") for d, t, *_ in rows}, reverse=True)
+    want = []
+    for d, t, *_ in rows:
+        t = t or ""
+        n = order[(order.index((d, h[t], t)) + 1) % len(order)]
+        half = len(t) // 2
+        want.append((d, hashlib.sha256((t[: len(t) - half] + n[2][:half]).encode()).hexdigest(), n[0]))
+    assert sorted((r.doc_id, r.edited_sha256, r.next_id) for r in got) == sorted(want)
+
+
+def test_one_id_that_makes_most_of_the_table(spark):
+    rows = [(7, f"text {i % 900} of the one", "", "") for i in range(2000)] + [(i, "x", "", "") for i in range(20)]
+    got = sketches.fingerprint_edits(spark.createDataFrame(rows, SCHEMA))
+    assert got.count() == len(rows)
