@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +32,9 @@ SEEDS = (
 )
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "circus clown", "white trash bags", "sore loser", "idiot proof")
 
-#: Documented bounds of the classifier: labelled rows of each class that it is fitted on, terms that it keeps.
-ROWS_OF_CLASS, TERMS = 8_000, 20_000
-#: Prefix lengths that are learned beside whole words; least log-likelihood ratios for either; least weight.
+#: Documented bound of the classifier: labelled rows of each class that it is fitted on. Texts that share so many least word hashes count once.
+ROWS_OF_CLASS, LEAST = 8_000, 12
+#: Prefix lengths that are learned beside whole words, where a text has two words or more that begin so; least log-likelihood ratios for either; least weight.
 PREFIXES, LEAST_WORD, LEAST_PREFIX, LEAST_WEIGHT, SEED_WEIGHT = (4, 5, 6), 28.0, 20.0, 2.5, 3.5
 #: Score of a text without labelled rows to calibrate on: intercept, weights of the logarithms of total and density.
 DEFAULT = (-4.0, 2.5, 1.0)
@@ -129,7 +130,7 @@ def _sample(labels: DataFrame) -> DataFrame:
 def _fold_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         folded = [fold(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-        least = [min((xxhash.xxh64_intdigest(w) for w in set(t.split())), default=0) >> 1 for t in folded]
+        least = [xxhash.xxh64_intdigest(repr(sorted(xxhash.xxh64_intdigest(w) for w in set(t.split()))[:LEAST])) >> 1 for t in folded]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("toxic"), pa.array(folded, pa.string()), pa.array(least, pa.int64())], ["doc_id", "toxic", "folded", "mark"]
         )
@@ -140,7 +141,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column("folded").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             own = set(_WORD.findall(text))
-            for key in {(w, False) for w in own if len(w) > 2} | {(w[:k], True) for k in PREFIXES for w in own if len(w) > k}:
+            begun = Counter(w[:k] for k in PREFIXES for w in own if len(w) > k)
+            for key in {(w, False) for w in own if len(w) > 2} | {(b, True) for b, n in begun.items() if n > 1}:
                 seen.setdefault(key, [0, 0])[toxic] += 1
     keys, counts = list(seen), list(seen.values())
     for i in range(0, len(keys), 50_000):
@@ -169,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Lexicon and curve from labelled rows whose crc32(doc_id) mod 3 is not 1.
 
     Terms are whole words and word beginnings that are far commoner in toxic texts, by a log-likelihood ratio over
-    documents (near copies, seen by their least word hash, count once); seeds stay unless the rows speak against
+    documents (near copies, whose LEAST least word hashes are the same, count once); seeds stay unless the rows speak against
     them. The curve is fitted on the fifth of the sample that the terms weren't learned from. Without labelled rows
     of both classes: seeds and DEFAULT. The sample is bounded (ROWS_OF_CLASS), and so is what is broadcast.
     """
@@ -193,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Lexicon:
         t = t.withColumn("ratio", 2 * (part("pos", p) + part("neg", n)))
         strong = (F.col("ratio") >= F.when(F.col("prefix"), LEAST_PREFIX).otherwise(LEAST_WORD)) & (F.col("weight") >= LEAST_WEIGHT)
         seed = F.col("term").isin(*(s for s, _ in terms)) & ~F.col("prefix")
-        for r in t.where(strong | (seed & (F.col("neg") >= 3))).orderBy(F.desc("ratio"), "term", "prefix").limit(TERMS).collect():
+        for r in t.where(strong | (seed & (F.col("neg") >= 3))).collect():  # words and prefixes of the sample: bounded by it
             terms[r["term"], r["prefix"]] = max(0.0, min(r["weight"], 6.0))
     lexicon = Lexicon(tuple((t, k, w) for (t, k), w in sorted(terms.items()) if w > 0))
 
@@ -231,7 +233,11 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs, all columns, without the rows that score THRESHOLD or more."""
+    """docs, all columns whatever their names, without the rows that score THRESHOLD or more.
+
+    Null and empty texts score as texts without hits, and stay; rows that repeat stay or go each; an empty table gives
+    no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()

@@ -50,3 +50,14 @@ def test_no_labels_and_empty(spark):
     lex = toxicity.train(docs, none)
     assert [r.predicted for r in toxicity.score(docs, lex).orderBy("doc_id").collect()] == [1, 0]
     assert toxicity.score(spark.createDataFrame([], SCHEMA), lex).collect() == []
+
+
+def test_repeats_long_texts_and_clashing_columns(spark):
+    long = "a fine day " * 40_000
+    docs = spark.createDataFrame([(1, "moron idiot scum", 1, "p"), (1, "moron idiot scum", 1, "p"), (2, long, 1, "p"), (3, long + "moron idiot " * 20_000, 1, "p"), (None, None, None, None)], "doc_id long, text string, score int, predicted string")
+    lex = toxicity.Lexicon(tuple((s, False, 3.5) for s in toxicity.SEEDS))
+    got = sorted((r.doc_id or 0, r.predicted, r.n_words) for r in toxicity.score(docs, lex).collect())
+    assert got == [(0, 0, 0), (1, 1, 3), (1, 1, 3), (2, 0, 120_000), (3, 1, 160_000)]
+    assert sorted(r.doc_id or 0 for r in toxicity.keep_clean(docs, lex).collect()) == [0, 2]
+    same = spark.createDataFrame([(1, 1), (1, 0), (1, None), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.train(docs, same).terms
