@@ -4,7 +4,8 @@ Suffixes are grouped by a prefix: the K words of an anchor, the least K-gram (by
 equal windows always share theirs. A group's tree is a sorted suffix array with the lengths of common prefixes: an
 internal node of depth d is a run of suffixes that agree in d words. Beside it stands the tree of the words to the
 left of the anchors, read backwards; a window is a pair of nodes whose depths make WINDOW words. Prefixes that more
-than GROUP suffixes share are lengthened to the whole window, where equal ones are pre-aggregated.
+than GROUP suffixes share are lengthened to the whole window: its suffixes are then one node of depth WINDOW, of which
+only the least document is asked, and that is pre-aggregated.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ..functions import scratch
 from .words import whole_groups, words
 
 WINDOW, K, GROUP = 50, 8, 256
+#: Bytes of a word's code, of eight, that contexts carry.
+WIDTH = 6
 #: K-grams in a window; most words to the left of an anchor.
 SPAN = WINDOW - K + 1
 _ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(K)], np.uint64)
@@ -31,6 +34,18 @@ def _codes(w: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes as they travel: WIDTH bytes of each, so that two words are taken for one in 2^48 pairs, and windows far more rarely."""
+    return codes.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def _unpacked(parts: list[bytes]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WIDTH)
+    wide = np.zeros((len(flat), 8), np.uint8)
+    wide[:, :WIDTH] = flat
+    return wide.view(np.uint64).ravel()
+
+
 def _anchors(codes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of one text's words: keys of anchors, first windows, anchors' distances from these, numbers of windows."""
     grams = np.zeros(len(codes) - K + 1, np.uint64)
@@ -83,7 +98,7 @@ def _contexts(hot: bool):
                                 for c, v in zip(rows, (key - (1 << 64) if key >> 63 else key, d, h, s + i, 0, b""), strict=True):
                                     c.append(v)
                         else:
-                            for c, v in zip(rows, (m["key"], d, h, s, m["off"], codes[s : s + n + WINDOW - 1].tobytes()), strict=True):
+                            for c, v in zip(rows, (m["key"], d, h, s, m["off"], _packed(codes[s : s + n + WINDOW - 1])), strict=True):
                                 c.append(v)
             if rows[0]:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -110,8 +125,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in whole_groups(batches, "key"):
         doc, off = rows["doc_id"].to_numpy(), rows["off"].to_numpy().astype(np.int64)
         parts = rows["words"].to_pylist()
-        flat = np.frombuffer(b"".join(parts), np.uint64)
-        end = np.cumsum([len(p) // 8 for p in parts])
+        flat = _unpacked(parts)
+        end = np.cumsum([len(p) // WIDTH for p in parts])
         begin = np.r_[0, end[:-1]]
         n = end - begin - WINDOW + 1
         right = begin[:, None] + off[:, None] + np.arange(WINDOW)
@@ -183,8 +198,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     marked = own.join(scratch.table(marks, "marks"), ["doc_id", "h"])
     shape = "key long, doc_id long, h long, start int, off int, words binary"
     usual = marked.mapInArrow(_contexts(False), shape).repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "doc_id long, h long, start int, mask long")
-    windows = marked.mapInArrow(_contexts(True), shape).select("key", "doc_id", "h", "start")
-    late = windows.join(windows.groupBy("key").agg(F.min("doc_id").alias("lo")), "key").where("doc_id > lo")
+    windows = scratch.table(marked.mapInArrow(_contexts(True), shape).select("key", "doc_id", "h", "start"), "windows")
+    lows = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "lo")
+    late = windows.join(scratch.table(lows, "lows"), "key").where("doc_id > lo")  # both sides written: a window that very many share can be split
     hits = usual.unionByName(late.select("doc_id", "h", "start", F.lit(1).cast("long").alias("mask")))
     hits = hits.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
     return own.join(hits, ["doc_id", "h"], "left").mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
