@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .functions import scratch
 from .operators import blocking as b
 from .operators import changes as c
 from .operators import fleet
 from .operators import maintenance as m
 from .operators import pressure as p
 from .operators import reports as r
-from .queries import IDENTITY, ORACLES, OVERRIDE, PROFILE, RULE_SQL, RULES, VICTIMS, on_tables, query
+from .queries import HIT, IDENTITY, ORACLES, OVERRIDE, PLAN_INDEX, PROFILE, RULE_SQL, RULES, SET, VICTIMS, WHERE, on_tables, query
 from .sources import catalog
 
 # Sources
@@ -146,11 +149,12 @@ def busy_share(e):
     return p.busy_share(e.selectExpr("user_id AS server", "event_id AS ts", payload))
 
 
-@on_tables("lineitem", sql="""SELECT l_orderkey, l_linenumber, CASE WHEN n > 0 THEN CAST(ceil(l_partkey / CAST(n AS DOUBLE)) AS BIGINT) ELSE 0 END AS chunks_left, CASE WHEN n > 0 THEN CAST(round(l_suppkey / CAST(n AS DOUBLE)) AS BIGINT) ELSE 0 END AS chunk_s
-  FROM (SELECT *, l_linenumber - 1 AS n FROM lineitem) x""")
+@on_tables("lineitem", sql="""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN ok AND n > 0 THEN ceil(remain * n / CAST(done AS DOUBLE)) ELSE 0 END AS BIGINT) AS chunks_left, CAST(CASE WHEN ok AND e > 0 THEN ceil(remain * e / CAST(done AS DOUBLE)) ELSE 0 END AS BIGINT) AS eta_s,
+   CAST(CASE WHEN ok AND e - b > 0 THEN ceil(remain * (e - b) / CAST(done AS DOUBLE)) WHEN ok AND e > 0 THEN ceil(remain * e / CAST(done AS DOUBLE)) ELSE 0 END AS BIGINT) AS eta_free_s, CASE WHEN n > 0 AND e > 0 THEN CAST(round(e / CAST(n AS DOUBLE)) AS BIGINT) ELSE 0 END AS chunk_s
+  FROM (SELECT *, done > 0 AND remain > 0 AS ok FROM (SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS n, l_suppkey % 50 AS e, l_suppkey % 70 AS b, l_orderkey % 300 AS done, l_partkey % 400 - 20 AS remain FROM lineitem) y) x""")
 def campaign_eta(li):
-    d = li.selectExpr("l_orderkey", "l_linenumber", "l_partkey AS left_mb", "l_linenumber - 1 AS chunk_mb", "l_linenumber - 1 AS chunks_done", "l_suppkey AS elapsed_s", "l_suppkey DIV 3 AS blocked_s")
-    return p.campaign_eta(d).select("l_orderkey", "l_linenumber", "chunks_left", "chunk_s")
+    d = li.selectExpr("l_orderkey", "l_linenumber", "1000 AS start_mb", "1000 - l_orderkey % 300 AS current_mb", "1020 - l_orderkey % 300 - l_partkey % 400 AS final_mb", "l_linenumber - 1 AS chunks_done", "l_suppkey % 50 AS elapsed_s", "l_suppkey % 70 AS blocked_s")
+    return p.campaign_eta(d).select("l_orderkey", "l_linenumber", "chunks_left", "eta_s", "eta_free_s", "chunk_s")
 
 
 TARGET = "CAST(greatest(ceil(u * 120 / 100.0), u, 40) AS BIGINT)"
@@ -184,10 +188,11 @@ def match_overrides(i):
     return m.match_overrides(i, PROFILE.overrides).select("object_id", "index_id", "partition_number", "override")
 
 
-@on_tables("lineitem", sql="SELECT l_partkey, CASE WHEN mods > 0 AND mods >= sqrt(1000 * n) THEN 'update_statistics' ELSE 'skip' END AS kind FROM (SELECT l_partkey, count(*) * 100 AS n, CAST(sum(l_linenumber) * 10 AS BIGINT) AS mods FROM lineitem GROUP BY 1) x")
+@on_tables("lineitem", sql="SELECT l_partkey, CASE WHEN l_partkey % 9 <> 0 AND mods >= sqrt(1000 * n) THEN 'update_statistics' ELSE 'skip' END AS kind, CASE WHEN l_partkey % 9 = 0 THEN 'override' WHEN mods >= sqrt(1000 * n) THEN 'modified' ELSE 'few modifications' END AS reason FROM (SELECT l_partkey, CASE WHEN l_partkey % 8 = 0 THEN 0 ELSE count(*) * 100 END AS n, CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE CAST(sum(l_linenumber) * 10 AS BIGINT) END AS mods FROM lineitem GROUP BY 1) x")
 def decide_statistics(li):
-    d = li.groupBy("l_partkey").agg((F.count("*") * 100).alias("rows"), (F.sum("l_linenumber") * 10).alias("modifications"))
-    return m.decide_statistics(d).select("l_partkey", "kind")
+    d = li.groupBy("l_partkey").agg((F.count("*") * 100).alias("n"), (F.sum("l_linenumber") * 10).alias("mods"))
+    d = d.selectExpr("l_partkey", "CASE WHEN l_partkey % 8 = 0 THEN 0 ELSE n END AS rows", "CASE WHEN l_partkey % 4 = 0 THEN 0 ELSE mods END AS modifications", "CASE WHEN l_partkey % 9 = 0 THEN 'skip' END AS override")
+    return m.decide_statistics(d).select("l_partkey", "kind", "reason")
 
 
 @on_tables("part", sql="SELECT p_partkey, p_partkey % 2 = 0 AS same FROM part")
@@ -243,9 +248,9 @@ def rollback_on_cancel(runs):
 
 
 SERVERS = "SELECT s_suppkey AS server, CASE s_suppkey % 5 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'standard' WHEN 2 THEN 'azure' ELSE 'express' END AS tier FROM supplier"
-FREE = "SELECT s_suppkey AS server, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_suppkey * 3 END AS need_mb FROM supplier"
-SPACE = "SELECT p_partkey % 60 AS server, p_size AS free_mb, CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE p_size % 5 END AS headroom_mb FROM part"
-FREE_SQL = f"""SELECT n.server, CASE WHEN need_mb IS NULL OR f IS NULL THEN 'WARN' WHEN need_mb <= f THEN 'PASS' WHEN o THEN 'WARN' WHEN need_mb <= f + h THEN 'PASS' ELSE 'FAIL' END AS severity FROM ({FREE}) n
+FREE = "SELECT s_suppkey AS server, CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_suppkey * 9 END AS need_mb FROM supplier"
+SPACE = "SELECT p_partkey % 60 AS server, p_size AS free_mb, CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE p_size % 50 END AS headroom_mb FROM part"
+FREE_SQL = f"""SELECT n.server, CASE WHEN need_mb IS NULL OR need_mb <= 0 OR f IS NULL THEN 'WARN' WHEN need_mb <= f THEN 'PASS' WHEN o THEN 'WARN' WHEN need_mb <= f + h THEN 'WARN' ELSE 'FAIL' END AS severity FROM ({FREE}) n
   LEFT JOIN (SELECT server, sum(free_mb) AS f, coalesce(sum(headroom_mb), 0) AS h, bool_or(headroom_mb IS NULL) AS o FROM ({SPACE}) s GROUP BY server) g ON n.server = g.server"""
 
 
@@ -254,8 +259,8 @@ def _tiers(s):
 
 
 def _space(s, t):
-    need = s.selectExpr("s_suppkey AS server", "CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE s_suppkey * 3 END AS need_mb")
-    return fleet.check_free_space(need, t.selectExpr("p_partkey % 60 AS server", "p_size AS free_mb", "CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE p_size % 5 END AS headroom_mb"))
+    need = s.selectExpr("s_suppkey AS server", "CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 7 = 0 THEN 0 ELSE s_suppkey * 9 END AS need_mb")
+    return fleet.check_free_space(need, t.selectExpr("p_partkey % 60 AS server", "p_size AS free_mb", "CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE p_size % 50 END AS headroom_mb"))
 
 
 @on_tables("supplier", sql=f"SELECT server, CASE WHEN tier = 'express' THEN 'FAIL' ELSE 'PASS' END AS severity, tier AS detail FROM ({SERVERS}) x")
@@ -300,3 +305,290 @@ def run_record(li):
 def cancel_only_summary(o, li):
     ops = o.selectExpr("o_orderkey AS op_id", "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'running' END AS outcome")
     return r.cancel_only_summary(ops, li.selectExpr("l_orderkey AS op_id", "CASE WHEN l_returnflag = 'R' THEN 'cancel' ELSE 'pause' END AS kind"))
+
+
+# History, written to the shared folder and read again
+
+
+def _folder(df) -> str:
+    return f"{scratch.base(df.sparkSession)}/tendril-history-{uuid.uuid4().hex}"
+
+
+@on_tables("part", sql="SELECT p_partkey AS part_key, p_partkey // 4 AS object_id, 'dbo' AS schema_name, concat('T', p_partkey // 4) AS table_name, p_partkey % 4 AS index_id, p_size % 8 AS pages, p_size % 8 * 8 / 1024.0 AS size_mb FROM part WHERE p_partkey // 4 % 5 <> 0")
+def object_inventory(t):
+    o = t.selectExpr("p_partkey DIV 4 AS object_id", "'dbo' AS schema_name", "concat('T', p_partkey DIV 4) AS table_name", "p_partkey DIV 4 % 5 <> 0 AS is_user").distinct()
+    i = t.selectExpr("p_partkey DIV 4 AS object_id", "p_partkey % 4 AS index_id", "CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 2 END AS type", "concat('IX', p_partkey) AS index_name")
+    ps = t.selectExpr("p_partkey DIV 4 AS object_id", "p_partkey % 4 AS index_id", "1 AS partition_number", "p_partkey AS part_key", "'NONE' AS compression")
+    d = catalog.object_inventory(o, i, ps, t.selectExpr("p_partkey AS part_key", "p_size % 8 AS pages"))
+    return d.select("part_key", "object_id", "schema_name", "table_name", "index_id", (F.col("size_mb") * 128).cast("int").alias("pages"), "size_mb")
+
+
+@on_tables("orders", sql="SELECT concat('db', o_custkey % 20) AS database, o_orderkey AS object_id, o_orderkey % 9 AS times_blocked, CASE o_orderkey % 3 WHEN 0 THEN 'lock' WHEN 1 THEN 'tail' ELSE 'lock' END AS confirmed_by FROM orders")
+def contended_source(o):
+    doc = o.selectExpr("concat('db', o_custkey % 20) AS database", "named_struct('object_id', CAST(o_orderkey AS BIGINT), 'first_seen', CAST(o_orderdate AS TIMESTAMP), 'last_seen', CAST(o_orderdate AS TIMESTAMP), 'times_blocked', CAST(o_orderkey % 9 AS INT), 'confirmed_by', CASE o_orderkey % 3 WHEN 0 THEN 'lock' WHEN 1 THEN 'tail' ELSE '' END, 'page_from_end', 1) AS x")
+    path = _folder(o)
+    doc.groupBy("database").agg(F.collect_list("x").alias("observed")).write.json(path)
+    return catalog.contended_source(o.sparkSession, path, lines=True).select("database", "object_id", "times_blocked", "confirmed_by")
+
+
+@query("run_history", "SELECT run_id, manifest, outcome, duration_ms, CASE WHEN run_id % 2 = 0 THEN manifest END AS note FROM run_history")
+def run_history_sink(runs):
+    path = _folder(runs)
+    catalog.run_history_sink(runs.where("run_id % 2 = 1"), path)
+    catalog.run_history_sink(runs.where("run_id % 2 = 0").withColumn("note", F.col("manifest")), path)  # a column that came later
+    return catalog.run_history_source(runs.sparkSession, path).select("run_id", "manifest", "outcome", "duration_ms", "note")
+
+
+@query("run_history", "SELECT run_id, manifest AS plan_id, outcome FROM run_history WHERE length(manifest) <> 3")
+def plan_history_sink(runs):
+    path = _folder(runs)
+    d = runs.select("run_id", F.col("manifest").alias("plan_id"), "outcome")
+    committed = d.where("length(plan_id) <> 3")
+    catalog.plan_history_sink(committed.select("plan_id").distinct(), committed, path)
+    d.where("length(plan_id) = 3").write.mode("append").partitionBy("plan_id").parquet(f"{path}/decisions")  # a writer that was lost before its commit mark
+    return catalog.plan_history_source(runs.sparkSession, path).select("run_id", "plan_id", "outcome")
+
+
+@on_tables("lineitem", sql="SELECT l_orderkey AS run_id, count(*) AS operations, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS noted FROM lineitem GROUP BY 1")
+def run_report_sink(li):
+    path = _folder(li)
+    o = F.struct(F.col("l_linenumber").alias("op"), F.when(F.col("l_returnflag") == "R", "returned").alias("note"))
+    reports = li.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_list(o).alias("operations"))
+    catalog.run_report_sink(reports, path)
+    back = li.sparkSession.read.schema(reports.schema).json(path).select("run_id", F.explode("operations").alias("o"))
+    return back.groupBy("run_id").agg(F.count("*").alias("operations"), F.count("o.note").alias("noted"))
+
+
+# Jobs, debts and progress
+
+
+@query("session_snapshots", f"""SELECT poll_ts, spid, identity, CASE WHEN identity LIKE 'job:%' AND substr(identity, 8, 1) <> '9' THEN concat('job ', substr(identity, 8, 1)) END AS job_name, CASE WHEN identity LIKE 'job:%' AND right(identity, 1) <> '2' THEN concat('step ', right(identity, 1)) END AS step_name,
+  identity LIKE 'job:%' AND substr(identity, 8, 1) <> '9' AS resolved FROM (SELECT poll_ts, spid, replace({IDENTITY}, 'job:00', 'job:00') AS identity FROM session_snapshots) x""".replace("substr(identity, 8, 1)", "substr(identity, 7, 1)"))
+def attribute_jobs(s):
+    who = b.offender_identity(s).select("poll_ts", "spid", "identity")
+    jobs = s.selectExpr("concat('00', spid % 10) AS job", "concat('job ', spid % 10) AS job_name").distinct().where("job <> '009'")
+    steps = s.selectExpr("concat('00', spid % 10) AS job", "CAST(spid % 3 AS INT) AS step", "concat('step ', spid % 3) AS step_name").distinct().where("step <> 2")
+    return b.attribute_jobs(who, jobs, steps).select("poll_ts", "spid", "identity", "job_name", "step_name", "resolved")
+
+
+@query("session_snapshots runs", f"""SELECT server, rule, bucket, CAST(sum(gap) AS BIGINT) AS debt_s, count(*) AS polls FROM (SELECT *, CAST(sum(CASE WHEN idle THEN 1 ELSE 0 END) OVER (PARTITION BY server, rule ORDER BY poll_ts) AS BIGINT) AS bucket FROM (
+   SELECT *, coalesce(epoch(poll_ts) - epoch(lag(poll_ts) OVER (PARTITION BY server, rule ORDER BY poll_ts)) > 86400, false) AS idle FROM (
+    SELECT server, poll_ts, rule, CASE WHEN lag(blocker) OVER v = blocker THEN CAST(epoch(poll_ts) - epoch(lag(poll_ts) OVER v) AS BIGINT) ELSE 0 END AS gap FROM (
+     SELECT r.server, s.poll_ts, s.blocking_spid % 2 AS blocker, {RULE_SQL} AS rule FROM session_snapshots s JOIN runs r ON s.poll_ts = r.poll_ts AND s.spid = r.run_spid) x WINDOW v AS (PARTITION BY server ORDER BY poll_ts)) y WHERE rule IS NOT NULL) z) w GROUP BY server, rule, bucket""")
+def rule_debt(s, runs):
+    d = runs.join(b.first_matching_rule(s, RULES), (s["poll_ts"] == runs["poll_ts"]) & (s["spid"] == runs["run_spid"])).select("server", s["poll_ts"], (F.col("blocking_spid") % 2).alias("blocker_spid"), "rule")
+    return b.rule_debt(d, 86400)
+
+
+@query("log_samples", """SELECT server, start_ts, min(poll_ts) AS fired_ts, capped FROM (SELECT *, min(poll_ts) OVER (PARTITION BY capped, server, island) AS start_ts FROM (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY capped, server ORDER BY poll_ts) AS island FROM (
+   SELECT server, poll_ts, max(used_percent) >= 60 AS f, false AS capped FROM log_samples GROUP BY server, poll_ts UNION ALL SELECT server, poll_ts, max(used_percent) >= 30, true FROM log_samples GROUP BY server, poll_ts) g) x WHERE f) y
+  WHERE floor(epoch(poll_ts)) - floor(epoch(start_ts)) >= CASE WHEN capped THEN 7200 ELSE 1800 END GROUP BY server, island, start_ts, capped""")
+def block_alarms(s):
+    g = s.groupBy("server", "poll_ts").agg((F.max("used_percent") >= 60).alias("unignored"), (F.max("used_percent") >= 30).alias("any"))
+    return p.block_alarms(g, 1800, 7200, ["server"])
+
+
+@on_tables("events", sql="""WITH RECURSIVE o AS (SELECT user_id % 40 AS request, ts, event_id, CAST(event_id % 97 AS DOUBLE) AS e, CAST(floor(value) AS BIGINT) % 101 - 3.0 AS p, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events),
+  f AS (SELECT request, n, CASE WHEN p > 0 THEN e END AS ae, CASE WHEN p > 0 THEN CAST(p AS DOUBLE) END AS ap, CAST(NULL AS BIGINT) AS eta_s FROM o WHERE n = 1
+   UNION ALL SELECT o.request, o.n, CASE WHEN o.p <= 0 THEN NULL WHEN f.ae IS NULL OR o.e < f.ae OR o.p < f.ap THEN o.e ELSE f.ae END, CASE WHEN o.p <= 0 THEN NULL WHEN f.ae IS NULL OR o.e < f.ae OR o.p < f.ap THEN CAST(o.p AS DOUBLE) ELSE f.ap END,
+    CASE WHEN o.p > 0 AND f.ae IS NOT NULL AND o.e >= f.ae AND o.p >= f.ap AND o.p > f.ap AND o.e > f.ae THEN CAST(floor((o.e - f.ae) * (100 - CAST(o.p AS DOUBLE)) / (CAST(o.p AS DOUBLE) - f.ap)) AS BIGINT) END FROM f JOIN o ON o.request = f.request AND o.n = f.n + 1)
+  SELECT o.request, o.event_id, f.eta_s FROM f JOIN o ON o.request = f.request AND o.n = f.n""")
+def progress_eta(e):
+    d = e.selectExpr("user_id % 40 AS request", "ts", "event_id", "CAST(event_id % 97 AS DOUBLE) AS elapsed_s", "CAST(floor(value) AS BIGINT) % 101 - 3 AS pct")
+    return p.progress_eta(d.withColumn("poll_ts", F.struct("ts", "event_id")), ["request"]).select("request", "poll_ts.event_id", "eta_s")
+
+
+# Decisions, one at a time
+
+
+@query("object_inventory physical_stats", f"SELECT name, target FROM ({PLAN_INDEX}) x WHERE category = 'index' AND kind = 'rebuild'")
+def decide_compression(i, ph):
+    from .plans.analysis import analyze
+    from .queries import _measures
+
+    d = analyze(i, ph, PROFILE, ("index", "compression"), **_measures(i))
+    return d.where("kind = 'rebuild'").select("name", "target")
+
+
+@on_tables("lineitem", sql="""SELECT id, category, CASE WHEN gone IS NULL THEN kind ELSE 'skip' END AS kind, coalesce(gone, 'due') AS reason FROM (SELECT *, CASE WHEN kind = 'skip' THEN NULL WHEN category IN ('index', 'statistics') AND heap THEN 'heap rebuilt' WHEN category = 'statistics' AND whole THEN 'index rebuilt' END AS gone FROM (
+   SELECT *, bool_or(kind = 'rebuild_heap') OVER (PARTITION BY t) AS heap, bool_or(kind = 'rebuild' AND part IS NULL) OVER (PARTITION BY t, n) AS whole FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 500 AS t, l_suppkey % 4 AS n, CASE WHEN l_orderkey % 4 = 3 THEN 1 END AS part,
+    CASE l_orderkey % 7 WHEN 0 THEN 'heap' WHEN 1 THEN 'statistics' WHEN 2 THEN 'statistics' ELSE 'index' END AS category, CASE WHEN l_orderkey % 7 = 0 THEN CASE WHEN l_linenumber = 1 AND l_suppkey % 9 = 0 THEN 'rebuild_heap' ELSE 'skip' END WHEN l_orderkey % 7 < 3 THEN 'update_statistics' WHEN l_linenumber < 3 THEN 'rebuild' ELSE 'reorganize' END AS kind FROM lineitem) a) b) c""")
+def suppress_redundant(li):
+    kind = "CASE WHEN l_orderkey % 7 = 0 THEN CASE WHEN l_linenumber = 1 AND l_suppkey % 9 = 0 THEN 'rebuild_heap' ELSE 'skip' END WHEN l_orderkey % 7 < 3 THEN 'update_statistics' WHEN l_linenumber < 3 THEN 'rebuild' ELSE 'reorganize' END AS kind"
+    d = li.selectExpr("l_orderkey * 10 + l_linenumber AS id", "'DBO' AS schema_name", "concat(CASE WHEN l_linenumber = 1 THEN 'T' ELSE 't' END, l_partkey % 500) AS table_name", "concat('i', l_suppkey % 4) AS name", "CASE WHEN l_orderkey % 4 = 3 THEN 1 END AS partition_number",
+                      "CASE l_orderkey % 7 WHEN 0 THEN 'heap' WHEN 1 THEN 'statistics' WHEN 2 THEN 'statistics' ELSE 'index' END AS category", kind, "'due' AS reason")
+    return m.suppress_redundant(d).select("id", "category", "kind", "reason")
+
+
+@query("object_inventory", """SELECT o.op_index, x.index_name AS "index", CAST(row_number() OVER (PARTITION BY o.op_index ORDER BY x.type <> 1, x.index_id) AS INTEGER) AS place, 'PAGE' AS compression FROM (SELECT DISTINCT object_id AS op_index FROM object_inventory WHERE object_id % 3 = 0) o
+  JOIN (SELECT DISTINCT object_id, index_id, type, index_name FROM object_inventory) x ON x.object_id = o.op_index UNION ALL SELECT DISTINCT object_id, concat('one_', CAST(object_id AS VARCHAR)), CAST(1 AS INTEGER), 'PAGE' FROM object_inventory WHERE object_id % 3 <> 0""")
+def expand_all(i):
+    ops = i.select("object_id").distinct().selectExpr("object_id AS op_index", "object_id", "CASE WHEN object_id % 3 = 0 THEN 'ALL' ELSE concat('one_', object_id) END AS index", "'PAGE' AS compression")
+    return m.expand_all(ops, i).select("op_index", "index", "place", "compression")
+
+
+@query("object_inventory physical_stats", """SELECT database, object_id, index_id, CAST(row_number() OVER (PARTITION BY database ORDER BY kind IS NULL, coalesce(kind <> 'tail', true), tail NULLS LAST, times DESC NULLS LAST, object_id, index_id) AS INTEGER) AS ord FROM (
+  SELECT g.*, CASE WHEN object_id % 5 = 0 THEN CASE WHEN object_id % 2 = 0 THEN 'tail' ELSE 'lock' END END AS kind, CASE WHEN object_id % 5 = 0 THEN object_id % 7 END AS times, CASE WHEN object_id % 10 = 0 THEN object_id % 11 END AS tail FROM (
+   SELECT object_id % 4 AS database, i.object_id, index_id, type, CAST(coalesce(sum(page_count), 0) AS BIGINT) AS pages, coalesce(min(CASE WHEN page_count > 0 THEN density END), 100.0) AS density FROM object_inventory i LEFT JOIN physical_stats p ON i.part_key = p.part_key AND i.partition_number = p.partition_number GROUP BY 1, 2, 3, 4) g) x
+  WHERE type <> 0 AND pages >= 2000 AND (density < 60 OR kind IS NOT NULL)""")
+def pre_shrink_plan(i, ph):
+    measures = m.pre_shrink_measures(i, ph).withColumn("database", F.col("object_id") % 4)
+    c = i.select("object_id").distinct().where("object_id % 5 = 0 OR object_id % 5 = 1")
+    c = c.selectExpr("object_id % 4 AS database", "object_id", "CASE WHEN object_id % 5 = 1 THEN 'transient' WHEN object_id % 2 = 0 THEN 'tail' ELSE 'lock' END AS confirmed_by", "object_id % 7 AS times_blocked", "CASE WHEN object_id % 10 = 0 THEN object_id % 11 END AS page_from_end")
+    return m.pre_shrink_plan(measures, c, 2000, 60.0).select("database", "object_id", "index_id", "ord")
+
+
+# Changes, one at a time
+
+
+@on_tables("orders", sql="SELECT o_orderkey FROM orders WHERE o_totalprice > 200000.0 AND o_orderstatus <> 'P' AND o_orderpriority IS NOT NULL AND o_custkey <= 500")
+def where(o):
+    return o.where(c.where([*WHERE, ("o_orderpriority", "IS NOT NULL"), ("o_custkey", "<=", 500)])).select("o_orderkey")
+
+
+@on_tables("orders", sql="SELECT o_orderkey, o_orderstatus <> 'F' OR o_orderstatus IS NULL OR o_custkey IS NOT NULL AS todo FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_orderstatus <> 'F' OR o_orderstatus IS NULL FROM orders WHERE o_orderkey % 2 = 1")
+def self_limit(o):
+    one = o.where("o_orderkey % 2 = 0").select("o_orderkey", c.self_limit({"o_orderstatus": "F", "o_custkey": None}).alias("todo"))
+    return one.union(o.where("o_orderkey % 2 = 1").select("o_orderkey", c.self_limit({"o_orderstatus": "F"}).alias("todo")))
+
+
+@on_tables("orders", sql="SELECT o_custkey % 50 AS job, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS watermark FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def resume_watermark(o):
+    d = o.select((F.col("o_custkey") % 50).alias("job"), F.when(F.col("o_orderstatus") == "F", c.fingerprint("DELETE  FROM t")).otherwise("other").alias("fingerprint"), F.col("o_orderkey").alias("watermark"), F.struct("o_orderdate", "o_orderkey").alias("ts"))
+    return c.resume_watermarks(d, "DELETE FROM t")
+
+
+@on_tables("orders", sql=f"SELECT count(*) FILTER (WHERE NOT coalesce(o_totalprice > 200000.0 AND o_orderstatus <> 'P', false)) AS spared, count(*) FILTER (WHERE NOT coalesce({HIT}, false)) AS op_spared FROM orders")
+def unmatched_rows(o):
+    spared = c.spared_rows(o, c.where(WHERE)).agg(F.count("*").alias("spared"))
+    return spared.join(c.spared_rows(o, c.where(WHERE) & c.self_limit(SET)).agg(F.count("*").alias("op_spared")))
+
+
+@on_tables("lineitem", sql="""SELECT job, batch, CAST(sum(n) OVER (PARTITION BY job ORDER BY batch) AS BIGINT) AS done, least(1.0, sum(n) OVER (PARTITION BY job ORDER BY batch) / 5000.0) AS share, CASE WHEN s > 0 THEN n / s END AS rate FROM (SELECT l_suppkey % 7 AS job, l_orderkey % 40 AS batch, count(*) AS n, CAST(sum(l_linenumber) % 50 AS BIGINT) AS s FROM lineitem GROUP BY 1, 2) x""")
+def batch_progress(li):
+    d = li.groupBy((F.col("l_suppkey") % 7).alias("job"), (F.col("l_orderkey") % 40).alias("batch")).agg(F.count("*").alias("rows"), (F.sum("l_linenumber") % 50).alias("seconds"))
+    return c.batch_progress(d, 5000).select("job", "batch", "done", "share", "rate")
+
+
+@on_tables("orders", sql="SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def rewrite_table(o):
+    path = _folder(o)
+    c.rewrite_table(o, path, ["o_custkey", "o_orderkey"])
+    return o.sparkSession.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@on_tables("orders", sql="SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def compact_files(o):
+    path = _folder(o)
+    o.repartition(40).write.parquet(f"{path}/small")
+    c.compact_files(o.sparkSession.read.parquet(f"{path}/small"), f"{path}/dense", 40, 16)
+    return o.sparkSession.read.parquet(f"{path}/dense").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@on_tables("orders", sql="SELECT o_orderkey, 7 AS shard, o_orderstatus FROM orders")
+def add_column(o):
+    return c.add_column(c.add_column(o, "shard", "int", 7), "o_orderstatus", "string", "?").select("o_orderkey", "shard", "o_orderstatus")
+
+
+@on_tables("nation", sql="SELECT n_nationkey, n_regionkey FROM nation")
+def drop_column(n):
+    return c.drop_column(c.drop_column(n.select("n_nationkey", "n_name", "n_regionkey"), "n_name"), "not_there")
+
+
+# Fleet options and checks
+
+MATRIX = {
+    "rebuild_index": {"online": {"min_major": 9, "editions": ["enterprise", "azure"]}, "resumable": {"min_major": 14, "editions": ["enterprise", "azure"], "requires": ["online"]}, "wait_at_low_priority": {"min_major": 12, "editions": ["enterprise", "azure"], "requires": ["online"]}, "maxdop": {"min_major": 9, "editions": ["enterprise", "azure", "standard"]}, "sort_in_tempdb": {"min_major": 9, "editions": ["enterprise", "standard", "azure"]}},
+    "shrink": {"wait_at_low_priority": {"min_major": 16, "editions": ["enterprise", "standard", "azure"]}},
+    "shrink_tempdb": {"wait_at_low_priority": {"min_major": 16, "editions": ["enterprise", "standard", "azure"]}},
+    "batch_update": {"maxdop": {"min_major": 9, "editions": ["enterprise", "standard", "azure"]}},
+}
+RULE_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS command, '{o}' AS option, {r['min_major']} AS min_major, '{','.join(r['editions'])}' AS editions, '{','.join(r.get('requires', []))}' AS requires" for k, os in MATRIX.items() for o, r in os.items())
+FLEET = ("s_suppkey AS server", "CAST(s_suppkey % 11 + 8 AS INT) AS major", "CASE s_suppkey % 4 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'standard' WHEN 2 THEN 'azure' ELSE 'express' END AS tier")
+FLEET_SQL = "SELECT s_suppkey AS server, s_suppkey % 11 + 8 AS major, CASE s_suppkey % 4 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'standard' WHEN 2 THEN 'azure' ELSE 'express' END AS tier, s_suppkey FROM supplier"
+APPLICABLE = f"SELECT server, command, option FROM ({FLEET_SQL}) s JOIN ({RULE_ROWS}) r ON CASE WHEN tier = 'azure' THEN 9999 ELSE major END >= min_major AND list_contains(string_split(editions, ','), tier)"
+
+
+@on_tables("supplier", sql=f"SELECT command, option, CAST(min_major AS INTEGER) AS min_major, editions, requires, n AS servers FROM ({RULE_ROWS}) r CROSS JOIN (SELECT count(*) AS n FROM supplier) s")
+def compat_rules(s):
+    rules = fleet.compat_rules(s.sparkSession, MATRIX)
+    return rules.join(F.broadcast(s.agg(F.count("*").alias("servers")))).select("command", "option", "min_major", F.array_join("editions", ",").alias("editions"), F.array_join("requires", ",").alias("requires"), "servers")
+
+
+@on_tables("supplier", sql=APPLICABLE)
+def applicable_options(s):
+    return fleet.applicable_options(s.selectExpr(*FLEET), fleet.compat_rules(s.sparkSession, MATRIX)).select("server", "command", "option")
+
+
+@on_tables("supplier", sql=f"""WITH a AS ({APPLICABLE}), d AS (SELECT s.server, o.option, a.option IS NOT NULL AS able, s_suppkey % 6 = 1 AS every, s_suppkey % 9 <> 2 AS rowstore, CASE WHEN o.option = 'online' AND s_suppkey % 5 = 0 THEN false WHEN o.option = 'resumable' AND s_suppkey % 3 = 0 THEN true WHEN o.option = 'sort_in_tempdb' AND s_suppkey % 2 = 0 THEN true END AS asked
+   FROM ({FLEET_SQL}) s CROSS JOIN (SELECT option FROM ({RULE_ROWS}) r WHERE command = 'rebuild_index') o LEFT JOIN a ON a.server = s.server AND a.option = o.option AND a.command = 'rebuild_index'),
+  v AS (SELECT *, able AND coalesce(asked, option IN ('online', 'resumable', 'wait_at_low_priority', 'maxdop')) AND NOT (option = 'resumable' AND every) AND NOT (NOT rowstore AND option IN ('online', 'resumable', 'wait_at_low_priority')) AS val FROM d),
+  w AS (SELECT *, NOT bool_or(option = 'online' AND able) OVER (PARTITION BY server) OR bool_or(option = 'online' AND asked IS NOT DISTINCT FROM false) OVER (PARTITION BY server) OR NOT rowstore AS off FROM v), x AS (SELECT *, val AND NOT (option IN ('resumable', 'wait_at_low_priority') AND off) AS val2 FROM w)
+  SELECT server, option, val2 AND NOT (option = 'sort_in_tempdb' AND bool_or(option = 'resumable' AND val2) OVER (PARTITION BY server)) AS value FROM x""")
+def resolve_options(s):
+    servers = s.selectExpr(*FLEET, "CAST(map() AS map<string,boolean>) AS policy", "'sales' AS database")
+    asked = "map_from_entries(filter(array(named_struct('k', 'online', 'v', IF(s_suppkey % 5 = 0, false, NULL)), named_struct('k', 'resumable', 'v', IF(s_suppkey % 3 = 0, true, NULL)), named_struct('k', 'sort_in_tempdb', 'v', IF(s_suppkey % 2 = 0, true, NULL))), x -> x.v IS NOT NULL)) AS overrides"
+    ops = s.selectExpr("s_suppkey AS server", "1 AS op_index", "'rebuild_index' AS command", "IF(s_suppkey % 6 = 1, 'ALL', 'ix') AS index", "CAST(NULL AS INT) AS partition", "s_suppkey % 9 <> 2 AS rowstore", asked)
+    return fleet.resolve_options(ops, servers, fleet.compat_rules(s.sparkSession, MATRIX)).select("server", "option", "value")
+
+
+SPECIAL = "CASE s_suppkey % 3 WHEN 0 THEN 'shrink' WHEN 1 THEN 'shrink_tempdb' ELSE 'batch_update' END AS command"
+
+
+@on_tables("supplier", sql=f"""WITH a AS ({APPLICABLE}), d AS (SELECT s.server, {SPECIAL}, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 2 = 0 END AS low, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 7 - 2 END AS mins, s_suppkey % 8 = 0 AS hold, s_suppkey % 2 = 1 AS p_abort FROM ({FLEET_SQL}) s),
+  e AS (SELECT d.*, l.option IS NOT NULL AS can_low, m.option IS NOT NULL AS can_dop FROM d LEFT JOIN a l ON l.server = d.server AND l.command = d.command AND l.option = 'wait_at_low_priority' LEFT JOIN a m ON m.server = d.server AND m.command = d.command AND m.option = 'maxdop')
+  SELECT server, 'wait_at_low_priority' AS option, CASE WHEN can_low AND coalesce(low, true) THEN 'ON' ELSE 'OFF' END AS value FROM e WHERE command LIKE 'shrink%' AND (can_low OR coalesce(low, false))
+  UNION ALL SELECT server, 'abort_after_wait', CASE WHEN p_abort AND command <> 'shrink_tempdb' THEN 'BLOCKERS' ELSE 'SELF' END FROM e WHERE command LIKE 'shrink%' AND can_low AND coalesce(low, true)
+  UNION ALL SELECT server, 'max_block_minutes', CAST(greatest(coalesce(mins, 2), 0) AS VARCHAR) FROM e WHERE command LIKE 'shrink%'
+  UNION ALL SELECT server, 'maxdop', '4' FROM e WHERE command LIKE 'batch%' AND can_dop UNION ALL SELECT server, 'ignore_blocking', 'ON' FROM e WHERE command LIKE 'batch%' AND hold UNION ALL SELECT server, 'max_block_minutes', CAST(mins AS VARCHAR) FROM e WHERE command LIKE 'batch%' AND mins > 0""")
+def resolve_special_options(s):
+    servers = s.selectExpr(*FLEET, "CAST(NULL AS BOOLEAN) AS low_priority", "s_suppkey % 2 = 1 AS abort_blockers", "4 AS maxdop")
+    ops = s.selectExpr("s_suppkey AS server", "1 AS op_index", SPECIAL, "IF(s_suppkey % 5 = 0, s_suppkey % 2 = 0, NULL) AS low_priority", "IF(s_suppkey % 4 = 0, s_suppkey % 7 - 2, NULL) AS max_block_minutes", "CAST(NULL AS INT) AS maxdop", "s_suppkey % 8 = 0 AS ignore_blocking")
+    return fleet.resolve_special_options(ops, servers, fleet.compat_rules(s.sparkSession, MATRIX)).select("server", "option", "value")
+
+
+@query("run_history", """SELECT run_id, concat_ws('; ', CASE WHEN run_id % 2 = 0 THEN 'readers may block: snapshot reads are off' END, CASE WHEN run_id % 3 = 0 THEN 'statistics update in the background' END) AS advice FROM run_history WHERE outcome = 'done' AND (run_id % 2 = 0 OR run_id % 3 = 0)""")
+def advisories(runs):
+    planned = runs.select("run_id", F.col("run_id").alias("database"), F.when(F.col("outcome") == "done", "reorganize_index").otherwise("rebuild_index").alias("command"))
+    return fleet.advisories(planned, runs.selectExpr("run_id AS database", "run_id % 2 <> 0 AS snapshot_reads", "run_id % 3 = 0 AS async_statistics")).select("run_id", "advice")
+
+
+@on_tables("part", sql="""SELECT p_partkey % 300 AS server, CASE WHEN count(note) > 0 THEN 'WARN' ELSE 'PASS' END AS severity, CASE WHEN count(note) > 0 THEN string_agg(note, '; ' ORDER BY note) ELSE concat(count(*), ' files') END AS detail FROM (
+  SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN concat('f', p_partkey, ' grows by percent') WHEN p_partkey % 2 = 0 AND p_partkey % 300 % 3 = 0 AND p_size % 7 = 0 THEN concat('f', p_partkey, ' can''t grow back') END AS note FROM part) x GROUP BY 1""")
+def check_file_growth(t):
+    files = t.selectExpr("p_partkey % 300 AS server", "concat('f', p_partkey) AS file_name", "IF(p_partkey % 2 = 0, 'ROWS', 'LOG') AS file_type", "IF(p_size % 7 = 0, 0, 10) AS growth", "p_size % 9 = 0 AS is_percent")
+    return fleet.check_file_growth(files, t.where("p_partkey % 300 % 3 = 0").selectExpr("p_partkey % 300 AS server", "'ROWS' AS file_type")).select("server", "severity", "detail")
+
+
+@query("object_inventory", """SELECT object_id AS server, table_name, CASE WHEN object_id % 4 = 0 THEN 'FAIL' WHEN object_id % 3 = 0 AND object_id % 5 <> 0 THEN 'WARN' WHEN object_id % 3 <> 0 AND object_id % 5 = 0 THEN 'FAIL' ELSE 'PASS' END AS severity FROM (SELECT DISTINCT object_id, table_name FROM object_inventory) x""")
+def check_operations(i):
+    t = i.select("object_id", "table_name").distinct()
+    ops = t.selectExpr("object_id AS server", "IF(object_id % 3 = 0, 'create_index', 'rebuild_index') AS command", "table_name", "'ix' AS index_name")
+    known = t.where("object_id % 4 <> 0").selectExpr("object_id AS server", "table_name", "IF(object_id % 5 = 0, 'other', 'ix') AS index_name")
+    d = fleet.check_operations(ops, known)
+    return d.select("server", F.split("detail", "[.]")[0].alias("table_name"), "severity")
+
+
+@on_tables("supplier", sql="""SELECT server, name, severity FROM (SELECT s_suppkey AS server, 'elevated' AS name, CASE WHEN s_suppkey % 3 < 2 THEN 'PASS' ELSE 'FAIL' END AS severity FROM supplier WHERE s_suppkey % 4 < 2 UNION ALL SELECT s_suppkey, 'tempdb', CASE WHEN s_suppkey % 3 = 1 THEN 'PASS' ELSE 'FAIL' END FROM supplier WHERE s_suppkey % 4 = 1
+  UNION ALL SELECT s_suppkey, 'kill', CASE WHEN s_suppkey % 3 = 1 THEN 'PASS' ELSE 'WARN' END FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'table', CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 4 = 2 THEN 'PASS' ELSE 'FAIL' END FROM supplier WHERE s_suppkey % 4 > 1) x""")
+def check_permissions(s):
+    ops = s.selectExpr("s_suppkey AS server", "CASE s_suppkey % 4 WHEN 0 THEN 'check_db' WHEN 1 THEN 'shrink_tempdb' WHEN 2 THEN 'batch_update' ELSE 'batch_delete' END AS command", "'t' AS table_name", "s_suppkey % 2 = 0 AS kills")
+    grants = s.where("s_suppkey % 3 < 2").selectExpr("s_suppkey AS server", "IF(s_suppkey % 3 = 0, 'owner', 'sysadmin') AS grant", "CAST(NULL AS STRING) AS table_name").union(s.where("s_suppkey % 5 = 0").selectExpr("s_suppkey", "'UPDATE'", "'t'"))
+    return fleet.check_permissions(ops, grants).select("server", "name", "severity")
+
+
+def _heaps(i):
+    heaps = i.where("type = 0").select("object_id").distinct().selectExpr("object_id % 10 AS server", "object_id", "object_id % 3 = 0 AS allowed", "object_id % 14 <> 0 AS readable")
+    return heaps, i.selectExpr("object_id % 10 AS server", "object_id", "index_id", "index_name AS name", "CAST(floor(size_mb) AS BIGINT) AS kb", "part_key % 7 = 1 AS is_disabled").where("object_id % 11 <> 0")
+
+
+@query("object_inventory", """SELECT object_id, CASE WHEN object_id % 14 = 0 THEN 'FAIL' WHEN n IS NULL THEN 'PASS' WHEN object_id % 3 = 0 THEN 'WARN' ELSE 'FAIL' END AS severity, CASE WHEN object_id % 14 = 0 THEN 'unread' ELSE coalesce(n, '') END AS detail FROM (SELECT DISTINCT object_id FROM object_inventory WHERE type = 0) h
+  LEFT JOIN (SELECT object_id AS o, string_agg(index_name, ', ' ORDER BY index_id, index_name) AS n FROM object_inventory WHERE part_key % 7 = 1 AND object_id % 11 <> 0 GROUP BY 1) d ON d.o = h.object_id""")
+def check_reenabled_indexes(i):
+    return fleet.check_reenabled_indexes(*_heaps(i)).select("object_id", "severity", "detail")
+
+
+@query("object_inventory", """SELECT object_id, CASE WHEN coalesce(n, 0) > 0 THEN 'WARN' ELSE 'PASS' END AS severity, concat(CAST(coalesce(n, 0) AS VARCHAR), '/', CAST(coalesce(kb, 0) AS VARCHAR)) AS detail FROM (SELECT DISTINCT object_id FROM object_inventory WHERE type = 0) h
+  LEFT JOIN (SELECT object_id AS o, count(*) FILTER (WHERE index_id <> 0) AS n, sum(CAST(floor(size_mb) AS BIGINT)) AS kb FROM object_inventory WHERE object_id % 11 <> 0 GROUP BY 1) d ON d.o = h.object_id""")
+def check_heap_scope(i):
+    return fleet.check_heap_scope(*_heaps(i)).select("object_id", "severity", "detail")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 VIEWS = {
     "session_snapshots": """
@@ -18,12 +18,14 @@ VIEWS = {
           CASE WHEN spid % 4 = 0 THEN concat('SQLAgent - TSQL JobStep (Job 0x00', CAST(spid % 10 AS VARCHAR(9)), ' : Step ', CAST(spid % 3 AS VARCHAR(9)), ')')
                ELSE concat('app', CAST(spid % 6 AS VARCHAR(9))) END AS program,
           CASE WHEN first_event % 3 = 0 THEN 0
+               WHEN first_event % 7 = 0 THEN coalesce(lead(spid, 2) OVER (PARTITION BY poll_ts ORDER BY first_event), 0)
                ELSE coalesce(lag(spid) OVER (PARTITION BY poll_ts ORDER BY first_event), 0) END AS blocking_spid,
           CAST(floor(v * 100) AS BIGINT) AS wait_ms
         FROM s
     """,
     "runs": """
-        SELECT poll_ts, spid AS run_spid FROM (SELECT poll_ts, spid, row_number() OVER (PARTITION BY poll_ts ORDER BY first_event) AS rn FROM session_snapshots) x WHERE rn = 1
+        SELECT poll_ts, spid AS run_spid, concat('srv', CAST(extract(hour FROM poll_ts) % 3 AS VARCHAR(9))) AS server
+        FROM (SELECT poll_ts, spid, row_number() OVER (PARTITION BY poll_ts ORDER BY first_event) AS rn, count(*) OVER (PARTITION BY poll_ts) AS n FROM session_snapshots) x WHERE rn = least(3, n)
     """,
     "wait_snapshots": """
         SELECT ts AS poll_ts, user_id + 1 AS spid, wait_type,

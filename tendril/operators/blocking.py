@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scratch
@@ -33,15 +32,17 @@ def blocked_behind(sessions: DataFrame) -> DataFrame:
     """Distinct sessions queued behind each blocker over any number of steps, itself left out; safe on cycles.
 
     The frontier grows by one step a round; pairs that were met before are dropped, so rounds end with the longest
-    chain. Each round is written to the shared folder.
+    chain. Each round's new pairs are written to the shared folder.
     """
     edges = sessions.where("blocking_spid <> 0").select("poll_ts", F.col("blocking_spid").alias("up"), F.col("spid").alias("down")).distinct()
-    seen = edges.withColumnRenamed("up", "root").withColumnRenamed("down", "node")
-    front = seen
-    while not front.isEmpty():
+    edges = scratch.table(edges, "edges")
+    seen = front = edges.withColumnRenamed("up", "root").withColumnRenamed("down", "node")
+    while True:
         step = front.join(edges, (front["poll_ts"] == edges["poll_ts"]) & (front["node"] == edges["up"])).select(front["poll_ts"], "root", F.col("down").alias("node"))
-        front = cut(step.distinct().join(seen, ["poll_ts", "root", "node"], "left_anti"))
-        seen = cut(seen.unionByName(front))
+        front = scratch.table(step.distinct().join(seen, ["poll_ts", "root", "node"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)  # each round's pairs are written once
     return seen.where("node <> root").groupBy("poll_ts", F.col("root").alias("spid")).agg(F.count("*").alias("behind"))
 
 
@@ -110,26 +111,34 @@ def attribute_jobs(offenders: DataFrame, jobs: DataFrame, steps: DataFrame) -> D
     return o.join(jobs, "job", "left").join(steps, ["job", "step"], "left").withColumn("resolved", F.col("job_name").isNotNull())
 
 
-def offender_debt(observed: DataFrame, polls: DataFrame, idle_s: int = 300) -> DataFrame:
-    """Blocking time of each identity and bucket: a gap counts if the identity was seen at the previous poll too;
+def offender_debt(observed: DataFrame, polls: DataFrame, idle_s: int = 300, keys: tuple[str, ...] = ("server",)) -> DataFrame:
+    """Blocking time of each identity and bucket on a server: a gap counts if the identity was seen at the previous poll too;
     idle for strictly longer than idle_s starts a new bucket."""
-    order = polls.select("poll_ts").distinct()
-    order = order.withColumn("prev_ts", F.lag("poll_ts").over(W.orderBy("poll_ts")))
-    d = observed.select("identity", "poll_ts").distinct().join(order, "poll_ts")
-    w = over(["identity"], "poll_ts")
+    order = polls.select(*keys, "poll_ts").distinct()
+    order = order.withColumn("prev_ts", F.lag("poll_ts").over(over([*keys], "poll_ts")))
+    d = observed.select(*keys, "identity", "poll_ts").distinct().join(order, [*keys, "poll_ts"])
+    w = over([*keys, "identity"], "poll_ts")
     gap = F.unix_timestamp("poll_ts") - F.unix_timestamp("last")
     d = d.withColumn("last", F.lag("poll_ts").over(w)).withColumn("gap", gap)
     d = d.withColumn("bucket", F.sum((F.col("gap") > idle_s).cast("long")).over(w)).withColumn("bucket", F.coalesce("bucket", F.lit(0)))
     banked = F.when((F.col("last") == F.col("prev_ts")) & (F.col("gap") <= idle_s), F.col("gap")).otherwise(0)
-    return d.groupBy("identity", "bucket").agg(F.sum(banked).alias("debt_s"), F.count("*").alias("polls"), F.min("poll_ts").alias("first_seen"), F.max("poll_ts").alias("last_seen"))
+    return d.groupBy(*keys, "identity", "bucket").agg(F.sum(banked).alias("debt_s"), F.count("*").alias("polls"), F.min("poll_ts").alias("first_seen"), F.max("poll_ts").alias("last_seen"))
 
 
-def rule_debt(blocks: DataFrame) -> DataFrame:
-    """Of (poll_ts, blocker_spid, rule): seconds per rule; a gap counts inside one blocker's episode where a rule matched."""
-    w = W.orderBy("poll_ts")
+def rule_debt(blocks: DataFrame, idle_s: int = 300, keys: tuple[str, ...] = ("server",)) -> DataFrame:
+    """Of (server, poll_ts, blocker_spid, rule): seconds per rule and bucket.
+
+    A gap counts inside one blocker's episode where a rule matched; a poll without a rule moves on, and its interval
+    counts nowhere. A rule that was idle for longer than idle_s starts a new bucket.
+    """
+    w = over([*keys], "poll_ts")
     d = blocks.withColumn("was", F.lag("blocker_spid").over(w)).withColumn("at", F.lag("poll_ts").over(w))
     gap = F.when(F.col("was") == F.col("blocker_spid"), F.unix_timestamp("poll_ts") - F.unix_timestamp("at")).otherwise(0)
-    return d.where("rule IS NOT NULL").groupBy("rule").agg(F.sum(gap).alias("debt_s"), F.count("*").alias("polls"))
+    d = d.withColumn("gap", gap).where("rule IS NOT NULL")
+    own = over([*keys, "rule"], "poll_ts")
+    idle = F.unix_timestamp("poll_ts") - F.unix_timestamp(F.lag("poll_ts").over(own)) > idle_s
+    d = d.withColumn("idle", F.coalesce(idle, F.lit(False)).cast("long")).withColumn("bucket", F.sum("idle").over(own))
+    return d.groupBy(*keys, "rule", "bucket").agg(F.sum("gap").alias("debt_s"), F.count("*").alias("polls"))
 
 
 def action_candidates(debt: DataFrame, after_s: int, cap: int = 3) -> DataFrame:
@@ -154,12 +163,12 @@ def held_through(victims: DataFrame, rules: list[dict]) -> DataFrame:
     return match_session_rules(victims, rules).groupBy("spid", "login", "program").agg(F.min("poll_ts").alias("first_seen"))
 
 
-def suspension_episodes(sessions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per blocker: episodes (a change into it) and ms blocked: the time to the next poll goes to the poll's blocker."""
-    s = runs.join(sessions.select("poll_ts", F.col("spid").alias("run_spid"), "blocking_spid"), ["poll_ts", "run_spid"]).select("poll_ts", "blocking_spid")
-    w = W.orderBy("poll_ts")
+def suspension_episodes(sessions: DataFrame, runs: DataFrame, keys: tuple[str, ...] = ("server",)) -> DataFrame:
+    """Per server and blocker: episodes (a change into it) and ms blocked: the time to the next poll goes to the poll's blocker."""
+    s = runs.join(sessions.select("poll_ts", F.col("spid").alias("run_spid"), "blocking_spid"), ["poll_ts", "run_spid"]).select(*keys, "poll_ts", "blocking_spid")
+    w = over([*keys], "poll_ts")
     s = s.withColumn("ms", (F.unix_timestamp(F.lead("poll_ts").over(w)) - F.unix_timestamp("poll_ts")) * 1000).withColumn("was", F.lag("blocking_spid", 1, 0).over(w))
-    return s.where("blocking_spid <> 0").groupBy("blocking_spid").agg(F.count_if(F.col("was") != F.col("blocking_spid")).alias("episodes"), F.coalesce(F.sum("ms"), F.lit(0)).alias("blocked_ms"))
+    return s.where("blocking_spid <> 0").groupBy(*keys, "blocking_spid").agg(F.count_if(F.col("was") != F.col("blocking_spid")).alias("episodes"), F.coalesce(F.sum("ms"), F.lit(0)).alias("blocked_ms"))
 
 
 def suspension_roster(blocks: DataFrame, by: str = "login") -> DataFrame:

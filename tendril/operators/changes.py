@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scratch
+
 OPERATORS = {
     "=": lambda c, v: c == v, "<>": lambda c, v: c != v, "!=": lambda c, v: c != v, "<": lambda c, v: c < v,
     "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v,
@@ -54,20 +56,16 @@ def batch_delete(df: DataFrame, condition: Column) -> DataFrame:
 def key_ranges(df: DataFrame, key: str, batch_rows: int, condition: Column, watermark=None) -> DataFrame:
     """(batch, lo, hi, rows): bounds of successive batches of matching keys above the watermark.
 
-    Keys are range-partitioned and numbered in their partitions; prefix sums of the partitions' counts make the
-    numbers global, so no task orders the whole table.
+    Keys are cut into ranges where a sample says, and numbered in their range; prefix sums of the ranges' counts make
+    the numbers global, so no task orders the whole table, however its keys are spread.
     """
     k = df.where(F.coalesce(condition, F.lit(False))).select(F.col(key).alias("k")).where("k IS NOT NULL")
     k = k.where(F.col("k") > watermark) if watermark is not None else k
-    step = k.agg(F.min("k").alias("lo"), F.max("k").alias("hi")).first()
-    if step["lo"] is None:
-        return k.select(F.lit(0).cast("long").alias("batch"), F.col("k").alias("lo"), F.col("k").alias("hi"), F.lit(0).cast("long").alias("rows"))
-    width = (step["hi"] - step["lo"]) // 4096 + 1
-    k = k.withColumn("part", F.floor((F.col("k") - F.lit(step["lo"])) / F.lit(width)))
-    before = k.groupBy("part").count()
-    before = before.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
-    n = F.row_number().over(W.partitionBy("part").orderBy("k")) + F.col("before") - 1
-    batches = k.join(before, "part").withColumn("batch", F.floor(n / batch_rows)).groupBy("batch")
+    k = scratch.ranged(k, "k", name="keys")
+    before = k.groupBy("g").count()  # a row a range
+    before = before.select("g", (F.sum("count").over(W.orderBy("g")) - F.col("count")).alias("before"))
+    n = F.row_number().over(W.partitionBy("g").orderBy("k")) + F.col("before") - 1
+    batches = k.join(before, "g").withColumn("batch", F.floor(n / batch_rows)).groupBy("batch")
     return batches.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("rows"))
 
 
@@ -85,6 +83,16 @@ def resume_watermark(checkpoints: DataFrame, job: str, statement: str):
     return got[0]
 
 
+def resume_watermarks(checkpoints: DataFrame, statement: str) -> DataFrame:
+    """(job, watermark) of every job that saved a position for this very statement; the others start over."""
+    return checkpoints.where(F.col("fingerprint") == fingerprint(statement)).groupBy("job").agg(F.max_by("watermark", "ts").alias("watermark"))
+
+
+def spared_rows(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that a filter spares; unknown ones are spared."""
+    return df.where(~F.coalesce(condition, F.lit(False)))
+
+
 def key_range_key(keys: DataFrame) -> DataFrame:
     """Of (table, column, is_integer, is_unique, ordinal): the key that a table can be walked on, or the reason why not."""
     g = keys.groupBy("table").agg(F.count("column").alias("n"), F.first("column").alias("column"), F.bool_and("is_integer").alias("i"), F.bool_and("is_unique").alias("u"))
@@ -94,7 +102,7 @@ def key_range_key(keys: DataFrame) -> DataFrame:
 
 def unmatched_rows(df: DataFrame, condition: Column, limit: int = 1000) -> int:
     """How many rows a filter spares, counted up to a limit; unknown ones are spared."""
-    return df.where(~F.coalesce(condition, F.lit(False))).limit(limit).count()
+    return spared_rows(df, condition).limit(limit).count()
 
 
 def untouched_rows(df: DataFrame, values: dict, condition: Column, limit: int = 1000) -> int:
@@ -107,17 +115,17 @@ def selectivity_guard(counts: DataFrame, limit: int = 1000) -> DataFrame:
     return counts.withColumn("severity", F.when((s == 0) & (o == 0), "FAIL").when((s == 0) | (s < limit), "WARN").otherwise("PASS"))
 
 
-def batch_progress(batches: DataFrame, estimate: int) -> DataFrame:
-    """Of (batch, rows, seconds): rows done, share of the estimate up to 1 (1 if unknown), rows a second."""
-    done = F.sum("rows").over(W.orderBy("batch"))
+def batch_progress(batches: DataFrame, estimate: int, keys: tuple[str, ...] = ("job",)) -> DataFrame:
+    """Of (job, batch, rows, seconds): rows done, share of the estimate up to 1 (1 if unknown), rows a second."""
+    done = F.sum("rows").over(W.partitionBy(*keys).orderBy("batch"))
     d = batches.withColumn("done", done)
     share = F.least(F.lit(1.0), F.col("done") / estimate) if estimate > 0 else F.lit(1.0)
     return d.withColumn("share", share).withColumn("rate", F.when(F.col("seconds") > 0, F.col("rows") / F.col("seconds")))
 
 
-def rewrite_table(df: DataFrame, path: str, keys: list[str], codec: str = "zstd", files: int = 8) -> None:
-    """Writes df sorted by keys and compressed; the target is another path than df's."""
-    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", codec).parquet(path)
+def rewrite_table(df: DataFrame, path: str, keys: list[str], codec: str = "zstd", files: int | None = None) -> None:
+    """Writes df sorted by keys and compressed, in ``files`` parts or as many as a shuffle has; the target is another path than df's."""
+    (df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", codec).parquet(path)
 
 
 def compact_files(df: DataFrame, path: str, total_mb: float, target_mb: float) -> None:
@@ -126,10 +134,19 @@ def compact_files(df: DataFrame, path: str, total_mb: float, target_mb: float) -
 
 
 def update_statistics(df: DataFrame, columns: list[str], sample: float | None = None) -> DataFrame:
-    """(column_name, rows, nulls, low, high) of each column, in one pass."""
+    """(column_name, rows, nulls, low, high, distinct, median) of each column, in one pass.
+
+    distinct is an estimate (2 % off); median, of numbers only, is of the rank that a sketch of 10,000 steps gives.
+    sample: a share of the rows.
+    """
     d = df.sample(sample, 7) if sample else df
-    aggs = [F.count("*").alias("rows")] + [x for c in columns for x in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.min(c).cast("string").alias(f"a_{c}"), F.max(c).cast("string").alias(f"b_{c}"))]
-    each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("rows"), F.col(f"n_{c}").alias("nulls"), F.col(f"a_{c}").alias("low"), F.col(f"b_{c}").alias("high")) for c in columns))
+    number = {c: k for c, k in df.dtypes if k in ("tinyint", "smallint", "int", "bigint", "float", "double") or k.startswith("decimal")}
+    middle = lambda c: F.percentile_approx(c, 0.5).cast("double") if c in number else F.lit(None).cast("double")
+    aggs = [F.count("*").alias("rows")] + [
+        x for c in columns for x in (F.count_if(F.col(c).isNull()).alias(f"n_{c}"), F.min(c).cast("string").alias(f"a_{c}"), F.max(c).cast("string").alias(f"b_{c}"), F.approx_count_distinct(c, 0.02).alias(f"d_{c}"), middle(c).alias(f"m_{c}"))
+    ]
+    named = {"nulls": "n", "low": "a", "high": "b", "distinct": "d", "median": "m"}
+    each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col("rows"), *(F.col(f"{k}_{c}").alias(name) for name, k in named.items())) for c in columns))
     return d.agg(*aggs).select(F.explode(each).alias("x")).select("x.*")
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EVERGREEN, EVERGREEN_MAJOR = "azure", 9999
+#: Options that are on where they apply, commands that build anew and that need elevated rights, minutes that a shrink may block.
 SAFETY = ("online", "resumable", "wait_at_low_priority")
 HEAVY = ("rebuild_index", "rebuild_heap", "create_index", "alter_column", "add_constraint")
+ELEVATED, SHRINK_BLOCK_MINUTES = ("check_db", "shrink", "shrink_log", "shrink_tempdb"), 2
 #: Release years of major versions.
 YEARS = {9: 2005, 10: 2008, 11: 2012, 12: 2014, 13: 2016, 14: 2017, 15: 2019, 16: 2022, 17: 2025}
 
@@ -51,6 +53,40 @@ def resolve_options(operations: DataFrame, servers: DataFrame, rules: DataFrame)
     return d.withColumn("lose", lose).select("server", "op_index", "command", "option", (F.col("value") & ~F.col("lose")).alias("value"), F.when(F.col("lose"), "resumable wins").otherwise(F.col("reason")).alias("reason"))
 
 
+def resolve_special_options(operations: DataFrame, servers: DataFrame, rules: DataFrame) -> DataFrame:
+    """Of operations (server, op_index, command, low_priority, max_block_minutes, maxdop, ignore_blocking) on servers (tier, major,
+    low_priority, abort_blockers, maxdop): (server, op_index, command, option, value, reason) of shrinks and bulk changes.
+
+    A shrink takes the low-priority wait alone, on where it applies unless asked otherwise; its end never stops others
+    on tempdb, and elsewhere only if the server's policy says so. It yields after SHRINK_BLOCK_MINUTES if nothing else
+    is asked for; 0 or less opts out. A bulk change takes maxdop where it applies, and what its reactions were asked.
+    """
+    ok = applicable_options(servers, rules).select("server", "command", F.col("option").alias("able")).where("able IN ('wait_at_low_priority', 'maxdop')")
+    able = ok.groupBy("server", "command").agg(F.collect_set("able").alias("able"))
+    policy = servers.select("server", F.col("low_priority").alias("p_low"), F.col("abort_blockers").alias("p_abort"), F.col("maxdop").alias("p_maxdop"))
+    d = operations.join(policy, "server").join(able, ["server", "command"], "left").withColumn("able", F.coalesce("able", F.array().cast("array<string>")))
+    has = lambda o: F.array_contains("able", o)
+    shrink, bulk = F.col("command").startswith("shrink"), F.col("command").startswith("batch_")
+    asked = F.coalesce("low_priority", "p_low")
+    low = has("wait_at_low_priority") & F.coalesce(asked, F.lit(True))
+    why = F.when(~has("wait_at_low_priority"), "asked for but not supported").when(asked.isNotNull(), "asked for").otherwise("automatic")
+    minutes = F.greatest(F.coalesce("max_block_minutes", F.lit(SHRINK_BLOCK_MINUTES)), F.lit(0))
+    cap = F.when(F.col("max_block_minutes").isNull(), "default").when(minutes > 0, "asked for").otherwise("no cap")
+    dop = F.coalesce("maxdop", "p_maxdop")
+    row = lambda when, o, v, w: F.when(when, F.struct(F.lit(o).alias("option"), v.cast("string").alias("value"), w.alias("reason")))
+    rows = F.array_compact(
+        F.array(
+            row(shrink & (has("wait_at_low_priority") | F.coalesce(asked, F.lit(False))), "wait_at_low_priority", F.when(low, "ON").otherwise("OFF"), why),
+            row(shrink & low, "abort_after_wait", F.when(F.col("p_abort") & (F.col("command") != "shrink_tempdb"), "BLOCKERS").otherwise("SELF"), F.lit("policy")),
+            row(shrink, "max_block_minutes", minutes, cap),
+            row(bulk & has("maxdop") & dop.isNotNull(), "maxdop", dop, F.lit("asked for")),
+            row(bulk & F.coalesce("ignore_blocking", F.lit(False)), "ignore_blocking", F.lit("ON"), F.lit("asked for")),
+            row(bulk & (F.col("max_block_minutes") > 0), "max_block_minutes", F.col("max_block_minutes"), F.lit("asked for")),
+        )
+    )
+    return d.select("server", "op_index", "command", F.explode(rows).alias("r")).select("server", "op_index", "command", "r.*")
+
+
 def version_years(servers: DataFrame) -> DataFrame:
     years = F.create_map(*(F.lit(x) for pair in YEARS.items() for x in pair))
     return servers.withColumn("year", F.try_element_at(years, "major"))
@@ -88,11 +124,73 @@ def check_blocking(sessions: DataFrame) -> DataFrame:
 
 
 def check_free_space(need: DataFrame, files: DataFrame) -> DataFrame:
-    """Of (server, need_mb) and files (server, free_mb, headroom_mb; NULL: unlimited or unknown)."""
+    """Of (server, need_mb; NULL or 0: unread) and files (server, free_mb, headroom_mb; NULL: unlimited or unknown).
+
+    Only space that is free now passes: what growth would have to add warns, and so does what can't be told. need may
+    hold ``unsized``, the number of disabled indexes of unknown size, which the detail names.
+    """
     f = files.groupBy("server").agg(F.sum("free_mb").alias("free"), F.coalesce(F.sum("headroom_mb"), F.lit(0)).alias("head"), F.bool_or(F.col("headroom_mb").isNull()).alias("open"))
     d = need.join(f, "server", "left")
-    severity = F.when(F.col("need_mb").isNull() | F.col("free").isNull(), "WARN").when(F.col("need_mb") <= F.col("free"), "PASS").when(F.col("open"), "WARN").when(F.col("need_mb") <= F.col("free") + F.col("head"), "PASS").otherwise("FAIL")
-    return d.select("server", F.lit("free space").alias("name"), severity.alias("severity"), F.concat_ws("/", F.col("need_mb").cast("string"), F.col("free").cast("string")).alias("detail"))
+    free = F.coalesce("free", F.lit(0))
+    unread = F.col("need_mb").isNull() | (F.col("need_mb") <= 0)
+    severity = F.when(unread, "WARN").when(free >= F.col("need_mb"), "PASS").when(F.coalesce("open", F.lit(True)), "WARN").when(F.col("head") >= F.col("need_mb") - free, "WARN").otherwise("FAIL")
+    unsized = F.when(F.col("unsized") > 0, F.concat(F.lit("; "), F.col("unsized").cast("string"), F.lit(" disabled of unknown size"))) if "unsized" in need.columns else F.lit(None).cast("string")
+    detail = F.concat(F.when(unread, "unread").otherwise(F.concat_ws("/", F.col("need_mb").cast("string"), free.cast("string"))), F.coalesce(unsized, F.lit("")))
+    return d.select("server", F.lit("free space").alias("name"), severity.alias("severity"), detail.alias("detail"))
+
+
+def check_file_growth(files: DataFrame, shrunk: DataFrame) -> DataFrame:
+    """Of files (server, file_name, file_type, growth, is_percent) and shrunk (server, file_type): growth by percent, and growth
+    that is off for a type of file that is being shrunk, warn; the files are listed by name."""
+    s = shrunk.select("server", "file_type").distinct().withColumn("_s", F.lit(True))
+    d = files.join(s, ["server", "file_type"], "left")
+    note = F.when(F.col("is_percent"), F.concat("file_name", F.lit(" grows by percent"))).when(F.col("_s") & (F.col("growth") == 0), F.concat("file_name", F.lit(" can't grow back")))
+    g = d.groupBy("server").agg(F.array_sort(F.collect_list(note)).alias("notes"), F.count("*").alias("n"))
+    bad = F.size("notes") > 0
+    return g.select("server", F.lit("file growth").alias("name"), F.when(bad, "WARN").otherwise("PASS").alias("severity"), F.when(bad, F.array_join("notes", "; ")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" files"))).alias("detail"))
+
+
+def check_permissions(operations: DataFrame, grants: DataFrame) -> DataFrame:
+    """Of operations (server, command, table_name, kills) and grants (server, grant, table_name; NULL: of the server): what is missing.
+
+    Shrinks and database checks need owner or sysadmin, a shrink of tempdb sysadmin, a bulk change its right on its
+    table: these fail. A policy that kills blockers needs kill, without which it does nothing: that warns.
+    """
+    g = grants.where("table_name IS NULL").groupBy("server").agg(F.collect_set("grant").alias("have"))
+    t = grants.where("table_name IS NOT NULL").select("server", "table_name", "grant").distinct().withColumn("_t", F.lit(True))
+    verb = F.when(F.col("command") == "batch_delete", "DELETE").when(F.col("command") == "batch_update", "UPDATE")
+    d = operations.withColumn("grant", verb).join(g, "server", "left").join(t, ["server", "table_name", "grant"], "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+    has = lambda *names: F.arrays_overlap("have", F.array(*map(F.lit, names)))
+    one = lambda name, ok, bad: F.struct(F.lit(name).alias("name"), F.when(ok, "PASS").otherwise(bad).alias("severity"))
+    checks = F.array_compact(
+        F.array(
+            F.when(F.col("command").isin(*ELEVATED), one("elevated", has("owner", "sysadmin"), "FAIL")),
+            F.when(F.col("command") == "shrink_tempdb", one("tempdb", has("sysadmin"), "FAIL")),
+            F.when(F.col("kills"), one("kill", has("kill", "sysadmin", "processadmin"), "WARN")),
+            F.when(verb.isNotNull(), one("table", F.coalesce("_t", F.lit(False)), "FAIL")),
+        )
+    )
+    c = d.select("server", F.explode(checks).alias("c"), F.concat_ws(" ", "grant", "table_name").alias("detail"))
+    return c.select("server", "c.name", "c.severity", F.when(F.col("c.name") == "table", F.col("detail")).otherwise("").alias("detail")).distinct()
+
+
+def check_reenabled_indexes(heaps: DataFrame, structures: DataFrame) -> DataFrame:
+    """Of heaps that are to be rewritten (server, object_id, allowed, readable) and structures (server, object_id, index_id, name,
+    kb, is_disabled): a rewrite re-enables disabled indexes, which fails unless allowed; what can't be read fails."""
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("is_disabled"), F.struct("index_id", F.col("name").alias("n"))))), lambda x: x["n"])
+    s = structures.groupBy("server", "object_id").agg(named.alias("names"))
+    d = heaps.join(s, ["server", "object_id"], "left")
+    none = F.coalesce(F.size("names"), F.lit(0)) <= 0
+    severity = F.when(~F.col("readable"), "FAIL").when(none, "PASS").when(F.col("allowed"), "WARN").otherwise("FAIL")
+    return d.select("server", "object_id", F.lit("re-enabled indexes").alias("name"), severity.alias("severity"), F.when(~F.col("readable"), "unread").otherwise(F.coalesce(F.array_join("names", ", "), F.lit(""))).alias("detail"))
+
+
+def check_heap_scope(heaps: DataFrame, structures: DataFrame) -> DataFrame:
+    """What a heap's rewrite rewrites beside it: its other structures, and all KB; nothing else passes, anything warns."""
+    other = F.col("index_id") != 0
+    s = structures.groupBy("server", "object_id").agg(F.count_if(other).alias("others"), F.sum("kb").alias("kb"))
+    d = heaps.join(s, ["server", "object_id"], "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    return d.select("server", "object_id", F.lit("heap scope").alias("name"), F.when(F.col("others") > 0, "WARN").otherwise("PASS").alias("severity"), F.concat_ws("/", F.col("others").cast("string"), F.coalesce("kb", F.lit(0)).cast("string")).alias("detail"))
 
 
 def check_operations(ops: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -14,23 +14,36 @@ from ..functions.columns import glob, truncated
 
 @dataclass(frozen=True)
 class Profile:
-    """Rules of a plan. overrides: (glob on schema.table, action: skip or no_rebuild or NONE, ROW, PAGE), the first match counts."""
+    """Rules of a plan. overrides: (glob on schema.table, action: skip or no_rebuild or NONE, ROW, PAGE), the first match counts.
+
+    over_ceiling: what becomes of a rebuild of more than max_rebuild_mb (0: no ceiling): reorganize or skip. include and
+    exclude are the scope of compression. statistics_percent None: the square-root rule. checkdb: databases that are
+    checked, none named: the one of the plan; None: no check.
+    """
 
     min_pages: int = 1000
     reorganize_at: float = 5.0
     rebuild_at: float = 30.0
     max_rebuild_mb: int = 0
+    over_ceiling: str = "reorganize"
+    compression: bool = True
+    per_partition: bool = False
     page_over_row_pct: float = 10.0
     least_saving_pct: float = 10.0
     write_ratio: float = 0.3
     write_floor: int = 100
     write_cap: str = "ROW"
+    heaps: bool = True
     heap_min_mb: int = 0
     heap_max_mb: int = 0
     heap_rewrite_max_mb: int = 0
     heap_forwarded_pct: float = 10.0
     heap_fragmentation: float = 30.0
     heap_free_pct: float = 30.0
+    statistics: bool = True
+    statistics_percent: float | None = None
+    statistics_sample: int = 0
+    checkdb: tuple[str, ...] | None = ()
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     overrides: tuple[tuple[str, str], ...] = field(default_factory=tuple)
@@ -61,15 +74,26 @@ def match_overrides(objects: DataFrame, overrides: tuple[tuple[str, str], ...])
 
 
 def index_measurements(inventory: DataFrame, physical: DataFrame, per_partition: bool = False) -> DataFrame:
-    """Rowstore indexes: sums of whole MB and pages, worst fragmentation, the first partition's compression. Unmeasured: NULL."""
+    """Rowstore indexes: sums of whole MB and pages, worst fragmentation, the first partition's compression. Unmeasured: NULL.
+
+    per_partition: a row for each partition of an index that has several, with its number; others have none.
+    """
     j = inventory.where("type IN (1, 2)").join(physical, ["part_key", "partition_number"], "left")
-    keys = ["object_id", "schema_name", "table_name", "index_id", "index_name", "part_key"] + (["partition_number"] if per_partition else [])
+    keys = ["object_id", "schema_name", "table_name", "index_id", "index_name", "part_key"]
+    if per_partition:
+        several = F.count("*").over(W.partitionBy(*keys)) > 1
+        j = j.withColumn("partition", F.when(several, F.col("partition_number")))
     first = F.min_by("compression", "partition_number")
-    return j.groupBy(*keys).agg(F.sum(truncated(F.col("size_mb"))).alias("size_mb"), F.sum("page_count").alias("page_count"), F.max("fragmentation").alias("fragmentation"), first.alias("compression"))
+    g = j.groupBy(*keys, *(["partition"] if per_partition else []))
+    m = g.agg(F.sum(truncated(F.col("size_mb"))).alias("size_mb"), F.sum("page_count").alias("page_count"), F.max("fragmentation").alias("fragmentation"), first.alias("compression"))
+    return m.withColumnRenamed("partition", "partition_number")
 
 
-def heap_measurements(inventory: DataFrame, physical: DataFrame, min_mb: int = 0, max_mb: int = 0) -> DataFrame:
-    """Heaps within the size gate: MB, other indexes and what a rewrite touches, forwarded and all records, density (worst, from 100)."""
+def heap_measurements(inventory: DataFrame, physical: DataFrame, min_mb: int = 0, max_mb: int = 0, disabled: DataFrame | None = None) -> DataFrame:
+    """Heaps within the size gate: MB, other indexes and what a rewrite touches, forwarded and all records, density (worst, from 100).
+
+    disabled: (object_id, names) of disabled indexes, as ``disabled_indexes`` of the catalog gives them.
+    """
     mb = truncated(F.col("size_mb"))
     heap = F.col("type") == 0
     g = inventory.groupBy("object_id", "schema_name", "table_name").agg(
@@ -80,18 +104,24 @@ def heap_measurements(inventory: DataFrame, physical: DataFrame, min_mb: int = 0
     p = inventory.where(heap).join(physical, ["part_key", "partition_number"]).groupBy("object_id").agg(
         F.sum("forwarded_count").alias("forwarded"), F.sum("record_count").alias("records"), F.max("fragmentation").alias("fragmentation"), F.least(F.min("density"), F.lit(100.0)).alias("density")
     )
-    return g.join(p, "object_id", "left").withColumn("rewrite_mb", F.col("heap_mb") + F.col("index_mb"))
+    h = g.join(p, "object_id", "left").withColumn("rewrite_mb", F.col("heap_mb") + F.col("index_mb"))
+    return h if disabled is None else h.join(disabled.select("object_id", F.col("names").alias("disabled")), "object_id", "left")
+
 
+def compression_estimate(savings: DataFrame, keys: tuple[str, ...] = ("object_id", "index_id")) -> DataFrame:
+    """Of (object_id, index_id, setting, current_kb, estimated_kb): sums for ROW and PAGE; missing either, no row.
 
-def compression_estimate(savings: DataFrame) -> DataFrame:
-    """Of (object_id, index_id, setting, current_kb, estimated_kb): sums for ROW and PAGE; missing either, no row."""
+    If savings have a ``type`` and a ``compression``, only rowstore objects that are not compressed, or by ROW, qualify.
+    """
+    if {"type", "compression"} <= set(savings.columns):
+        savings = savings.where("type IN (0, 1, 2) AND compression IN ('NONE', 'ROW')")
     s = lambda c, k: F.sum(F.when(F.col("setting") == k, F.col(c)))
-    g = savings.groupBy("object_id", "index_id").agg(s("current_kb", "ROW").alias("current_kb"), s("estimated_kb", "ROW").alias("row_kb"), s("estimated_kb", "PAGE").alias("page_kb"))
+    g = savings.groupBy(*keys).agg(s("current_kb", "ROW").alias("current_kb"), s("estimated_kb", "ROW").alias("row_kb"), s("estimated_kb", "PAGE").alias("page_kb"))
     return g.where("row_kb IS NOT NULL AND page_kb IS NOT NULL")
 
 
-def write_activity(stats: DataFrame) -> DataFrame:
-    g = stats.groupBy("object_id", "index_id").agg(F.sum(F.col("inserts") + F.col("updates") + F.col("deletes")).alias("writes"), F.sum(F.col("scans") + F.col("lookups")).alias("reads"))
+def write_activity(stats: DataFrame, keys: tuple[str, ...] = ("object_id", "index_id")) -> DataFrame:
+    g = stats.groupBy(*keys).agg(F.sum(F.col("inserts") + F.col("updates") + F.col("deletes")).alias("writes"), F.sum(F.col("scans") + F.col("lookups")).alias("reads"))
     return g.withColumn("write_ratio", F.when(F.col("writes") + F.col("reads") > 0, F.col("writes") / (F.col("writes") + F.col("reads"))).otherwise(0.0))
 
 
@@ -109,58 +139,75 @@ def decide_compression(m: DataFrame, p: Profile) -> DataFrame:
     total = F.col("writes") + F.col("reads")
     heavy = (total >= p.write_floor) & (total > 0) & (F.col("writes") / F.nullif(total, F.lit(0)) >= p.write_ratio)
     capped = F.when(heavy & (_tier(best) > _tier(F.lit(p.write_cap))), p.write_cap).otherwise(best)
+    heavy = F.coalesce(heavy, F.lit(False))
     want = F.when(pin, F.col("override")).when(cur.isNull(), None).when(capped == "NONE", None).otherwise(capped)
     why = F.when(pin, "pinned").when(cur.isNull(), "no estimate").when(want.isNull(), "saves too little").when(want == F.col("compression"), "already there").when(heavy & (capped != best), "capped by writes").otherwise("saves enough")
     return m.withColumn("target", F.when(want != F.col("compression"), want)).withColumn("compression_reason", why)
 
 
 def decide_index(m: DataFrame, p: Profile) -> DataFrame:
-    """kind (skip, reorganize, rebuild), intent and reason of measured indexes with override and target."""
-    skip = F.col("override") == "skip"
-    big = (p.max_rebuild_mb > 0) & (F.col("size_mb") > p.max_rebuild_mb) if p.max_rebuild_mb else F.lit(False)
-    barred = F.coalesce(F.col("override") == "no_rebuild", F.lit(False)) | big
-    want = (F.col("fragmentation") >= p.rebuild_at) | F.col("target").isNotNull()
-    low = F.col("fragmentation") >= p.reorganize_at
-    d = m.withColumn(
-        "kind",
-        F.when(skip, "skip").when(F.col("fragmentation").isNull(), "skip").when(F.col("page_count") < p.min_pages, "skip").when(want & ~barred, "rebuild").when(low, "reorganize").otherwise("skip"),
-    )
+    """kind (skip, reorganize, rebuild), intent and reason of measured indexes with override and target.
+
+    A rebuild is wanted for fragmentation or a target; where both ask for it, its intent is fragmentation. Where it is
+    not allowed, or over the ceiling, a reorganization takes its place if fragmentation asks for one (not if
+    over_ceiling is skip), and the target goes.
+    """
+    skip, frag = F.col("override") == "skip", F.col("fragmentation")
+    big = F.col("size_mb") > p.max_rebuild_mb if p.max_rebuild_mb else F.lit(False)
+    forbidden = F.coalesce(F.col("override") == "no_rebuild", F.lit(False))
+    none = big & ~forbidden if p.over_ceiling == "skip" else F.lit(False)
+    want, low = (frag >= p.rebuild_at) | F.col("target").isNotNull(), frag >= p.reorganize_at
+    kind = F.when(skip | frag.isNull() | (F.col("page_count") < p.min_pages), "skip").when(want & ~forbidden & ~big, "rebuild").when(want & none, "skip").when(low, "reorganize").otherwise("skip")
     reason = (
-        F.when(skip, "override").when(F.col("fragmentation").isNull(), "not measured").when(F.col("page_count") < p.min_pages, "too small").when(want & barred, "rebuild not allowed")
-        .when(F.col("fragmentation") >= p.rebuild_at, "fragmented").when(want, "compression").when(low, "slightly fragmented").otherwise("healthy")
+        F.when(skip, "override").when(frag.isNull(), "not measured").when(F.col("page_count") < p.min_pages, "too small").when(want & (forbidden | big), "rebuild not allowed")
+        .when(frag >= p.rebuild_at, "fragmented").when(want, "compression").when(low, "slightly fragmented").otherwise("healthy")
     )
-    intent = F.when((F.col("kind") == "rebuild") & F.col("target").isNotNull(), "compression").when(F.col("kind") != "skip", "fragmentation")
-    return d.withColumn("reason", reason).withColumn("intent", intent).withColumn("target", F.when(F.col("kind") == "rebuild", F.col("target")))
+    d = m.withColumn("kind", kind).withColumn("reason", reason)
+    intent = F.when(F.col("kind") == "reorganize", "fragmentation").when(F.col("kind") == "rebuild", F.when(frag >= p.rebuild_at, "fragmentation").otherwise("compression"))
+    return d.withColumn("intent", intent).withColumn("target", F.when(F.col("kind") == "rebuild", F.col("target")))
 
 
 def decide_heap(m: DataFrame, p: Profile) -> DataFrame:
-    """Rebuild a heap at any threshold, unless a gate holds it."""
+    """Rebuild a heap at any threshold, unless a gate holds it; a rebuild takes the target with it, if there is one."""
     fwd = 100 * F.col("forwarded") / F.nullif("records", F.lit(0))
-    gate = F.when(F.col("override") == "skip", "override").when(F.col("override") == "no_rebuild", "rebuild not allowed").when(F.col("heap_mb") < p.heap_min_mb, "too small")
+    gate = F.when(~F.lit(p.heaps), "disabled").when(F.col("override") == "skip", "override").when(F.col("override") == "no_rebuild", "rebuild not allowed").when(F.col("heap_mb") < p.heap_min_mb, "too small")
     if p.heap_rewrite_max_mb:
         gate = gate.when(F.col("rewrite_mb") > p.heap_rewrite_max_mb, "rewrite too large")
+    if "disabled" in m.columns:
+        gate = gate.when(F.size("disabled") > 0, F.concat(F.lit("would re-enable "), F.array_join("disabled", ", ")))
     gate = gate.when(F.col("records").isNull(), "not measured")
     hit = F.when(fwd >= p.heap_forwarded_pct, "forwarded records").when(F.col("fragmentation") >= p.heap_fragmentation, "fragmented").when(100 - F.col("density") >= p.heap_free_pct, "free space")
     d = m.withColumn("kind", F.when(gate.isNull() & hit.isNotNull(), "rebuild_heap").otherwise("skip"))
-    return d.withColumn("reason", F.coalesce(gate, hit, F.lit("healthy")))
+    d = d.withColumn("reason", F.coalesce(gate, hit, F.lit("healthy")))
+    return d.withColumn("target", F.when(F.col("kind") == "rebuild_heap", F.col("target"))) if "target" in m.columns else d
+
 
+def decide_statistics(stats: DataFrame, percent: float | None = None, sample: int = 0) -> DataFrame:
+    """Update where modifications reach the square root of 1,000 times the rows, or ``percent`` of the rows where set.
 
-def decide_statistics(stats: DataFrame, percent: float = 0.0, sample: int = 0) -> DataFrame:
-    """Update at the square root of 1,000 times the rows modified, or at ``percent`` of the rows where set."""
-    limit = F.col("rows") * percent / 100 if percent else F.sqrt(1000 * F.col("rows"))
-    d = stats.withColumn("kind", F.when((F.col("modifications") > 0) & (F.col("modifications") >= limit), "update_statistics").otherwise("skip"))
+    Statistics of tables with the override skip are left alone, if stats have overrides.
+    """
+    limit = F.sqrt(1000 * F.col("rows")) if percent is None else F.col("rows") * percent / 100
+    skip = F.coalesce(F.col("override") == "skip", F.lit(False)) if "override" in stats.columns else F.lit(False)
+    due = F.col("modifications") >= limit
+    d = stats.withColumn("kind", F.when(~skip & due, "update_statistics").otherwise("skip"))
+    d = d.withColumn("reason", F.when(skip, "override").when(due, "modified").otherwise("few modifications"))
     return d.withColumn("scan", F.lit(f"sample {sample}" if sample else "fullscan"))
 
 
 def suppress_redundant(decisions: DataFrame) -> DataFrame:
     """Of (schema_name, table_name, name, category, kind, partition_number, reason): index work goes where the heap is rebuilt,
-    statistics where it is or the index of that name is rebuilt whole; the rows stay, as skips with the reason."""
+    statistics where it is or the index of that name is rebuilt whole; the rows stay, as skips with the reason, without intent and target.
+
+    Decisions of a table are brought together once; each carries what the others of its table say.
+    """
     d = decisions.withColumn("_t", F.lower(F.concat_ws(".", "schema_name", "table_name"))).withColumn("_n", F.lower("name"))
-    heaps = d.where("kind = 'rebuild_heap'").select("_t").distinct().withColumn("_heap", F.lit(True))
-    whole = d.where("kind = 'rebuild' AND partition_number IS NULL").select("_t", "_n").distinct().withColumn("_whole", F.lit(True))
-    d = d.join(heaps, "_t", "left").join(whole, ["_t", "_n"], "left")
-    gone = F.when((F.col("category") == "index") & F.col("_heap"), "heap rebuilt").when((F.col("category") == "statistics") & F.col("_heap"), "heap rebuilt").when((F.col("category") == "statistics") & F.col("_whole"), "index rebuilt")
+    d = d.withColumn("_heap", F.max(F.col("kind") == "rebuild_heap").over(W.partitionBy("_t")))
+    d = d.withColumn("_whole", F.max((F.col("kind") == "rebuild") & F.col("partition_number").isNull()).over(W.partitionBy("_t", "_n")))
+    gone = F.when(F.col("category").isin("index", "statistics") & F.col("_heap"), "heap rebuilt").when((F.col("category") == "statistics") & F.col("_whole"), "index rebuilt")
     d = d.withColumn("_gone", F.when(F.col("kind") != "skip", gone))
+    for c in {"intent", "target"} & set(d.columns):
+        d = d.withColumn(c, F.when(F.col("_gone").isNull(), F.col(c)))
     return d.withColumn("reason", F.coalesce("_gone", "reason")).withColumn("kind", F.when(F.col("_gone").isNotNull(), "skip").otherwise(F.col("kind"))).select(*decisions.columns)
 
 
@@ -171,11 +218,11 @@ def pre_shrink_measures(inventory: DataFrame, physical: DataFrame) -> DataFrame:
     return j.groupBy("object_id", "index_id", "type").agg(F.coalesce(F.sum("page_count"), F.lit(0)).alias("page_count"), low.alias("density"), F.sum(truncated(F.col("size_mb"))).alias("size_mb"))
 
 
-def pre_shrink_plan(measures: DataFrame, confirmed: DataFrame, min_pages: int, low_density: float) -> DataFrame:
-    """Candidates, confirmed ones first: by tail position before by lock, nearest the end, most blocked. ``ord`` is the place."""
-    c = confirmed.where("confirmed_by <> 'transient'").select("object_id", F.col("confirmed_by"), "times_blocked", "page_from_end")
-    d = measures.where("type <> 0").join(c, "object_id", "left").where((F.col("page_count") >= min_pages) & ((F.col("density") < low_density) | F.col("confirmed_by").isNotNull()))
-    order = W.orderBy(F.col("confirmed_by").isNull(), F.coalesce(F.col("confirmed_by") != "tail", F.lit(True)), F.asc_nulls_last("page_from_end"), F.desc_nulls_last("times_blocked"), "object_id", "index_id")
+def pre_shrink_plan(measures: DataFrame, confirmed: DataFrame, min_pages: int, low_density: float, keys: tuple[str, ...] = ("database",)) -> DataFrame:
+    """Candidates of a database, confirmed ones first: by tail position before by lock, nearest the end, most blocked. ``ord`` is the place."""
+    c = confirmed.where("confirmed_by <> 'transient'").select(*keys, "object_id", F.col("confirmed_by"), "times_blocked", "page_from_end")
+    d = measures.where("type <> 0").join(c, [*keys, "object_id"], "left").where((F.col("page_count") >= min_pages) & ((F.col("density") < low_density) | F.col("confirmed_by").isNotNull()))
+    order = W.partitionBy(*keys).orderBy(F.col("confirmed_by").isNull(), F.coalesce(F.col("confirmed_by") != "tail", F.lit(True)), F.asc_nulls_last("page_from_end"), F.desc_nulls_last("times_blocked"), "object_id", "index_id")
     return d.withColumn("ord", F.row_number().over(order))
 
 

@@ -31,10 +31,15 @@ def cpu_pressure_alarm(samples: DataFrame, fire: float = 1.0, rearm: float = 0.5
     return d.withColumn("fires", latched(F.col("ratio"), fire, rearm, over(["server"], "poll_ts", "runnable_tasks"))).where("fires").drop("fires")
 
 
-def log_peak(samples: DataFrame, operations: DataFrame) -> DataFrame:
-    """Per operation the highest used bytes inside it, with the reuse wait then; the first of ties."""
-    inside = (F.col("poll_ts") >= F.col("start_ts")) & (F.col("poll_ts") <= F.col("end_ts"))
-    j = log_usage(samples).join(operations.withColumnRenamed("server", "op_server"), (F.col("server") == F.col("op_server")) & inside)
+def log_peak(samples: DataFrame, operations: DataFrame, bucket_s: int = 3600) -> DataFrame:
+    """Per operation the highest used bytes inside it, with the reuse wait then; the first of ties.
+
+    Samples and operations meet by server and bucket of time, so that a sample is compared only with operations that
+    run in its bucket.
+    """
+    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_s)
+    o = operations.select("op_id", "server", "start_ts", "end_ts", F.explode(F.sequence(bucket("start_ts"), bucket("end_ts"))).alias("bucket"))
+    j = log_usage(samples).withColumn("bucket", bucket("poll_ts")).join(o, ["server", "bucket"]).where((F.col("poll_ts") >= F.col("start_ts")) & (F.col("poll_ts") <= F.col("end_ts")))
     top = F.max_by(F.struct("used_bytes", "reuse_wait", "poll_ts"), F.struct("used_bytes", -F.unix_micros(F.col("poll_ts").cast("timestamp"))))
     return j.groupBy("op_id", "server").agg(top.alias("t")).select("op_id", "server", "t.*")
 
@@ -81,18 +86,43 @@ def blocking_debounce(polls: DataFrame, flag: str, timeout_s: int, keys: list[st
     return d.groupBy(*keys, "island", "start_ts").agg(F.min("poll_ts").alias("fired_ts")).drop("island")
 
 
+def block_alarms(polls: DataFrame, timeout_s: int, max_block_s: int, keys: list[str]) -> DataFrame:
+    """Of polls with ``unignored`` and ``any``: where blocking must be reacted to, and whether the cap asks for it.
+
+    ``unignored`` that has lasted timeout_s fires; so does ``any`` that has lasted max_block_s, whoever is ignored:
+    then ``capped`` is true. max_block_s 0: no cap.
+    """
+    fired = blocking_debounce(polls, "unignored", timeout_s, keys).withColumn("capped", F.lit(False))
+    return fired.unionByName(blocking_debounce(polls, "any", max_block_s, keys).withColumn("capped", F.lit(True))) if max_block_s > 0 else fired
+
+
 def decide_reaction(pressure: DataFrame) -> DataFrame:
-    """Of (blocked, log_over, blind, resumable): what to do, and why."""
+    """Of (blocked, log_over, blind, resumable) and, if there, capped: what to do, and why; what the cap asks for says so first."""
     action = F.when(~F.col("blocked") & ~F.col("log_over") & ~F.col("blind"), "continue").when(F.col("blind"), "cancel").when(F.col("resumable"), "pause").otherwise("cancel")
-    why = F.concat_ws(",", F.when(F.col("blind"), "blind"), F.when(F.col("blocked"), "blocking"), F.when(F.col("log_over"), "log"))
+    capped = F.col("blocked") & F.col("capped") if "capped" in pressure.columns else F.lit(False)
+    why = F.concat_ws(",", F.when(F.col("blind"), "blind"), F.when(capped, "cap"), F.when(F.col("blocked"), "blocking"), F.when(F.col("log_over"), "log"))
     return pressure.withColumn("action", action).withColumn("detail", why)
 
 
-def time_to_relief(pauses: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per pause the first later sample without pressure, and the seconds to it."""
-    free = samples.where("NOT blocked AND NOT log_over").select(F.col("server").alias("s"), F.col("poll_ts").alias("free_ts"))
-    j = pauses.join(free, (F.col("server") == F.col("s")) & (F.col("free_ts") > F.col("pause_ts")), "left")
-    return j.groupBy("server", "pause_ts").agg(F.min("free_ts").alias("relief_ts")).withColumn("relief_s", F.unix_timestamp("relief_ts") - F.unix_timestamp("pause_ts"))
+def time_to_relief(pauses: DataFrame, samples: DataFrame, drain_timeout_s: int = 0, blind_s: int = 0) -> DataFrame:
+    """Per pause the first later sample without pressure, the seconds to it, and how the wait ended.
+
+    drain_timeout_s: a log that stays over its cap so long, without a break, from the pause on ends the wait as
+    ``drain``; blind_s: so does a silence so long as ``blind``. Otherwise ``relief``, or NULL while it lasts. Pauses
+    and samples of a server are ordered together once; no pause meets all samples.
+    """
+    p = pauses.select("server", F.col("pause_ts").alias("ts"), F.lit(0).alias("side"), F.lit(None).cast("boolean").alias("blocked"), F.lit(None).cast("boolean").alias("log_over"))
+    both = p.unionByName(samples.select("server", F.col("poll_ts").alias("ts"), F.lit(1).alias("side"), "blocked", "log_over"))
+    later = W.partitionBy("server").orderBy(F.desc("ts"), "side").rowsBetween(W.unboundedPreceding, -1)  # rows of a later time
+    on = F.col("side") == 1
+    seen = lambda c: F.last(F.when(on & c, F.col("ts")), ignorenulls=True).over(later)
+    d = both.withColumn("relief_ts", seen(~F.col("blocked") & ~F.col("log_over"))).withColumn("drained_ts", seen(~F.col("log_over"))).withColumn("next_ts", seen(F.lit(True)))
+    d = d.where("side = 0").select("server", F.col("ts").alias("pause_ts"), "relief_ts", "drained_ts", "next_ts").distinct()
+    wait = lambda c: F.unix_timestamp(c) - F.unix_timestamp("pause_ts")
+    blind = (wait("next_ts") >= blind_s) | F.col("next_ts").isNull() if blind_s else F.lit(False)
+    drain = (wait("drained_ts") > drain_timeout_s) | (F.col("drained_ts").isNull() & F.col("next_ts").isNotNull()) if drain_timeout_s else F.lit(False)
+    ended = F.when(blind, "blind").when(drain, "drain").when(F.col("relief_ts").isNotNull(), "relief")
+    return d.select("server", "pause_ts", "relief_ts", wait("relief_ts").alias("relief_s"), ended.alias("ended"))
 
 
 def merge_channels(block: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,7 +156,7 @@ def progress_eta(samples: DataFrame, keys: list[str]) -> DataFrame:
     is 0 or less. A request's readings are folded in order.
     """
     rows = F.array_sort(F.collect_list(F.struct("poll_ts", F.col("elapsed_s").cast("double").alias("e"), F.col("pct").cast("double").alias("p"))))
-    out = "array<struct<poll_ts:timestamp_ntz,eta_s:bigint>>" if dict(samples.dtypes)["poll_ts"] == "timestamp_ntz" else "array<struct<poll_ts:timestamp,eta_s:bigint>>"
+    out = f"array<struct<poll_ts:{dict(samples.dtypes)['poll_ts']},eta_s:bigint>>"
     begin = F.struct(F.lit(None).cast("double").alias("e"), F.lit(None).cast("double").alias("p"), F.array().cast(out).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -150,12 +180,18 @@ def counter_rate(samples: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def campaign_eta(progress: DataFrame) -> DataFrame:
-    """Of (left_mb, chunk_mb, chunks_done, elapsed_s, blocked_s): chunks left, ETA with and without blocked time, seconds a chunk."""
-    left = F.when((F.col("chunk_mb") > 0) & (F.col("left_mb") > 0), F.ceil(F.col("left_mb") / F.col("chunk_mb"))).otherwise(0).cast("long")
-    busy = F.when(F.col("elapsed_s") > F.col("blocked_s"), F.col("elapsed_s") - F.col("blocked_s")).otherwise(F.col("elapsed_s"))
-    per = lambda s: F.when(F.col("chunks_done") > 0, F.floor(left * s / F.col("chunks_done"))).otherwise(0).cast("long")
-    each = F.when(F.col("chunks_done") > 0, F.round(F.col("elapsed_s") / F.col("chunks_done"))).otherwise(0).cast("long")
-    return progress.withColumn("chunks_left", left).withColumn("eta_s", per(F.col("elapsed_s"))).withColumn("eta_free_s", per(busy)).withColumn("chunk_s", each)
+    """Of (start_mb, current_mb, final_mb, chunks_done, elapsed_s, blocked_s): chunks left, ETA with and without blocked time, seconds a chunk.
+
+    What is left is scaled by the rate of what is done, and rounded up; 0 where nothing is done or left. Without time
+    that wasn't blocked, the second ETA is the first.
+    """
+    done, left = F.col("start_mb") - F.col("current_mb"), F.col("current_mb") - F.col("final_mb")
+    known, n, elapsed = (done > 0) & (left > 0), F.col("chunks_done"), F.col("elapsed_s")
+    eta = lambda s: F.when(known & (s > 0), F.ceil(left * s / done)).otherwise(0).cast("long")
+    free = eta(elapsed - F.col("blocked_s"))
+    chunks = F.when(known & (n > 0), F.ceil(left * n / done)).otherwise(0).cast("long")
+    each = F.when((n > 0) & (elapsed > 0), F.round(elapsed / n)).otherwise(0).cast("long")
+    return progress.select("*", chunks.alias("chunks_left"), eta(elapsed).alias("eta_s"), F.when(free == 0, eta(elapsed)).otherwise(free).alias("eta_free_s"), each.alias("chunk_s"))
 
 
 def movable_target(files: DataFrame, percent: int, floor_mb: int = 0) -> DataFrame:

@@ -65,9 +65,16 @@ def categorize_waits(waits: DataFrame, keys: tuple[str, ...] = ("spid",)) -> Dat
 
 
 def as_of(series: DataFrame, bounds: DataFrame, bound: str, keys: tuple[str, ...]) -> DataFrame:
-    """Of each operation and counter the last snapshot at or before a bound."""
-    j = series.join(bounds.select("op_id", *keys, bound), list(keys)).where(F.col("poll_ts") <= F.col(bound))
-    return j.groupBy("op_id", *keys, "wait_type").agg(F.max_by(F.struct("wait_time_ms", "waiting_tasks", "max_wait_ms"), "poll_ts").alias("s")).select("op_id", *keys, "wait_type", "s.*")
+    """Of each operation and counter the last snapshot at or before a bound.
+
+    Snapshots and bounds of a counter are ordered together once; a bound takes the last snapshot before it.
+    """
+    counters = series.select(*keys, "wait_type").distinct()
+    b = bounds.select("op_id", *keys, F.col(bound).alias("poll_ts")).join(counters, list(keys)).withColumn("side", F.lit(1))
+    s = series.select(*keys, "wait_type", "poll_ts", F.struct("wait_time_ms", "waiting_tasks", "max_wait_ms").alias("s"), F.lit(0).alias("side"))
+    w = over([*keys, "wait_type"], "poll_ts", "side").rowsBetween(W.unboundedPreceding, 0)
+    d = s.unionByName(b, allowMissingColumns=True).withColumn("s", F.last("s", ignorenulls=True).over(w)).where("side = 1 AND s IS NOT NULL")
+    return d.select("op_id", *keys, "wait_type", "s.*")
 
 
 def operation_waits(series: DataFrame, operations: DataFrame, keys: tuple[str, ...] = ("spid",)) -> DataFrame:

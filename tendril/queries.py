@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,12 +147,14 @@ def offender_identity(s):
     return b.offender_identity(s).select("poll_ts", "spid", "identity")
 
 
-@query("session_snapshots", f"""SELECT identity, bucket, CAST(sum(CASE WHEN last = prev_ts AND gap <= 7200 THEN gap ELSE 0 END) AS BIGINT) AS debt_s, count(*) AS polls, min(poll_ts) AS first_seen, max(poll_ts) AS last_seen FROM (
-  SELECT *, coalesce(sum(CASE WHEN gap > 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY identity ORDER BY poll_ts), 0) AS bucket FROM (
-   SELECT o.identity, o.poll_ts, q.prev_ts, lag(o.poll_ts) OVER (PARTITION BY identity ORDER BY o.poll_ts) AS last, CAST(epoch(o.poll_ts) - epoch(lag(o.poll_ts) OVER (PARTITION BY identity ORDER BY o.poll_ts)) AS BIGINT) AS gap
-   FROM (SELECT DISTINCT {IDENTITY} AS identity, poll_ts FROM session_snapshots WHERE blocking_spid <> 0) o
-   JOIN (SELECT poll_ts, lag(poll_ts) OVER (ORDER BY poll_ts) AS prev_ts FROM (SELECT DISTINCT poll_ts FROM session_snapshots) d) q ON o.poll_ts = q.poll_ts) x) y GROUP BY identity, bucket""".replace("coalesce(sum(CASE", "CAST(coalesce(sum(CASE").replace("ORDER BY poll_ts), 0) AS bucket", "ORDER BY poll_ts), 0) AS BIGINT) AS bucket"))
+@query("session_snapshots", f"""SELECT server, identity, bucket, CAST(sum(CASE WHEN last = prev_ts AND gap <= 7200 THEN gap ELSE 0 END) AS BIGINT) AS debt_s, count(*) AS polls, min(poll_ts) AS first_seen, max(poll_ts) AS last_seen FROM (
+  SELECT *, coalesce(sum(CASE WHEN gap > 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY server, identity ORDER BY poll_ts), 0) AS bucket FROM (
+   SELECT o.server, o.identity, o.poll_ts, q.prev_ts, lag(o.poll_ts) OVER v AS last, CAST(epoch(o.poll_ts) - epoch(lag(o.poll_ts) OVER v) AS BIGINT) AS gap
+   FROM (SELECT DISTINCT spid % 3 AS server, {IDENTITY} AS identity, poll_ts FROM session_snapshots WHERE blocking_spid <> 0) o
+   JOIN (SELECT server, poll_ts, lag(poll_ts) OVER (PARTITION BY server ORDER BY poll_ts) AS prev_ts FROM (SELECT DISTINCT spid % 3 AS server, poll_ts FROM session_snapshots) d) q ON o.poll_ts = q.poll_ts AND o.server = q.server
+   WINDOW v AS (PARTITION BY o.server, identity ORDER BY o.poll_ts)) x) y GROUP BY server, identity, bucket""".replace("coalesce(sum(CASE", "CAST(coalesce(sum(CASE").replace("ORDER BY poll_ts), 0) AS bucket", "ORDER BY poll_ts), 0) AS BIGINT) AS bucket"))
 def offender_debt(s):
+    s = s.withColumn("server", F.col("spid") % 3)
     return b.offender_debt(b.offender_identity(s.where("blocking_spid <> 0")), s, idle_s=7200)
 
 
@@ -170,9 +173,9 @@ def held_through(s, runs):
     return b.held_through(b.direct_victims(s, runs), RULES)
 
 
-@query("session_snapshots runs", """SELECT blocking_spid, count(*) FILTER (WHERE was <> blocking_spid) AS episodes, CAST(coalesce(sum(ms), 0) AS BIGINT) AS blocked_ms FROM (
-  SELECT s.blocking_spid, CAST((epoch(lead(s.poll_ts) OVER (ORDER BY s.poll_ts)) - epoch(s.poll_ts)) * 1000 AS BIGINT) AS ms, lag(s.blocking_spid, 1, 0) OVER (ORDER BY s.poll_ts) AS was
-  FROM session_snapshots s JOIN runs r ON s.poll_ts = r.poll_ts AND s.spid = r.run_spid) x WHERE blocking_spid <> 0 GROUP BY blocking_spid""")
+@query("session_snapshots runs", """SELECT server, blocking_spid, count(*) FILTER (WHERE was <> blocking_spid) AS episodes, CAST(coalesce(sum(ms), 0) AS BIGINT) AS blocked_ms FROM (
+  SELECT server, s.blocking_spid, CAST((epoch(lead(s.poll_ts) OVER v) - epoch(s.poll_ts)) * 1000 AS BIGINT) AS ms, lag(s.blocking_spid, 1, 0) OVER v AS was
+  FROM session_snapshots s JOIN runs r ON s.poll_ts = r.poll_ts AND s.spid = r.run_spid WINDOW v AS (PARTITION BY server ORDER BY s.poll_ts)) x WHERE blocking_spid <> 0 GROUP BY server, blocking_spid""")
 def suspension_episodes(s, runs):
     return b.suspension_episodes(s, runs)
 
@@ -240,17 +243,19 @@ def blocking_debounce(s):
     return p.blocking_debounce(g, "over", 3600, ["server"])
 
 
-@query("log_samples", "SELECT server, poll_ts, CASE WHEN NOT (runnable_tasks > 20) AND NOT (used_percent >= 80) AND NOT (schedulers = 0) THEN 'continue' WHEN schedulers = 0 THEN 'cancel' WHEN reuse_wait = 'NOTHING' THEN 'pause' ELSE 'cancel' END AS action FROM log_samples")
+@query("log_samples", "SELECT server, poll_ts, CASE WHEN NOT (runnable_tasks > 20) AND NOT (used_percent >= 80) AND NOT (schedulers = 0) THEN 'continue' WHEN schedulers = 0 THEN 'cancel' WHEN reuse_wait = 'NOTHING' THEN 'pause' ELSE 'cancel' END AS action, concat_ws(',', CASE WHEN schedulers = 0 THEN 'blind' END, CASE WHEN runnable_tasks > 26 THEN 'cap' END, CASE WHEN runnable_tasks > 20 THEN 'blocking' END, CASE WHEN used_percent >= 80 THEN 'log' END) AS detail FROM log_samples")
 def decide_reaction(s):
-    d = s.select("server", "poll_ts", (F.col("runnable_tasks") > 20).alias("blocked"), (F.col("used_percent") >= 80).alias("log_over"), (F.col("schedulers") == 0).alias("blind"), (F.col("reuse_wait") == "NOTHING").alias("resumable"))
-    return p.decide_reaction(d).select("server", "poll_ts", "action")
+    d = s.select("server", "poll_ts", (F.col("runnable_tasks") > 20).alias("blocked"), (F.col("used_percent") >= 80).alias("log_over"), (F.col("schedulers") == 0).alias("blind"), (F.col("reuse_wait") == "NOTHING").alias("resumable"), (F.col("runnable_tasks") > 26).alias("capped"))
+    return p.decide_reaction(d).select("server", "poll_ts", "action", "detail")
 
 
-@query("log_samples", """SELECT a.server, a.poll_ts AS pause_ts, min(f.poll_ts) AS relief_ts, CAST(floor(epoch(min(f.poll_ts))) - floor(epoch(a.poll_ts)) AS BIGINT) AS relief_s FROM (SELECT DISTINCT server, poll_ts FROM log_samples WHERE used_percent >= 95) a
+@query("log_samples", """SELECT a.server, a.poll_ts AS pause_ts, min(f.poll_ts) AS relief_ts, CAST(floor(epoch(min(f.poll_ts))) - floor(epoch(a.poll_ts)) AS BIGINT) AS relief_s,
+  CASE WHEN (SELECT count(*) FROM log_samples g WHERE g.server = a.server AND g.poll_ts > a.poll_ts AND floor(epoch(g.poll_ts)) - floor(epoch(a.poll_ts)) < 7200) = 0 THEN 'blind'
+    WHEN (SELECT count(*) FROM log_samples g WHERE g.server = a.server AND g.poll_ts > a.poll_ts AND NOT g.used_percent >= 80 AND floor(epoch(g.poll_ts)) - floor(epoch(a.poll_ts)) <= 3600) = 0 THEN 'drain' WHEN min(f.poll_ts) IS NOT NULL THEN 'relief' END AS ended FROM (SELECT DISTINCT server, poll_ts FROM log_samples WHERE used_percent >= 95) a
   LEFT JOIN log_samples f ON f.server = a.server AND f.poll_ts > a.poll_ts AND NOT f.runnable_tasks > 20 AND NOT f.used_percent >= 80 GROUP BY a.server, a.poll_ts""")
 def time_to_relief(s):
     q = s.select("server", "poll_ts", (F.col("runnable_tasks") > 20).alias("blocked"), (F.col("used_percent") >= 80).alias("log_over"))
-    return p.time_to_relief(s.where("used_percent >= 95").select("server", F.col("poll_ts").alias("pause_ts")).distinct(), q)
+    return p.time_to_relief(s.where("used_percent >= 95").select("server", F.col("poll_ts").alias("pause_ts")).distinct(), q, 3600, 7200)
 
 
 GOOD = "SELECT server, poll_ts, min(schedulers) AS s, max(used_percent) AS u FROM log_samples GROUP BY server, poll_ts"
@@ -309,35 +314,105 @@ def heap_measurements(i, ph):
 PROFILE = m.Profile(max_rebuild_mb=1500, overrides=(("dbo.T?", "skip"), ("dbo.T1*", "no_rebuild"), ("dbo.t2*", "PAGE")), heap_min_mb=100)
 OVERRIDE = "CASE WHEN regexp_matches(table_name, '^T.$') THEN 'skip' WHEN table_name LIKE 'T1%' THEN 'no_rebuild' WHEN table_name LIKE 'T2%' THEN 'PAGE' END"
 DECIDED = f"""SELECT object_id, schema_name, table_name, index_name, size_mb, CASE WHEN ov = 'skip' OR fragmentation IS NULL OR page_count < 1000 THEN 'skip' WHEN want AND NOT barred THEN 'rebuild' WHEN fragmentation >= 5 THEN 'reorganize' ELSE 'skip' END AS kind,
+   CASE WHEN ov = 'skip' OR fragmentation IS NULL OR page_count < 1000 THEN NULL WHEN want AND NOT barred THEN CASE WHEN fragmentation >= 30 THEN 'fragmentation' ELSE 'compression' END WHEN fragmentation >= 5 THEN 'fragmentation' END AS intent,
+   CASE WHEN NOT (ov = 'skip') IS TRUE AND fragmentation IS NOT NULL AND page_count >= 1000 AND want AND NOT barred THEN target END AS target,
    CASE WHEN ov = 'skip' THEN 'override' WHEN fragmentation IS NULL THEN 'not measured' WHEN page_count < 1000 THEN 'too small' WHEN want AND barred THEN 'rebuild not allowed' WHEN fragmentation >= 30 THEN 'fragmented' WHEN want THEN 'compression' WHEN fragmentation >= 5 THEN 'slightly fragmented' ELSE 'healthy' END AS reason
-  FROM (SELECT *, fragmentation >= 30 OR (ov = 'PAGE' AND compression <> 'PAGE') IS TRUE AS want, coalesce(ov = 'no_rebuild', false) OR size_mb > 1500 AS barred FROM (SELECT *, {OVERRIDE} AS ov FROM ({MEASURED.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6")}) a) b) c"""
+  FROM (SELECT *, fragmentation >= 30 OR target IS NOT NULL AS want, coalesce(ov = 'no_rebuild', false) OR size_mb > 1500 AS barred FROM (SELECT *, CASE WHEN ov = 'PAGE' AND compression <> 'PAGE' THEN 'PAGE' END AS target FROM (SELECT *, {OVERRIDE} AS ov FROM ({MEASURED.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6")}) a) b) b2) c"""
 
 
 @query("object_inventory physical_stats", DECIDED)
 def decide_index(i, ph):
     d = m.match_overrides(m.index_measurements(i, ph), PROFILE.overrides).withColumn("target", F.when((F.col("override") == "PAGE") & (F.col("compression") != "PAGE"), "PAGE"))
-    return m.decide_index(d, PROFILE).select("object_id", "schema_name", "table_name", "index_name", "size_mb", "kind", "reason")
+    return m.decide_index(d, PROFILE).select("object_id", "schema_name", "table_name", "index_name", "size_mb", "kind", "intent", "target", "reason")
 
 
 HEAP_DECIDED = f"""SELECT object_id, schema_name, table_name, heap_mb, CASE WHEN gate IS NULL AND hit IS NOT NULL THEN 'rebuild_heap' ELSE 'skip' END AS kind, coalesce(gate, hit, 'healthy') AS reason FROM (
-  SELECT *, CASE WHEN {OVERRIDE} = 'skip' THEN 'override' WHEN {OVERRIDE} = 'no_rebuild' THEN 'rebuild not allowed' WHEN heap_mb < 100 THEN 'too small' WHEN records IS NULL THEN 'not measured' END AS gate,
+  SELECT *, CASE WHEN {OVERRIDE} = 'skip' THEN 'override' WHEN {OVERRIDE} = 'no_rebuild' THEN 'rebuild not allowed' WHEN heap_mb < 100 THEN 'too small' WHEN object_id % 9 = 0 THEN 'would re-enable IX_a, IX_b' WHEN records IS NULL THEN 'not measured' END AS gate,
    CASE WHEN 100 * forwarded / nullif(records, 0) >= 10 THEN 'forwarded records' WHEN fragmentation >= 30 THEN 'fragmented' WHEN 100 - density >= 30 THEN 'free space' END AS hit FROM ({HEAPS}) h) x"""
 
 
+def _disabled(i):
+    return i.where("object_id % 9 = 0").select("object_id", F.array(F.lit("IX_a"), F.lit("IX_b")).alias("names")).distinct()
+
+
 @query("object_inventory physical_stats", HEAP_DECIDED)
 def decide_heap(i, ph):
-    return m.decide_heap(m.match_overrides(m.heap_measurements(i, ph, 100), PROFILE.overrides), PROFILE).select("object_id", "schema_name", "table_name", "heap_mb", "kind", "reason")
+    return m.decide_heap(m.match_overrides(m.heap_measurements(i, ph, 100, disabled=_disabled(i)), PROFILE.overrides), PROFILE).select("object_id", "schema_name", "table_name", "heap_mb", "kind", "reason")
+
+
+#: Compression measures of a whole index, or of each partition of one that has several.
+def _grain(part):
+    return f"CASE WHEN {part} THEN partition_number END"
+
+
+def _estimate_sql(several):
+    return f"""SELECT object_id, index_id, pn, CAST(sum(c) AS BIGINT) AS cur, CAST(sum(floor(c * (part_key % 10) / 10)) AS BIGINT) AS row_kb, CAST(sum(floor(c * (part_key % 7) / 10)) AS BIGINT) AS page_kb, CAST(sum(40 * (part_key % 5 + part_key % 7)) AS BIGINT) AS w, CAST(sum(40 * (part_key % 11 + part_key % 4)) AS BIGINT) AS r
+      FROM (SELECT *, {several} AS pn, floor(size_mb * 1024) AS c FROM object_inventory) s GROUP BY 1, 2, 3"""
+
+
+TIER = """CASE WHEN ov IN ('NONE', 'ROW', 'PAGE') THEN ov WHEN compression = 'PAGE' OR cur IS NULL THEN NULL ELSE CASE WHEN row_kb > 0 AND 100 * (row_kb - page_kb) / row_kb >= 10 AND cur > 0 AND 100 * (cur - page_kb) / cur >= 10
+  THEN CASE WHEN w + r >= 100 AND w / (w + r) >= 0.3 THEN 'ROW' ELSE 'PAGE' END WHEN cur > 0 AND 100 * (cur - row_kb) / cur >= 10 THEN 'ROW' END END"""
+
+
+def _plan_sql(several):
+    """Index and heap decisions with estimates; several: the partition number where an index has several and they are asked for."""
+    measured = f"""SELECT schema_name, table_name, index_name AS name, object_id, index_id, pn, CAST(sum(CAST(floor(size_mb) AS BIGINT)) AS BIGINT) AS size_mb, CAST(sum(page_count) AS BIGINT) AS pages, max(fragmentation) AS frag, min_by(compression, partition_number) AS compression
+      FROM (SELECT i.*, {several} AS pn, p.page_count, p.fragmentation FROM (SELECT *, count(*) OVER (PARTITION BY part_key) AS parts FROM object_inventory) i LEFT JOIN physical_stats p ON i.part_key = p.part_key AND i.partition_number = p.partition_number WHERE type IN (1, 2)) x GROUP BY 1, 2, 3, 4, 5, 6"""
+    measured = measured.replace("CASE WHEN parts > 1 THEN partition_number END", "CASE WHEN parts > 1 THEN i.partition_number END")
+    whole = several.startswith("CAST(NULL")
+    estimates = _estimate_sql("CAST(NULL AS INTEGER)") if whole else f"{_estimate_sql('CAST(NULL AS INTEGER)')} UNION ALL {_estimate_sql('partition_number')}"
+    return f"""SELECT schema_name, table_name, name, 'index' AS category, CASE WHEN ov = 'skip' OR frag IS NULL OR pages < 1000 THEN 'skip' WHEN want AND NOT barred THEN 'rebuild' WHEN frag >= 5 THEN 'reorganize' ELSE 'skip' END AS kind, pn AS partition_number,
+      CASE WHEN ov = 'skip' THEN 'override' WHEN frag IS NULL THEN 'not measured' WHEN pages < 1000 THEN 'too small' WHEN want AND barred THEN 'rebuild not allowed' WHEN frag >= 30 THEN 'fragmented' WHEN want THEN 'compression' WHEN frag >= 5 THEN 'slightly fragmented' ELSE 'healthy' END AS reason, frag, CASE WHEN NOT (ov = 'skip') IS TRUE AND pages >= 1000 AND frag IS NOT NULL AND want AND NOT barred THEN target END AS target, size_mb
+     FROM (SELECT *, frag >= 30 OR target IS NOT NULL AS want, coalesce(ov = 'no_rebuild', false) OR size_mb > 1500 AS barred FROM (SELECT *, CASE WHEN {TIER} <> compression THEN {TIER} END AS target FROM (
+      SELECT m.*, {OVERRIDE} AS ov, cur, row_kb, page_kb, w, r FROM ({measured}) m LEFT JOIN ({estimates}) e ON m.object_id = e.object_id AND m.index_id = e.index_id AND m.pn IS NOT DISTINCT FROM e.pn) a) b) c
+     UNION ALL SELECT h.schema_name, h.table_name, 'heap', 'heap', h.kind, CAST(NULL AS INTEGER), h.reason, CAST(NULL AS DOUBLE), CASE WHEN h.kind = 'rebuild_heap' AND {TIER} <> compression THEN {TIER} END, h.heap_mb FROM (
+      SELECT d.*, {OVERRIDE} AS ov, compression, cur, row_kb, page_kb, w, r FROM ({HEAP_DECIDED}) d JOIN (SELECT object_id AS o, min_by(compression, partition_number) AS compression FROM object_inventory WHERE type = 0 GROUP BY 1) n ON n.o = d.object_id
+      LEFT JOIN ({_estimate_sql("CAST(NULL AS INTEGER)")}) e ON e.object_id = d.object_id AND e.index_id = 0) h
+     UNION ALL SELECT schema_name, table_name, name, 'statistics', CASE WHEN NOT coalesce({OVERRIDE} = 'skip', false) AND mods >= sqrt(1000 * rows) THEN 'update_statistics' ELSE 'skip' END, CAST(NULL AS INTEGER),
+      CASE WHEN {OVERRIDE} = 'skip' THEN 'override' WHEN mods >= sqrt(1000 * rows) THEN 'modified' ELSE 'few modifications' END, CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM ({STATISTICS}) s"""
+
 
+STATISTICS = "SELECT DISTINCT schema_name, table_name, index_name AS name, part_key * 100 AS rows, part_key * 13 % 9000 AS mods FROM object_inventory WHERE part_key % 6 <> 0"
 
-PLAN = f"""SELECT d.schema_name, d.table_name, name, category, CASE WHEN kind <> 'skip' AND category = 'index' AND h.t IS NOT NULL THEN 'skip' ELSE kind END AS kind, CAST(NULL AS INTEGER) AS partition_number,
-   CASE WHEN kind <> 'skip' AND category = 'index' AND h.t IS NOT NULL THEN 'heap rebuilt' ELSE reason END AS reason, size_mb FROM (
-  SELECT schema_name, table_name, index_name AS name, 'index' AS category, kind, reason, size_mb FROM ({DECIDED}) i UNION ALL SELECT schema_name, table_name, 'heap', 'heap', kind, reason, heap_mb FROM ({HEAP_DECIDED}) j) d
-  LEFT JOIN (SELECT DISTINCT lower(table_name) AS t FROM ({HEAP_DECIDED}) k WHERE kind = 'rebuild_heap') h ON lower(d.table_name) = h.t"""
 
+def _suppressed(plan):
+    gone = """CASE WHEN kind <> 'skip' AND category IN ('index', 'statistics') AND heap THEN 'heap rebuilt' WHEN kind <> 'skip' AND category = 'statistics' AND whole THEN 'index rebuilt' END"""
+    return f"""SELECT schema_name, table_name, name, category, CASE WHEN gone IS NOT NULL THEN 'skip' ELSE kind END AS kind, partition_number, coalesce(gone, reason) AS reason, CASE WHEN gone IS NULL THEN intent END AS intent, CASE WHEN gone IS NULL THEN target END AS target, size_mb FROM (SELECT *, {gone} AS gone FROM (
+      SELECT *, CASE WHEN category <> 'index' OR kind = 'skip' THEN NULL WHEN kind = 'reorganize' OR frag >= 30 THEN 'fragmentation' ELSE 'compression' END AS intent,
+       bool_or(kind = 'rebuild_heap') OVER (PARTITION BY lower(table_name)) AS heap, bool_or(kind = 'rebuild' AND partition_number IS NULL) OVER (PARTITION BY lower(table_name), lower(name)) AS whole FROM ({plan}) p) q) r"""
 
-@query("object_inventory physical_stats", PLAN, "analyze")
+
+PLAN_INDEX = _plan_sql("CAST(NULL AS INTEGER)")
+CHECKED = "SELECT CAST(NULL AS VARCHAR) AS schema_name, CAST(NULL AS VARCHAR) AS table_name, 'sales' AS name, 'checkdb' AS category, 'check_db' AS kind, CAST(NULL AS INTEGER) AS partition_number, 'scheduled integrity check' AS reason, CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BIGINT) AS size_mb"
+
+
+def _measures(i):
+    kb = F.floor(F.col("size_mb") * 1024).cast("long")
+    savings = i.select("object_id", "index_id", "partition_number", "part_key", kb.alias("current_kb"), F.explode(F.array(F.lit("ROW"), F.lit("PAGE"))).alias("setting"))
+    savings = savings.withColumn("estimated_kb", F.expr("CAST(floor(current_kb * (CASE setting WHEN 'ROW' THEN part_key % 10 ELSE part_key % 7 END) / 10) AS BIGINT)"))
+    activity = i.selectExpr("object_id", "index_id", "partition_number", "40 * (part_key % 5) AS inserts", "40 * (part_key % 7) AS updates", "0 AS deletes", "40 * (part_key % 11) AS scans", "40 * (part_key % 4) AS lookups")
+    statistics = i.where("part_key % 6 <> 0").selectExpr("schema_name", "table_name", "index_name AS name", "part_key * 100 AS rows", "part_key * 13 % 9000 AS modifications").distinct()
+    return {"savings": savings, "activity": activity, "statistics": statistics, "disabled": _disabled(i), "database": "sales"}
+
+
+@query("object_inventory physical_stats", f"{_suppressed(_plan_sql('CAST(NULL AS INTEGER)'))} UNION ALL {CHECKED}", "analyze")
 def _analyze(i, ph):
-    return analyze(i, ph, PROFILE)
+    return analyze(i, ph, PROFILE, **_measures(i))
+
+
+@query("object_inventory physical_stats", f"{_suppressed(_plan_sql(_grain('parts > 1')))} UNION ALL {CHECKED}", "analyze_partitions")
+def _analyze_partitions(i, ph):
+    return analyze(i, ph, replace(PROFILE, per_partition=True), **_measures(i))
+
+
+@query("object_inventory physical_stats", f"SELECT * FROM ({_suppressed(_plan_sql('CAST(NULL AS INTEGER)'))}) x WHERE category = 'statistics' AND reason NOT LIKE '%rebuilt' UNION ALL SELECT * REPLACE ('update_statistics' AS kind, 'modified' AS reason) FROM ({_suppressed(_plan_sql('CAST(NULL AS INTEGER)'))}) x WHERE category = 'statistics' AND reason LIKE '%rebuilt' UNION ALL {CHECKED}", "analyze_statistics")
+def _analyze_statistics(i, ph):
+    return analyze(i, ph, PROFILE, ("statistics", "checkdb"), **_measures(i))
+
+
+@query("object_inventory physical_stats", f"SELECT schema_name, table_name, name, category, 'skip' AS kind, CAST(NULL AS INTEGER) AS partition_number, CASE WHEN reason IN ('override', 'not measured') THEN reason ELSE 'too small' END AS reason, CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS target, size_mb FROM ({_plan_sql('CAST(NULL AS INTEGER)')}) x WHERE category = 'index'", "analyze_compression")
+def _analyze_compression(i, ph):
+    return analyze(i, ph, PROFILE, ("compression",), **_measures(i))
 
 
 @query("object_inventory", "SELECT object_id, index_name, partition_number FROM object_inventory WHERE (lower(concat(schema_name, '.', table_name)) LIKE 'dbo.t3%' OR lower(concat(schema_name, '.', table_name, '.', index_name)) LIKE '%ix_77') AND NOT regexp_matches(lower(table_name), '^t3.$')")
@@ -399,7 +474,7 @@ def key_range_update(o):
 
 @on_tables("orders", sql="SELECT 'o_orderkey' AS column_name, count(*) AS rows, count(*) FILTER (WHERE o_orderkey IS NULL) AS nulls, CAST(min(o_orderkey) AS VARCHAR) AS low, CAST(max(o_orderkey) AS VARCHAR) AS high FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(*) FILTER (WHERE o_orderstatus IS NULL), min(o_orderstatus), max(o_orderstatus) FROM orders")
 def update_statistics(o):
-    return c.update_statistics(o, ["o_orderkey", "o_orderstatus"])
+    return c.update_statistics(o, ["o_orderkey", "o_orderstatus"]).drop("distinct", "median")
 
 
 @on_tables("lineitem", sql="SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 OR l_orderkey IS NULL")

@@ -18,6 +18,14 @@ def active_sessions(requests: DataFrame, sessions: DataFrame, texts: DataFrame)
     return j.withColumn("statement", F.substring("text", (F.col("start_offset") / 2 + 1).cast("int"), size)).orderBy(F.desc("cpu_ms"), "spid")
 
 
+def object_inventory(objects: DataFrame, indexes: DataFrame, partitions: DataFrame, stats: DataFrame) -> DataFrame:
+    """Each partition of each index of a user table, with its compression and size: 8 KB a page."""
+    o = objects.where("is_user").select("object_id", "schema_name", "table_name")
+    j = o.join(indexes.select("object_id", "index_id", "type", "index_name"), "object_id").join(partitions.select("object_id", "index_id", "partition_number", "part_key", "compression"), ["object_id", "index_id"])
+    s = stats.select("part_key", "pages")
+    return j.join(s, "part_key").withColumn("size_mb", F.col("pages") * 8 / 1024).drop("pages")
+
+
 def structure_sizes(indexes: DataFrame, stats: DataFrame, partition: int | None = None) -> DataFrame:
     """KB of each structure; those without pages stay, with 0."""
     s = stats.where(F.col("partition_number") == partition) if partition is not None else stats
@@ -72,13 +80,16 @@ def tail_object(pages: DataFrame, max_back: int) -> DataFrame:
     return p.groupBy("file_id").agg(F.max_by(F.struct("object_id", "page", (F.col("last") - F.col("page")).alias("from_end")), "page").alias("t")).select("file_id", "t.*")
 
 
-def contended_source(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema(CONTENDED).option("mode", "FAILFAST").option("multiLine", True).json(path)
+def contended_source(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Observed objects of documents, one a file, or with ``lines`` one a line; a field of another type fails the read."""
+    d = spark.read.schema(CONTENDED).option("mode", "FAILFAST").option("multiLine", not lines).json(path)
     return d.select("database", F.explode("observed").alias("o")).select("database", "o.*").withColumn("confirmed_by", F.coalesce(F.nullif("confirmed_by", F.lit("")), F.lit("lock")))
 
 
 def run_history_sink(runs: DataFrame, path: str) -> None:
-    runs.withColumn("run_date", F.to_date("started_at")).write.mode("append").partitionBy("run_date").parquet(path)
+    """Appends runs, a folder a month; each month's rows are brought together first, so that they make few files."""
+    d = runs.withColumn("run_month", F.date_format("started_at", "yyyy-MM"))
+    d.repartitionByRange("run_month").write.mode("append").partitionBy("run_month").parquet(path)
 
 
 def run_history_source(spark: SparkSession, path: str) -> DataFrame:

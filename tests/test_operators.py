@@ -50,9 +50,9 @@ def test_blocked_behind_on_cycles(spark):
 
 
 def test_debt(spark):
-    polls = spark.createDataFrame([(at(s),) for s in (0, 10, 20, 30, 330, 631, 641)], "poll_ts timestamp")
+    polls = spark.createDataFrame([("s", at(s)) for s in (0, 10, 20, 30, 330, 631, 641)] + [("t", at(15))], "server string, poll_ts timestamp")
     seen = [("a", 0), ("a", 10), ("a", 10), ("a", 30), ("a", 330), ("a", 631), ("a", 641), ("b", 20)]
-    got = {(x.identity, x.bucket): x.debt_s for x in b.offender_debt(spark.createDataFrame([(i, at(s)) for i, s in seen], "identity string, poll_ts timestamp"), polls).collect()}
+    got = {(x.identity, x.bucket): x.debt_s for x in b.offender_debt(spark.createDataFrame([("s", i, at(s)) for i, s in seen], "server string, identity string, poll_ts timestamp"), polls).collect()}
     assert got == {("a", 0): 310, ("a", 1): 10, ("b", 0): 0}  # 300 s of idling keep a bucket, 301 s end it
 
 
@@ -72,8 +72,8 @@ def test_progress_and_campaign(spark):
     rows = [(1, at(0), 0.0, 0.0), (1, at(10), 10.0, 10.0), (1, at(20), 20.0, 30.0), (1, at(30), 30.0, 5.0), (1, at(40), 40.0, 10.0)]
     got = p.progress_eta(spark.createDataFrame(rows, "req int, poll_ts timestamp, elapsed_s double, pct double"), ["req"]).orderBy("poll_ts").collect()
     assert [x.eta_s for x in got] == [None, None, 35, None, 180]
-    x = p.campaign_eta(spark.createDataFrame([(101, 10, 4, 100, 20), (0, 10, 0, 5, 9)], "left_mb int, chunk_mb int, chunks_done int, elapsed_s int, blocked_s int")).orderBy("elapsed_s").collect()
-    assert [(y.chunks_left, y.eta_s, y.eta_free_s, y.chunk_s) for y in x] == [(0, 0, 0, 0), (11, 275, 220, 25)]
+    x = p.campaign_eta(spark.createDataFrame([(141, 101, 0, 4, 100, 20), (100, 100, 0, 0, 5, 9)], "start_mb int, current_mb int, final_mb int, chunks_done int, elapsed_s int, blocked_s int")).orderBy("elapsed_s").collect()
+    assert [(y.chunks_left, y.eta_s, y.eta_free_s, y.chunk_s) for y in x] == [(0, 0, 0, 0), (11, 253, 202, 25)]  # 40 MB in 100 s, 101 MB left
 
 
 def test_outages(spark):
@@ -210,3 +210,72 @@ def test_alarm_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = {(x.server, x.poll_ts) for x in p.log_full_alarm(spark.createDataFrame(rows, s)).collect()}
     assert {(x.server, x.poll_ts) for x in spark.table("alarms").collect()} == want
+
+
+def test_rebuild_intents_and_ceilings(spark):
+    shape = "name string, fragmentation double, page_count long, size_mb long, override string, target string"
+    rows = [("both", 50.0, 5000, 10, None, "PAGE"), ("compression", 1.0, 5000, 10, None, "PAGE"), ("forbidden", 50.0, 5000, 10, "no_rebuild", "PAGE"), ("healthy and forbidden", 1.0, 5000, 10, "no_rebuild", "PAGE"), ("big", 50.0, 5000, 999, None, None), ("small", 90.0, 10, 1, None, "PAGE")]
+    d = spark.createDataFrame(rows, shape)
+    got = {x.name: (x.kind, x.intent, x.target) for x in m.decide_index(d, m.Profile(max_rebuild_mb=500)).collect()}
+    assert got == {"both": ("rebuild", "fragmentation", "PAGE"), "compression": ("rebuild", "compression", "PAGE"), "forbidden": ("reorganize", "fragmentation", None), "healthy and forbidden": ("skip", None, None), "big": ("reorganize", "fragmentation", None), "small": ("skip", None, None)}
+    assert {x.name: x.kind for x in m.decide_index(d, m.Profile(max_rebuild_mb=500, over_ceiling="skip")).collect()}["big"] == "skip"
+
+
+def test_heap_gates_and_statistics(spark):
+    shape = "name string, heap_mb long, rewrite_mb long, forwarded long, records long, fragmentation double, density double, override string, disabled array<string>, target string"
+    rows = [("due", 10, 20, 50, 100, 0.0, 100.0, None, None, "ROW"), ("re-enables", 10, 20, 50, 100, 0.0, 100.0, None, ["a", "b"], None), ("healthy", 10, 20, 1, 100, 0.0, 100.0, None, [], "ROW")]
+    got = {x.name: (x.kind, x.reason, x.target) for x in m.decide_heap(spark.createDataFrame(rows, shape), m.Profile()).collect()}
+    assert got == {"due": ("rebuild_heap", "forwarded records", "ROW"), "re-enables": ("skip", "would re-enable a, b", None), "healthy": ("skip", "healthy", None)}
+    s = spark.createDataFrame([("none", 0, 0), ("few", 1000, 999), ("many", 1000, 1000)], "name string, rows long, modifications long")
+    assert {x.name: x.kind != "skip" for x in m.decide_statistics(s).collect()} == {"none": True, "few": False, "many": True}
+    assert all(x.kind != "skip" for x in m.decide_statistics(s, 0.0).collect())
+
+
+def test_free_space_that_must_grow_warns(spark):
+    need = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10), ("d", 0), ("e", 10), ("f", None)], "server string, need_mb long")
+    files = spark.createDataFrame([("a", 10, 0), ("b", 5, 5), ("c", 5, 4), ("d", 50, 0), ("e", 5, None), ("f", 50, 0)], "server string, free_mb long, headroom_mb long")
+    assert {x.server: x.severity for x in fleet.check_free_space(need, files).collect()} == {"a": "PASS", "b": "WARN", "c": "FAIL", "d": "WARN", "e": "WARN", "f": "WARN"}
+
+
+def test_relief_drain_and_silence(spark):
+    pauses = spark.createDataFrame([(k, at(0)) for k in ("relief", "drain", "blind", "open")], "server string, pause_ts timestamp")
+    rows = [("relief", 0, False, False), ("relief", 50, True, False), ("relief", 90, False, False), ("drain", 50, False, True), ("drain", 150, False, True), ("drain", 260, False, False), ("blind", 400, False, False), ("open", 60, True, False)]
+    samples = spark.createDataFrame([(k, at(s), b_, log) for k, s, b_, log in rows], "server string, poll_ts timestamp, blocked boolean, log_over boolean")
+    got = {x.server: (x.relief_s, x.ended) for x in p.time_to_relief(pauses, samples, 200, 300).collect()}
+    assert got == {"relief": (90, "relief"), "drain": (260, "drain"), "blind": (400, "blind"), "open": (None, None)}
+
+
+def test_the_cap_fires_whoever_is_ignored(spark):
+    rows = [("s", at(60 * i), False, i >= 1) for i in range(8)]
+    got = p.block_alarms(spark.createDataFrame(rows, "server string, poll_ts timestamp, unignored boolean, any boolean"), 60, 240, ["server"]).collect()
+    assert [(x.start_ts, x.fired_ts, x.capped) for x in got] == [(at(60), at(300), True)]
+    d = spark.createDataFrame([(True, False, False, True, True)], "blocked boolean, log_over boolean, blind boolean, resumable boolean, capped boolean")
+    assert [(x.action, x.detail) for x in p.decide_reaction(d).collect()] == [("pause", "cap,blocking")]
+
+
+def test_key_ranges_of_outlying_keys(spark):
+    keys = [*range(100), 2**62, -(2**62)]
+    got = c.key_ranges(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 10, F.lit(True)).orderBy("batch").collect()
+    want = [sorted(keys)[i : i + 10] for i in range(0, len(keys), 10)]
+    assert [(x.lo, x.hi, x.rows) for x in got] == [(w[0], w[-1], len(w)) for w in want]
+    assert c.key_ranges(spark.createDataFrame([], "k long"), "k", 10, F.lit(True)).collect() == []
+
+
+def test_no_window_takes_all_rows_into_one_task(spark):
+    shape = "server string, poll_ts timestamp, identity string, blocker_spid int, rule int, run_spid int, spid int, blocking_spid int, job string, batch int, rows int, seconds int, database string, object_id int, index_id int, type int, page_count int, density double, confirmed_by string, times_blocked int, page_from_end int"
+    d = spark.createDataFrame([], shape)
+    measures, confirmed = d.select("database", "object_id", "index_id", "type", "page_count", "density"), d.select("database", "object_id", "confirmed_by", "times_blocked", "page_from_end")
+    plans = (b.offender_debt(d, d), b.rule_debt(d), b.suspension_episodes(d.select("poll_ts", "spid", "blocking_spid"), d.select("server", "poll_ts", "run_spid")), c.batch_progress(d, 5), m.pre_shrink_plan(measures, confirmed, 1, 1.0))
+    for x in plans:
+        assert "SinglePartition" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_permissions_and_disabled_indexes(spark):
+    ops = spark.createDataFrame([("a", "shrink_tempdb", None, True), ("b", "batch_delete", "t", False), ("c", "shrink", None, False)], "server string, command string, table_name string, kills boolean")
+    grants = spark.createDataFrame([("a", "owner", None), ("b", "DELETE", "t"), ("c", "owner", None)], "server string, grant string, table_name string")
+    got = {(x.server, x.name): x.severity for x in fleet.check_permissions(ops, grants).collect()}
+    assert got == {("a", "elevated"): "PASS", ("a", "tempdb"): "FAIL", ("a", "kill"): "WARN", ("b", "table"): "PASS", ("c", "elevated"): "PASS"}
+    heaps = spark.createDataFrame([("s", 1, False, True), ("s", 2, True, True), ("s", 3, False, False), ("s", 4, False, True)], "server string, object_id int, allowed boolean, readable boolean")
+    parts = spark.createDataFrame([("s", 1, 2, "b", 8, True), ("s", 1, 1, "a", 8, True), ("s", 2, 2, "b", 8, True), ("s", 4, 0, None, 8, False)], "server string, object_id int, index_id int, name string, kb long, is_disabled boolean")
+    assert {x.object_id: (x.severity, x.detail) for x in fleet.check_reenabled_indexes(heaps, parts).collect()} == {1: ("FAIL", "a, b"), 2: ("WARN", "b"), 3: ("FAIL", "unread"), 4: ("PASS", "")}
+    assert {x.object_id: (x.severity, x.detail) for x in fleet.check_heap_scope(heaps, parts).collect()} == {1: ("WARN", "2/16"), 2: ("WARN", "1/8"), 3: ("PASS", "0/0"), 4: ("PASS", "0/8")}
