@@ -296,11 +296,22 @@ def masks() -> list[int]:
     return [sum(1 << b for b in o[:MASK_BITS]) for o in order]
 
 
+def _likeliest(node: np.ndarray, other: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of pairs seen from both ends: each node's likeliest other node, the smaller of ties."""
+    u, v, k = np.r_[node, other], np.r_[other, node], np.r_[like, like]
+    order = np.lexsort((v, -k, u))
+    first = order[np.r_[True, u[order][1:] != u[order][:-1]][: len(u)]]
+    return u[first], v[first], k[first]
+
+
 def _close(labels: bool):
-    """Of dealt rows: a forest of the pairs within RADIUS and LEAST, the likeliest first; with labels, all such pairs across them."""
+    """Of dealt rows: a forest of the pairs within RADIUS and LEAST, the likeliest first; with labels, each node's likeliest pair across them.
+
+    So a task returns a pair or so a node, however large a group of near copies is. like: bits of the minima that agree.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
+        forest, alike, across = Forest(), {}, []
         for rows in whole_groups(batches, "key"):
             key, side, node = (rows[c].to_numpy() for c in ("key", "side", "node"))
             fp, sig = rows["fp"].to_numpy().view(np.uint64), rows["sig"].to_numpy().view(np.uint64)
@@ -308,31 +319,37 @@ def _close(labels: bool):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             guests = np.repeat(np.add.reduceat(side, starts) > 0, np.diff(np.r_[starts, len(key)]))
             own, ask = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | ~guests)
-            across = []
             for i, j in Trees(key[own], fp[own]).probe(key[ask], fp[ask], RADIUS):
                 i, j = own[i], ask[j]
-                ok = ((side[j] == 1) | (i < j)) & (label[i] != label[j])
-                i, j = i[ok], j[ok]
-                like = 1 - 2 * np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64) / MINIMA
-                for at in (like >= 0.9, (like >= LEAST) & (like < 0.9)):
-                    if at.any() and labels:
-                        across.append(np.stack([np.maximum(node[i[at]], node[j[at]]), np.minimum(node[i[at]], node[j[at]])]))
-                    elif at.any():
-                        forest.add(node[i[at]], node[j[at]])
-            if across:
-                yield _pair_batch(*np.unique(np.concatenate(across, axis=1), axis=1))
-        if forest.pairs:
-            yield _pair_batch(*zip(*forest.pairs, strict=True))
+                like = MINIMA - np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64)
+                ok = ((side[j] == 1) | (i < j)) & (label[i] != label[j]) & (2 * like >= MINIMA * (1 + LEAST))
+                i, j, like = node[i[ok]], node[j[ok]], like[ok]
+                if labels and len(i):
+                    across.append(_likeliest(i, j, like))
+                for at in () if labels else (20 * like >= 19 * MINIMA, 20 * like < 19 * MINIMA):
+                    before = len(forest.pairs)
+                    if at.any():
+                        forest.add(i[at], j[at])
+                    if len(forest.pairs) > before:
+                        new = set(forest.pairs[before:])
+                        alike.update((x, k) for x, k in zip(zip(i[at].tolist(), j[at].tolist(), strict=True), like[at].tolist(), strict=True) if x in new)
+        if across:
+            u, v, k = _likeliest(*(np.concatenate(x) for x in zip(*across, strict=True)))
+        else:
+            u, v = map(list, zip(*forest.pairs, strict=True)) if forest.pairs else ([], [])
+            k = [alike[x] for x in forest.pairs]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, k)], ["u", "v", "like"])
 
     return run
 
 
-def candidates(classes: DataFrame, labels: bool = False) -> DataFrame:
+def candidates(classes: DataFrame, labels: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Of classes (node, f0, f1 and so on, sig): pairs of which a fingerprint is within RADIUS and agrees on a mask.
 
     A mask's bucket is a shard with its own BK-tree; here trees are built where they are asked, since there are
     SEEDS * MASKS of them a text, too many to broadcast. A bucket of more than 2 * SHARD nodes is cut; its shards meet
-    in pairs, each a group of bounded size. labels: nodes of different ``label`` only, and all their pairs.
+    in pairs, each a group of bounded size. labels: nodes of different ``label`` only. Of what tasks return, but for
+    known pairs, each node keeps its likeliest pair and the smallest of the smaller nodes: two pairs a node at most.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
     extra = ["sig", *(["label"] if labels else [])]
@@ -343,7 +360,14 @@ def candidates(classes: DataFrame, labels: bool = False) -> DataFrame:
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b"))))
     dealt = split_hot(rows).select("bucket", "node", "fp", *extra, "own", pairs.alias("p"))
     dealt = dealt.select(F.xxhash64("bucket", "p.a", "p.b").alias("key"), (F.col("own") > F.col("p.a")).cast("int").alias("side"), "node", "fp", *extra)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close(labels), "u long, v long")
+    got = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close(labels), "u long, v long, like long")
+    got = got.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "like")
+    got = got if known is None else got.join(known, ["u", "v"], "left_anti")
+    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "like")
+    seen = got.select(F.explode(F.array(end("u", "v"), end("v", "u"))).alias("e")).select("e.*")
+    kept = seen.groupBy("x").agg(F.max_by("y", F.struct("like", -F.col("y"))).alias("a"), F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("b"))
+    kept = kept.select("x", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("y"))
+    return kept.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
 def _alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -369,10 +393,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, node, root) of every row with a doc_id: node as of ``node_of``; rows of one root are a group of near copies.
 
     Links join nodes whose sets of SHINGLE-word shingles have a Jaccard similarity of 0.8 or more; each is checked on
-    the texts themselves. First each node's candidates in a forest are checked. If a link of it fails, others may hold
-    where it was to stand for them: then, inside the candidate groups in which one failed, all candidates between the
-    groups found so far are checked. Null and empty texts are one node; an empty table gives no rows; other columns
-    take no part.
+    the texts themselves. Each node's likeliest and smallest candidates are checked first, and make groups. Where a
+    check failed, another candidate may hold in its stead: so all nodes with candidates are asked once more, for
+    unchecked ones in other groups. So a few checks a node are made, not one a pair of a group of copies. Null and empty texts are one node; an empty table gives no rows; other columns take no part.
     """
     names = [*(f"f{i}" for i in range(SEEDS)), "sig"]
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -388,18 +411,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     rows = scratch.table(own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "node", *names))), "fps")
     classes = scratch.table(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in names)), "classes")
-    found = candidates(classes).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    found = scratch.table(found, "candidates")
-    held = components(found)
+    found = scratch.table(candidates(classes), "candidates")
     ends = found.select(F.col("u").alias("node")).union(found.select("v")).distinct()
     asked = scratch.table(own.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "asked")
     checked = scratch.table(_alike(found, asked), "checked")
-    roots = components(checked.where("alike").select("u", "v"))
-    failed = scratch.table(checked.where("NOT alike").select(F.col("u").alias("node")).join(held, "node").select("root").distinct(), "failed")
-    if not failed.isEmpty():
-        again = held.join(failed, "root", "left_semi").select("node").distinct()
-        named = classes.join(again, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        more = candidates(named, True).distinct().join(checked, ["u", "v"], "left_anti")
+    linked = checked.where("alike").select("u", "v")
+    roots = components(linked)
+    if not checked.where("NOT alike").isEmpty():
+        named = classes.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        more = candidates(named, True, checked.select("u", "v"))
         more = scratch.table(_alike(more, asked).where("alike").select("u", "v"), "more")
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
