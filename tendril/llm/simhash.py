@@ -22,6 +22,8 @@ SHARD, BUNDLE, WAVE_MB = 512, 65_536, 16
 SHINGLE, SEEDS, RADIUS, MASKS, MASK_BITS = 5, 10, 16, 8, 16
 #: Bits of the min-hash that spares pairs the exact check, and the least similarity it must show: 0.8 less over four errors (0.075).
 MINIMA, LEAST = 64, 0.45
+#: Candidates of a node that are checked when it is asked again.
+AGAIN = 6
 #: Visits of a slice of questions at most, so that what a search holds is bounded.
 VISITS = 2_000_000
 _ODD = np.array([xxhash.xxh64_intdigest(b"round", i) | 1 for i in range(SEEDS)], np.uint64)
@@ -349,7 +351,7 @@ def candidates(classes: DataFrame, labels: bool = False, known: DataFrame | None
     A mask's bucket is a shard with its own BK-tree; here trees are built where they are asked, since there are
     SEEDS * MASKS of them a text, too many to broadcast. A bucket of more than 2 * SHARD nodes is cut; its shards meet
     in pairs, each a group of bounded size. labels: nodes of different ``label`` only. Of what tasks return, but for
-    known pairs, each node keeps its likeliest pair and the smallest of the smaller nodes: two pairs a node at most.
+    known pairs, each node keeps its likeliest pair (AGAIN of them, if pairs are known) and the smallest of the smaller nodes.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
     extra = ["sig", *(["label"] if labels else [])]
@@ -365,8 +367,11 @@ def candidates(classes: DataFrame, labels: bool = False, known: DataFrame | None
     got = got if known is None else got.join(known, ["u", "v"], "left_anti")
     end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "like")
     seen = got.select(F.explode(F.array(end("u", "v"), end("v", "u"))).alias("e")).select("e.*")
-    kept = seen.groupBy("x").agg(F.max_by("y", F.struct("like", -F.col("y"))).alias("a"), F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("b"))
-    kept = kept.select("x", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("y"))
+    best = F.max_by("y", F.struct("like", -F.col("y")))
+    if known is not None:  # few nodes are left; a node has a pair or so from each task
+        best = F.transform(F.slice(F.sort_array(F.collect_set(F.struct("like", (-F.col("y")).alias("y"))), False), 1, AGAIN), lambda e: -e["y"])
+    kept = seen.groupBy("x").agg((best if known is not None else F.array(best)).alias("a"), F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("b"))
+    kept = kept.select("x", F.explode(F.array_distinct(F.array_compact(F.concat("a", F.array("b"))))).alias("y"))
     return kept.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
