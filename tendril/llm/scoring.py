@@ -1,269 +1,291 @@
-"""LM scoring: a weighted backoff automaton over symbols of words, and the unigram base over whole words.
-
-A text is its words' bytes, each word closed by a sign, and an end. Counted n-grams of ORDER symbols give contexts;
-the commonest become states. A state's arcs carry smoothed log-probabilities; where a longer context is no state, the
-failure arc leads to its longest suffix that is one. Arcs and failure arcs are laid out in one table, so a single
-left-to-right pass carries the state and adds up what the arcs weigh. Each of the COMMON words, and the end, is also
-an arc of its own, as likely as the word is among them, and the pass carries the words that the text has had so far,
-each as likely as it was frequent: a token's probability is WHOLE of the first, MET of the second and the rest of its
-symbols'. All three sum to one over all tokens; the second's part grows from
-0 at the first word, and what it lacks is the symbols'.
+"""LM scoring: a weighted backoff automaton over words, trained on all words, pairs and triples of the training texts.
+
+Texts are cut into chunks of whole documents, written once as word numbers and the chunk's vocabulary. Each chunk asks
+for the counts of the n-grams that occur in it, and brings its own training counts: both are one packed, sorted list,
+dealt to shards by ranges of a hash. A shard adds up what all chunks bring and answers each. Shards grow in number with
+the corpus, not in size; no count is dropped, and neither the driver nor any task holds the model.
+
+With the answers a chunk has the part of the automaton that its texts can reach. States are contexts of two words, one
+word or none that training texts hold; an arc carries the smoothed log-probability of its word; where a state has no
+arc for a word, its failure arc, with its own weight, leads to the state of the shorter context. One left-to-right pass
+carries the state and adds up what the arcs weigh. Smoothing is Dirichlet: p(w | c) = (n(c, w) + K p(w | shorter c)) /
+(n(c) + K), down to the base, which sums to one over the known words and one unknown.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scratch
 from .toxicity import held_out
-from .words import texts, words
-
-#: Documented bounds: contexts that are states, words whose counts every task gets. All counts cover all training texts.
-ORDER, STATES, COMMON = 6, 32_768, 65_536
-#: Weights of the arcs that are whole words, and of the words that the traversal has met in this text.
-WHOLE, MET = 0.1, 0.3
-#: Words after which half of MET is reached.
-SOON = 25
-#: Bytes that are symbols of their own; the rest are a digit class and one other class. 0: end, 1: end of a word.
-OWN = b"abcdefghijklmnopqrstuvwxyz.,!%*&$#|" + bytes([0xC3, 0xA9, 0xA8, 0xAA, 0xA0, 0xA2, 0xA4, 0xA1, 0xA7, 0xAD, 0xAE, 0xAF, 0xB1, 0xB3, 0xB4, 0xB6, 0x9F, 0xBA, 0xB9, 0xBB, 0xBC, 0xAB, 0x89, 0x88])
-DIGIT, OTHER, SYMBOLS, WIDTH = 62, 63, 64, 6
-END, LANES, PART = b"\n", 4096, 1_000_000
-
-_SYMBOL = np.full(256, OTHER, np.uint8)
-_SYMBOL[np.frombuffer(OWN, np.uint8)] = np.arange(2, 2 + len(OWN))
-_SYMBOL[48:58], _SYMBOL[32], _SYMBOL[10] = DIGIT, 1, 0
-#: What the choice inside a class costs.
-_WITHIN = np.zeros(SYMBOLS)
-_WITHIN[DIGIT], _WITHIN[OTHER] = -math.log10(10), -math.log10(int((_SYMBOL == OTHER).sum()))
-
-
-def _key(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
+from .words import texts, whole_groups, words
+
+#: Words of an n-gram at most; how many words' worth the shorter context is, by the length of the longer.
+ORDER, PRIOR = 3, {1: 1000.0, 2: 5.0}
+#: Bits of a hash of two or three words (a single word's has all 64); bytes of text a chunk, tokens of the corpus a shard.
+BITS, CHUNK, SHARD = 48, 10_000_000, 1_500_000
+#: Lanes of a chunk that the traversal moves in step.
+LANES = 8192
+END, START = b"\n", np.uint64(xxhash.xxh64_intdigest(b"start of a text", 1))
+_ODD = np.uint64(xxhash.xxh64_intdigest(b"pairs", 1) | 1)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """64-bit values as compressed differences, plane by plane of their bytes: ascending ones take few bytes."""
+    wide = values.astype(np.uint64, copy=False)
+    planes = np.diff(wide, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(8, "little") + (pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(values) else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.empty(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(31))) * _ODD + b
+    x = (x ^ (x >> np.uint64(29))) * _ODD
+    return x ^ (x >> np.uint64(32))
+
+
+class Chunk:
+    """Whole texts as numbers of the chunk's words, which are numbered by their ascending hashes."""
+
+    def __init__(self, ids: list, held: list, texts_words: list[list[bytes]]):
+        place: dict[bytes, int] = {END: 0}
+        parts = [np.fromiter((place.setdefault(x, len(place)) for x in w), np.int64, len(w)) for w in texts_words]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place))
+        self.vocab, rank = np.unique(hashes, return_inverse=True)
+        self.ids, self.held = ids, np.array(held, bool)
+        self.lengths = np.array([len(p) + 1 for p in parts], np.int64)
+        flat = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int64))]) if parts else np.empty(0, np.int64)
+        self.tokens = rank[flat]
+
+    def dump(self) -> bytes:
+        """Numbers as planes of bytes, compressed."""
+        planes = np.ascontiguousarray(self.tokens.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+        return pickle.dumps((self.ids, self.held, self.lengths, pack(self.vocab), pa.compress(planes, codec="zstd", asbytes=True)), protocol=5)
+
+    @classmethod
+    def load(cls, data: bytes) -> Chunk:
+        made = cls.__new__(cls)
+        made.ids, made.held, made.lengths, vocab, tokens = pickle.loads(data)
+        n = int(made.lengths.sum())
+        planes = np.frombuffer(pa.decompress(tokens, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+        made.tokens = np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+        made.vocab = unpack(vocab)
+        return made
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    def before(self) -> np.ndarray:
+        """For each token, the number of the one before it; as many as there are words at the start of a text."""
+        out = np.r_[0, self.tokens[:-1]]
+        out[self.starts] = len(self.vocab)
+        return out
 
-def _stream(w: list[bytes]) -> bytes:
-    return b" ".join(w) + b" \n" if w else END
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, hashes ascending, for each where it ends first, for each token the place of the n-gram that it ends, -1 for none)."""
+        yield 1, self.vocab, np.empty(0, np.int64), self.tokens
+        hashed = np.r_[self.vocab, START]
+        two = _mix(hashed[self.before()], hashed[self.tokens])
+        keys, first, at = np.unique(two >> np.uint64(64 - BITS), return_index=True, return_inverse=True)
+        yield 2, keys, first, at
+        ends = np.setdiff1d(np.arange(len(self.tokens)), self.starts, assume_unique=True)
+        keys, first, at = np.unique(_mix(two[ends - 1], hashed[self.tokens[ends]]) >> np.uint64(64 - BITS), return_index=True, return_inverse=True)
+        every = np.full(len(self.tokens), -1)
+        every[ends] = at
+        yield 3, keys, ends[first], every
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a chunk: CHUNK bytes of text, or a single longer text."""
+    context, made = TaskContext.get(), 0
+    ids, held, split, size = [], [], [], 0
+
+    def row() -> pa.RecordBatch:
+        c = Chunk(ids, held, split)
+        return pa.RecordBatch.from_arrays([pa.array([(context.partitionId() << 32) | made], pa.int64()), pa.array([len(c.tokens)], pa.int64()), pa.array([c.dump()], pa.binary())], ["chunk", "tokens", "data"])
 
+    for batch in batches:
+        for i, (d, h, n) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), pc.binary_length(batch.column("text")).to_pylist(), strict=True)):
+            if ids and size + n > CHUNK:
+                yield row()
+                made, ids, held, split, size = made + 1, [], [], [], 0
+            ids.append(d)
+            held.append(h)
+            split.append(words(batch.column("text")[i].as_py(), lower=True))
+            size += n
+    if ids:
+        yield row()
 
-def _grams(stream: np.ndarray) -> np.ndarray:
-    """Of symbols of texts, each with its end: for every symbol, itself below the ORDER - 1 before it in its text."""
-    s = stream.astype(np.int64)
-    since = np.arange(len(s)) - np.maximum.accumulate(np.where(np.r_[True, s[:-1] == 0], np.arange(len(s)), 0))
-    key = s.copy()
-    for k in range(1, ORDER):
-        key[k:] |= np.where(since[k:] >= k, s[:-k], 0) << (WIDTH * k)
-    return key
 
+def _requests(shards: int):
+    """Of chunks: their n-grams' hashes and training counts, a row for each n and shard."""
 
-def _met(ids: np.ndarray) -> np.ndarray:
-    """For each word of a text, and the end: how often the word came before, over the number of words before."""
-    order = np.argsort(ids, kind="stable")
-    head = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]]) if len(ids) else np.empty(0, np.int64)
-    before = np.empty(len(ids))
-    before[order] = np.arange(len(ids)) - np.repeat(head, np.diff(np.r_[head, len(ids)]))
-    return np.r_[before / np.maximum(np.arange(len(ids)), 1), 0.0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                c = Chunk.load(data.as_py())
+                learn = ~np.repeat(c.held, c.lengths)
+                for n, keys, _, at in c.grams():
+                    counts = np.bincount(at[learn & (at >= 0)], minlength=len(keys))
+                    top = keys >> np.uint64(32) if n == 1 else keys >> np.uint64(BITS - 32)
+                    shard = (top.astype(np.int64) * shards) >> 32
+                    cuts = np.searchsorted(shard, np.arange(shards + 1))
+                    full = np.flatnonzero(np.diff(cuts))
+                    rows = [(pack(keys[cuts[s] : cuts[s + 1]]), pack(counts[cuts[s] : cuts[s + 1]])) for s in full.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(full * (ORDER + 1) + n, pa.int64()), pa.array(np.full(len(full), chunk), pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())],
+                        ["shard", "chunk", "keys", "counts"],
+                    )
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of requests, shard by shard: each chunk's sums over all chunks, in the order asked; and once a shard its sum and how many are known."""
+    for rows in whole_groups(batches, "shard"):
+        every = rows["shard"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(every)], strict=True):
+            part = rows.slice(s, e - s)
+            keys = [unpack(x.as_py()) for x in part["keys"]]
+            counts = np.concatenate([unpack(x.as_py()) for x in part["counts"]])
+            found, at = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(at, counts, len(found)).astype(np.int64)
+            ends = np.cumsum([len(k) for k in keys])
+            told = [pack(sums[at[b - len(k) : b]]) for k, b in zip(keys, ends.tolist(), strict=True)]
+            once = np.arange(e - s) == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part["chunk"].to_numpy()), pa.array(every[s:e]), pa.array(told, pa.binary()), pa.array(once * int(sums.sum()), pa.int64()), pa.array(once * int((sums > 0).sum()), pa.int64())],
+                ["chunk", "shard", "data", "total", "known"],
+            )
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut where their texts pass multiples of PART bytes, so that what a pass holds is bounded by PART and the longest text."""
-    for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = [0, *(np.flatnonzero(np.diff(ends // PART)) + 1).tolist(), len(ends)]
-        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
-        pa.default_memory_pool().release_unused()
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    grams, room = [], 0
-
-    def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], ["kind", "key", "n"])
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if grams:
-            stacked = np.concatenate([g[0] for g in grams])
-            keys, at = np.unique(stacked, return_inverse=True)
-            yield rows(1, keys, np.bincount(at, np.concatenate([g[1] for g in grams])).astype(np.int64))
-            grams.clear()
-        if seen:
-            yield rows(0, np.fromiter(map(_key, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
-            seen.clear()
-
-    for batch in _slices(batches):
-        part, size = [], 0
-        for text in (*batch.column("text").to_pylist(), None):
-            if part and (text is None or size > PART):
-                grams.append(np.unique(_grams(_SYMBOL[np.frombuffer(b"".join(part), np.uint8)]), return_counts=True))
-                part, size = [], 0
-            if text is not None:
-                w = words(text, lower=True)
-                seen.update(w)
-                seen[END] += 1
-                part.append(_stream(w))
-                size += len(text)
-                room += len(text)
-        if room > 6_000_000 or len(seen) > 300_000:
-            yield from flush()
-            room = 0
-    yield from flush()
+class Automaton:
+    """The states and arcs that a chunk's texts can reach.
 
+    State 0 has no context, 1 + w has word w (one more: the start of a text), and then comes one for each pair. States
+    of contexts that no training text holds are never entered: what leads there leads to the shorter context.
+    """
 
-class Automaton:
-    """States are contexts, by length and key; ``next`` and ``weight`` have a row of SYMBOLS for each."""
-
-    def __init__(self, lengths: np.ndarray, keys: np.ndarray, grams: tuple[np.ndarray, ...]):
-        order = np.lexsort((keys, lengths))
-        self.lengths, self.keys = np.r_[0, lengths[order]].astype(np.int64), np.r_[0, keys[order]].astype(np.int64)
-        n = len(self.keys)
-        length, key, symbol, count = grams
-        counts = np.zeros((n, SYMBOLS))
-        counts[self.find(length, key), symbol] = count
-        total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        p = np.full((n, SYMBOLS), 1 / SYMBOLS)
-        for size in range(ORDER):  # Witten-Bell: what is seen, and for the rest the shorter context
-            at = np.flatnonzero(self.lengths == size)
-            if len(at):
-                lower = p[self.suffix(np.full(len(at), size - 1), self.keys[at])] if size else p[at]
-                weigh = np.maximum(total[at] + kinds[at], 1)
-                p[at] = np.where(total[at] > 0, (counts[at] + kinds[at] * lower) / weigh, lower)
-        self.weight = (np.log10(p) + _WITHIN).astype(np.float32)
-        del counts, p
-        longer = (self.keys[:, None] << WIDTH) | np.arange(SYMBOLS)
-        reach = np.minimum(np.broadcast_to(self.lengths[:, None] + 1, longer.shape), ORDER - 1)
-        self.next = self.suffix(reach.ravel(), longer.ravel()).reshape(n, SYMBOLS).astype(np.int32)
-        self.start = int(self.suffix(np.array([ORDER - 1]), np.array([0]))[0])
-        self.next[:, 0] = self.start
-
-    def find(self, length: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """States of these contexts; -1 for those that are none."""
-        wide = lambda n, k: (n.astype(np.int64) << (WIDTH * ORDER)) | k
-        own = wide(self.lengths, self.keys)
-        at = np.minimum(np.searchsorted(own, wide(length, key)), len(own) - 1)
-        return np.where(own[at] == wide(length, key), at, -1)
-
-    def suffix(self, length: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The longest suffix of at most this length that is a state: where failure arcs lead."""
-        out = np.zeros(len(key), np.int64)
-        for size in range(1, ORDER):
-            at = self.find(np.full(len(key), size), key & ((1 << (WIDTH * size)) - 1))
-            out = np.where((at >= 0) & (size <= length), at, out)
-        return out
+    def __init__(self, chunk: Chunk, sums: dict[int, np.ndarray], total: int, known: int):
+        v, before, tokens = len(chunk.vocab), chunk.before(), chunk.tokens
+        grams = {n: (keys, first, at) for n, keys, first, at in chunk.grams()}
+        self.words, self.end = v, int(np.searchsorted(chunk.vocab, np.uint64(xxhash.xxh64_intdigest(END))))
+        one, two, three = (sums[n].astype(np.float64) for n in (1, 2, 3))
+        root = (one + 1) / (total + known + 1)
+        context = np.r_[one, one[self.end]]
+        _, first, place = grams[2]
+        u, w = before[first], tokens[first]
+        k = PRIOR[1]
+        pair = (two + k * root[w]) / (context[u] + k)
+        _, ends, _ = grams[3]
+        low = place[ends]
+        k = PRIOR[2]
+        triple = (three + k * pair[low]) / (two[place[ends - 1]] + k)
+        self.root, self.pair_state = np.log10(root), 2 + v
+        self.fall = np.r_[0.0, np.log10(PRIOR[1] / (context + PRIOR[1])), np.log10(PRIOR[2] / (two + PRIOR[2]))]
+        self.fail = np.r_[np.zeros(2 + v, np.int64), 1 + w]
+        self.alone = np.where(one > 0, 1 + np.arange(v), 0)
+        self.alone[self.end] = 1 + v
+        seen, full = two > 0, three > 0
+        source = np.r_[1 + u[seen], self.pair_state + place[ends - 1][full]]
+        symbol = np.r_[w[seen], tokens[ends[full]]]
+        target = np.r_[np.flatnonzero(seen), low[full]] + self.pair_state
+        arcs = source * v + symbol
+        order = np.argsort(arcs)
+        self.arcs = np.r_[arcs[order], np.iinfo(np.int64).max]
+        self.weight = np.r_[np.log10(np.r_[pair[seen], triple[full]])[order], 0.0]
+        self.to = np.r_[np.where(symbol == self.end, 1 + v, target)[order], 0]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol each, and what the arcs weigh."""
+        weight, after = np.zeros(len(state)), np.empty(len(state), np.int64)
+        left, s = np.arange(len(state)), state
+        while len(left):
+            wanted = s * self.words + symbol[left]
+            at = np.searchsorted(self.arcs, wanted)
+            hit = (self.arcs[at] == wanted) & (s > 0)
+            weight[left[hit]] += self.weight[at[hit]]
+            after[left[hit]] = self.to[at[hit]]
+            bottom = left[s == 0]
+            weight[bottom] += self.root[symbol[bottom]]
+            after[bottom] = self.alone[symbol[bottom]]
+            more = ~hit & (s > 0)
+            left, s = left[more], s[more]
+            weight[left] += self.fall[s]
+            s = self.fail[s]
+        return after, weight
+
+    def weigh(self, tokens: np.ndarray) -> np.ndarray:
+        """Each token's log-probability. Lanes move in step; each but the first reads the words before it, which are its state."""
+        size = max(64, -(-len(tokens) // LANES))
+        lanes, warm = -(-len(tokens) // size), ORDER - 1
+        padded = np.r_[np.full(warm, self.end), tokens, np.full(lanes * size - len(tokens), self.end)]
+        at, out = np.arange(lanes) * size, np.empty((size, lanes))
+        state = np.zeros(lanes, np.int64)
+        for i in range(size + warm):
+            state, weight = self.step(state, padded[at + i])
+            if i >= warm:
+                out[i - warm] = weight
+        return out.T.ravel()[: len(tokens)]
+
+
+def _scores(total: int, known: int):
+    """Of chunks (shard -1) and their answers, sorted: a row a text."""
 
-    def weigh(self, symbols: np.ndarray) -> np.ndarray:
-        """Each symbol's log-probability. Lanes of the stream move in step; each first reads the ORDER symbols before it."""
-        size = max(64, -(-len(symbols) // LANES))
-        lanes = -(-len(symbols) // size)
-        padded = np.r_[np.zeros(ORDER, np.uint8), symbols, np.zeros(lanes * size - len(symbols), np.uint8)]
-        at = np.arange(lanes) * size
-        out = np.empty((size, lanes), np.float32)
-        state = np.full(lanes, self.start * SYMBOLS)
-        flat, arcs = self.weight.ravel(), self.next.ravel()
-        for i in range(size + ORDER):
-            arc = state + padded[at + i]
-            if i >= ORDER:
-                out[i - ORDER] = flat[arc]
-            state = arcs[arc].astype(np.int64) * SYMBOLS
-        return out.T.ravel()[: len(symbols)]
-
-
-def train(counts: DataFrame) -> Automaton:
-    """From counted n-grams (kind 1); what reaches the driver is bounded by STATES and SYMBOLS."""
-    grams = counts.where("kind = 1").select(F.explode(F.sequence(F.lit(0), F.lit(ORDER - 1))).alias("length"), "key", "n")
-    context = F.shiftright("key", WIDTH).bitwiseAND(F.expr(f"shiftleft(1L, {WIDTH} * length) - 1"))
-    grams = grams.select("length", context.alias("context"), F.col("key").bitwiseAND(F.lit(SYMBOLS - 1)).cast("int").alias("symbol"), "n")
-    grams = scratch.table(grams.groupBy("length", "context", "symbol").agg(F.sum("n").alias("n")), "grams")
-    states = grams.where("length > 0").groupBy("length", "context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "length", "context").limit(STATES - 1)
-    states = states.select("length", "context").toPandas()
-    kept = grams.join(F.broadcast(grams.sparkSession.createDataFrame(states, "length int, context long")), ["length", "context"]).unionByName(grams.where("length = 0"))
-    rows = kept.select("length", "context", "symbol", "n").toPandas()
-    return Automaton(states["length"].to_numpy(), states["context"].to_numpy(), tuple(rows[c].to_numpy() for c in ("length", "context", "symbol", "n")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "chunk"):
+            every, shard = rows["chunk"].to_numpy(), rows["shard"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(every)], strict=True):
+                c, told = Chunk.load(rows["data"][s].as_py()), {n: [np.empty(0, np.uint64)] for n in range(1, ORDER + 1)}
+                for i in range(s + 1, e):
+                    told[int(shard[i]) % (ORDER + 1)].append(unpack(rows["data"][i].as_py()))
+                sums = {n: np.concatenate(x) for n, x in told.items()}
+                begin, counts = c.starts, sums[1][c.tokens]
+                base = np.log10((counts + 1.0) / (total + known + 1))
+                weights = Automaton(c, sums, total, known).weigh(c.tokens)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.ids, pa.int64()), pa.array(c.held), pa.array(c.lengths), pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)), pa.array(np.full(len(begin), total)),
+                     pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(weights, begin))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return run
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Null and empty texts have one token, the end. Rows with a null doc_id count as training rows; rows that repeat
-    are counted and scored each. Without training texts the automaton is uniform and nothing is known. An empty
-    table gives no rows. Words are counted by 64-bit hashes. Rare words' counts are joined, common ones' sent along.
+    are counted and scored each. Without training texts nothing is known and all tokens are equally likely. An empty
+    table gives no rows. Words are told apart by 64-bit hashes, pairs and triples by BITS.
     """
-    spark = docs.sparkSession
     own = texts(docs).withColumn("held_out", held_out(F.col("doc_id"), 7, 2))
-    counted = own.where(~F.col("held_out")).select("text").mapInArrow(_count, "kind int, key long, n long")
-    counts = scratch.table(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    known = counts.where("kind = 0")
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n, v = int(total[0]), int(total[1])
-    common = known.orderBy(F.desc("n"), "key").limit(COMMON).toPandas().sort_values("key")
-    among = float(max(common["n"].sum(), 1))
-    sent = spark.sparkContext.broadcast((train(counts), common["key"].to_numpy(), np.log10(common["n"].to_numpy() + 1.0)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, keys, logs = sent.value
-        place: dict[bytes, int] = {}
-        values, rare = np.empty(0), np.empty(0, np.int64)
-        for batch in _slices(batches):
-            split = [words(t, lower=True) for t in batch.column("text").to_pylist()]
-            if len(place) > 150_000:
-                place, values, rare = {}, np.empty(0), np.empty(0, np.int64)
-            if fresh := [w for w in dict.fromkeys(x for s in split for x in s) if w not in place]:
-                hashed = np.fromiter(map(_key, fresh), np.int64, len(fresh))
-                at = np.minimum(np.searchsorted(keys, hashed), max(len(keys) - 1, 0))
-                hit = keys[at] == hashed if len(keys) else np.zeros(len(fresh), bool)
-                place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-                values, rare = np.r_[values, np.where(hit, logs[at], np.nan) if len(keys) else np.full(len(fresh), np.nan)], np.r_[rare, hashed]
-            end = logs[i] if len(keys) and keys[i := min(np.searchsorted(keys, _key(END)), len(keys) - 1)] == _key(END) else np.nan
-            sums, hits, lists, scores, whole, met = [], [], [], [], [], []
-            for w in split:
-                at = np.fromiter((place[x] for x in w), np.int64, len(w))
-                got = np.r_[values[at], end]
-                missing = np.isnan(got)
-                whole.append(got)
-                met.append(_met(at))
-                sums.append(float(got[~missing].sum()))
-                hits.append(int((~missing).sum()))
-                lists.append(np.r_[rare[at], _key(END)][missing])
-            i = 0
-            while i < len(split):
-                part, size, first = [], 0, i
-                while i < len(split) and (not part or size < PART):
-                    part.append(_stream(split[i]))
-                    size += len(part[-1])
-                    i += 1
-                stream = _SYMBOL[np.frombuffer(b"".join(part), np.uint8)]
-                spelt = np.add.reduceat(automaton.weigh(stream).astype(np.float64), np.r_[0, np.flatnonzero(stream < 2)[:-1] + 1])
-                arc = np.nan_to_num(10.0 ** np.concatenate(whole[first:i]) - 1, nan=0.0) / among
-                begin = np.r_[0, np.cumsum([len(x) for x in whole[first:i]])[:-1]]
-                position = np.arange(len(spelt)) - np.repeat(begin, np.diff(np.r_[begin, len(spelt)]))
-                again = MET * position / (position + SOON)
-                whole_part = WHOLE if len(keys) else 0.0
-                rest = 1 - whole_part - again
-                token = np.log10(np.maximum(whole_part * arc + again * np.concatenate(met[first:i]) + rest * 10.0**spelt, 1e-300))
-                token = np.maximum(token, spelt + np.log10(rest))  # where 10 ** spelt is too small a number
-                scores.append(np.add.reduceat(token, begin))
-            offsets = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(hits, pa.int64()), pa.array(sums, pa.float64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                ["doc_id", "held_out", "n_tokens", "hits", "logs", "rare", "score"],
-            )
-
-    shape = "doc_id long, held_out boolean, n_tokens long, hits long, logs double, rare array<long>, score double"
-    scored = scratch.table(own.mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("key")).join(known, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("sum"))
-    none = math.log10(n + v + 1)
-    return scored.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * none).alias("base_score"), "score",
-    )
+    chunks = scratch.table(own.mapInArrow(_chunks, "chunk long, tokens long, data binary"), "chunks")
+    shards = max(1, -(-(chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) // SHARD))
+    asked = chunks.select("chunk", "data").mapInArrow(_requests(shards), "shard long, chunk long, keys binary, counts binary")
+    dealt = asked.repartition(min(shards * ORDER, 100_000), "shard").sortWithinPartitions("shard")
+    answers = scratch.table(dealt.mapInArrow(_answers, "chunk long, shard long, data binary, total long, known long"), "answers")
+    words_only = answers.where(F.pmod("shard", F.lit(ORDER + 1)) == 1)
+    total, known = words_only.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    both = chunks.select("chunk", F.lit(-1).cast("long").alias("shard"), "data").unionByName(answers.select("chunk", "shard", "data"))
+    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return both.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_scores(int(total), int(known)), shape)
