@@ -32,26 +32,27 @@ from .words import texts, whole_groups, words
 #: Words of an n-gram at most; how many words' worth the shorter context is, by the length of the longer.
 ORDER, PRIOR = 3, {1: 1000.0, 2: 5.0}
 #: Bits of a hash of two or three words (a single word's has all 64); bytes of text a chunk, tokens of the corpus a shard.
-BITS, CHUNK, SHARD = 48, 10_000_000, 1_500_000
+BITS, CHUNK, SHARD = 46, 8_000_000, 1_000_000
 #: Lanes of a chunk that the traversal moves in step.
 LANES = 8192
 END, START = b"\n", np.uint64(xxhash.xxh64_intdigest(b"start of a text", 1))
 _ODD = np.uint64(xxhash.xxh64_intdigest(b"pairs", 1) | 1)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """64-bit values as compressed differences, plane by plane of their bytes: ascending ones take few bytes."""
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """64-bit values, plane by plane of their bytes, compressed; of ascending ones the differences, which take few bytes."""
     wide = values.astype(np.uint64, copy=False)
-    planes = np.diff(wide, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    planes = (np.diff(wide, prepend=np.uint64(0)) if ascending else wide).view(np.uint8).reshape(-1, 8).T
     return len(values).to_bytes(8, "little") + (pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(values) else b"")
 
 
-def unpack(data: bytes) -> np.ndarray:
+def unpack(data: bytes, ascending: bool = False) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
     if not n:
         return np.empty(0, np.uint64)
     planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+    values = np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(values, dtype=np.uint64) if ascending else values
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,20 +64,17 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Chunk:
     """Whole texts as numbers of the chunk's words, which are numbered by their ascending hashes."""
 
-    def __init__(self, ids: list, held: list, texts_words: list[list[bytes]]):
-        place: dict[bytes, int] = {END: 0}
-        parts = [np.fromiter((place.setdefault(x, len(place)) for x in w), np.int64, len(w)) for w in texts_words]
+    def __init__(self, ids: list, held: list, parts: list[np.ndarray], place: dict[bytes, int]):
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place))
         self.vocab, rank = np.unique(hashes, return_inverse=True)
         self.ids, self.held = ids, np.array(held, bool)
-        self.lengths = np.array([len(p) + 1 for p in parts], np.int64)
-        flat = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int64))]) if parts else np.empty(0, np.int64)
-        self.tokens = rank[flat]
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.tokens = rank[np.concatenate(parts)].astype(np.int32)
 
     def dump(self) -> bytes:
         """Numbers as planes of bytes, compressed."""
-        planes = np.ascontiguousarray(self.tokens.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-        return pickle.dumps((self.ids, self.held, self.lengths, pack(self.vocab), pa.compress(planes, codec="zstd", asbytes=True)), protocol=5)
+        planes = np.ascontiguousarray(self.tokens.view(np.uint8).reshape(-1, 4).T).tobytes()
+        return pickle.dumps((self.ids, self.held, self.lengths, pack(self.vocab, True), pa.compress(planes, codec="zstd", asbytes=True)), protocol=5)
 
     @classmethod
     def load(cls, data: bytes) -> Chunk:
@@ -84,8 +82,8 @@ class Chunk:
         made.ids, made.held, made.lengths, vocab, tokens = pickle.loads(data)
         n = int(made.lengths.sum())
         planes = np.frombuffer(pa.decompress(tokens, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-        made.tokens = np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
-        made.vocab = unpack(vocab)
+        made.tokens = np.ascontiguousarray(planes.reshape(4, n).T).view(np.int32).ravel()
+        made.vocab = unpack(vocab, True)
         return made
 
     @property
@@ -94,7 +92,7 @@ class Chunk:
 
     def before(self) -> np.ndarray:
         """For each token, the number of the one before it; as many as there are words at the start of a text."""
-        out = np.r_[0, self.tokens[:-1]]
+        out = np.r_[np.int32(0), self.tokens[:-1]]
         out[self.starts] = len(self.vocab)
         return out
 
@@ -104,10 +102,10 @@ class Chunk:
         hashed = np.r_[self.vocab, START]
         two = _mix(hashed[self.before()], hashed[self.tokens])
         keys, first, at = np.unique(two >> np.uint64(64 - BITS), return_index=True, return_inverse=True)
-        yield 2, keys, first, at
+        yield 2, keys, first, at.astype(np.int32)
         ends = np.setdiff1d(np.arange(len(self.tokens)), self.starts, assume_unique=True)
         keys, first, at = np.unique(_mix(two[ends - 1], hashed[self.tokens[ends]]) >> np.uint64(64 - BITS), return_index=True, return_inverse=True)
-        every = np.full(len(self.tokens), -1)
+        every = np.full(len(self.tokens), -1, np.int32)
         every[ends] = at
         yield 3, keys, ends[first], every
 
@@ -115,20 +113,21 @@ class Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a chunk: CHUNK bytes of text, or a single longer text."""
     context, made = TaskContext.get(), 0
-    ids, held, split, size = [], [], [], 0
+    ids, held, parts, place, size = [], [], [], {END: 0}, 0
 
     def row() -> pa.RecordBatch:
-        c = Chunk(ids, held, split)
+        c = Chunk(ids, held, parts, place)
         return pa.RecordBatch.from_arrays([pa.array([(context.partitionId() << 32) | made], pa.int64()), pa.array([len(c.tokens)], pa.int64()), pa.array([c.dump()], pa.binary())], ["chunk", "tokens", "data"])
 
     for batch in batches:
         for i, (d, h, n) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), pc.binary_length(batch.column("text")).to_pylist(), strict=True)):
             if ids and size + n > CHUNK:
                 yield row()
-                made, ids, held, split, size = made + 1, [], [], [], 0
+                made, ids, held, parts, place, size = made + 1, [], [], [], {END: 0}, 0
             ids.append(d)
             held.append(h)
-            split.append(words(batch.column("text")[i].as_py(), lower=True))
+            w = words(batch.column("text")[i].as_py(), lower=True)
+            parts.append(np.fromiter((place.setdefault(x, len(place)) for x in (*w, END)), np.int32, len(w) + 1))
             size += n
     if ids:
         yield row()
@@ -148,7 +147,7 @@ def _requests(shards: int):
                     shard = (top.astype(np.int64) * shards) >> 32
                     cuts = np.searchsorted(shard, np.arange(shards + 1))
                     full = np.flatnonzero(np.diff(cuts))
-                    rows = [(pack(keys[cuts[s] : cuts[s + 1]]), pack(counts[cuts[s] : cuts[s + 1]])) for s in full.tolist()]
+                    rows = [(pack(keys[cuts[s] : cuts[s + 1]], True), pack(counts[cuts[s] : cuts[s + 1]])) for s in full.tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(full * (ORDER + 1) + n, pa.int64()), pa.array(np.full(len(full), chunk), pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())],
                         ["shard", "chunk", "keys", "counts"],
@@ -164,7 +163,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(every)], strict=True):
             part = rows.slice(s, e - s)
-            keys = [unpack(x.as_py()) for x in part["keys"]]
+            keys = [unpack(x.as_py(), True) for x in part["keys"]]
             counts = np.concatenate([unpack(x.as_py()) for x in part["counts"]])
             found, at = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.bincount(at, counts, len(found)).astype(np.int64)
@@ -208,7 +207,7 @@ class Automaton:
         source = np.r_[1 + u[seen], self.pair_state + place[ends - 1][full]]
         symbol = np.r_[w[seen], tokens[ends[full]]]
         target = np.r_[np.flatnonzero(seen), low[full]] + self.pair_state
-        arcs = source * v + symbol
+        arcs = source * np.int64(v) + symbol
         order = np.argsort(arcs)
         self.arcs = np.r_[arcs[order], np.iinfo(np.int64).max]
         self.weight = np.r_[np.log10(np.r_[pair[seen], triple[full]])[order], 0.0]
@@ -219,7 +218,7 @@ class Automaton:
         weight, after = np.zeros(len(state)), np.empty(len(state), np.int64)
         left, s = np.arange(len(state)), state
         while len(left):
-            wanted = s * self.words + symbol[left]
+            wanted = s * np.int64(self.words) + symbol[left]
             at = np.searchsorted(self.arcs, wanted)
             hit = (self.arcs[at] == wanted) & (s > 0)
             weight[left[hit]] += self.weight[at[hit]]
@@ -287,5 +286,6 @@ def score(docs: DataFrame) -> DataFrame:
     words_only = answers.where(F.pmod("shard", F.lit(ORDER + 1)) == 1)
     total, known = words_only.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     both = chunks.select("chunk", F.lit(-1).cast("long").alias("shard"), "data").unionByName(answers.select("chunk", "shard", "data"))
+    parts = min(max(1, chunks.count()), 100_000)
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.repartition("chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_scores(int(total), int(known)), shape)
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(_scores(int(total), int(known)), shape)

@@ -84,7 +84,7 @@ def test_sums_to_one():
 def test_packing():
     rng = np.random.default_rng(1)
     for x in (np.sort(rng.integers(0, 1 << 64, 1000, np.uint64)), np.array([5, 0, 7, 1], np.uint64), np.empty(0, np.uint64)):
-        assert (scoring.unpack(scoring.pack(x)) == x).all()
+        assert all((scoring.unpack(scoring.pack(x, way), way) == x).all() for way in (True, False))
 
 
 def test_nothing_to_learn(spark):
