@@ -32,7 +32,7 @@ from .words import texts, whole_groups, words
 #: Words of an n-gram at most; how many words' worth the shorter context is, by the length of the longer.
 ORDER, PRIOR = 3, {1: 1000.0, 2: 5.0}
 #: Bits of a hash of two or three words (a single word's has all 64); bytes of text a chunk, tokens of the corpus a shard.
-BITS, CHUNK, SHARD = 46, 8_000_000, 1_000_000
+BITS, CHUNK, SHARD = 46, 5_000_000, 1_000_000
 #: Lanes of a chunk that the traversal moves in step.
 LANES = 8192
 END, START = b"\n", np.uint64(xxhash.xxh64_intdigest(b"start of a text", 1))
@@ -185,33 +185,33 @@ class Automaton:
 
     def __init__(self, chunk: Chunk, sums: dict[int, np.ndarray], total: int, known: int):
         v, before, tokens = len(chunk.vocab), chunk.before(), chunk.tokens
-        grams = {n: (keys, first, at) for n, keys, first, at in chunk.grams()}
+        grams = {n: (first.astype(np.int32), at) for n, _, first, at in chunk.grams()}
         self.words, self.end = v, int(np.searchsorted(chunk.vocab, np.uint64(xxhash.xxh64_intdigest(END))))
         one, two, three = (sums[n].astype(np.float64) for n in (1, 2, 3))
         root = (one + 1) / (total + known + 1)
         context = np.r_[one, one[self.end]]
-        _, first, place = grams[2]
+        first, place = grams[2]
         u, w = before[first], tokens[first]
         k = PRIOR[1]
         pair = (two + k * root[w]) / (context[u] + k)
-        _, ends, _ = grams[3]
+        ends, _ = grams.pop(3)
         low = place[ends]
         k = PRIOR[2]
         triple = (three + k * pair[low]) / (two[place[ends - 1]] + k)
         self.root, self.pair_state = np.log10(root), 2 + v
         self.fall = np.r_[0.0, np.log10(PRIOR[1] / (context + PRIOR[1])), np.log10(PRIOR[2] / (two + PRIOR[2]))]
-        self.fail = np.r_[np.zeros(2 + v, np.int64), 1 + w]
+        self.fail = np.r_[np.zeros(2 + v, np.int32), 1 + w]
         self.alone = np.where(one > 0, 1 + np.arange(v), 0)
         self.alone[self.end] = 1 + v
         seen, full = two > 0, three > 0
         source = np.r_[1 + u[seen], self.pair_state + place[ends - 1][full]]
         symbol = np.r_[w[seen], tokens[ends[full]]]
-        target = np.r_[np.flatnonzero(seen), low[full]] + self.pair_state
+        target = np.r_[np.flatnonzero(seen).astype(np.int32), low[full]] + self.pair_state
         arcs = source * np.int64(v) + symbol
-        order = np.argsort(arcs)
+        order = np.argsort(arcs).astype(np.int32)
         self.arcs = np.r_[arcs[order], np.iinfo(np.int64).max]
         self.weight = np.r_[np.log10(np.r_[pair[seen], triple[full]])[order], 0.0]
-        self.to = np.r_[np.where(symbol == self.end, 1 + v, target)[order], 0]
+        self.to = np.r_[np.where(symbol == self.end, np.int32(1 + v), target)[order], np.int32(0)]
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after a symbol each, and what the arcs weigh."""
@@ -266,6 +266,8 @@ def _scores(total: int, known: int):
                      pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(weights, begin))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del c, told, sums, counts, base, weights
+                pa.default_memory_pool().release_unused()
 
     return run
 
