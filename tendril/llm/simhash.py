@@ -22,13 +22,17 @@ SHARD, BUNDLE, WAVE_MB = 512, 65_536, 16
 SHINGLE, SEEDS, RADIUS, MASKS, MASK_BITS = 5, 10, 16, 8, 16
 #: Bits of the min-hash that spares pairs the exact check, and the least similarity it must show: 0.8 less over four errors (0.075).
 MINIMA, LEAST = 64, 0.45
-#: Candidates of a node that are checked when it is asked again.
+#: Candidates of a node that are checked when it is asked again; what is left after that is checked whole.
 AGAIN = 6
+#: Bits of the longer min-hash of nodes asked for all their pairs, and the least similarity it must show: 0.8 less over four errors (0.027).
+WIDE, LEAST_WIDE = 512, 0.68
 #: Visits of a slice of questions at most, so that what a search holds is bounded.
 VISITS = 2_000_000
 _ODD = np.array([xxhash.xxh64_intdigest(b"round", i) | 1 for i in range(SEEDS)], np.uint64)
 _MORE = np.array([xxhash.xxh64_intdigest(b"minimum", i) | 1 for i in range(MINIMA)], np.uint64)
 
+_WIDER = np.array([xxhash.xxh64_intdigest(b"wide", i) | 1 for i in range(WIDE)], np.uint64)
+
 
 def shingles(text: bytes, size: int) -> list[bytes]:
     """Space-joined runs of ``size`` words of the A-Z-lowered text; a shorter text is one run, an empty one none."""
@@ -75,6 +79,14 @@ def minima(hashes: np.ndarray) -> int:
     return int(np.packbits((low >> np.uint64(17)) & np.uint64(1)).view(np.int64)[0])
 
 
+def wide_minima(hashes: np.ndarray) -> bytes:
+    """As ``minima``, with WIDE bits."""
+    low = np.full(WIDE, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 64):
+        np.minimum(low, (hashes[i : i + 64, None] * _WIDER).min(axis=0), out=low)
+    return np.packbits((low >> np.uint64(17)) & np.uint64(1)).tobytes()
+
+
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fp) of every row. size: words a shingle."""
 
@@ -306,10 +318,11 @@ def _likeliest(node: np.ndarray, other: np.ndarray, like: np.ndarray) -> tuple[n
     return u[first], v[first], k[first]
 
 
-def _close(labels: bool):
+def _close(labels: bool, every: bool):
     """Of dealt rows: a forest of the pairs within RADIUS and LEAST, the likeliest first; with labels, each node's likeliest pair across them.
 
     So a task returns a pair or so a node, however large a group of near copies is. like: bits of the minima that agree.
+    every: all pairs across labels that are within LEAST_WIDE too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,6 +331,7 @@ def _close(labels: bool):
             key, side, node = (rows[c].to_numpy() for c in ("key", "side", "node"))
             fp, sig = rows["fp"].to_numpy().view(np.uint64), rows["sig"].to_numpy().view(np.uint64)
             label = rows["label"].to_numpy() if labels else node
+            wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), np.uint64).reshape(len(node), -1) if every else None
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             guests = np.repeat(np.add.reduceat(side, starts) > 0, np.diff(np.r_[starts, len(key)]))
             own, ask = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | ~guests)
@@ -325,6 +339,14 @@ def _close(labels: bool):
                 i, j = own[i], ask[j]
                 like = MINIMA - np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64)
                 ok = ((side[j] == 1) | (i < j)) & (label[i] != label[j]) & (2 * like >= MINIMA * (1 + LEAST))
+                if every:
+                    i, j, like = i[ok], j[ok], like[ok]
+                    far = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
+                    ok = 2 * (WIDE - far) >= WIDE * (1 + LEAST_WIDE)
+                    if ok.any():
+                        pairs = np.unique(np.stack([np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])]), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*pairs, np.zeros(pairs.shape[1]))], ["u", "v", "like"])
+                    continue
                 i, j, like = node[i[ok]], node[j[ok]], like[ok]
                 if labels and len(i):
                     across.append(_likeliest(i, j, like))
@@ -345,16 +367,17 @@ def _close(labels: bool):
     return run
 
 
-def candidates(classes: DataFrame, labels: bool = False, known: DataFrame | None = None) -> DataFrame:
+def candidates(classes: DataFrame, labels: bool = False, known: DataFrame | None = None, every: bool = False) -> DataFrame:
     """Of classes (node, f0, f1 and so on, sig): pairs of which a fingerprint is within RADIUS and agrees on a mask.
 
     A mask's bucket is a shard with its own BK-tree; here trees are built where they are asked, since there are
     SEEDS * MASKS of them a text, too many to broadcast. A bucket of more than 2 * SHARD nodes is cut; its shards meet
     in pairs, each a group of bounded size. labels: nodes of different ``label`` only. Of what tasks return, but for
     known pairs, each node keeps its likeliest pair (AGAIN of them, if pairs are known) and the smallest of the smaller nodes.
+    every: all of them, but for known pairs; classes have ``wide`` then.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
-    extra = ["sig", *(["label"] if labels else [])]
+    extra = ["sig", *(["label"] if labels else []), *(["wide"] if every else [])]
     fps = [f"f{i}" for i in range(SEEDS)]
     at = F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m).cast("long")) for c in fps for m in signed)))
     fp = F.element_at(F.array(*fps), (F.floor(F.col("t") / len(signed)) + 1).cast("int"))
@@ -362,9 +385,11 @@ def candidates(classes: DataFrame, labels: bool = False, known: DataFrame | None
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b"))))
     dealt = split_hot(rows).select("bucket", "node", "fp", *extra, "own", pairs.alias("p"))
     dealt = dealt.select(F.xxhash64("bucket", "p.a", "p.b").alias("key"), (F.col("own") > F.col("p.a")).cast("int").alias("side"), "node", "fp", *extra)
-    got = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close(labels), "u long, v long, like long")
+    got = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close(labels, every), "u long, v long, like long")
     got = got.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "like")
     got = got if known is None else got.join(known, ["u", "v"], "left_anti")
+    if every:
+        return got.select("u", "v").distinct()
     end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "like")
     seen = got.select(F.explode(F.array(end("u", "v"), end("v", "u"))).alias("e")).select("e.*")
     best = F.max_by("y", F.struct("like", -F.col("y")))
@@ -394,13 +419,21 @@ def _alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, alike boolean")
 
 
+def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [wide_minima(_hashes(list(set(shingles(text, SHINGLE))))) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "wide"])
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, node, root) of every row with a doc_id: node as of ``node_of``; rows of one root are a group of near copies.
 
     Links join nodes whose sets of SHINGLE-word shingles have a Jaccard similarity of 0.8 or more; each is checked on
     the texts themselves. Each node's likeliest and smallest candidates are checked first, and make groups. Where a
-    check failed, another candidate may hold in its stead: so all nodes with candidates are asked once more, for
-    unchecked ones in other groups. So a few checks a node are made, not one a pair of a group of copies. Null and empty texts are one node; an empty table gives no rows; other columns take no part.
+    check failed, another candidate may hold in its stead: so all nodes with candidates are asked again, first for a
+    few and then for all unchecked ones in other groups. So a group of copies costs a few checks a node, not one a
+    pair, and no candidate between groups stays unchecked. Null and empty texts are one node; an empty table gives no
+    rows; other columns take no part.
     """
     names = [*(f"f{i}" for i in range(SEEDS)), "sig"]
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -423,9 +456,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     linked = checked.where("alike").select("u", "v")
     roots = components(linked)
     if not checked.where("NOT alike").isEmpty():
-        named = classes.join(ends, "node", "left_semi").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        more = candidates(named, True, checked.select("u", "v"))
-        more = scratch.table(_alike(more, asked).where("alike").select("u", "v"), "more")
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+        labelled = lambda some: some.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        some = scratch.table(classes.join(ends, "node", "left_semi").join(asked.mapInArrow(_widen, "node long, wide binary"), "node"), "some")
+        for every in (False, True):
+            more = candidates(labelled(some if every else some.drop("wide")), True, checked.select("u", "v"), every)
+            more = scratch.table(_alike(more, asked), "more")
+            checked = checked.union(more)
+            if not (joined := more.where("alike").select("u", "v")).isEmpty():
+                roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(joined))
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
