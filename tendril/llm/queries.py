@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, pieces, pii, scoring, secrets, simhash, sketches, substrings, toxicity
+from . import alignment, collocations, mixing, neighbours, pieces, pii, scoring, secrets, simhash, sketches, substrings, toxicity, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,19 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_scoring": op4_scoring, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op7_sketches": op7_sketches, "op8_secrets": op8_secrets, "op9_pieces": op9_pieces, "op10_neighbours": op10_neighbours}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_documents(spark, sf_dir))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), urls.rule_table(spark))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op3_simhash": op3_simhash, "op4_scoring": op4_scoring, "op5_substrings": op5_substrings, "op6_mixing": op6_mixing, "op7_sketches": op7_sketches, "op8_secrets": op8_secrets, "op9_pieces": op9_pieces, "op10_neighbours": op10_neighbours, "op11_alignment": op11_alignment, "op12_collocations": op12_collocations, "op13_urls": op13_urls}
 ORACLES: dict[str, str] = {
     "op5_substrings": r"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS l FROM documents),
@@ -71,4 +83,29 @@ ORACLES: dict[str, str] = {
               FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
         SELECT * FROM r WHERE rank <= 5""",
+    "op12_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\n-\r]')) AS piece FROM t),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda s: s <> '') AS l FROM p),
+        n AS (SELECT lang, CAST(sum(len(l)) AS BIGINT) AS n FROM w GROUP BY lang),
+        k AS (SELECT unnest([1, 2, 3, 4]) AS k),
+        s AS (SELECT lang, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM w JOIN k ON len(l) >= k),
+        g AS (SELECT lang, k, array_to_string(l[i:i + k - 1], ' ') AS phrase, l[i:i + k - 1] AS ws FROM s),
+        f AS (SELECT lang, k, phrase, first(ws) AS ws, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+        c AS (SELECT lang, phrase, ws, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+        d AS (SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+              FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1:], ' ')),
+        e AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM d),
+        z AS (SELECT lang, k, f, ws, unnest(range(2, k)) AS j FROM f WHERE k > 2),
+        y AS (SELECT lang, f, j, ws, unnest(range(1, k - j + 2)) AS i FROM z),
+        h AS (SELECT lang, array_to_string(ws[i:i + j - 1], ' ') AS phrase, max(f) AS longer FROM y GROUP BY 1, 2),
+        q AS (SELECT e.lang, e.phrase, a, l, r, score, row_number() OVER (PARTITION BY e.lang ORDER BY score DESC, a DESC, e.phrase) AS rank FROM e LEFT JOIN h USING (lang, phrase) WHERE o = 1 AND NOT coalesce(100 * longer >= 80 * a, false))
+        SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_urls": r"""
+        WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS v(h, p, a)),
+        u AS (SELECT DISTINCT host, path FROM p),
+        b AS (SELECT host, path, arg_max(h || r.p, length(h || r.p)) AS rule, arg_max(a, length(h || r.p)) AS verdict FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY host, path)
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (host, path)""",
 }
