@@ -5,8 +5,8 @@ coarse cuts: where tokens share a character, or a fallback byte has no span of i
 the ends, from the last sure end on.
 
 Texts are cut before single spaces between other than white space. There both tokenizers always end a token, so what
-stands between two cuts (a unit) is encoded, grouped and linked alike wherever it occurs: each different unit is
-encoded once in the whole corpus, and documents are sums over their units.
+stands between two cuts (a unit) is encoded, grouped and linked alike wherever it occurs: each different unit of a
+chunk of texts is encoded once, and documents are sums over their units.
 """
 
 from __future__ import annotations
@@ -16,14 +16,12 @@ import hashlib
 import importlib.util
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +29,8 @@ from pyspark.sql import functions as F
 from ..functions import scratch
 from .words import texts
 
-#: Bytes of text that ask for their units together.
-CHUNK = 16 << 20
+#: Bytes of text of which a unit is encoded once.
+CHUNK = 32 << 20
 #: The encoding of spaces in pieces.
 MARK = "▁"
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -84,46 +82,6 @@ def _decoded(text: bytes) -> str | None:
         return None
 
 
-def _deal(size: int):
-    """Rows with the number of a chunk: about ``size`` bytes of a task's texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            numbers = []
-            for n in pc.binary_length(batch.column("text")).to_pylist():
-                if held and held + n > size:
-                    chunk, held = chunk + 1, 0
-                held += n
-                numbers.append(chunk)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(numbers, pa.int64()), batch.column("text")], ["doc_id", "chunk", "text"])
-
-    return run
-
-
-def _counted(chunk: int, found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["chunk", "unit", "n"])
-
-
-def _ask(cut: bool):
-    """The units of each chunk, with their numbers; a chunk that is read in two tasks asks twice."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, found = None, Counter()
-        for batch in batches:
-            for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if chunk != at and found:
-                    yield _counted(at, found)
-                    found = Counter()
-                at = chunk
-                if raw and (text := _decoded(raw)) is not None:
-                    found.update(units(text, cut))
-        if found:
-            yield _counted(at, found)
-
-    return run
-
-
 def refined(counts: np.ndarray, start: np.ndarray, stop: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Ends of tokens, in bytes from their unit's beginning. counts: tokens a unit; start, stop: coarse spans; length: decoded bytes.
 
@@ -199,53 +157,76 @@ def encode_units(found: list[str], path_a: str, path_b: str) -> dict[str, list]:
     return {"ok": ok, "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": links, "groups": shown, "a": link_a, "b": link_b}
 
 
-def _encode(path_a: str, path_b: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 5000):
-                part = batch.slice(k, 5000)
-                x = encode_units(part.column("unit").to_pylist(), path_a, path_b)
-                edges = pa.array(np.r_[0, np.cumsum(x["n_links"])].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(edges, pa.array(x[c].astype(np.int32))) for c in ("a", "b")]
-                sums = [pa.array(x[c].astype(np.int32)) for c in ("n_a", "n_b", "n_groups", "n_links")]
-                yield pa.RecordBatch.from_arrays([part.column("unit"), pa.array(x["ok"]), *sums, pa.array(x["groups"], pa.string()), *lists], ["unit", "ok", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b"])
-
-    return run
-
-
-def _spoiled(cut: bool):
-    """Units of texts that have a unit which isn't given back: these texts count nowhere."""
+def _ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of values between successive edges."""
+    total = np.r_[0, np.cumsum(values.astype(np.int64))]
+    return total[edges[1:]] - total[edges[:-1]]
+
+
+def _packed(chunk: int, ids: list, raws: list[bytes], paths: tuple[str, str], cut: bool) -> pa.RecordBatch:
+    """A row: the chunk's documents as lists of its units, the units as lists of its pairs of ids, and these with how many links hold them."""
+    numbers: dict[str, int] = {}
+    own = []
+    for raw in raws:
+        text = _decoded(raw) if raw else None
+        own.append(np.fromiter((numbers.setdefault(u, len(numbers)) for u in (units(text, cut) if text is not None else ())), np.int32))
+    found = list(numbers)
+    parts = [encode_units(found[k : k + 5000], *paths) for k in range(0, len(found), 5000)]
+    joined = {c: np.concatenate([p[c] for p in parts] or [np.zeros(0, np.int64)]) for c in ("ok", *_SUMS[:4], "a", "b")}
+    shown = [g for p in parts for g in p["groups"]]
+    ok = joined["ok"].astype(bool)
+    own = [x if len(x) and ok[x].all() else x[:0] for x in own]
+    edges, flat = np.r_[0, np.cumsum([len(x) for x in own])].astype(np.int32), np.concatenate([*own, np.zeros(0, np.int32)])
+    sums = [pa.array(_sums(joined[c][flat], edges)) for c in _SUMS[:4]]
+    digests = [hashlib.sha256(";".join([shown[i] for i in x.tolist()]).encode()).hexdigest() if len(x) else "" for x in own]
+    docs = pa.table([pa.array(ids, pa.int64()), *sums, pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], ["doc_id", *_SUMS[:4], "groups_sha256", "units"])
+    pairs, at = np.unique(joined["a"].astype(np.int64) << 32 | joined["b"].astype(np.int64), return_inverse=True)
+    times = np.bincount(at, np.repeat(np.bincount(flat, minlength=len(found)), joined["n_links"].astype(np.int64)), len(pairs)).astype(np.int64)
+    links = pa.table([pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(joined["n_links"])].astype(np.int32)), pa.array(at.astype(np.int32)))], ["links"])
+    lists = [pa.array([x], pa.list_(t)) for x, t in (((pairs >> 32).astype(np.int32), pa.int32()), ((pairs & 0xFFFFFFFF).astype(np.int32), pa.int32()), (times, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_ipc(docs)], pa.binary()), pa.array([_ipc(links)], pa.binary()), *lists], ["chunk", "docs", "units", "a", "b", "n"])
+
+
+def _pack(size: int, paths: tuple[str, str], cut: bool):
+    """A row for about ``size`` bytes of a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, ids, raws, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            found = Counter()
-            for raw, bad in zip(batch.column("text").to_pylist(), batch.column("bad").to_pylist(), strict=True):
-                if raw and (text := _decoded(raw)) is not None and not set(bad).isdisjoint(own := units(text, cut)):
-                    found.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([-n for n in found.values()], pa.int64())], ["unit", "n"])
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if held and held + len(raw) > size:
+                    yield _packed(chunk, ids, raws, paths, cut)
+                    chunk, ids, raws, held = chunk + 1, [], [], 0
+                ids.append(doc_id)
+                raws.append(raw)
+                held += len(raw)
+        if ids:
+            yield _packed(chunk, ids, raws, paths, cut)
 
     return run
 
 
-def _total(cut: bool):
-    """Rows of a chunk's texts, as sums over their units."""
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        at = {u: i for i, u in enumerate(answers["unit"].to_pylist())}
-        ok, shown = answers["ok"].to_numpy(), answers["groups"].to_pylist()
-        each = np.stack([answers[c].to_numpy() for c in _SUMS], 1) if len(answers) else np.zeros((0, len(_SUMS)), np.int64)
-        sums, digests = np.zeros((len(docs), len(_SUMS)), np.int64), []
-        for row, raw in enumerate(docs["text"].to_pylist()):
-            text = _decoded(raw) if raw else None
-            own = [at[u] for u in units(text, cut)] if text is not None else []
-            if own and ok[own].all():
-                sums[row] = each[own].sum(axis=0)
-                digests.append(hashlib.sha256(";".join([shown[i] for i in own]).encode()).hexdigest())
-            else:
-                digests.append("")
-        return pa.table([docs["doc_id"], *(pa.array(sums[:, k]) for k in range(len(_SUMS))), pa.array(digests, pa.string())], ["doc_id", *_SUMS, "groups_sha256"])
-
-    return run
+def _total(packs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Documents of a chunk: their units' sums of what is known of each pair of ids by now."""
+    out = []
+    at = answers["pos"].to_numpy()
+    known = np.zeros((2, int(at.max()) + 1 if len(at) else 0), np.int64)
+    known[:, at] = answers["best"].to_numpy(), answers["count"].to_numpy()
+    for docs, links in zip(packs["docs"].to_pylist(), packs["units"].to_pylist(), strict=True):
+        docs, links = (pa.ipc.open_stream(x).read_all() for x in (docs, links))
+        own, links = docs["units"].combine_chunks(), links["links"].combine_chunks()
+        for name, each in zip(_SUMS[4:], known, strict=True):
+            of_unit = _sums(each[links.values.to_numpy()], links.offsets.to_numpy())
+            docs = docs.append_column(name, pa.array(_sums(of_unit[own.values.to_numpy()], own.offsets.to_numpy())))
+        out.append(docs.select(["doc_id", *_SUMS, "groups_sha256"]))
+    return pa.concat_tables(out)
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -261,27 +242,19 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     Other columns don't matter. An empty table gives no rows. Long texts are cut like others; a text without spaces is
     one unit. Sums are 64-bit.
 
-    Chunks of texts are dealt and written once. They ask a table of different units for what they hold, so a join has a
-    row for each chunk and different unit, and a task has one chunk and its units: nothing is broadcast, and no unit,
-    however common, has more rows than there are chunks. If a tokenizer might join units, whole texts are taken.
+    A task turns its texts, CHUNK bytes at a time, into one row, written once: documents are lists of the chunk's
+    units, units lists of the chunk's pairs. The pairs are counted over the corpus, and each chunk is told the counts
+    of its own: a join with a row for each chunk and different pair in it. Nothing is broadcast, no text is shuffled,
+    and no pair, however common, has more rows than there are chunks. If a tokenizer might join units, whole texts
+    are taken.
     """
     paths = path_a or vocabulary_file("byte_bpe_50k.json"), path_b or vocabulary_file("piece_bpe_32k.model")
-    cut = _load(*paths)[4]
-    dealt = scratch.table(texts(docs).mapInArrow(_deal(chunk), "doc_id long, chunk long, text binary"), "dealt")
-    asked = scratch.table(dealt.mapInArrow(_ask(cut), "chunk long, unit string, n long"), "asked")
-    shape = "unit string, ok boolean, n_a int, n_b int, n_groups int, n_links int, groups string, a array<int>, b array<int>"
-    coded = scratch.table(asked.select("unit").distinct().mapInArrow(_encode(*paths), shape), "coded")
-    bad = asked.join(coded.where("NOT ok").select("unit"), "unit").groupBy("chunk").agg(F.collect_set("unit").alias("bad"))
-    spoiled = dealt.join(bad, "chunk").select("text", "bad").mapInArrow(_spoiled(cut), "unit string, n long")
-    counts = asked.select("unit", "n").unionByName(spoiled).groupBy("unit").agg(F.sum("n").alias("n"))
-    links = coded.where("ok").select("unit", F.explode(F.arrays_zip("a", "b")).alias("l")).select("unit", "l.a", "l.b").groupBy("unit", "a", "b").agg(F.count("*").alias("times"))
-    pairs = links.join(counts.where("n > 0"), "unit").groupBy("a", "b").agg(F.sum(F.col("times") * F.col("n")).alias("count"))
-    pairs = scratch.table(pairs, "pairs")
-    best = pairs.groupBy("b").agg(F.max("count").alias("most"))
-    judged = pairs.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
-    score = links.join(judged, ["a", "b"]).groupBy("unit").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    longs = [F.col(c).cast("long").alias(c) for c in _SUMS[:4]]
-    known = coded.select("unit", "ok", "groups", *longs).join(score, "unit", "left").na.fill(0, ["n_best", "count_sum"])
-    answers = asked.select("chunk", "unit").join(known, "unit").select("chunk", "unit", "ok", "groups", *_SUMS)
+    packs = texts(docs).mapInArrow(_pack(chunk, paths, _load(*paths)[4]), "chunk long, docs binary, units binary, a array<int>, b array<int>, n array<long>")
+    packs = scratch.table(packs, "packs")
+    asked = packs.select(F.col("chunk").alias("of"), F.posexplode(F.arrays_zip("a", "b", "n")).alias("pos", "x")).select("of", "pos", "x.a", "x.b", "x.n")
+    pairs = scratch.table(asked.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
+    most = pairs.groupBy("b").agg(F.max("count").alias("most"))
+    judged = pairs.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+    answers = asked.select("of", "pos", "a", "b").join(judged, ["a", "b"]).select("of", "pos", "count", "best")
     shape = "doc_id long, " + ", ".join(f"{c} long" for c in _SUMS) + ", groups_sha256 string"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_total(cut), shape)
+    return packs.select("chunk", "docs", "units").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_total, shape)
