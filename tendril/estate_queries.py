@@ -13,7 +13,7 @@ from .operators import fleet
 from .operators import maintenance as m
 from .operators import pressure as p
 from .operators import reports as r
-from .queries import HIT, IDENTITY, ORACLES, OVERRIDE, PLAN_INDEX, PROFILE, RULE_SQL, RULES, SET, VICTIMS, WHERE, on_tables, query
+from .queries import _recursive, HIT, IDENTITY, ORACLES, OVERRIDE, PLAN_INDEX, PROFILE, RULE_SQL, RULES, SET, VICTIMS, WHERE, on_tables, query
 from .sources import catalog
 
 # Sources
@@ -95,37 +95,38 @@ def event_feed(e):
 # Blocking and pressure
 
 
-@query("session_snapshots", f"SELECT identity, poll_ts, debt_s, CASE WHEN n <= 3 THEN 'act' ELSE 'escalate' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY poll_ts) AS n FROM (SELECT identity, poll_ts, CAST(sum(ms) OVER (PARTITION BY identity ORDER BY poll_ts) AS BIGINT) AS debt_s FROM (SELECT {IDENTITY} AS identity, poll_ts, sum(wait_ms) AS ms FROM session_snapshots GROUP BY 1, 2) x) y WHERE debt_s >= 50000) z WHERE n <= 4")
+@query("session_snapshots", f"""SELECT server, identity, poll_ts, debt_s, CASE WHEN n <= 3 THEN 'act' ELSE 'escalate' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY server, identity ORDER BY poll_ts, episode) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY server, identity, episode ORDER BY poll_ts) AS e FROM (SELECT server, identity, poll_ts, extract(day FROM poll_ts) // 3 AS episode, CAST(sum(ms) OVER (PARTITION BY server, identity ORDER BY poll_ts) AS BIGINT) AS debt_s
+   FROM (SELECT server, {IDENTITY} AS identity, poll_ts, sum(wait_ms) AS ms FROM session_snapshots GROUP BY 1, 2, 3) x) y WHERE debt_s >= 50000) z WHERE e = 1) w WHERE n <= 4""")
 def action_candidates(s):
-    d = b.offender_identity(s).groupBy("identity", "poll_ts").agg(F.sum("wait_ms").alias("ms"))
-    d = d.selectExpr("identity", "0 AS bucket", "poll_ts", "sum(ms) OVER (PARTITION BY identity ORDER BY poll_ts) AS debt_s")
-    return b.action_candidates(d, 50_000).select("identity", "poll_ts", "debt_s", "action")
+    d = b.offender_identity(s).groupBy("server", "identity", "poll_ts").agg(F.sum("wait_ms").alias("ms"))
+    d = d.selectExpr("server", "identity", "0 AS bucket", "poll_ts", "extract(day FROM poll_ts) DIV 3 AS episode", "sum(ms) OVER (PARTITION BY server, identity ORDER BY poll_ts) AS debt_s")
+    return b.action_candidates(d, 50_000).select("server", "identity", "poll_ts", "debt_s", "action")
 
 
 KIND = "CASE WHEN first_event % 50 = 0 THEN 'transient' WHEN first_event % 7 = 0 THEN 'tail' ELSE 'lock' END"
 
 
-@query("session_snapshots", f"""SELECT spid AS object_id, min(poll_ts) AS first_seen, max(poll_ts) AS last_seen, count(*) FILTER (WHERE kind = 'lock') AS locks,
-  CASE max(CASE kind WHEN 'transient' THEN 3 WHEN 'tail' THEN 2 ELSE 1 END) WHEN 3 THEN 'transient' WHEN 2 THEN 'tail' ELSE 'lock' END AS confirmed_by FROM (SELECT *, {KIND} AS kind FROM session_snapshots) x GROUP BY spid""")
+@query("session_snapshots", f"""SELECT server, spid AS object_id, min(poll_ts) AS first_seen, max(poll_ts) AS last_seen, count(*) FILTER (WHERE kind = 'lock') AS locks,
+  CASE max(CASE kind WHEN 'transient' THEN 3 WHEN 'tail' THEN 2 ELSE 1 END) WHEN 3 THEN 'transient' WHEN 2 THEN 'tail' ELSE 'lock' END AS confirmed_by FROM (SELECT *, {KIND} AS kind FROM session_snapshots) x GROUP BY server, spid""")
 def contended_objects(s):
-    return b.contended_objects(s.selectExpr("spid AS object_id", "poll_ts", f"{KIND} AS kind"))
+    return b.contended_objects(s.selectExpr("server", "spid AS object_id", "poll_ts", f"{KIND} AS kind"))
 
 
-@query("session_snapshots", "SELECT poll_ts, spid FROM session_snapshots WHERE status = 'running' AND command IN ('ALTER INDEX', 'DBCC') AND spid % 3 = 0")
+@query("session_snapshots", "SELECT server, poll_ts, spid FROM session_snapshots WHERE status = 'running' AND command IN ('ALTER INDEX', 'DBCC') AND spid % 3 = 0")
 def held_object_locks(s):
-    d = s.selectExpr("poll_ts", "spid", "CASE WHEN status = 'running' THEN 'GRANT' ELSE 'WAIT' END AS status", "CASE WHEN command IN ('ALTER INDEX', 'DBCC') THEN 'Sch-M' ELSE 'IX' END AS mode", "CASE WHEN spid % 3 = 0 THEN 'OBJECT' ELSE 'PAGE' END AS resource")
-    return b.held_object_locks(d).select("poll_ts", "spid")
+    d = s.selectExpr("server", "poll_ts", "spid", "CASE WHEN status = 'running' THEN 'GRANT' ELSE 'WAIT' END AS status", "CASE WHEN command IN ('ALTER INDEX', 'DBCC') THEN 'Sch-M' ELSE 'IX' END AS mode", "CASE WHEN spid % 3 = 0 THEN 'OBJECT' ELSE 'PAGE' END AS resource")
+    return b.held_object_locks(d).select("server", "poll_ts", "spid")
 
 
-@query("session_snapshots runs", f"""SELECT v.poll_ts, v.spid, count(DISTINCT node) AS behind FROM ({VICTIMS}) v JOIN closure c ON c.poll_ts = v.poll_ts AND c.root = v.spid AND c.node <> c.root
-  WHERE {RULE_SQL.replace("login,", "v.login,").replace("program,", "v.program,").replace("spid =", "v.spid =")} IS NULL AND (v.command IN ('ALTER INDEX', 'DBCC') OR v.command LIKE 'UPDATE STATISTIC%')
-   AND NOT EXISTS (SELECT 1 FROM session_snapshots o JOIN runs ru ON o.poll_ts = ru.poll_ts AND o.spid = ru.run_spid WHERE o.poll_ts = v.poll_ts AND o.blocking_spid = v.spid AND o.blocking_spid <> 0) GROUP BY v.poll_ts, v.spid""")
+@query("session_snapshots runs", f"""/*closure*/ SELECT v.server, v.poll_ts, v.spid, count(DISTINCT node) AS behind FROM ({VICTIMS}) v JOIN closure c ON c.server = v.server AND c.poll_ts = v.poll_ts AND c.root = v.spid AND c.node <> c.root
+  WHERE {RULE_SQL.replace("login,", "v.login,").replace("program,", "v.program,").replace("spid =", "v.spid =").replace("statement,", "v.statement,").replace("batch,", "v.batch,").replace("host LIKE", "v.host LIKE")} IS NULL AND (v.command IN ('ALTER INDEX', 'DBCC') OR v.command LIKE 'UPDATE STATISTIC%')
+   AND NOT EXISTS (SELECT 1 FROM session_snapshots o JOIN runs ru ON o.server = ru.server AND o.poll_ts = ru.poll_ts AND o.spid = ru.run_spid WHERE o.server = v.server AND o.poll_ts = v.poll_ts AND o.blocking_spid = v.spid AND o.blocking_spid <> 0) GROUP BY v.server, v.poll_ts, v.spid""")
 def amplifying_victims(s, runs):
-    return b.amplifying_victims(s, runs, RULES).select("poll_ts", "spid", "behind")
+    return b.amplifying_victims(s, runs, RULES).select("server", "poll_ts", "spid", "behind")
 
 
-ORACLES["amplifying_victims"] = ORACLES["amplifying_victims"].replace("WITH session_snapshots", "WITH RECURSIVE session_snapshots").replace(" SELECT v.poll_ts, v.spid, count", """, closure AS (SELECT poll_ts, blocking_spid AS root, spid AS node FROM session_snapshots WHERE blocking_spid <> 0
-  UNION SELECT c.poll_ts, c.root, s.spid FROM closure c JOIN session_snapshots s ON s.poll_ts = c.poll_ts AND s.blocking_spid = c.node) SELECT v.poll_ts, v.spid, count""")
+ORACLES["amplifying_victims"] = _recursive(ORACLES["amplifying_victims"])
 
 
 @on_tables("customer", "orders", sql="""SELECT c_custkey AS database, CASE WHEN c_custkey % 9 <> 0 THEN CAST(epoch(TIMESTAMP '1999-01-01') - epoch(TIMESTAMP '1998-01-01') - 3600 * c_custkey AS BIGINT) END AS backup_age_s,
@@ -362,21 +363,21 @@ def run_report_sink(li):
 # Jobs, debts and progress
 
 
-@query("session_snapshots", f"""SELECT poll_ts, spid, identity, CASE WHEN identity LIKE 'job:%' AND substr(identity, 8, 1) <> '9' THEN concat('job ', substr(identity, 8, 1)) END AS job_name, CASE WHEN identity LIKE 'job:%' AND right(identity, 1) <> '2' THEN concat('step ', right(identity, 1)) END AS step_name,
-  identity LIKE 'job:%' AND substr(identity, 8, 1) <> '9' AS resolved FROM (SELECT poll_ts, spid, replace({IDENTITY}, 'job:00', 'job:00') AS identity FROM session_snapshots) x""".replace("substr(identity, 8, 1)", "substr(identity, 7, 1)"))
+@query("session_snapshots", f"""SELECT server, poll_ts, spid, identity, CASE WHEN identity LIKE 'job:%' AND substr(identity, 8, 1) <> '9' THEN concat('job ', substr(identity, 8, 1)) END AS job_name, CASE WHEN identity LIKE 'job:%' AND right(identity, 1) <> '2' THEN concat('step ', right(identity, 1)) END AS step_name,
+  identity LIKE 'job:%' AND substr(identity, 8, 1) <> '9' AS resolved FROM (SELECT server, poll_ts, spid, replace({IDENTITY}, 'job:00', 'job:00') AS identity FROM session_snapshots) x""".replace("substr(identity, 8, 1)", "substr(identity, 7, 1)"))
 def attribute_jobs(s):
-    who = b.offender_identity(s).select("poll_ts", "spid", "identity")
+    who = b.offender_identity(s).select("server", "poll_ts", "spid", "identity")
     jobs = s.selectExpr("concat('00', spid % 10) AS job", "concat('job ', spid % 10) AS job_name").distinct().where("job <> '009'")
     steps = s.selectExpr("concat('00', spid % 10) AS job", "CAST(spid % 3 AS INT) AS step", "concat('step ', spid % 3) AS step_name").distinct().where("step <> 2")
-    return b.attribute_jobs(who, jobs, steps).select("poll_ts", "spid", "identity", "job_name", "step_name", "resolved")
+    return b.attribute_jobs(who, jobs, steps).select("server", "poll_ts", "spid", "identity", "job_name", "step_name", "resolved")
 
 
 @query("session_snapshots runs", f"""SELECT server, rule, bucket, CAST(sum(gap) AS BIGINT) AS debt_s, count(*) AS polls FROM (SELECT *, CAST(sum(CASE WHEN idle THEN 1 ELSE 0 END) OVER (PARTITION BY server, rule ORDER BY poll_ts) AS BIGINT) AS bucket FROM (
    SELECT *, coalesce(epoch(poll_ts) - epoch(lag(poll_ts) OVER (PARTITION BY server, rule ORDER BY poll_ts)) > 86400, false) AS idle FROM (
     SELECT server, poll_ts, rule, CASE WHEN lag(blocker) OVER v = blocker THEN CAST(epoch(poll_ts) - epoch(lag(poll_ts) OVER v) AS BIGINT) ELSE 0 END AS gap FROM (
-     SELECT r.server, s.poll_ts, s.blocking_spid % 2 AS blocker, {RULE_SQL} AS rule FROM session_snapshots s JOIN runs r ON s.poll_ts = r.poll_ts AND s.spid = r.run_spid) x WINDOW v AS (PARTITION BY server ORDER BY poll_ts)) y WHERE rule IS NOT NULL) z) w GROUP BY server, rule, bucket""")
+     SELECT r.server, s.poll_ts, s.blocking_spid % 2 AS blocker, {RULE_SQL} AS rule FROM session_snapshots s JOIN runs r ON s.server = r.server AND s.poll_ts = r.poll_ts AND s.spid = r.run_spid) x WINDOW v AS (PARTITION BY server ORDER BY poll_ts)) y WHERE rule IS NOT NULL) z) w GROUP BY server, rule, bucket""")
 def rule_debt(s, runs):
-    d = runs.join(b.first_matching_rule(s, RULES), (s["poll_ts"] == runs["poll_ts"]) & (s["spid"] == runs["run_spid"])).select("server", s["poll_ts"], (F.col("blocking_spid") % 2).alias("blocker_spid"), "rule")
+    d = b.first_matching_rule(s, RULES).join(runs.withColumnRenamed("run_spid", "spid"), ["server", "poll_ts", "spid"]).select("server", "poll_ts", (F.col("blocking_spid") % 2).alias("blocker_spid"), "rule")
     return b.rule_debt(d, 86400)
 
 

@@ -8,24 +8,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 VIEWS = {
     "session_snapshots": """
-        WITH s AS (SELECT date_trunc('hour', ts) AS poll_ts, user_id + 1 AS spid, min(event_id) AS first_event,
-                          max(value) AS v, min(event_type) AS et FROM events GROUP BY date_trunc('hour', ts), user_id + 1)
-        SELECT poll_ts, spid, first_event,
+        WITH s AS (SELECT concat('srv', CAST(user_id % 2 AS VARCHAR(9))) AS server, date_trunc('hour', ts) AS poll_ts, CAST(floor(user_id / 2.0) AS BIGINT) + 1 AS spid, min(event_id) AS first_event,
+                          max(value) AS v, min(event_type) AS et FROM events GROUP BY 1, 2, 3)
+        SELECT server, poll_ts, spid, first_event,
           CASE WHEN first_event % 5 = 0 THEN 'sleeping' ELSE 'running' END AS status,
           CASE et WHEN 'click' THEN 'SELECT' WHEN 'error' THEN 'UPDATE STATISTICS' WHEN 'purchase' THEN 'ALTER INDEX'
                   WHEN 'signup' THEN 'DBCC' ELSE 'INSERT' END AS command,
-          concat('login', CAST(spid % 7 AS VARCHAR(9))) AS login, concat('host', CAST(spid % 5 AS VARCHAR(9))) AS host,
+          CASE WHEN first_event % 4 = 0 THEN '' ELSE concat(et, ' t', CAST(spid % 6 AS VARCHAR(9))) END AS statement, concat('EXEC p', CAST(spid % 9 AS VARCHAR(9))) AS batch,
+          CASE WHEN spid % 11 = 0 THEN '' ELSE concat('login', CAST(spid % 7 AS VARCHAR(9))) END AS login, concat('host', CAST(spid % 5 AS VARCHAR(9))) AS host,
           CASE WHEN spid % 4 = 0 THEN concat('SQLAgent - TSQL JobStep (Job 0x00', CAST(spid % 10 AS VARCHAR(9)), ' : Step ', CAST(spid % 3 AS VARCHAR(9)), ')')
                ELSE concat('app', CAST(spid % 6 AS VARCHAR(9))) END AS program,
           CASE WHEN first_event % 3 = 0 THEN 0
-               WHEN first_event % 7 = 0 THEN coalesce(lead(spid, 2) OVER (PARTITION BY poll_ts ORDER BY first_event), 0)
-               ELSE coalesce(lag(spid) OVER (PARTITION BY poll_ts ORDER BY first_event), 0) END AS blocking_spid,
+               WHEN first_event % 7 = 0 THEN coalesce(lead(spid, 2) OVER (PARTITION BY server, poll_ts ORDER BY first_event), 0)
+               ELSE coalesce(lag(spid) OVER (PARTITION BY server, poll_ts ORDER BY first_event), 0) END AS blocking_spid,
           CAST(floor(v * 100) AS BIGINT) AS wait_ms
         FROM s
     """,
     "runs": """
-        SELECT poll_ts, spid AS run_spid, concat('srv', CAST(extract(hour FROM poll_ts) % 3 AS VARCHAR(9))) AS server
-        FROM (SELECT poll_ts, spid, row_number() OVER (PARTITION BY poll_ts ORDER BY first_event) AS rn, count(*) OVER (PARTITION BY poll_ts) AS n FROM session_snapshots) x WHERE rn = least(3, n)
+        SELECT server, poll_ts, spid AS run_spid
+        FROM (SELECT server, poll_ts, spid, row_number() OVER (PARTITION BY server, poll_ts ORDER BY first_event) AS rn, count(*) OVER (PARTITION BY server, poll_ts) AS n FROM session_snapshots) x WHERE rn = least(3, n)
     """,
     "wait_snapshots": """
         SELECT ts AS poll_ts, user_id + 1 AS spid, wait_type,

@@ -13,47 +13,73 @@ from ..functions.columns import over
 #: Verbs whose blocked request turns into an outage of the table, and maintenance verbs.
 AMPLIFYING = ("ALTER INDEX", "ALTER TABLE", "CREATE INDEX", "CREATE STATISTICS", "UPDATE STATISTIC", "DROP INDEX", "DROP TABLE", "TRUNCATE TABLE", "DBCC")
 MAINTENANCE = ("ALTER INDEX", "DBCC")
+#: Ids of sessions are unique in one server only.
+SERVER = ("server",)
 JOB = r"^SQLAgent - TSQL JobStep \(Job 0x([0-9A-Fa-f]+) : Step (\d+)\)$"
 
 
-def direct_victims(sessions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Sessions that the poll's run blocks directly; session 0 blocks nobody."""
-    return sessions.join(runs.where("run_spid <> 0"), "poll_ts").where(F.col("blocking_spid") == F.col("run_spid"))
+def direct_victims(sessions: DataFrame, runs: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Sessions that the run of their server and poll blocks directly; session 0 blocks nobody."""
+    r = runs.where("run_spid <> 0").select(*keys, "poll_ts", "run_spid")
+    return sessions.join(r, [*keys, "poll_ts"]).where(F.col("blocking_spid") == F.col("run_spid"))
 
 
-def self_block(sessions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Is the run itself blocked, and by whom; the blocker's row may be missing."""
-    me = sessions.join(runs, "poll_ts").where("spid = run_spid AND blocking_spid <> 0").select("poll_ts", "spid", F.col("blocking_spid").alias("blocker_spid"), "wait_ms")
-    b = sessions.select("poll_ts", F.col("spid").alias("blocker_spid"), F.col("login").alias("blocker_login"), F.col("program").alias("blocker_program"))
-    return me.join(b, ["poll_ts", "blocker_spid"], "left")
+def self_block(sessions: DataFrame, runs: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Is the run itself blocked, by whom, and with what at work: its statement or, without one, its batch. The blocker's row may be missing."""
+    on = [*keys, "poll_ts"]
+    me = sessions.join(runs.select(*on, F.col("run_spid").alias("spid")), [*on, "spid"]).where("blocking_spid <> 0").select(*on, "spid", F.col("blocking_spid").alias("blocker_spid"), "wait_ms")
+    query = F.coalesce(F.nullif(F.trim("statement"), F.lit("")), F.col("batch"))
+    b = sessions.select(*on, F.col("spid").alias("blocker_spid"), F.col("login").alias("blocker_login"), F.col("program").alias("blocker_program"), query.alias("blocker_query"))
+    return me.join(b, [*on, "blocker_spid"], "left")
 
 
-def blocked_behind(sessions: DataFrame) -> DataFrame:
-    """Distinct sessions queued behind each blocker over any number of steps, itself left out; safe on cycles.
+def blocked_behind(sessions: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Distinct sessions of a server and poll queued behind each other one over any number of steps, itself left out.
 
-    The frontier grows by one step a round; pairs that were met before are dropped, so rounds end with the longest
-    chain. Each round's new pairs are written to the shared folder.
+    A session waits for one blocker (of several rows: the smallest id), so a poll is trees that hang on roots or
+    cycles. Pointers are doubled until only cycles are pointed at; a cycle becomes one node, and sums are doubled up
+    the trees. Both take as many rounds as the longest chain has binary digits, and each round writes a row a session.
     """
-    edges = sessions.where("blocking_spid <> 0").select("poll_ts", F.col("blocking_spid").alias("up"), F.col("spid").alias("down")).distinct()
-    edges = scratch.table(edges, "edges")
-    seen = front = edges.withColumnRenamed("up", "root").withColumnRenamed("down", "node")
-    while True:
-        step = front.join(edges, (front["poll_ts"] == edges["poll_ts"]) & (front["node"] == edges["up"])).select(front["poll_ts"], "root", F.col("down").alias("node"))
-        front = scratch.table(step.distinct().join(seen, ["poll_ts", "root", "node"], "left_anti"), "front")
-        if front.isEmpty():
+    on = [*keys, "poll_ts"]
+    waits = sessions.where("blocking_spid <> 0").groupBy(*on, "spid").agg(F.min("blocking_spid").alias("ptr"))
+    nodes = waits.select(*on, F.explode(F.array("spid", "ptr")).alias("spid")).distinct().join(waits, [*on, "spid"], "left")
+    first = d = scratch.table(nodes.withColumn("low", F.col("spid")).withColumn("moved", F.lit(True)), "waits")
+    pointed = lambda t: t.where("ptr IS NOT NULL").select(*on, F.col("ptr").alias("spid")).distinct()
+    left = pointed(d).count()
+    while left:
+        ahead = d.select(*on, F.col("spid").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("far"))
+        low = F.least("low", "far")  # of all that a session waits for so far: in a cycle, its name
+        new = scratch.table(d.join(ahead, [*on, "ptr"], "left").select(*on, "spid", F.col("next").alias("ptr"), low.alias("low"), ((low < F.col("low")) & F.col("next").isNotNull()).alias("moved")), "waits")
+        was, left = left, pointed(new).count()
+        d = new
+        if left == was and d.where("moved").isEmpty():
             break
-        seen = seen.unionByName(front)  # each round's pairs are written once
-    return seen.where("node <> root").groupBy("poll_ts", F.col("root").alias("spid")).agg(F.count("*").alias("behind"))
+    cycles = scratch.table(pointed(d).join(d.select(*on, "spid", F.col("low").alias("rep")), [*on, "spid"]), "cycles")
+    named = first.select(*on, "spid", "ptr").join(cycles, [*on, "spid"], "left")
+    above = cycles.select(*on, F.col("spid").alias("ptr"), F.col("rep").alias("above"))
+    named = named.join(above, [*on, "ptr"], "left").select(*on, "spid", F.coalesce("rep", "spid").alias("rep"), F.when(F.col("rep").isNull(), F.coalesce("above", "ptr")).alias("ptr"))
+    named = scratch.table(named, "named")
+    f = scratch.table(named.groupBy(*on, "rep").agg(F.max("ptr").alias("ptr"), F.count("*").alias("n")), "sums")
+    while not f.where("ptr IS NOT NULL").isEmpty():
+        more = f.where("ptr IS NOT NULL").groupBy(*on, F.col("ptr").alias("rep")).agg(F.sum("n").alias("more"))
+        ahead = f.select(*on, F.col("rep").alias("ptr"), F.col("ptr").alias("next"))
+        f = scratch.table(f.join(more, [*on, "rep"], "left").join(ahead, [*on, "ptr"], "left").select(*on, "rep", F.col("next").alias("ptr"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "sums")
+    return named.select(*on, "spid", "rep").join(f.select(*on, "rep", "n"), [*on, "rep"]).where("n > 1").select(*on, "spid", (F.col("n") - 1).alias("behind"))
 
 
-def active_request_count(sessions: DataFrame) -> DataFrame:
-    return sessions.groupBy("poll_ts").agg(F.count_if(F.lower("status") != "sleeping").alias("active"))
+def active_request_count(sessions: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    return sessions.groupBy(*keys, "poll_ts").agg(F.count_if(F.lower("status") != "sleeping").alias("active"))
 
 
 def rule_match(rule: dict) -> Column:
-    """A rule's set fields all match: spid exactly; login, host, program and statement as unanchored expressions."""
+    """A rule's set fields all match: spid exactly; login, host, program and command as unanchored expressions, and
+
+    statement as one on the active statement or its whole batch.
+    """
+    hit = lambda c, x: F.coalesce(F.col(c).rlike(x), F.lit(False))
     parts = [F.col("spid") == rule["spid"]] if rule.get("spid") is not None else []
-    parts += [F.coalesce(F.col(k).rlike(rule[k]), F.lit(False)) for k in ("login", "host", "program", "command") if rule.get(k)]
+    parts += [hit(k, rule[k]) for k in ("login", "host", "program", "command") if rule.get(k)]
+    parts += [hit("statement", rule["statement"]) | hit("batch", rule["statement"])] if rule.get("statement") else []
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(False)
 
 
@@ -70,18 +96,25 @@ def match_session_rules(sessions: DataFrame, rules: list[dict]) -> DataFrame:
     return first_matching_rule(sessions, rules).where("rule IS NOT NULL").drop("rule", "delay")
 
 
-def block_state(sessions: DataFrame, runs: DataFrame, rules: list[dict]) -> DataFrame:
-    """Per poll: blocks anyone; blocks someone whom no rule allows."""
-    v = first_matching_rule(direct_victims(sessions, runs), rules).select("poll_ts", F.col("rule").isNull().alias("free"))
-    s = v.groupBy("poll_ts").agg(F.bool_or("free").alias("unignored"))
-    return runs.select("poll_ts").distinct().join(s, "poll_ts", "left").select("poll_ts", F.col("unignored").isNotNull().alias("any_blocked"), F.coalesce("unignored", F.lit(False)).alias("unignored"))
+def block_state(sessions: DataFrame, runs: DataFrame, rules: list[dict], keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Per server and poll: blocks anyone; blocks someone whom no rule allows."""
+    on = [*keys, "poll_ts"]
+    v = first_matching_rule(direct_victims(sessions, runs, keys), rules).select(*on, F.col("rule").isNull().alias("free"))
+    s = v.groupBy(*on).agg(F.bool_or("free").alias("unignored"))
+    return runs.select(*on).distinct().join(s, on, "left").select(*on, F.col("unignored").isNotNull().alias("any_blocked"), F.coalesce("unignored", F.lit(False)).alias("unignored"))
 
 
-def suppress_recent(victims: DataFrame, actions: DataFrame, grace_s: int = 15) -> DataFrame:
-    """Victims without an action, other than a failed one, in the seconds before (or pending)."""
-    a = actions.where("NOT failed").select(F.col("spid").alias("a_spid"), "action_ts")
-    late = (F.col("spid") == F.col("a_spid")) & (F.col("action_ts") <= F.col("poll_ts")) & (F.col("poll_ts") < F.col("action_ts") + F.expr(f"INTERVAL {grace_s} SECONDS"))
-    return victims.join(a, late, "left_anti")
+def suppress_recent(victims: DataFrame, actions: DataFrame, grace_s: int = 15, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Victims without an action that is pending, or was done less than grace_s before, on their server.
+
+    actions: (server, spid, action_ts, done_ts, failed); without done_ts it is pending, from action_ts on. A failed
+    one suppresses nothing. Actions of a session meet its victims by server, session and what time they cover.
+    """
+    end = F.col("done_ts") + F.expr(f"INTERVAL {grace_s} SECONDS")
+    a = actions.where("NOT coalesce(failed, false)").select(*keys, "spid", "action_ts", end.alias("end_ts"))
+    on = [victims[k] == a[k] for k in (*keys, "spid")]
+    late = (a["action_ts"] <= victims["poll_ts"]) & (a["end_ts"].isNull() | (victims["poll_ts"] < a["end_ts"]))
+    return victims.join(a, reduce(lambda x, y: x & y, on) & late, "left_anti")
 
 
 def classify_commands(sessions: DataFrame, allow: list[str] | None = None) -> DataFrame:
@@ -91,11 +124,12 @@ def classify_commands(sessions: DataFrame, allow: list[str] | None = None) -> Da
     return sessions.withColumn("is_maintenance", verb.isin(*MAINTENANCE)).withColumn("is_amplifying", amplifying)
 
 
-def amplifying_victims(sessions: DataFrame, runs: DataFrame, rules: list[dict], own_program: str = "tendril", min_behind: int = 1) -> DataFrame:
+def amplifying_victims(sessions: DataFrame, runs: DataFrame, rules: list[dict], own_program: str = "tendril", min_behind: int = 1, keys: tuple[str, ...] = SERVER) -> DataFrame:
     """Direct victims with an amplifying verb: not ours, not ignored, not our own blocker, with enough sessions behind."""
-    v = classify_commands(first_matching_rule(direct_victims(sessions, runs), rules).where("rule IS NULL").drop("rule", "delay")).where("is_amplifying")
-    v = v.where(~F.col("program").startswith(own_program)).join(self_block(sessions, runs).select("poll_ts", F.col("blocker_spid").alias("spid")), ["poll_ts", "spid"], "left_anti")
-    return v.join(blocked_behind(sessions), ["poll_ts", "spid"]).where(F.col("behind") >= max(1, min_behind))
+    on = [*keys, "poll_ts", "spid"]
+    v = classify_commands(first_matching_rule(direct_victims(sessions, runs, keys), rules).where("rule IS NULL").drop("rule", "delay")).where("is_amplifying")
+    v = v.where(~F.col("program").startswith(own_program)).join(self_block(sessions, runs, keys).select(*on[:-1], F.col("blocker_spid").alias("spid")), on, "left_anti")
+    return v.join(blocked_behind(sessions, keys), on).where(F.col("behind") >= max(1, min_behind))
 
 
 def offender_identity(sessions: DataFrame) -> DataFrame:
@@ -141,60 +175,82 @@ def rule_debt(blocks: DataFrame, idle_s: int = 300, keys: tuple[str, ...] = ("se
     return d.groupBy(*keys, "rule", "bucket").agg(F.sum("gap").alias("debt_s"), F.count("*").alias("polls"))
 
 
-def action_candidates(debt: DataFrame, after_s: int, cap: int = 3) -> DataFrame:
-    """Of running debts in order: the first ``cap`` rows at or over the delay act, the next one escalates, the rest are silent."""
-    n = F.row_number().over(over(["identity", "bucket"], "poll_ts"))
-    d = debt.where(F.col("debt_s") >= after_s).withColumn("n", n)
+def action_candidates(debt: DataFrame, after_s: int, cap: int = 3, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Of running debts (server, identity, bucket, episode, poll_ts, debt_s): each episode's first row at or over the delay is due.
+
+    The first ``cap`` due rows of a bucket act, the next one escalates, the rest are silent.
+    """
+    of = [*keys, "identity", "bucket"]
+    d = debt.where(F.col("debt_s") >= after_s).withColumn("n", F.row_number().over(over([*of, "episode"], "poll_ts"))).where("n = 1")
+    d = d.withColumn("n", F.row_number().over(over(of, "poll_ts", "episode")))
     return d.where(F.col("n") <= cap + 1).withColumn("action", F.when(F.col("n") <= cap, "act").otherwise("escalate"))
 
 
-def blocker_capture(victims: DataFrame) -> DataFrame:
-    """Distinct victims with first and last sight and count."""
-    return victims.groupBy("spid", "login", "host", "program", "command").agg(F.min("poll_ts").alias("first_seen"), F.max("poll_ts").alias("last_seen"), F.count("*").alias("times_seen"))
+def blocker_capture(victims: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Distinct victims of a server with first and last sight and count; ``seq`` is their order of first sight."""
+    who = ["spid", "login", "host", "program", "command"]
+    g = victims.groupBy(*keys, *who).agg(F.min("poll_ts").alias("first_seen"), F.max("poll_ts").alias("last_seen"), F.count("*").alias("times_seen"))
+    return g.withColumn("seq", F.row_number().over(over([*keys], "first_seen", *who)).cast("long"))
 
 
-def peak_blocked(victims: DataFrame) -> DataFrame:
-    """The largest simultaneous victim count of each run."""
-    return victims.groupBy("run_spid", "poll_ts").count().groupBy("run_spid").agg(F.max("count").alias("peak"))
+def peak_blocked(victims: DataFrame, operations: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Of operations (server, op_id, run_spid, start_ts, end_ts): the largest number of victims at one poll, 0 if there were none."""
+    n = victims.groupBy(*keys, "run_spid", "poll_ts").agg(F.countDistinct("spid").alias("n"))
+    o = operations.select(*keys, "run_spid", "op_id", "start_ts", "end_ts")
+    at = reduce(lambda a, b: a & b, [o[k] == n[k] for k in (*keys, "run_spid")]) & n["poll_ts"].between(o["start_ts"], o["end_ts"])
+    return o.join(n, at, "left").groupBy(*(o[k] for k in keys), "op_id").agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"))
 
 
-def held_through(victims: DataFrame, rules: list[dict]) -> DataFrame:
+def held_through(victims: DataFrame, rules: list[dict], keys: tuple[str, ...] = SERVER) -> DataFrame:
     """First time that each ignored session was held through."""
-    return match_session_rules(victims, rules).groupBy("spid", "login", "program").agg(F.min("poll_ts").alias("first_seen"))
+    return match_session_rules(victims, rules).groupBy(*keys, "spid", "login", "program").agg(F.min("poll_ts").alias("first_seen"))
 
 
-def suspension_episodes(sessions: DataFrame, runs: DataFrame, keys: tuple[str, ...] = ("server",)) -> DataFrame:
-    """Per server and blocker: episodes (a change into it) and ms blocked: the time to the next poll goes to the poll's blocker."""
-    s = runs.join(sessions.select("poll_ts", F.col("spid").alias("run_spid"), "blocking_spid"), ["poll_ts", "run_spid"]).select(*keys, "poll_ts", "blocking_spid")
+def suspension_episodes(sessions: DataFrame, runs: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Who blocked the runs of a server: (server, blocking_spid, login, host, episodes, blocked_ms, first_seen).
+
+    An episode is a change into a blocker; the time to the next poll goes to the poll's blocker. Login and host are
+    those at the first poll that has the blocker's row.
+    """
+    on = [*keys, "poll_ts"]
+    s = runs.join(sessions.select(*on, F.col("spid").alias("run_spid"), "blocking_spid"), [*on, "run_spid"]).select(*on, "blocking_spid")
     w = over([*keys], "poll_ts")
     s = s.withColumn("ms", (F.unix_timestamp(F.lead("poll_ts").over(w)) - F.unix_timestamp("poll_ts")) * 1000).withColumn("was", F.lag("blocking_spid", 1, 0).over(w))
-    return s.where("blocking_spid <> 0").groupBy(*keys, "blocking_spid").agg(F.count_if(F.col("was") != F.col("blocking_spid")).alias("episodes"), F.coalesce(F.sum("ms"), F.lit(0)).alias("blocked_ms"))
+    who = sessions.select(*on, F.col("spid").alias("blocking_spid"), "login", "host", F.lit(True).alias("there"))
+    s = s.where("blocking_spid <> 0").join(who, [*on, "blocking_spid"], "left")
+    known = lambda c: F.min_by(c, F.when(F.col("there"), F.col("poll_ts"))).alias(c)
+    return s.groupBy(*keys, "blocking_spid").agg(
+        known("login"), known("host"), F.count_if(F.col("was") != F.col("blocking_spid")).alias("episodes"), F.coalesce(F.sum("ms"), F.lit(0)).alias("blocked_ms"), F.min("poll_ts").alias("first_seen")
+    )
 
 
-def suspension_roster(blocks: DataFrame, by: str = "login") -> DataFrame:
-    """Times blocked and ms by login or host; blank is the unknown group."""
+def suspension_roster(blockers: DataFrame, by: str = "login", keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Of ``suspension_episodes``: episodes and ms by login or host, ``seq`` their order of first sight; blank is the unknown group."""
     who = F.coalesce(F.nullif(F.trim(by), F.lit("")), F.lit("unknown"))
-    return blocks.groupBy(who.alias("who")).agg(F.count("*").alias("times"), F.sum("wait_ms").alias("blocked_ms"), F.min("poll_ts").alias("first_seen"))
+    g = blockers.groupBy(*keys, who.alias("who")).agg(F.sum("episodes").alias("episodes"), F.sum("blocked_ms").alias("blocked_ms"), F.min("first_seen").alias("first_seen"))
+    return g.withColumn("seq", F.row_number().over(over([*keys], "first_seen", "who")).cast("long"))
 
 
-def suspension_groups(blocks: DataFrame) -> DataFrame:
-    """Per login (or lone session): its session ids in order of first sight."""
-    key = F.coalesce(F.nullif("login", F.lit("")), F.concat(F.lit("spid:"), F.col("spid").cast("string")))
-    s = blocks.groupBy(key.alias("who"), "spid").agg(F.min("poll_ts").alias("first_seen"), F.sum("wait_ms").alias("ms"))
-    spids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "spid"))), lambda x: x["spid"].cast("string")), ",")
-    return s.groupBy("who").agg(spids.alias("spids"), F.count("*").alias("sessions"), F.sum("ms").alias("blocked_ms"))
+def suspension_groups(blockers: DataFrame, actions: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Of ``suspension_episodes``, per login (or lone session): its sessions in order of first sight, episodes, ms and actions (server, spid)."""
+    key = F.coalesce(F.nullif("login", F.lit("")), F.concat(F.lit("spid:"), F.col("blocking_spid").cast("string")))
+    taken = actions.groupBy(*keys, F.col("spid").alias("blocking_spid")).agg(F.count("*").alias("actions"))
+    d = blockers.join(taken, [*keys, "blocking_spid"], "left")
+    spids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seen", "blocking_spid"))), lambda x: x["blocking_spid"].cast("string")), ",")
+    sums = [F.sum("episodes").alias("episodes"), F.sum("blocked_ms").alias("blocked_ms"), F.coalesce(F.sum("actions"), F.lit(0)).alias("actions")]
+    return d.groupBy(*keys, key.alias("who")).agg(spids.alias("spids"), F.count("*").alias("sessions"), *sums)
 
 
-def amplifier_sources(actions: DataFrame) -> DataFrame:
-    """Actions by source: the job step, else the program."""
+def amplifier_sources(actions: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """A server's actions by source: the job step, else the program."""
     source = F.when(F.col("identity").startswith("job:"), F.col("identity")).otherwise(F.col("program"))
-    return actions.groupBy(source.alias("source")).agg(F.count("*").alias("actions"), F.min("poll_ts").alias("first_seen"))
+    return actions.groupBy(*keys, source.alias("source")).agg(F.count("*").alias("actions"), F.min("poll_ts").alias("first_seen"))
 
 
-def contended_objects(seen: DataFrame) -> DataFrame:
-    """Of (object_id, poll_ts, kind: lock, tail or transient): first and last sight, lock sightings, strongest kind."""
+def contended_objects(seen: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+    """Of (server, object_id, poll_ts, kind: lock, tail or transient): first and last sight, lock sightings, strongest kind."""
     rank = F.max(F.when(F.col("kind") == "transient", 3).when(F.col("kind") == "tail", 2).otherwise(1))
-    g = seen.groupBy("object_id").agg(F.min("poll_ts").alias("first_seen"), F.max("poll_ts").alias("last_seen"), F.count_if(F.col("kind") == "lock").alias("locks"), rank.alias("rank"))
+    g = seen.groupBy(*keys, "object_id").agg(F.min("poll_ts").alias("first_seen"), F.max("poll_ts").alias("last_seen"), F.count_if(F.col("kind") == "lock").alias("locks"), rank.alias("rank"))
     return g.withColumn("confirmed_by", F.element_at(F.array(F.lit("lock"), F.lit("tail"), F.lit("transient")), F.col("rank"))).drop("rank")
 
 

@@ -143,10 +143,19 @@ def channel_outages(polls: DataFrame, keys: list[str]) -> DataFrame:
     return started.unionByName(ended)
 
 
-def blind_channels(polls: DataFrame, keys: list[str], after_s: int = 120, cadence_s: int = 0) -> DataFrame:
-    """Silences of at least max(after_s, 2 cadences) between good polls."""
-    gap = F.unix_timestamp(F.lead("poll_ts").over(over(keys, "poll_ts"))) - F.unix_timestamp("poll_ts")
-    return polls.withColumn("silent_s", gap).where(F.col("silent_s") >= max(after_s, 2 * cadence_s))
+def blind_channels(polls: DataFrame, keys: list[str], now: Column, after_s: int = 120) -> DataFrame:
+    """Of (keys, poll_ts, failed, cadence_s): each time a channel turned blind, when, since which good poll, and when it answered again.
+
+    A channel is blind once no good poll has come for max(after_s, 2 of its cadences), up to ``now``: one that stays
+    silent has no recovered_ts, and silent_s up to now. A failed poll is no answer. A channel that never answered isn't
+    known, and a NULL cadence is 0.
+    """
+    good = polls.where(~F.coalesce("failed", F.lit(False)))
+    w = over(keys, "poll_ts")
+    back, limit = F.lead("poll_ts").over(w), F.greatest(F.lit(after_s), 2 * F.coalesce("cadence_s", F.lit(0))).cast("long")
+    d = good.select(*keys, F.col("poll_ts").alias("last_ok_ts"), back.alias("recovered_ts"), limit.alias("limit_s"))
+    d = d.withColumn("silent_s", F.unix_timestamp(F.coalesce("recovered_ts", now)) - F.unix_timestamp("last_ok_ts")).where("silent_s >= limit_s")
+    return d.select(*keys, "last_ok_ts", F.expr("last_ok_ts + make_dt_interval(0, 0, 0, limit_s)").alias("blind_ts"), "recovered_ts", "silent_s")
 
 
 def progress_eta(samples: DataFrame, keys: list[str]) -> DataFrame:

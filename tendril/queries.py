@@ -21,10 +21,10 @@ from .sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-RULES = [{"login": "login1$"}, {"program": "^app3", "after": 90}, {"spid": 7}]
-RULE_SQL = "CASE WHEN regexp_matches(login, 'login1$') THEN 0 WHEN regexp_matches(program, '^app3') THEN 1 WHEN spid = 7 THEN 2 END"
-SESSION = "poll_ts, spid, login, host, program, command, status, blocking_spid, wait_ms"
-VICTIMS = "SELECT s.*, run_spid FROM session_snapshots s JOIN runs r ON s.poll_ts = r.poll_ts AND s.blocking_spid = r.run_spid AND run_spid <> 0"
+RULES = [{"login": "login1$"}, {"program": "^app3", "after": 90}, {"spid": 7}, {"statement": "p4$|^view t5", "host": "host2"}]
+RULE_SQL = "CASE WHEN regexp_matches(login, 'login1$') THEN 0 WHEN regexp_matches(program, '^app3') THEN 1 WHEN spid = 7 THEN 2 WHEN (regexp_matches(statement, 'p4$|^view t5') OR regexp_matches(batch, 'p4$|^view t5')) AND host LIKE '%host2%' THEN 3 END"
+SESSION = "server, poll_ts, spid, login, host, program, command, status, blocking_spid, wait_ms"
+VICTIMS = "SELECT s.*, run_spid FROM session_snapshots s JOIN runs r ON s.server = r.server AND s.poll_ts = r.poll_ts AND s.blocking_spid = r.run_spid AND run_spid <> 0"
 
 
 def query(views: str, sql: str | None, name: str | None = None):
@@ -94,20 +94,26 @@ def direct_victims(s, runs):
     return b.direct_victims(s, runs).select(*SESSION.split(", "), "run_spid")
 
 
-@query("session_snapshots runs", """SELECT m.poll_ts, m.blocking_spid AS blocker_spid, m.spid, m.wait_ms, b.login AS blocker_login, b.program AS blocker_program
-  FROM session_snapshots m JOIN runs r ON m.poll_ts = r.poll_ts AND m.spid = r.run_spid LEFT JOIN session_snapshots b ON b.poll_ts = m.poll_ts AND b.spid = m.blocking_spid WHERE m.blocking_spid <> 0""")
+@query("session_snapshots runs", """SELECT m.server, m.poll_ts, m.blocking_spid AS blocker_spid, m.spid, m.wait_ms, b.login AS blocker_login, b.program AS blocker_program, CASE WHEN b.statement = '' THEN b.batch ELSE b.statement END AS blocker_query
+  FROM session_snapshots m JOIN runs r ON m.server = r.server AND m.poll_ts = r.poll_ts AND m.spid = r.run_spid LEFT JOIN session_snapshots b ON b.server = m.server AND b.poll_ts = m.poll_ts AND b.spid = m.blocking_spid WHERE m.blocking_spid <> 0""")
 def self_block(s, runs):
     return b.self_block(s, runs)
 
 
+CLOSURE = """closure AS (SELECT server, poll_ts, blocking_spid AS root, spid AS node FROM session_snapshots WHERE blocking_spid <> 0
+  UNION SELECT c.server, c.poll_ts, c.root, s.spid FROM closure c JOIN session_snapshots s ON s.server = c.server AND s.poll_ts = c.poll_ts AND s.blocking_spid = c.node)"""
+
+
+def _recursive(sql: str) -> str:
+    """The closure beside the views, before the statement itself."""
+    return sql.replace("WITH session_snapshots", "WITH RECURSIVE session_snapshots", 1).replace(" /*closure*/", f", {CLOSURE}", 1)
+
+
 QUERIES["blocked_behind"] = lambda spark, sf_dir: b.blocked_behind(view(spark, sf_dir, "session_snapshots"))
-ORACLES["blocked_behind"] = with_views("session_snapshots", """SELECT poll_ts, root AS spid, count(DISTINCT node) AS behind FROM closure WHERE node <> root GROUP BY poll_ts, root""").replace(
-    "WITH session_snapshots", "WITH RECURSIVE session_snapshots"
-).replace(" SELECT poll_ts, root AS spid", """, closure AS (SELECT poll_ts, blocking_spid AS root, spid AS node FROM session_snapshots WHERE blocking_spid <> 0
-  UNION SELECT c.poll_ts, c.root, s.spid FROM closure c JOIN session_snapshots s ON s.poll_ts = c.poll_ts AND s.blocking_spid = c.node) SELECT poll_ts, root AS spid""")
+ORACLES["blocked_behind"] = _recursive(with_views("session_snapshots", "/*closure*/ SELECT server, poll_ts, root AS spid, count(DISTINCT node) AS behind FROM closure WHERE node <> root GROUP BY server, poll_ts, root"))
 
 
-@query("session_snapshots", "SELECT poll_ts, count(*) FILTER (WHERE lower(status) <> 'sleeping') AS active FROM session_snapshots GROUP BY poll_ts")
+@query("session_snapshots", "SELECT server, poll_ts, count(*) FILTER (WHERE lower(status) <> 'sleeping') AS active FROM session_snapshots GROUP BY server, poll_ts")
 def active_request_count(s):
     return b.active_request_count(s)
 
@@ -117,80 +123,93 @@ def match_session_rules(s):
     return b.match_session_rules(s, RULES).select(*SESSION.split(", "))
 
 
-@query("session_snapshots", f"SELECT poll_ts, spid, rule, CASE WHEN rule = 1 THEN 90 WHEN rule IS NOT NULL THEN 60 END AS delay FROM (SELECT *, {RULE_SQL} AS rule FROM session_snapshots) x")
+@query("session_snapshots", f"SELECT server, poll_ts, spid, rule, CASE WHEN rule = 1 THEN 90 WHEN rule IS NOT NULL THEN 60 END AS delay FROM (SELECT *, {RULE_SQL} AS rule FROM session_snapshots) x")
 def first_matching_rule(s):
-    return b.first_matching_rule(s, RULES).select("poll_ts", "spid", "rule", "delay")
+    return b.first_matching_rule(s, RULES).select("server", "poll_ts", "spid", "rule", "delay")
 
 
-@query("session_snapshots runs", f"""SELECT r.poll_ts, v.poll_ts IS NOT NULL AS any_blocked, coalesce(v.u, false) AS unignored FROM (SELECT DISTINCT poll_ts FROM runs) r
-  LEFT JOIN (SELECT poll_ts, bool_or({RULE_SQL} IS NULL) AS u FROM ({VICTIMS}) x GROUP BY poll_ts) v ON r.poll_ts = v.poll_ts""")
+@query("session_snapshots runs", f"""SELECT r.server, r.poll_ts, v.poll_ts IS NOT NULL AS any_blocked, coalesce(v.u, false) AS unignored FROM (SELECT DISTINCT server, poll_ts FROM runs) r
+  LEFT JOIN (SELECT server, poll_ts, bool_or({RULE_SQL} IS NULL) AS u FROM ({VICTIMS}) x GROUP BY server, poll_ts) v ON r.server = v.server AND r.poll_ts = v.poll_ts""")
 def block_state(s, runs):
     return b.block_state(s, runs, RULES)
 
 
-@query("session_snapshots runs", f"""SELECT poll_ts, spid FROM ({VICTIMS}) v WHERE NOT EXISTS (SELECT 1 FROM session_snapshots a WHERE a.spid % 3 = 0 AND a.first_event % 2 = 0 AND a.spid = v.spid AND a.poll_ts <= v.poll_ts AND v.poll_ts < a.poll_ts + INTERVAL 15 SECOND)""")
+@query("session_snapshots runs", f"""SELECT server, poll_ts, spid FROM ({VICTIMS}) v WHERE NOT EXISTS (SELECT 1 FROM session_snapshots a WHERE a.spid % 3 = 0 AND a.first_event % 2 = 0 AND a.server = v.server AND a.spid = v.spid AND a.poll_ts <= v.poll_ts
+  AND (a.first_event % 5 = 0 OR v.poll_ts < a.poll_ts + INTERVAL 1 HOUR + INTERVAL 15 SECOND))""")
 def suppress_recent(s, runs):
-    a = s.where("spid % 3 = 0").select("spid", F.col("poll_ts").alias("action_ts"), (F.col("first_event") % 2 != 0).alias("failed"))
-    return b.suppress_recent(b.direct_victims(s, runs), a).select("poll_ts", "spid")
+    done = F.when(F.col("first_event") % 5 != 0, F.col("poll_ts") + F.expr("INTERVAL 1 HOUR"))
+    a = s.where("spid % 3 = 0").select("server", "spid", F.col("poll_ts").alias("action_ts"), done.alias("done_ts"), (F.col("first_event") % 2 != 0).alias("failed"))
+    return b.suppress_recent(b.direct_victims(s, runs), a).select("server", "poll_ts", "spid")
 
 
-@query("session_snapshots", "SELECT poll_ts, spid, command IN ('ALTER INDEX', 'DBCC') AS is_maintenance, command IN ('ALTER INDEX', 'DBCC') OR command LIKE 'UPDATE STATISTIC%' AS is_amplifying FROM session_snapshots")
+@query("session_snapshots", "SELECT server, poll_ts, spid, command IN ('ALTER INDEX', 'DBCC') AS is_maintenance, command IN ('ALTER INDEX', 'DBCC') OR command LIKE 'UPDATE STATISTIC%' AS is_amplifying FROM session_snapshots")
 def classify_commands(s):
-    return b.classify_commands(s).select("poll_ts", "spid", "is_maintenance", "is_amplifying")
+    return b.classify_commands(s).select("server", "poll_ts", "spid", "is_maintenance", "is_amplifying")
 
 
 IDENTITY = r"CASE WHEN program LIKE 'SQLAgent%' THEN concat('job:', lower(regexp_extract(program, 'Job 0x([0-9A-Fa-f]+)', 1)), ':', regexp_extract(program, 'Step (\d+)', 1)) ELSE concat('sess:', login, '|', host, '|', program) END"
 
 
-@query("session_snapshots", f"SELECT poll_ts, spid, {IDENTITY} AS identity FROM session_snapshots")
+@query("session_snapshots", f"SELECT server, poll_ts, spid, {IDENTITY} AS identity FROM session_snapshots")
 def offender_identity(s):
-    return b.offender_identity(s).select("poll_ts", "spid", "identity")
+    return b.offender_identity(s).select("server", "poll_ts", "spid", "identity")
 
 
 @query("session_snapshots", f"""SELECT server, identity, bucket, CAST(sum(CASE WHEN last = prev_ts AND gap <= 7200 THEN gap ELSE 0 END) AS BIGINT) AS debt_s, count(*) AS polls, min(poll_ts) AS first_seen, max(poll_ts) AS last_seen FROM (
   SELECT *, coalesce(sum(CASE WHEN gap > 7200 THEN 1 ELSE 0 END) OVER (PARTITION BY server, identity ORDER BY poll_ts), 0) AS bucket FROM (
    SELECT o.server, o.identity, o.poll_ts, q.prev_ts, lag(o.poll_ts) OVER v AS last, CAST(epoch(o.poll_ts) - epoch(lag(o.poll_ts) OVER v) AS BIGINT) AS gap
-   FROM (SELECT DISTINCT spid % 3 AS server, {IDENTITY} AS identity, poll_ts FROM session_snapshots WHERE blocking_spid <> 0) o
-   JOIN (SELECT server, poll_ts, lag(poll_ts) OVER (PARTITION BY server ORDER BY poll_ts) AS prev_ts FROM (SELECT DISTINCT spid % 3 AS server, poll_ts FROM session_snapshots) d) q ON o.poll_ts = q.poll_ts AND o.server = q.server
+   FROM (SELECT DISTINCT server, {IDENTITY} AS identity, poll_ts FROM session_snapshots WHERE blocking_spid <> 0) o
+   JOIN (SELECT server, poll_ts, lag(poll_ts) OVER (PARTITION BY server ORDER BY poll_ts) AS prev_ts FROM (SELECT DISTINCT server, poll_ts FROM session_snapshots) d) q ON o.poll_ts = q.poll_ts AND o.server = q.server
    WINDOW v AS (PARTITION BY o.server, identity ORDER BY o.poll_ts)) x) y GROUP BY server, identity, bucket""".replace("coalesce(sum(CASE", "CAST(coalesce(sum(CASE").replace("ORDER BY poll_ts), 0) AS bucket", "ORDER BY poll_ts), 0) AS BIGINT) AS bucket"))
 def offender_debt(s):
-    s = s.withColumn("server", F.col("spid") % 3)
     return b.offender_debt(b.offender_identity(s.where("blocking_spid <> 0")), s, idle_s=7200)
 
 
-@query("session_snapshots runs", f"SELECT spid, login, host, program, command, min(poll_ts) AS first_seen, max(poll_ts) AS last_seen, count(*) AS times_seen FROM ({VICTIMS}) v WHERE {RULE_SQL} IS NULL GROUP BY spid, login, host, program, command")
+@query("session_snapshots runs", f"""SELECT *, row_number() OVER (PARTITION BY server ORDER BY first_seen, spid, login, host, program, command) AS seq FROM (
+  SELECT server, spid, login, host, program, command, min(poll_ts) AS first_seen, max(poll_ts) AS last_seen, count(*) AS times_seen FROM ({VICTIMS}) v WHERE {RULE_SQL} IS NULL GROUP BY server, spid, login, host, program, command) x""")
 def blocker_capture(s, runs):
     return b.blocker_capture(b.first_matching_rule(b.direct_victims(s, runs), RULES).where("rule IS NULL"))
 
 
-@query("session_snapshots runs", f"SELECT run_spid, max(n) AS peak FROM (SELECT run_spid, poll_ts, count(*) AS n FROM ({VICTIMS}) v GROUP BY run_spid, poll_ts) x GROUP BY run_spid")
+@query("session_snapshots runs", f"""SELECT o.server, o.op_id, coalesce(max(n), 0) AS peak FROM (SELECT server, concat(run_spid, '/', extract(day FROM poll_ts)) AS op_id, run_spid, min(poll_ts) AS a, max(poll_ts) AS z FROM runs GROUP BY server, run_spid, extract(day FROM poll_ts)) o
+  LEFT JOIN (SELECT server, run_spid, poll_ts, count(*) AS n FROM ({VICTIMS}) v GROUP BY server, run_spid, poll_ts) v ON v.server = o.server AND v.run_spid = o.run_spid AND v.poll_ts BETWEEN o.a AND o.z GROUP BY o.server, o.op_id""")
 def peak_blocked(s, runs):
-    return b.peak_blocked(b.direct_victims(s, runs))
+    day = F.dayofmonth("poll_ts")
+    o = runs.groupBy("server", "run_spid", day.alias("day")).agg(F.min("poll_ts").alias("start_ts"), F.max("poll_ts").alias("end_ts")).withColumn("op_id", F.concat("run_spid", F.lit("/"), "day"))
+    return b.peak_blocked(b.direct_victims(s, runs), o)
 
 
-@query("session_snapshots runs", f"SELECT spid, login, program, min(poll_ts) AS first_seen FROM ({VICTIMS}) v WHERE {RULE_SQL} IS NOT NULL GROUP BY spid, login, program")
+@query("session_snapshots runs", f"SELECT server, spid, login, program, min(poll_ts) AS first_seen FROM ({VICTIMS}) v WHERE {RULE_SQL} IS NOT NULL GROUP BY server, spid, login, program")
 def held_through(s, runs):
     return b.held_through(b.direct_victims(s, runs), RULES)
 
 
-@query("session_snapshots runs", """SELECT server, blocking_spid, count(*) FILTER (WHERE was <> blocking_spid) AS episodes, CAST(coalesce(sum(ms), 0) AS BIGINT) AS blocked_ms FROM (
-  SELECT server, s.blocking_spid, CAST((epoch(lead(s.poll_ts) OVER v) - epoch(s.poll_ts)) * 1000 AS BIGINT) AS ms, lag(s.blocking_spid, 1, 0) OVER v AS was
-  FROM session_snapshots s JOIN runs r ON s.poll_ts = r.poll_ts AND s.spid = r.run_spid WINDOW v AS (PARTITION BY server ORDER BY s.poll_ts)) x WHERE blocking_spid <> 0 GROUP BY server, blocking_spid""")
+BLOCKERS = """SELECT server, blocking_spid, min_by(login, CASE WHEN there THEN poll_ts END) AS login, min_by(host, CASE WHEN there THEN poll_ts END) AS host, count(*) FILTER (WHERE was <> blocking_spid) AS episodes, CAST(coalesce(sum(ms), 0) AS BIGINT) AS blocked_ms, min(poll_ts) AS first_seen FROM (
+  SELECT x.*, q.login, q.host, q.spid IS NOT NULL AS there FROM (
+   SELECT s.server, s.poll_ts, s.blocking_spid, CAST((epoch(lead(s.poll_ts) OVER v) - epoch(s.poll_ts)) * 1000 AS BIGINT) AS ms, lag(s.blocking_spid, 1, 0) OVER v AS was
+   FROM session_snapshots s JOIN runs r ON s.server = r.server AND s.poll_ts = r.poll_ts AND s.spid = r.run_spid WINDOW v AS (PARTITION BY s.server ORDER BY s.poll_ts)) x
+  LEFT JOIN session_snapshots q ON q.server = x.server AND q.poll_ts = x.poll_ts AND q.spid = x.blocking_spid WHERE x.blocking_spid <> 0) y GROUP BY server, blocking_spid"""
+
+
+@query("session_snapshots runs", BLOCKERS)
 def suspension_episodes(s, runs):
     return b.suspension_episodes(s, runs)
 
 
-@query("session_snapshots", "SELECT login AS who, count(*) AS times, CAST(sum(wait_ms) AS BIGINT) AS blocked_ms, min(poll_ts) AS first_seen FROM session_snapshots WHERE blocking_spid <> 0 GROUP BY login")
-def suspension_roster(s):
-    return b.suspension_roster(s.where("blocking_spid <> 0"))
+@query("session_snapshots runs", f"""SELECT *, row_number() OVER (PARTITION BY server ORDER BY first_seen, who) AS seq FROM (
+  SELECT server, CASE WHEN coalesce(trim(login), '') = '' THEN 'unknown' ELSE login END AS who, CAST(sum(episodes) AS BIGINT) AS episodes, CAST(sum(blocked_ms) AS BIGINT) AS blocked_ms, min(first_seen) AS first_seen FROM ({BLOCKERS}) z GROUP BY 1, 2) g""")
+def suspension_roster(s, runs):
+    return b.suspension_roster(b.suspension_episodes(s, runs))
 
 
-@query("session_snapshots", "SELECT who, string_agg(CAST(spid AS VARCHAR), ',' ORDER BY f, spid) AS spids, count(*) AS sessions, CAST(sum(ms) AS BIGINT) AS blocked_ms FROM (SELECT login AS who, spid, min(poll_ts) AS f, sum(wait_ms) AS ms FROM session_snapshots WHERE blocking_spid <> 0 GROUP BY login, spid) x GROUP BY who")
-def suspension_groups(s):
-    return b.suspension_groups(s.where("blocking_spid <> 0"))
+@query("session_snapshots runs", f"""SELECT z.server, CASE WHEN coalesce(login, '') = '' THEN concat('spid:', blocking_spid) ELSE login END AS who, string_agg(CAST(blocking_spid AS VARCHAR), ',' ORDER BY first_seen, blocking_spid) AS spids, count(*) AS sessions,
+  CAST(sum(episodes) AS BIGINT) AS episodes, CAST(sum(blocked_ms) AS BIGINT) AS blocked_ms, CAST(coalesce(sum(a.n), 0) AS BIGINT) AS actions FROM ({BLOCKERS}) z
+  LEFT JOIN (SELECT server, spid, count(*) AS n FROM session_snapshots WHERE wait_ms > 9000 GROUP BY server, spid) a ON a.server = z.server AND a.spid = z.blocking_spid GROUP BY 1, 2""")
+def suspension_groups(s, runs):
+    return b.suspension_groups(b.suspension_episodes(s, runs), s.where("wait_ms > 9000"))
 
 
-@query("session_snapshots", f"SELECT CASE WHEN program LIKE 'SQLAgent%' THEN {IDENTITY} ELSE program END AS source, count(*) AS actions, min(poll_ts) AS first_seen FROM session_snapshots WHERE wait_ms > 5000 GROUP BY 1")
+@query("session_snapshots", f"SELECT server, CASE WHEN program LIKE 'SQLAgent%' THEN {IDENTITY} ELSE program END AS source, count(*) AS actions, min(poll_ts) AS first_seen FROM session_snapshots WHERE wait_ms > 5000 GROUP BY 1, 2")
 def amplifier_sources(s):
     return b.amplifier_sources(b.offender_identity(s.where("wait_ms > 5000")))
 
@@ -275,10 +294,12 @@ def channel_outages(s):
     return p.channel_outages(g, ["server"])
 
 
-@query("log_samples", f"SELECT server, poll_ts, silent_s FROM (SELECT *, CAST(floor(epoch(lead(poll_ts) OVER (PARTITION BY server ORDER BY poll_ts))) - floor(epoch(poll_ts)) AS BIGINT) AS silent_s FROM ({GOOD}) g WHERE s > 0) x WHERE silent_s >= 7200")
+@query("log_samples", f"""SELECT server, last_ok_ts, last_ok_ts + limit_s * INTERVAL 1 SECOND AS blind_ts, recovered_ts, silent_s FROM (
+  SELECT server, poll_ts AS last_ok_ts, back AS recovered_ts, greatest(7200, 2 * c) AS limit_s, CAST(floor(epoch(coalesce(back, TIMESTAMP '2024-02-01'))) - floor(epoch(poll_ts)) AS BIGINT) AS silent_s
+  FROM (SELECT *, CASE server WHEN 'srv1' THEN 9000 ELSE 60 END AS c, lead(poll_ts) OVER (PARTITION BY server ORDER BY poll_ts) AS back FROM ({GOOD}) g WHERE s > 0 AND NOT (server = 'srv2' AND poll_ts > TIMESTAMP '2024-01-20')) x) y WHERE silent_s >= limit_s""")
 def blind_channels(s):
-    g = s.groupBy("server", "poll_ts").agg(F.min("schedulers").alias("s")).where("s > 0").select("server", "poll_ts")
-    return p.blind_channels(g, ["server"], 7200)
+    g = s.groupBy("server", "poll_ts").agg((F.min("schedulers") <= 0).alias("failed")).where("NOT (server = 'srv2' AND poll_ts > TIMESTAMP_NTZ '2024-01-20')")
+    return p.blind_channels(g.withColumn("cadence_s", F.when(F.col("server") == "srv1", 9000).otherwise(60)), ["server"], F.expr("TIMESTAMP_NTZ '2024-02-01'"), 7200)
 
 
 @query("wait_snapshots", """SELECT spid, wait_type, poll_ts, CASE WHEN dv >= 0 AND dt > 0 THEN dv / dt END AS rate FROM (SELECT *, CAST(wait_time_ms - lag(wait_time_ms) OVER v AS DOUBLE) AS dv, CAST(floor(epoch(poll_ts)) - floor(epoch(lag(poll_ts) OVER v)) AS BIGINT) AS dt FROM wait_snapshots WINDOW v AS (PARTITION BY spid, wait_type ORDER BY poll_ts)) x""")
