@@ -13,8 +13,8 @@ from .operators import fleet
 from .operators import maintenance as m
 from .operators import pressure as p
 from .operators import reports as r
-from .queries import _recursive, HIT, IDENTITY, ORACLES, OVERRIDE, PLAN_INDEX, PROFILE, RULE_SQL, RULES, SET, VICTIMS, WHERE, on_tables, query
-from .sources import catalog
+from .queries import HIT, IDENTITY, ORACLES, OVERRIDE, PLAN_INDEX, PROFILE, RULE_SQL, RULES, SET, VICTIMS, WHERE, _recursive, on_tables, query
+from .sources import catalog, tables
 
 # Sources
 
@@ -481,9 +481,81 @@ def rewrite_table(o):
 @on_tables("orders", sql="SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def compact_files(o):
     path = _folder(o)
-    o.repartition(40).write.parquet(f"{path}/small")
-    c.compact_files(o.sparkSession.read.parquet(f"{path}/small"), f"{path}/dense", 40, 16)
-    return o.sparkSession.read.parquet(f"{path}/dense").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o.repartition(40).write.partitionBy("o_orderstatus").parquet(path)
+    tables.compact_files(o.sparkSession, path, 16)
+    return o.sparkSession.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@on_tables("orders", sql="SELECT o_orderstatus, CAST(1 AS BIGINT) AS files FROM orders GROUP BY 1")
+def compacted_files(o):
+    """Folders of small files keep one file each."""
+    path = _folder(o)
+    o.repartition(8).write.partitionBy("o_orderstatus").parquet(path)
+    tables.compact_files(o.sparkSession, path, 64)
+    return tables.file_sizes(o.sparkSession, path).groupBy(F.regexp_extract("folder", "o_orderstatus=(.*)$", 1).alias("o_orderstatus")).agg(F.count("*").alias("files"))
+
+
+TOUCHED = "o_orderkey, o_orderstatus, o_orderpriority"
+
+
+def _partitioned(o):
+    path = _folder(o)
+    o.selectExpr(*TOUCHED.split(", "), "o_totalprice", "CAST(o_orderkey DIV 2000 AS INT) AS part").repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+@on_tables("orders", sql=f"SELECT o_orderkey, CASE WHEN {HIT} THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN {HIT} THEN '0-NONE' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def batch_update_in_place(o):
+    path = _partitioned(o)
+    tables.apply_update(o.sparkSession, path, ["part"], SET, c.where(WHERE))
+    return o.sparkSession.read.parquet(path).selectExpr(*TOUCHED.split(", "))
+
+
+@on_tables("orders", sql=f"SELECT {TOUCHED} FROM orders WHERE NOT (o_orderkey < 2500 OR o_totalprice < 50000)")
+def batch_delete_in_place(o):
+    path = _partitioned(o)
+    tables.apply_delete(o.sparkSession, path, ["part"], (F.col("o_orderkey") < 2500) | (F.col("o_totalprice") < 50000))
+    return o.sparkSession.read.parquet(path).selectExpr(*TOUCHED.split(", "))
+
+
+@on_tables("orders", sql=f"SELECT o_orderkey, CASE WHEN {HIT} THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN {HIT} THEN '0-NONE' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def key_range_walk(o):
+    """Five ranges, each committed and then saved."""
+    path = _partitioned(o)
+    spark = o.sparkSession
+    n = spark.read.parquet(path).where(c.where(WHERE)).count()
+    tables.walk_key_ranges(spark, path, ["part"], "o_orderkey", -(-n // 5), SET, WHERE, "walk", f"{path}-marks")
+    return spark.read.parquet(path).selectExpr(*TOUCHED.split(", "))
+
+
+@on_tables("orders", sql="""SELECT 'o_orderkey' AS column_name, count(*) AS rows, count(*) FILTER (WHERE o_orderkey IS NULL) AS nulls, true AS near FROM orders
+  UNION ALL SELECT 'o_orderstatus', count(*), count(*) FILTER (WHERE o_orderstatus IS NULL), true FROM orders UNION ALL SELECT 'o_totalprice', count(*), count(*) FILTER (WHERE o_totalprice IS NULL), true FROM orders""")
+def merged_statistics(o):
+    """From sketches of each status: near is whether the merged estimates are within 5 % of the exact distinct counts, and quartiles within 2 % of their ranks."""
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    m = tables.merge_statistics(tables.partition_statistics(o, columns, ["o_orderpriority"]))
+    exact = o.agg(*(F.struct(F.countDistinct(x).alias("d"), *(F.percentile(F.col(x).try_cast("double"), F.lit(q)).alias(f"q{q * 100:.0f}") for q in (0.23, 0.27, 0.48, 0.52, 0.73, 0.77))).alias(x) for x in columns))
+    exact = exact.select(F.explode(F.array(*(F.struct(F.lit(x).alias("column_name"), F.col(x).alias("e")) for x in columns))).alias("x")).select("x.*")
+    within = lambda i, a, z: F.coalesce(F.get("quantiles", F.lit(i)).between(F.col(f"e.{a}"), F.col(f"e.{z}")), F.lit(True))
+    near = (F.abs(F.col("distinct") - F.col("e.d")) <= F.greatest(F.lit(1), 0.05 * F.col("e.d"))) & within(0, "q23", "q27") & within(1, "q48", "q52") & within(2, "q73", "q77")
+    return m.join(exact, "column_name").select("column_name", "rows", "nulls", near.alias("near"))
+
+
+@on_tables("orders", sql="SELECT 'unreadable record' AS problem, count(*) AS rows FROM orders WHERE o_orderkey % 10 = 3 HAVING count(*) > 0")
+def unreadable_records(o):
+    path = _folder(o)
+    o.select(F.when(F.col("o_orderkey") % 10 == 3, F.concat(F.lit("{"), "o_orderkey")).otherwise(F.to_json(F.struct("o_orderkey", "o_orderstatus"))).alias("value")).write.text(path)
+    d = tables.unreadable_records(o.sparkSession, path, "o_orderkey long, o_orderstatus string")
+    return d.groupBy("problem").agg(F.sum("rows").alias("rows"))
+
+
+@on_tables("orders", sql="SELECT CAST(NULL AS VARCHAR) AS problem, CAST(count(*) AS BIGINT) AS rows FROM orders")
+def unreadable_files(o):
+    """Of a sound copy: no problem, and as many rows as there are."""
+    path = _folder(o)
+    o.select("o_orderkey", "o_orderstatus").write.parquet(path)
+    d = tables.unreadable_files(o.sparkSession, path, "o_orderkey long, o_orderstatus string")
+    return o.sparkSession.read.parquet(path).agg(F.count("*").alias("rows")).join(d.agg(F.max("problem").alias("problem"))).select("problem", "rows")
 
 
 @on_tables("orders", sql="SELECT o_orderkey, 7 AS shard, o_orderstatus FROM orders")

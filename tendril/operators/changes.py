@@ -128,11 +128,6 @@ def rewrite_table(df: DataFrame, path: str, keys: list[str], codec: str = "zstd"
     (df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", codec).parquet(path)
 
 
-def compact_files(df: DataFrame, path: str, total_mb: float, target_mb: float) -> None:
-    """Fewer, denser files of about target_mb with the same rows."""
-    df.repartition(max(1, -(-int(total_mb) // max(1, int(target_mb))))).write.mode("overwrite").parquet(path)
-
-
 def update_statistics(df: DataFrame, columns: list[str], sample: float | None = None) -> DataFrame:
     """(column_name, rows, nulls, low, high, distinct, median) of each column, in one pass.
 
