@@ -19,11 +19,11 @@ from .sources import catalog, tables
 # Sources
 
 
-@query("object_inventory", """SELECT x.object_id, x.index_id, name, CAST(coalesce(sum(pages), 0) * 8 AS BIGINT) AS kb FROM (SELECT DISTINCT object_id, index_id, index_name AS name FROM object_inventory WHERE part_key % 11 <> 0) x
-  LEFT JOIN (SELECT object_id, index_id, CAST(floor(size_mb * 128) AS BIGINT) AS pages FROM object_inventory WHERE partition_number = 2) s ON x.object_id = s.object_id AND x.index_id = s.index_id GROUP BY 1, 2, 3""")
+@query("object_inventory", """SELECT x.server, x.database, x.object_id, x.index_id, name, CAST(coalesce(sum(pages), 0) * 8 AS BIGINT) AS kb FROM (SELECT DISTINCT server, database, object_id, index_id, index_name AS name FROM object_inventory WHERE part_key % 11 <> 0) x
+  LEFT JOIN (SELECT server, database, object_id, index_id, CAST(floor(size_mb * 128) AS BIGINT) AS pages FROM object_inventory WHERE partition_number = 2) s ON x.server = s.server AND x.database = s.database AND x.object_id = s.object_id AND x.index_id = s.index_id GROUP BY 1, 2, 3, 4, 5""")
 def structure_sizes(i):
-    indexes = i.select("object_id", "index_id", F.col("index_name").alias("name"), (F.col("part_key") % 11 == 0).alias("is_hypothetical")).distinct()
-    return catalog.structure_sizes(indexes, i.select("object_id", "index_id", "partition_number", F.floor(F.col("size_mb") * 128).alias("pages")), 2)
+    indexes = i.select("server", "database", "object_id", "index_id", F.col("index_name").alias("name"), (F.col("part_key") % 11 == 0).alias("is_hypothetical")).distinct()
+    return catalog.structure_sizes(indexes, i.select("server", "database", "object_id", "index_id", "partition_number", F.floor(F.col("size_mb") * 128).alias("pages")), 2)
 
 
 @on_tables("part", sql="SELECT p_partkey, CAST(floor(p_partkey * 100 / 128.0) AS BIGINT) AS size_mb, CAST(ceil(p_partkey * 37 / 128.0) AS BIGINT) AS used_mb, CAST(floor(p_partkey * 100 / 128.0) - ceil(p_partkey * 37 / 128.0) AS BIGINT) AS free_mb FROM part")
@@ -40,17 +40,17 @@ def file_growth(t):
 
 
 def _indexes(i):
-    return i.select("object_id", "index_id", "type", F.col("index_name").alias("name"), (F.col("part_key") % 3 == 0).alias("is_disabled")).distinct()
+    return i.select("server", "database", "object_id", "index_id", "type", F.col("index_name").alias("name"), (F.col("part_key") % 3 == 0).alias("is_disabled")).distinct()
 
 
-@query("object_inventory", "SELECT object_id, string_agg(index_name, ',' ORDER BY index_id) AS names FROM (SELECT DISTINCT object_id, index_id, index_name FROM object_inventory WHERE part_key % 3 = 0) x GROUP BY object_id")
+@query("object_inventory", "SELECT server, database, object_id, string_agg(index_name, ',' ORDER BY index_id) AS names FROM (SELECT DISTINCT server, database, object_id, index_id, index_name FROM object_inventory WHERE part_key % 3 = 0) x GROUP BY server, database, object_id")
 def disabled_indexes(i):
-    return catalog.disabled_indexes(_indexes(i)).select("object_id", F.array_join("names", ",").alias("names"))
+    return catalog.disabled_indexes(_indexes(i)).select("server", "database", "object_id", F.array_join("names", ",").alias("names"))
 
 
-@query("object_inventory", "SELECT object_id, index_id, index_name AS name, CAST(row_number() OVER (PARTITION BY object_id ORDER BY type <> 1, index_id) AS INTEGER) AS ord FROM (SELECT DISTINCT object_id, index_id, type, index_name FROM object_inventory WHERE part_key % 3 <> 0 AND type <> 0) x")
+@query("object_inventory", "SELECT server, database, object_id, index_id, index_name AS name, CAST(row_number() OVER (PARTITION BY server, database, object_id ORDER BY type <> 1, index_id) AS INTEGER) AS ord FROM (SELECT DISTINCT server, database, object_id, index_id, type, index_name FROM object_inventory WHERE part_key % 3 <> 0 AND type <> 0) x")
 def rebuildable_indexes(i):
-    return catalog.rebuildable_indexes(_indexes(i)).select("object_id", "index_id", "name", "ord")
+    return catalog.rebuildable_indexes(_indexes(i)).select("server", "database", "object_id", "index_id", "name", "ord")
 
 
 @on_tables("events", "customer", sql="""SELECT event_id AS spid, CAST(floor(value * 10) AS BIGINT) AS cpu_ms, substring(c_name, 3, CAST(CASE WHEN event_id % 2 = 0 THEN length(c_name) ELSE 9 END AS BIGINT)) AS statement
@@ -76,9 +76,17 @@ def database_eligibility(s):
     return _eligible(s)
 
 
-@on_tables("supplier", "customer", sql=f"SELECT c_custkey AS ord, concat('db', c_custkey) AS name, CASE WHEN reason IS NULL THEN 'unknown' WHEN reason <> '' THEN reason END AS skipped FROM customer LEFT JOIN ({ELIGIBLE}) e ON e.name = concat('db', c_custkey)")
+@on_tables("supplier", "customer", sql=f"""SELECT server, ord, coalesce(e.name, trim(asked)) AS name, CASE WHEN reason IS NULL THEN 'not found on server' WHEN reason <> '' THEN reason END AS skipped FROM (
+  SELECT 'a' AS server, c_custkey AS ord, CASE c_custkey % 9 WHEN 0 THEN '  ' WHEN 1 THEN concat(' DB', c_custkey, ' ') ELSE concat('db', c_custkey) END AS asked FROM customer) q LEFT JOIN ({ELIGIBLE}) e ON e.name = lower(trim(asked)) WHERE trim(asked) <> ''""")
 def resolve_databases(s, cu):
-    return catalog.resolve_databases(_eligible(s), cu.selectExpr("c_custkey AS ord", "concat('db', c_custkey) AS name"))
+    d = _eligible(s).withColumn("server", F.lit("a"))
+    asked = cu.selectExpr("'a' AS server", "c_custkey AS ord", "CASE c_custkey % 9 WHEN 0 THEN '  ' WHEN 1 THEN concat(' DB', c_custkey, ' ') ELSE concat('db', c_custkey) END AS name")
+    return catalog.resolve_databases(d.unionByName(d.withColumn("server", F.lit("b"))), asked)
+
+
+@on_tables("supplier", sql=f"SELECT concat('s', database_id % 2) AS server, database_id AS ord, name, CASE WHEN reason <> '' THEN reason END AS skipped FROM ({ELIGIBLE}) e WHERE name LIKE 'db1%' AND NOT regexp_matches(name, '^db1.2$')")
+def resolve_all_databases(s):
+    return catalog.resolve_databases(_eligible(s).withColumn("server", F.concat(F.lit("s"), (F.col("database_id") % 2).cast("string"))), include=("DB1*",), exclude=("db1?2",))
 
 
 @on_tables("supplier", sql="SELECT name FROM (SELECT concat('db', s_suppkey) AS name FROM supplier) x WHERE (name LIKE 'db1%' OR regexp_matches(name, '^db2.$')) AND NOT regexp_matches(name, '^db1.2$')")
@@ -171,17 +179,17 @@ def movable_target(t):
 SAVINGS = "CAST(floor(size_mb * 1024) AS BIGINT) AS current_kb, CAST(floor(floor(size_mb * 1024) * (part_key % 10) / 10) AS BIGINT) AS row_kb, CAST(floor(floor(size_mb * 1024) * (part_key % 7) / 10) AS BIGINT) AS page_kb"
 
 
-@query("object_inventory", f"SELECT object_id, index_id, CAST(sum(current_kb) AS BIGINT) AS current_kb, CAST(sum(row_kb) AS BIGINT) AS row_kb, CAST(sum(page_kb) AS BIGINT) AS page_kb FROM (SELECT object_id, index_id, {SAVINGS} FROM object_inventory WHERE part_key % 13 <> 0) x GROUP BY 1, 2")
+@query("object_inventory", f"SELECT server, database, object_id, index_id, CAST(sum(current_kb) AS BIGINT) AS current_kb, CAST(sum(row_kb) AS BIGINT) AS row_kb, CAST(sum(page_kb) AS BIGINT) AS page_kb FROM (SELECT server, database, object_id, index_id, {SAVINGS} FROM object_inventory WHERE part_key % 13 <> 0) x GROUP BY 1, 2, 3, 4")
 def compression_estimate(i):
-    d = i.selectExpr("object_id", "index_id", "part_key", "CAST(floor(size_mb * 1024) AS BIGINT) AS current_kb", "explode(array('ROW', 'PAGE')) AS setting")
+    d = i.selectExpr("server", "database", "object_id", "index_id", "part_key", "CAST(floor(size_mb * 1024) AS BIGINT) AS current_kb", "explode(array('ROW', 'PAGE')) AS setting")
     d = d.where("NOT (setting = 'PAGE' AND part_key % 13 = 0)").withColumn("estimated_kb", F.expr("CAST(floor(current_kb * (CASE setting WHEN 'ROW' THEN part_key % 10 ELSE part_key % 7 END) / 10) AS BIGINT)"))
     return m.compression_estimate(d)
 
 
-@on_tables("lineitem", sql="""SELECT object_id, index_id, CAST(sum(w) AS BIGINT) AS writes, CAST(sum(r) AS BIGINT) AS reads, CASE WHEN sum(w) + sum(r) > 0 THEN sum(w) / CAST(sum(w) + sum(r) AS DOUBLE) ELSE 0 END AS write_ratio FROM (
-  SELECT l_partkey AS object_id, l_linenumber % 3 AS index_id, l_orderkey % 5 + l_orderkey % 7 + l_suppkey % 3 AS w, l_orderkey % 11 + l_suppkey % 4 AS r FROM lineitem) x GROUP BY 1, 2""")
+@on_tables("lineitem", sql="""SELECT server, database, object_id, index_id, CAST(sum(w) AS BIGINT) AS writes, CAST(sum(r) AS BIGINT) AS reads, CASE WHEN sum(w) + sum(r) > 0 THEN sum(w) / CAST(sum(w) + sum(r) AS DOUBLE) ELSE 0 END AS write_ratio FROM (
+  SELECT l_suppkey % 2 AS server, l_orderkey % 2 AS database, l_partkey AS object_id, l_linenumber % 3 AS index_id, l_orderkey % 5 + l_orderkey % 7 + l_suppkey % 3 AS w, l_orderkey % 11 + l_suppkey % 4 AS r FROM lineitem) x GROUP BY 1, 2, 3, 4""")
 def write_activity(li):
-    return m.write_activity(li.selectExpr("l_partkey AS object_id", "l_linenumber % 3 AS index_id", "l_orderkey % 5 AS inserts", "l_orderkey % 7 AS updates", "l_suppkey % 3 AS deletes", "l_orderkey % 11 AS scans", "l_suppkey % 4 AS lookups"))
+    return m.write_activity(li.selectExpr("l_suppkey % 2 AS server", "l_orderkey % 2 AS database", "l_partkey AS object_id", "l_linenumber % 3 AS index_id", "l_orderkey % 5 AS inserts", "l_orderkey % 7 AS updates", "l_suppkey % 3 AS deletes", "l_orderkey % 11 AS scans", "l_suppkey % 4 AS lookups"))
 
 
 @query("object_inventory", f"SELECT object_id, index_id, partition_number, {OVERRIDE} AS override FROM object_inventory")
@@ -202,11 +210,11 @@ def same_statement(t):
     return m.same_statement(d).select("p_partkey", "same")
 
 
-@query("object_inventory", "SELECT table_name, index_name, partition_number, lower(index_name) IN (SELECT lower(index_name) FROM object_inventory WHERE part_key % 5 = 0) AS covered FROM object_inventory WHERE compression = 'ROW'")
+@query("object_inventory", "SELECT server, database, table_name, index_name, partition_number, EXISTS (SELECT 1 FROM object_inventory q WHERE q.part_key % 5 = 0 AND q.compression <> 'PAGE' AND q.server = i.server AND q.database = i.database AND lower(q.index_name) = lower(i.index_name)) AS covered FROM object_inventory i WHERE compression = 'ROW'")
 def stranded_resumables(i):
     paused = i.withColumn("state", F.when(F.col("compression") == "ROW", "PAUSED").otherwise("RUNNING"))
-    queued = i.where("part_key % 5 = 0").select(F.upper("table_name").alias("table_name"), F.lower("index_name").alias("index_name"))
-    return m.stranded_resumables(paused, queued).select("table_name", "index_name", "partition_number", "covered")
+    queued = i.where("part_key % 5 = 0 AND compression <> 'PAGE'").select("server", "database", F.upper("table_name").alias("table_name"), F.lower("index_name").alias("index_name"))
+    return m.stranded_resumables(paused, queued).select("server", "database", "table_name", "index_name", "partition_number", "covered")
 
 
 # Changes
@@ -274,38 +282,51 @@ def check_free_space(s, t):
     return _space(s, t).select("server", "severity")
 
 
-@on_tables("supplier", "part", sql=f"""SELECT server, count(*) FILTER (WHERE severity = 'FAIL') AS fails, count(*) FILTER (WHERE severity = 'WARN') AS warns, CASE max(CASE severity WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS severity
-  FROM (SELECT server, CASE WHEN tier = 'express' THEN 'FAIL' ELSE 'PASS' END AS severity FROM ({SERVERS}) x UNION ALL {FREE_SQL}) y GROUP BY server""")
-def preflight(s, t):
-    return fleet.preflight(_tiers(s), _space(s, t))
+# Reports
 
 
-# Reports
+SIZES = """SELECT server, database, part_key, partition_number, CASE WHEN part_key % 5 = 0 THEN -1 ELSE CAST(floor(size_mb * 1024) AS BIGINT) * (CASE part_key % 4 WHEN 3 THEN 4096 ELSE 1 END) END AS before_kb, CASE WHEN part_key % 7 = 0 THEN -1 ELSE CAST(floor(size_mb * 512) AS BIGINT) END AS after_kb FROM object_inventory"""
+
+
+def _human(c):
+    return f"CASE WHEN {c} = -1 THEN 'unknown' WHEN {c} < 1024 THEN printf('%d KB', {c}) WHEN {c} < 1048576 THEN printf('%.1f MB', {c} / 1024.0) WHEN {c} < 1073741824 THEN printf('%.1f GB', {c} / 1048576.0) ELSE printf('%.2f TB', {c} / 1073741824.0) END"
+
 
+PCT = "CASE WHEN before_kb > 0 AND after_kb >= 0 THEN 100.0 * (after_kb - before_kb) / before_kb END"
 
-@query("object_inventory", "SELECT part_key, partition_number, CASE WHEN part_key % 5 <> 0 AND part_key % 7 <> 0 THEN 100.0 * (a - b) / b END AS change_pct FROM (SELECT part_key, partition_number, CAST(floor(size_mb * 1024) AS BIGINT) AS b, CAST(floor(size_mb * 512) AS BIGINT) AS a FROM object_inventory) x")
+
+@query("object_inventory", f"SELECT server, database, part_key, partition_number, {PCT} AS change_pct, concat({_human('before_kb')}, ' -> ', {_human('after_kb')}, CASE WHEN {PCT} IS NULL THEN '' ELSE printf(' (%+.1f%%)', {PCT}) END) AS text FROM ({SIZES}) x")
 def size_change(i):
-    d = i.selectExpr("part_key", "partition_number", "CASE WHEN part_key % 5 = 0 THEN -1 ELSE CAST(floor(size_mb * 1024) AS BIGINT) END AS before_kb", "CASE WHEN part_key % 7 = 0 THEN -1 ELSE CAST(floor(size_mb * 512) AS BIGINT) END AS after_kb")
-    return r.size_change(d).select("part_key", "partition_number", F.col("change_pct").cast("double"))
+    i.createOrReplaceTempView("object_inventory")
+    return r.size_change(i.sparkSession.sql(SIZES)).select("server", "database", "part_key", "partition_number", F.col("change_pct").cast("double"), "text")
+
+
+@query("object_inventory", f"""SELECT server, database, total, measured, {PCT} AS change_pct FROM (SELECT server, database, count(*) AS total, count(*) FILTER (WHERE before_kb >= 0 AND after_kb >= 0) AS measured,
+  CAST(coalesce(sum(before_kb) FILTER (WHERE before_kb >= 0 AND after_kb >= 0), 0) AS BIGINT) AS before_kb, CAST(coalesce(sum(after_kb) FILTER (WHERE before_kb >= 0 AND after_kb >= 0), 0) AS BIGINT) AS after_kb FROM ({SIZES}) x GROUP BY 1, 2) y""")
+def size_changes(i):
+    i.createOrReplaceTempView("object_inventory")
+    return r.size_changes(i.sparkSession.sql(SIZES), ["server", "database"]).select("server", "database", "total", "measured", F.col("change_pct").cast("double"))
 
 
 @query("object_inventory", """SELECT CAST(coalesce(sum(b), 0) AS BIGINT) AS before_kb, CAST(coalesce(sum(a), 0) AS BIGINT) AS after_kb, count(*) AS structures FROM (SELECT part_key,
-  min_by(k, partition_number) FILTER (WHERE part_key % 5 <> 0) AS b, max_by(k // 2, partition_number) FILTER (WHERE partition_number <> 2) AS a FROM (SELECT *, CAST(floor(size_mb * 1024) AS BIGINT) AS k FROM object_inventory) x GROUP BY part_key) y""")
+  min_by(k, partition_number) FILTER (WHERE part_key % 5 <> 0) AS b, max_by(k // 2, partition_number) FILTER (WHERE partition_number <> 2) AS a FROM (SELECT *, CAST(floor(size_mb * 1024) AS BIGINT) AS k FROM object_inventory) x GROUP BY server, database, part_key) y""")
 def size_totals(i):
-    d = i.selectExpr("part_key", "partition_number AS op_index", "CAST(floor(size_mb * 1024) AS BIGINT) AS k").selectExpr("part_key", "op_index", "CASE WHEN part_key % 5 = 0 THEN -1 ELSE k END AS before_kb", "CASE WHEN op_index = 2 THEN -1 ELSE k DIV 2 END AS after_kb")
-    return r.size_totals(d, ["part_key"])
+    d = i.selectExpr("server", "database", "part_key", "partition_number AS op_index", "CAST(floor(size_mb * 1024) AS BIGINT) AS k").selectExpr("server", "database", "part_key", "op_index", "CASE WHEN part_key % 5 = 0 THEN -1 ELSE k END AS before_kb", "CASE WHEN op_index = 2 THEN -1 ELSE k DIV 2 END AS after_kb")
+    return r.size_totals(d, ["server", "database", "part_key"])
 
 
-@on_tables("lineitem", sql="SELECT l_orderkey AS run_id, count(*) AS operations, CAST(max(l_suppkey % 9) AS BIGINT) AS peak_blocked, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber % 2 = 0) AS skipped FROM lineitem GROUP BY 1")
+@on_tables("lineitem", sql="SELECT l_orderkey AS run_id, count(*) AS operations, CAST(max(l_suppkey % 9) AS BIGINT) AS peak_blocked, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber % 2 = 0) AS skipped, CAST(max(l_suppkey) AS BIGINT) AS size_before_kb, CAST(min(l_suppkey) AS BIGINT) AS size_after_kb FROM lineitem GROUP BY 1")
 def run_record(li):
     o = F.struct(F.lit("rebuild_index").alias("command"), F.when(F.col("l_returnflag") == "R", "skipped").otherwise("done").alias("outcome"), (F.col("l_suppkey") % 9).cast("long").alias("peak_blocked"), (F.col("l_linenumber") % 2 == 1).alias("resumed"))
-    return r.run_record(li.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_list(o).alias("operations")))
+    return r.run_record(li.groupBy(F.col("l_orderkey").alias("run_id")).agg(F.collect_list(o).alias("operations"), F.max("l_suppkey").cast("long").alias("size_before_kb"), F.min("l_suppkey").cast("long").alias("size_after_kb")))
 
 
-@on_tables("orders", "lineitem", sql="SELECT count(*) AS canceled, count(*) FILTER (WHERE o_orderstatus = 'F') AS saved, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@on_tables("orders", "lineitem", sql="""SELECT o_custkey % 90 AS run_id, count(*) AS canceled, count(*) FILTER (WHERE o_orderstatus = 'F') AS saved, count(*) FILTER (WHERE o_orderstatus <> 'F') AS failed FROM orders
+  WHERE o_orderkey % 3 < 2 AND o_orderkey % 4 <> 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey AND l_suppkey % 5 <> 0) GROUP BY 1""")
 def cancel_only_summary(o, li):
-    ops = o.selectExpr("o_orderkey AS op_id", "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'running' END AS outcome")
-    return r.cancel_only_summary(ops, li.selectExpr("l_orderkey AS op_id", "CASE WHEN l_returnflag = 'R' THEN 'cancel' ELSE 'pause' END AS kind"))
+    ops = o.selectExpr("o_custkey % 90 AS run_id", "o_orderkey AS op_id", "CASE o_orderkey % 3 WHEN 0 THEN 'rebuild_index' WHEN 1 THEN 'alter_column' ELSE 'update_statistics' END AS command", "o_orderkey % 4 = 0 AS resumable", "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'failed' ELSE 'interrupted' END AS outcome")
+    run = o.selectExpr("o_custkey % 90 AS run_id", "o_orderkey AS l_orderkey")
+    return r.cancel_only_summary(ops, li.join(run, "l_orderkey").selectExpr("run_id", "l_orderkey AS op_id", "CASE WHEN l_returnflag = 'R' AND l_suppkey % 5 <> 0 THEN 'cancel' ELSE 'pause' END AS kind"))
 
 
 # History, written to the shared folder and read again
@@ -402,41 +423,42 @@ def progress_eta(e):
 # Decisions, one at a time
 
 
-@query("object_inventory physical_stats", f"SELECT name, target FROM ({PLAN_INDEX}) x WHERE category = 'index' AND kind = 'rebuild'")
+@query("object_inventory physical_stats", f"SELECT server, database, name, target FROM ({PLAN_INDEX}) x WHERE category = 'index' AND kind = 'rebuild'")
 def decide_compression(i, ph):
     from .plans.analysis import analyze
     from .queries import _measures
 
     d = analyze(i, ph, PROFILE, ("index", "compression"), **_measures(i))
-    return d.where("kind = 'rebuild'").select("name", "target")
+    return d.where("kind = 'rebuild'").select("server", "database", "name", "target")
 
 
 @on_tables("lineitem", sql="""SELECT id, category, CASE WHEN gone IS NULL THEN kind ELSE 'skip' END AS kind, coalesce(gone, 'due') AS reason FROM (SELECT *, CASE WHEN kind = 'skip' THEN NULL WHEN category IN ('index', 'statistics') AND heap THEN 'heap rebuilt' WHEN category = 'statistics' AND whole THEN 'index rebuilt' END AS gone FROM (
-   SELECT *, bool_or(kind = 'rebuild_heap') OVER (PARTITION BY t) AS heap, bool_or(kind = 'rebuild' AND part IS NULL) OVER (PARTITION BY t, n) AS whole FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 500 AS t, l_suppkey % 4 AS n, CASE WHEN l_orderkey % 4 = 3 THEN 1 END AS part,
+   SELECT *, bool_or(kind = 'rebuild_heap') OVER (PARTITION BY s, b, t) AS heap, bool_or(kind = 'rebuild' AND part IS NULL) OVER (PARTITION BY s, b, t, n) AS whole FROM (SELECT l_suppkey % 2 AS s, l_suppkey % 3 AS b, l_orderkey * 10 + l_linenumber AS id, l_partkey % 500 AS t, l_suppkey % 4 AS n, CASE WHEN l_orderkey % 4 = 3 THEN 1 END AS part,
     CASE l_orderkey % 7 WHEN 0 THEN 'heap' WHEN 1 THEN 'statistics' WHEN 2 THEN 'statistics' ELSE 'index' END AS category, CASE WHEN l_orderkey % 7 = 0 THEN CASE WHEN l_linenumber = 1 AND l_suppkey % 9 = 0 THEN 'rebuild_heap' ELSE 'skip' END WHEN l_orderkey % 7 < 3 THEN 'update_statistics' WHEN l_linenumber < 3 THEN 'rebuild' ELSE 'reorganize' END AS kind FROM lineitem) a) b) c""")
 def suppress_redundant(li):
     kind = "CASE WHEN l_orderkey % 7 = 0 THEN CASE WHEN l_linenumber = 1 AND l_suppkey % 9 = 0 THEN 'rebuild_heap' ELSE 'skip' END WHEN l_orderkey % 7 < 3 THEN 'update_statistics' WHEN l_linenumber < 3 THEN 'rebuild' ELSE 'reorganize' END AS kind"
-    d = li.selectExpr("l_orderkey * 10 + l_linenumber AS id", "'DBO' AS schema_name", "concat(CASE WHEN l_linenumber = 1 THEN 'T' ELSE 't' END, l_partkey % 500) AS table_name", "concat('i', l_suppkey % 4) AS name", "CASE WHEN l_orderkey % 4 = 3 THEN 1 END AS partition_number",
+    d = li.selectExpr("l_suppkey % 2 AS server", "l_suppkey % 3 AS database", "l_orderkey * 10 + l_linenumber AS id", "'DBO' AS schema_name", "concat(CASE WHEN l_linenumber = 1 THEN 'T' ELSE 't' END, l_partkey % 500) AS table_name", "concat('i', l_suppkey % 4) AS name", "CASE WHEN l_orderkey % 4 = 3 THEN 1 END AS partition_number",
                       "CASE l_orderkey % 7 WHEN 0 THEN 'heap' WHEN 1 THEN 'statistics' WHEN 2 THEN 'statistics' ELSE 'index' END AS category", kind, "'due' AS reason")
     return m.suppress_redundant(d).select("id", "category", "kind", "reason")
 
 
-@query("object_inventory", """SELECT o.op_index, x.index_name AS "index", CAST(row_number() OVER (PARTITION BY o.op_index ORDER BY x.type <> 1, x.index_id) AS INTEGER) AS place, 'PAGE' AS compression FROM (SELECT DISTINCT object_id AS op_index FROM object_inventory WHERE object_id % 3 = 0) o
-  JOIN (SELECT DISTINCT object_id, index_id, type, index_name FROM object_inventory) x ON x.object_id = o.op_index UNION ALL SELECT DISTINCT object_id, concat('one_', CAST(object_id AS VARCHAR)), CAST(1 AS INTEGER), 'PAGE' FROM object_inventory WHERE object_id % 3 <> 0""")
+@query("object_inventory", """SELECT o.server, o.database, o.op_index, x.index_name AS "index", CAST(row_number() OVER (PARTITION BY o.server, o.database, o.op_index ORDER BY x.type <> 1, x.index_id) AS INTEGER) AS place, 'PAGE' AS compression FROM (SELECT DISTINCT server, database, object_id AS op_index FROM object_inventory WHERE object_id % 3 = 0) o
+  JOIN (SELECT DISTINCT server, database, object_id, index_id, type, index_name FROM object_inventory) x ON x.server = o.server AND x.database = o.database AND x.object_id = o.op_index
+  UNION ALL SELECT DISTINCT server, database, object_id, concat('one_', CAST(object_id AS VARCHAR)), CAST(1 AS INTEGER), 'PAGE' FROM object_inventory WHERE object_id % 3 <> 0""")
 def expand_all(i):
-    ops = i.select("object_id").distinct().selectExpr("object_id AS op_index", "object_id", "CASE WHEN object_id % 3 = 0 THEN 'ALL' ELSE concat('one_', object_id) END AS index", "'PAGE' AS compression")
-    return m.expand_all(ops, i).select("op_index", "index", "place", "compression")
+    ops = i.select("server", "database", "object_id").distinct().selectExpr("server", "database", "object_id AS op_index", "object_id", "CASE WHEN object_id % 3 = 0 THEN 'ALL' ELSE concat('one_', object_id) END AS index", "'PAGE' AS compression")
+    return m.expand_all(ops, i).select("server", "database", "op_index", "index", "place", "compression")
 
 
-@query("object_inventory physical_stats", """SELECT database, object_id, index_id, CAST(row_number() OVER (PARTITION BY database ORDER BY kind IS NULL, coalesce(kind <> 'tail', true), tail NULLS LAST, times DESC NULLS LAST, object_id, index_id) AS INTEGER) AS ord FROM (
-  SELECT g.*, CASE WHEN object_id % 5 = 0 THEN CASE WHEN object_id % 2 = 0 THEN 'tail' ELSE 'lock' END END AS kind, CASE WHEN object_id % 5 = 0 THEN object_id % 7 END AS times, CASE WHEN object_id % 10 = 0 THEN object_id % 11 END AS tail FROM (
-   SELECT object_id % 4 AS database, i.object_id, index_id, type, CAST(coalesce(sum(page_count), 0) AS BIGINT) AS pages, coalesce(min(CASE WHEN page_count > 0 THEN density END), 100.0) AS density FROM object_inventory i LEFT JOIN physical_stats p ON i.part_key = p.part_key AND i.partition_number = p.partition_number GROUP BY 1, 2, 3, 4) g) x
+@query("object_inventory physical_stats", """SELECT server, database, object_id, index_id, CAST(row_number() OVER (PARTITION BY server, database ORDER BY kind IS NULL, coalesce(kind <> 'tail', true), tail NULLS LAST, times DESC NULLS LAST, object_id, index_id) AS INTEGER) AS ord FROM (
+  SELECT g.*, CASE WHEN object_id % 5 = 0 AND database = 'db0' THEN CASE WHEN object_id % 2 = 0 THEN 'tail' ELSE 'lock' END END AS kind, CASE WHEN object_id % 5 = 0 AND database = 'db0' THEN object_id % 7 END AS times, CASE WHEN object_id % 10 = 0 AND database = 'db0' THEN object_id % 11 END AS tail FROM (
+   SELECT i.server, i.database, i.object_id, index_id, type, CAST(coalesce(sum(page_count), 0) AS BIGINT) AS pages, coalesce(min(CASE WHEN page_count > 0 THEN density END), 100.0) AS density
+   FROM object_inventory i LEFT JOIN physical_stats p ON i.server = p.server AND i.database = p.database AND i.part_key = p.part_key AND i.partition_number = p.partition_number GROUP BY 1, 2, 3, 4, 5) g) x
   WHERE type <> 0 AND pages >= 2000 AND (density < 60 OR kind IS NOT NULL)""")
 def pre_shrink_plan(i, ph):
-    measures = m.pre_shrink_measures(i, ph).withColumn("database", F.col("object_id") % 4)
-    c = i.select("object_id").distinct().where("object_id % 5 = 0 OR object_id % 5 = 1")
-    c = c.selectExpr("object_id % 4 AS database", "object_id", "CASE WHEN object_id % 5 = 1 THEN 'transient' WHEN object_id % 2 = 0 THEN 'tail' ELSE 'lock' END AS confirmed_by", "object_id % 7 AS times_blocked", "CASE WHEN object_id % 10 = 0 THEN object_id % 11 END AS page_from_end")
-    return m.pre_shrink_plan(measures, c, 2000, 60.0).select("database", "object_id", "index_id", "ord")
+    c = i.where("database = 'db0'").select("server", "database", "object_id").distinct().where("object_id % 5 = 0 OR object_id % 5 = 1")
+    c = c.selectExpr("server", "database", "object_id", "CASE WHEN object_id % 5 = 1 THEN 'transient' WHEN object_id % 2 = 0 THEN 'tail' ELSE 'lock' END AS confirmed_by", "object_id % 7 AS times_blocked", "CASE WHEN object_id % 10 = 0 THEN object_id % 11 END AS page_from_end")
+    return m.pre_shrink_plan(m.pre_shrink_measures(i, ph), c, 2000, 60.0).select("server", "database", "object_id", "index_id", "ord")
 
 
 # Changes, one at a time
@@ -459,10 +481,16 @@ def resume_watermark(o):
     return c.resume_watermarks(d, "DELETE FROM t")
 
 
-@on_tables("orders", sql=f"SELECT count(*) FILTER (WHERE NOT coalesce(o_totalprice > 200000.0 AND o_orderstatus <> 'P', false)) AS spared, count(*) FILTER (WHERE NOT coalesce({HIT}, false)) AS op_spared FROM orders")
+@on_tables("orders", sql="SELECT least(1000, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 200000.0 AND o_orderstatus <> 'P', false))) AS spared, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 1500.0, false)) AS few FROM orders")
 def unmatched_rows(o):
-    spared = c.spared_rows(o, c.where(WHERE)).agg(F.count("*").alias("spared"))
-    return spared.join(c.spared_rows(o, c.where(WHERE) & c.self_limit(SET)).agg(F.count("*").alias("op_spared")))
+    few = c.spared_count(o, F.col("o_totalprice") > 1500.0).withColumnRenamed("spared", "few")
+    return c.spared_count(o, c.where(WHERE)).join(few)
+
+
+@on_tables("orders", sql=f"SELECT least(1000, count(*) FILTER (WHERE NOT coalesce({HIT}, false))) AS spared, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 1500.0 AND (o_orderstatus IS NULL OR o_orderstatus <> 'Z'), false)) AS few FROM orders")
+def untouched_rows(o):
+    few = c.spared_count(o, (F.col("o_totalprice") > 1500.0) & c.self_limit({"o_orderstatus": "Z"})).withColumnRenamed("spared", "few")
+    return c.spared_count(o, c.where(WHERE) & c.self_limit(SET)).join(few)
 
 
 @on_tables("lineitem", sql="""SELECT job, batch, CAST(sum(n) OVER (PARTITION BY job ORDER BY batch) AS BIGINT) AS done, least(1.0, sum(n) OVER (PARTITION BY job ORDER BY batch) / 5000.0) AS share, CASE WHEN s > 0 THEN n / s END AS rate FROM (SELECT l_suppkey % 7 AS job, l_orderkey % 40 AS batch, count(*) AS n, CAST(sum(l_linenumber) % 50 AS BIGINT) AS s FROM lineitem GROUP BY 1, 2) x""")
@@ -582,15 +610,28 @@ FLEET_SQL = "SELECT s_suppkey AS server, s_suppkey % 11 + 8 AS major, CASE s_sup
 APPLICABLE = f"SELECT server, command, option FROM ({FLEET_SQL}) s JOIN ({RULE_ROWS}) r ON CASE WHEN tier = 'azure' THEN 9999 ELSE major END >= min_major AND list_contains(string_split(editions, ','), tier)"
 
 
-@on_tables("supplier", sql=f"SELECT command, option, CAST(min_major AS INTEGER) AS min_major, editions, requires, n AS servers FROM ({RULE_ROWS}) r CROSS JOIN (SELECT count(*) AS n FROM supplier) s")
-def compat_rules(s):
-    rules = fleet.compat_rules(s.sparkSession, MATRIX)
-    return rules.join(F.broadcast(s.agg(F.count("*").alias("servers")))).select("command", "option", "min_major", F.array_join("editions", ",").alias("editions"), F.array_join("requires", ",").alias("requires"), "servers")
+def _documents(spark):
+    full = [(k, {o: (r["min_major"], r["editions"], r.get("requires")) for o, r in options.items()}) for k, options in MATRIX.items()]
+    return fleet.compat_rules(spark.createDataFrame(full, fleet.RULES))
+
+
+@on_tables("part", sql="""SELECT concat('command ', p_size % 12) AS command, concat('option ', p_partkey % 7) AS option, CAST(min(p_partkey % 20) AS INTEGER) AS min_major, CASE WHEN count(*) % 2 = 0 THEN 'standard,enterprise' ELSE 'enterprise' END AS editions,
+  CASE WHEN count(*) % 3 = 0 THEN 'option 0' ELSE '' END AS requires FROM part GROUP BY 1, 2""")
+def compat_rules(t):
+    """Rules landed as documents, a command each, and read again."""
+    path = _folder(t)
+    option = t.groupBy(F.concat(F.lit("command "), (F.col("p_size") % 12).cast("string")).alias("command"), F.concat(F.lit("option "), (F.col("p_partkey") % 7).cast("string")).alias("option")).agg(F.min(F.col("p_partkey") % 20).cast("int").alias("min_major"), F.count("*").alias("n"))
+    editions = F.when(F.col("n") % 2 == 0, F.array(F.lit("standard"), F.lit("enterprise"))).otherwise(F.array(F.lit("enterprise")))
+    requires = F.when(F.col("n") % 3 == 0, F.array(F.lit("option 0")))
+    d = option.groupBy("command").agg(F.map_from_entries(F.collect_list(F.struct("option", F.struct("min_major", editions.alias("editions"), requires.alias("requires"))))).alias("options"))
+    d.select(F.to_json(F.struct("command", "options")).alias("value")).write.text(path)
+    got = fleet.compat_source(t.sparkSession, path)
+    return got.select("command", "option", "min_major", F.array_join("editions", ",").alias("editions"), F.array_join("requires", ",").alias("requires"))
 
 
 @on_tables("supplier", sql=APPLICABLE)
 def applicable_options(s):
-    return fleet.applicable_options(s.selectExpr(*FLEET), fleet.compat_rules(s.sparkSession, MATRIX)).select("server", "command", "option")
+    return fleet.applicable_options(s.selectExpr(*FLEET), _documents(s.sparkSession)).select("server", "command", "option")
 
 
 @on_tables("supplier", sql=f"""WITH a AS ({APPLICABLE}), d AS (SELECT s.server, o.option, a.option IS NOT NULL AS able, s_suppkey % 6 = 1 AS every, s_suppkey % 9 <> 2 AS rowstore, CASE WHEN o.option = 'online' AND s_suppkey % 5 = 0 THEN false WHEN o.option = 'resumable' AND s_suppkey % 3 = 0 THEN true WHEN o.option = 'sort_in_tempdb' AND s_suppkey % 2 = 0 THEN true END AS asked
@@ -602,7 +643,7 @@ def resolve_options(s):
     servers = s.selectExpr(*FLEET, "CAST(map() AS map<string,boolean>) AS policy", "'sales' AS database")
     asked = "map_from_entries(filter(array(named_struct('k', 'online', 'v', IF(s_suppkey % 5 = 0, false, NULL)), named_struct('k', 'resumable', 'v', IF(s_suppkey % 3 = 0, true, NULL)), named_struct('k', 'sort_in_tempdb', 'v', IF(s_suppkey % 2 = 0, true, NULL))), x -> x.v IS NOT NULL)) AS overrides"
     ops = s.selectExpr("s_suppkey AS server", "1 AS op_index", "'rebuild_index' AS command", "IF(s_suppkey % 6 = 1, 'ALL', 'ix') AS index", "CAST(NULL AS INT) AS partition", "s_suppkey % 9 <> 2 AS rowstore", asked)
-    return fleet.resolve_options(ops, servers, fleet.compat_rules(s.sparkSession, MATRIX)).select("server", "option", "value")
+    return fleet.resolve_options(ops, servers, _documents(s.sparkSession)).select("server", "option", "value")
 
 
 SPECIAL = "CASE s_suppkey % 3 WHEN 0 THEN 'shrink' WHEN 1 THEN 'shrink_tempdb' ELSE 'batch_update' END AS command"
@@ -617,7 +658,7 @@ SPECIAL = "CASE s_suppkey % 3 WHEN 0 THEN 'shrink' WHEN 1 THEN 'shrink_tempdb' E
 def resolve_special_options(s):
     servers = s.selectExpr(*FLEET, "CAST(NULL AS BOOLEAN) AS low_priority", "s_suppkey % 2 = 1 AS abort_blockers", "4 AS maxdop")
     ops = s.selectExpr("s_suppkey AS server", "1 AS op_index", SPECIAL, "IF(s_suppkey % 5 = 0, s_suppkey % 2 = 0, NULL) AS low_priority", "IF(s_suppkey % 4 = 0, s_suppkey % 7 - 2, NULL) AS max_block_minutes", "CAST(NULL AS INT) AS maxdop", "s_suppkey % 8 = 0 AS ignore_blocking")
-    return fleet.resolve_special_options(ops, servers, fleet.compat_rules(s.sparkSession, MATRIX)).select("server", "option", "value")
+    return fleet.resolve_special_options(ops, servers, _documents(s.sparkSession)).select("server", "option", "value")
 
 
 @query("run_history", """SELECT run_id, concat_ws('; ', CASE WHEN run_id % 2 = 0 THEN 'readers may block: snapshot reads are off' END, CASE WHEN run_id % 3 = 0 THEN 'statistics update in the background' END) AS advice FROM run_history WHERE outcome = 'done' AND (run_id % 2 = 0 OR run_id % 3 = 0)""")
@@ -665,3 +706,44 @@ def check_reenabled_indexes(i):
   LEFT JOIN (SELECT object_id AS o, count(*) FILTER (WHERE index_id <> 0) AS n, sum(CAST(floor(size_mb) AS BIGINT)) AS kb FROM object_inventory WHERE object_id % 11 <> 0 GROUP BY 1) d ON d.o = h.object_id""")
 def check_heap_scope(i):
     return fleet.check_heap_scope(*_heaps(i)).select("object_id", "severity", "detail")
+
+
+# All checks of manifests
+
+MANIFESTS = "SELECT DISTINCT concat('m', o_custkey % 50) AS manifest, o_custkey % 60 AS server FROM orders"
+LOGS = "SELECT s_suppkey AS server, s_suppkey * 1000 AS total_bytes, CAST(s_suppkey % 101 AS DOUBLE) AS used_percent, CASE WHEN s_suppkey % 4 = 0 THEN 'LOG_BACKUP' ELSE 'NOTHING' END AS reuse_wait FROM supplier"
+BLOCKED = "SELECT user_id % 60 AS server, date_trunc('day', ts) AS poll_ts, CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END AS blocking_spid FROM events"
+PREFLIGHT = f"""SELECT server, CAST(NULL AS VARCHAR) AS manifest, 'tier' AS name, CASE WHEN tier = 'express' THEN 'FAIL' ELSE 'PASS' END AS severity, tier AS detail FROM ({SERVERS}) x
+  UNION ALL SELECT server, NULL, 'free space', severity, NULL FROM ({FREE_SQL}) f UNION ALL SELECT server, NULL, 'log', CASE WHEN floor(total_bytes * used_percent / 100) >= 60000 OR floor(used_percent) >= 95 THEN 'FAIL' WHEN reuse_wait <> 'NOTHING' THEN 'WARN' ELSE 'PASS' END, concat('reuse wait ', reuse_wait) FROM ({LOGS}) g
+  UNION ALL SELECT server, NULL, 'blocking', CASE WHEN count(*) FILTER (WHERE blocking_spid <> 0 AND poll_ts = newest) > 0 THEN 'WARN' ELSE 'PASS' END, NULL FROM (SELECT *, max(poll_ts) OVER (PARTITION BY server) AS newest FROM ({BLOCKED}) b) n GROUP BY server
+  UNION ALL SELECT server, NULL, 'file growth', severity, NULL FROM ({ORACLES["check_file_growth"]}) w UNION ALL SELECT server, NULL, 'permissions', severity, name FROM ({ORACLES["check_permissions"]}) p
+  UNION ALL SELECT server, manifest, 'targets', CASE WHEN CAST(substr(manifest, 2) AS INTEGER) % 7 = 0 THEN 'FAIL' ELSE 'PASS' END, concat('t.', manifest) FROM ({MANIFESTS}) m"""
+PREFLIGHT = f"SELECT m.manifest, m.server, c.name, c.severity, c.detail FROM ({MANIFESTS}) m JOIN ({PREFLIGHT}) c ON c.server = m.server AND (c.manifest IS NULL OR c.manifest = m.manifest)"
+
+
+def _all_checks(o, s, t, e):
+    spark = o.sparkSession
+    for name, table in (("orders", o), ("supplier", s), ("events", e)):
+        table.createOrReplaceTempView(name)
+    manifests = spark.sql(MANIFESTS)
+    polls = fleet.check_blocking(spark.sql(BLOCKED))
+    newest = polls.groupBy("server").agg(F.max_by("severity", "poll_ts").alias("severity"))
+    files = t.selectExpr("p_partkey % 300 AS server", "concat('f', p_partkey) AS file_name", "IF(p_partkey % 2 = 0, 'ROWS', 'LOG') AS file_type", "IF(p_size % 7 = 0, 0, 10) AS growth", "p_size % 9 = 0 AS is_percent")
+    growth = fleet.check_file_growth(files, t.where("p_partkey % 300 % 3 = 0").selectExpr("p_partkey % 300 AS server", "'ROWS' AS file_type"))
+    targets = manifests.selectExpr("manifest", "server", "IF(CAST(substr(manifest, 2) AS INT) % 7 = 0, 'FAIL', 'PASS') AS severity", "concat('t.', manifest) AS detail")
+    return manifests, {
+        "tier": _tiers(s), "free space": _space(s, t).select("server", "severity"), "log": fleet.check_log(spark.sql(LOGS), 60000, 95), "blocking": newest, "file growth": growth.select("server", "severity"),
+        "permissions": check_permissions(s).withColumnRenamed("name", "detail"), "targets": targets,
+    }
+
+
+@on_tables("orders", "supplier", "part", "events", sql=PREFLIGHT)
+def preflight_checks(o, s, t, e):
+    return fleet.preflight_checks(*_all_checks(o, s, t, e))
+
+
+@on_tables("orders", "supplier", "part", "events", sql=f"""SELECT m.manifest, m.server, CASE WHEN fails > 0 THEN 'FAIL' WHEN warns > 0 THEN 'WARN' ELSE 'PASS' END AS severity, coalesce(fails, 0) AS fails, coalesce(warns, 0) AS warns, coalesce(blocking, '') AS blocking FROM ({MANIFESTS}) m
+  LEFT JOIN (SELECT manifest, server, count(*) FILTER (WHERE severity = 'FAIL') AS fails, count(*) FILTER (WHERE severity = 'WARN') AS warns, string_agg(concat_ws(': ', name, detail), '; ' ORDER BY concat_ws(': ', name, detail)) FILTER (WHERE severity = 'FAIL') AS blocking
+   FROM ({PREFLIGHT}) c GROUP BY manifest, server) g ON g.manifest = m.manifest AND g.server = m.server""")
+def preflight(o, s, t, e):
+    return fleet.preflight(*_all_checks(o, s, t, e))

@@ -45,21 +45,22 @@ VIEWS = {
         FROM events
     """,
     "object_inventory": """
-        SELECT CAST(floor(p_partkey / 4.0) AS BIGINT) AS object_id, 'dbo' AS schema_name,
-          concat('T', CAST(CAST(floor(p_partkey / 4.0) AS BIGINT) AS VARCHAR(12))) AS table_name,
-          CAST(CASE WHEN p_partkey % 4 = 0 THEN CAST(floor(p_partkey / 4.0) AS BIGINT) % 2 ELSE p_partkey % 4 + 1 END AS INT) AS index_id,
-          CAST(CASE WHEN p_partkey % 4 = 0 THEN CAST(floor(p_partkey / 4.0) AS BIGINT) % 2 ELSE 2 END AS INT) AS type,
-          concat('IX_', CAST(p_partkey AS VARCHAR(12))) AS index_name, CAST(g.n AS INT) AS partition_number,
+        SELECT concat('srv', CAST(t % 2 AS VARCHAR(9))) AS server, concat('db', CAST(CAST(floor(t / 2.0) AS BIGINT) % 2 AS VARCHAR(9))) AS database,
+          CAST(floor(t / 4.0) AS BIGINT) AS object_id, 'dbo' AS schema_name, concat('T', CAST(CAST(floor(t / 4.0) AS BIGINT) AS VARCHAR(12))) AS table_name,
+          CAST(CASE WHEN k % 4 = 0 THEN CAST(floor(t / 4.0) AS BIGINT) % 2 ELSE k % 4 + 1 END AS INT) AS index_id,
+          CAST(CASE WHEN k % 4 = 0 THEN CAST(floor(t / 4.0) AS BIGINT) % 2 ELSE 2 END AS INT) AS type,
+          concat('IX_', CAST(CAST(floor(t / 4.0) AS BIGINT) * 4 + k % 4 AS VARCHAR(12))) AS index_name, CAST(g.n AS INT) AS partition_number,
           CASE p_size % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'ROW' ELSE 'PAGE' END AS compression,
-          p_partkey AS part_key, p_retailprice / g.n AS size_mb
-        FROM part CROSS JOIN (VALUES (1), (2), (3)) AS g(n) WHERE g.n <= p_size % 3 + 1
+          CAST(floor(t / 4.0) AS BIGINT) * 4 + k % 4 AS part_key, p_retailprice / g.n AS size_mb
+        FROM (SELECT p_partkey AS k, CAST(floor(p_partkey / 4.0) AS BIGINT) AS t, p_size, p_retailprice FROM part) q CROSS JOIN (VALUES (1), (2), (3)) AS g(n) WHERE g.n <= p_size % 3 + 1
     """,
     "physical_stats": """
-        SELECT l_partkey AS part_key, CAST(l_linenumber % 3 + 1 AS INT) AS partition_number,
+        SELECT concat('srv', CAST(t % 2 AS VARCHAR(9))) AS server, concat('db', CAST(CAST(floor(t / 2.0) AS BIGINT) % 2 AS VARCHAR(9))) AS database, CAST(floor(t / 4.0) AS BIGINT) * 4 + k % 4 AS part_key, partition_number, fragmentation, page_count, record_count, forwarded_count, density
+        FROM (SELECT l_partkey AS k, CAST(floor(l_partkey / 4.0) AS BIGINT) AS t, CAST(l_linenumber % 3 + 1 AS INT) AS partition_number,
           CAST(count(*) * 7 % 100 AS DOUBLE) AS fragmentation, CAST(sum(l_quantity) AS BIGINT) * 20 AS page_count,
           count(*) * 100 AS record_count, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 30 ELSE 0 END) AS BIGINT) AS forwarded_count,
           CAST(100 - CAST(sum(l_quantity) AS BIGINT) % 60 AS DOUBLE) AS density
-        FROM lineitem GROUP BY l_partkey, l_linenumber % 3 + 1
+          FROM lineitem GROUP BY l_partkey, l_linenumber % 3 + 1) q
     """,
     "run_history": """
         SELECT o_orderkey AS run_id, concat('m', CAST(o_custkey % 50 AS VARCHAR(9))) AS manifest,

@@ -100,9 +100,13 @@ def key_range_key(keys: DataFrame) -> DataFrame:
     return g.select("table", F.when(why.isNull(), F.col("column")).alias("key"), why.alias("reason"))
 
 
+def spared_count(df: DataFrame, condition: Column, limit: int = 1000) -> DataFrame:
+    """One row (spared): how many rows a filter spares, counted up to a limit, after which reading stops."""
+    return spared_rows(df, condition).select(F.lit(1)).limit(limit).agg(F.count("*").alias("spared"))
+
+
 def unmatched_rows(df: DataFrame, condition: Column, limit: int = 1000) -> int:
-    """How many rows a filter spares, counted up to a limit; unknown ones are spared."""
-    return spared_rows(df, condition).limit(limit).count()
+    return spared_count(df, condition, limit).first()[0]
 
 
 def untouched_rows(df: DataFrame, values: dict, condition: Column, limit: int = 1000) -> int:

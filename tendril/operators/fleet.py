@@ -15,12 +15,19 @@ ELEVATED, SHRINK_BLOCK_MINUTES = ("check_db", "shrink", "shrink_log", "shrink_te
 YEARS = {9: 2005, 10: 2008, 11: 2012, 12: 2014, 13: 2016, 14: 2017, 15: 2019, 16: 2022, 17: 2025}
 
 
-def compat_rules(spark: SparkSession, matrix: dict) -> DataFrame:
-    """Of {command: {option: {min_major, editions, requires}}}: one row per command and option."""
-    shape = "m map<string,map<string,struct<min_major:int,editions:array<string>,requires:array<string>>>>"
-    full = {c: {o: (r["min_major"], r["editions"], r.get("requires", [])) for o, r in os.items()} for c, os in matrix.items()}
-    d = spark.createDataFrame([(full,)], shape).select(F.explode("m").alias("command", "options"))
-    return d.select("command", F.explode("options").alias("option", "r")).select("command", "option", "r.*")
+#: A document of compatibility rules: a command's options, from which version, in which editions, with which other options.
+RULES = "command string, options map<string, struct<min_major: int, editions: array<string>, requires: array<string>>>"
+
+
+def compat_rules(documents: DataFrame) -> DataFrame:
+    """Of documents (command, options): (command, option, min_major, editions, requires), a row per command and option; requires may be empty."""
+    d = documents.select("command", F.explode("options").alias("option", "r"))
+    return d.select("command", "option", "r.min_major", "r.editions", F.coalesce("r.requires", F.array().cast("array<string>")).alias("requires"))
+
+
+def compat_source(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of JSON documents, one a line; a field of another type fails the read."""
+    return compat_rules(spark.read.schema(RULES).option("mode", "FAILFAST").json(path))
 
 
 def applicable_options(servers: DataFrame, rules: DataFrame) -> DataFrame:
@@ -118,8 +125,8 @@ def check_log(latest: DataFrame, max_bytes: int, max_pct: int) -> DataFrame:
     return latest.select("server", F.lit("log").alias("name"), severity.alias("severity"), F.concat(F.lit("reuse wait "), F.col("reuse_wait")).alias("detail"))
 
 
-def check_blocking(sessions: DataFrame) -> DataFrame:
-    g = sessions.groupBy("poll_ts").agg(F.count_if(F.col("blocking_spid") != 0).alias("blocked"))
+def check_blocking(sessions: DataFrame, keys: tuple[str, ...] = ("server",)) -> DataFrame:
+    g = sessions.groupBy(*keys, "poll_ts").agg(F.count_if(F.col("blocking_spid") != 0).alias("blocked"))
     return g.withColumn("severity", F.when(F.col("blocked") > 0, "WARN").otherwise("PASS"))
 
 
@@ -203,10 +210,26 @@ def check_operations(ops: DataFrame, catalog: DataFrame) -> DataFrame:
     return d.select("server", F.lit("operations").alias("name"), severity.alias("severity"), F.concat_ws(".", "table_name", "index_name").alias("detail"))
 
 
-def preflight(*checks: DataFrame) -> DataFrame:
-    """All checks of a server rolled up: the worst severity, and how many failed or warned."""
-    every = checks[0].select("server", "name", "severity")
-    for c in checks[1:]:
-        every = every.unionByName(c.select("server", "name", "severity"))
-    g = every.groupBy("server").agg(F.count_if(F.col("severity") == "FAIL").alias("fails"), F.count_if(F.col("severity") == "WARN").alias("warns"))
-    return g.withColumn("severity", F.when(F.col("fails") > 0, "FAIL").when(F.col("warns") > 0, "WARN").otherwise("PASS"))
+def preflight_checks(manifests: DataFrame, checks: dict[str, DataFrame]) -> DataFrame:
+    """(manifest, server, name, severity, detail): every check of every manifest (manifest, server).
+
+    A check (server, severity, detail if there) without a manifest holds for all manifests of its server, one with a
+    manifest for that one on that server.
+    """
+    every = None
+    for name, c in checks.items():
+        own = ["server", *(["manifest"] if "manifest" in c.columns else [])]
+        detail = F.col("detail").cast("string") if "detail" in c.columns else F.lit(None).cast("string")
+        d = manifests.join(c.select(*own, "severity", detail.alias("detail")), own).select("manifest", "server", F.lit(name).alias("name"), "severity", "detail")
+        every = d if every is None else every.unionByName(d)
+    return every
+
+
+def preflight(manifests: DataFrame, checks: dict[str, DataFrame]) -> DataFrame:
+    """Per manifest and server: the worst severity, how many checks failed or warned, and what blocks: failed checks with their details, in order."""
+    c = preflight_checks(manifests, checks)
+    failed = F.col("severity") == "FAIL"
+    blocking = F.array_join(F.array_sort(F.collect_list(F.when(failed, F.concat_ws(": ", "name", "detail")))), "; ")
+    g = c.groupBy("manifest", "server").agg(F.count_if(failed).alias("fails"), F.count_if(F.col("severity") == "WARN").alias("warns"), blocking.alias("blocking"))
+    d = manifests.join(g, ["manifest", "server"], "left").na.fill({"fails": 0, "warns": 0, "blocking": ""})
+    return d.select("manifest", "server", F.when(F.col("fails") > 0, "FAIL").when(F.col("warns") > 0, "WARN").otherwise("PASS").alias("severity"), "fails", "warns", "blocking")

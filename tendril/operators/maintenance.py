@@ -73,13 +73,17 @@ def match_overrides(objects: DataFrame, overrides: tuple[tuple[str, str], ...])
     return objects.withColumn("override", action)
 
 
-def index_measurements(inventory: DataFrame, physical: DataFrame, per_partition: bool = False) -> DataFrame:
+#: Ids of objects, and their names, are unique in one database of one server only.
+ESTATE = ("server", "database")
+
+
+def index_measurements(inventory: DataFrame, physical: DataFrame, per_partition: bool = False, estate: tuple[str, ...] = ESTATE) -> DataFrame:
     """Rowstore indexes: sums of whole MB and pages, worst fragmentation, the first partition's compression. Unmeasured: NULL.
 
     per_partition: a row for each partition of an index that has several, with its number; others have none.
     """
-    j = inventory.where("type IN (1, 2)").join(physical, ["part_key", "partition_number"], "left")
-    keys = ["object_id", "schema_name", "table_name", "index_id", "index_name", "part_key"]
+    j = inventory.where("type IN (1, 2)").join(physical, [*estate, "part_key", "partition_number"], "left")
+    keys = [*estate, "object_id", "schema_name", "table_name", "index_id", "index_name", "part_key"]
     if per_partition:
         several = F.count("*").over(W.partitionBy(*keys)) > 1
         j = j.withColumn("partition", F.when(several, F.col("partition_number")))
@@ -89,27 +93,28 @@ def index_measurements(inventory: DataFrame, physical: DataFrame, per_partition:
     return m.withColumnRenamed("partition", "partition_number")
 
 
-def heap_measurements(inventory: DataFrame, physical: DataFrame, min_mb: int = 0, max_mb: int = 0, disabled: DataFrame | None = None) -> DataFrame:
+def heap_measurements(inventory: DataFrame, physical: DataFrame, min_mb: int = 0, max_mb: int = 0, disabled: DataFrame | None = None, estate: tuple[str, ...] = ESTATE) -> DataFrame:
     """Heaps within the size gate: MB, other indexes and what a rewrite touches, forwarded and all records, density (worst, from 100).
 
-    disabled: (object_id, names) of disabled indexes, as ``disabled_indexes`` of the catalog gives them.
+    disabled: (server, database, object_id, names) of disabled indexes, as ``disabled_indexes`` of the catalog gives them.
     """
     mb = truncated(F.col("size_mb"))
     heap = F.col("type") == 0
-    g = inventory.groupBy("object_id", "schema_name", "table_name").agg(
+    own = [*estate, "object_id"]
+    g = inventory.groupBy(*own, "schema_name", "table_name").agg(
         F.sum(F.when(heap, mb)).alias("heap_mb"), F.coalesce(F.sum(F.when(~heap, mb)), F.lit(0)).alias("index_mb"), F.countDistinct(F.when(~heap, F.col("index_id"))).alias("indexes")
     )
     g = g.where("heap_mb IS NOT NULL").where(F.col("heap_mb") >= min_mb)
     g = g.where(F.col("heap_mb") <= max_mb) if max_mb else g
-    p = inventory.where(heap).join(physical, ["part_key", "partition_number"]).groupBy("object_id").agg(
+    p = inventory.where(heap).join(physical, [*estate, "part_key", "partition_number"]).groupBy(*own).agg(
         F.sum("forwarded_count").alias("forwarded"), F.sum("record_count").alias("records"), F.max("fragmentation").alias("fragmentation"), F.least(F.min("density"), F.lit(100.0)).alias("density")
     )
-    h = g.join(p, "object_id", "left").withColumn("rewrite_mb", F.col("heap_mb") + F.col("index_mb"))
-    return h if disabled is None else h.join(disabled.select("object_id", F.col("names").alias("disabled")), "object_id", "left")
+    h = g.join(p, own, "left").withColumn("rewrite_mb", F.col("heap_mb") + F.col("index_mb"))
+    return h if disabled is None else h.join(disabled.select(*own, F.col("names").alias("disabled")), own, "left")
 
 
-def compression_estimate(savings: DataFrame, keys: tuple[str, ...] = ("object_id", "index_id")) -> DataFrame:
-    """Of (object_id, index_id, setting, current_kb, estimated_kb): sums for ROW and PAGE; missing either, no row.
+def compression_estimate(savings: DataFrame, keys: tuple[str, ...] = (*ESTATE, "object_id", "index_id")) -> DataFrame:
+    """Of (server, database, object_id, index_id, setting, current_kb, estimated_kb): sums for ROW and PAGE; missing either, no row.
 
     If savings have a ``type`` and a ``compression``, only rowstore objects that are not compressed, or by ROW, qualify.
     """
@@ -120,7 +125,7 @@ def compression_estimate(savings: DataFrame, keys: tuple[str, ...] = ("object_id
     return g.where("row_kb IS NOT NULL AND page_kb IS NOT NULL")
 
 
-def write_activity(stats: DataFrame, keys: tuple[str, ...] = ("object_id", "index_id")) -> DataFrame:
+def write_activity(stats: DataFrame, keys: tuple[str, ...] = (*ESTATE, "object_id", "index_id")) -> DataFrame:
     g = stats.groupBy(*keys).agg(F.sum(F.col("inserts") + F.col("updates") + F.col("deletes")).alias("writes"), F.sum(F.col("scans") + F.col("lookups")).alias("reads"))
     return g.withColumn("write_ratio", F.when(F.col("writes") + F.col("reads") > 0, F.col("writes") / (F.col("writes") + F.col("reads"))).otherwise(0.0))
 
@@ -195,15 +200,15 @@ def decide_statistics(stats: DataFrame, percent: float | None = None, sample: in
     return d.withColumn("scan", F.lit(f"sample {sample}" if sample else "fullscan"))
 
 
-def suppress_redundant(decisions: DataFrame) -> DataFrame:
-    """Of (schema_name, table_name, name, category, kind, partition_number, reason): index work goes where the heap is rebuilt,
+def suppress_redundant(decisions: DataFrame, estate: tuple[str, ...] = ESTATE) -> DataFrame:
+    """Of (server, database, schema_name, table_name, name, category, kind, partition_number, reason): index work goes where the heap is rebuilt,
     statistics where it is or the index of that name is rebuilt whole; the rows stay, as skips with the reason, without intent and target.
 
     Decisions of a table are brought together once; each carries what the others of its table say.
     """
     d = decisions.withColumn("_t", F.lower(F.concat_ws(".", "schema_name", "table_name"))).withColumn("_n", F.lower("name"))
-    d = d.withColumn("_heap", F.max(F.col("kind") == "rebuild_heap").over(W.partitionBy("_t")))
-    d = d.withColumn("_whole", F.max((F.col("kind") == "rebuild") & F.col("partition_number").isNull()).over(W.partitionBy("_t", "_n")))
+    d = d.withColumn("_heap", F.max(F.col("kind") == "rebuild_heap").over(W.partitionBy(*estate, "_t")))
+    d = d.withColumn("_whole", F.max((F.col("kind") == "rebuild") & F.col("partition_number").isNull()).over(W.partitionBy(*estate, "_t", "_n")))
     gone = F.when(F.col("category").isin("index", "statistics") & F.col("_heap"), "heap rebuilt").when((F.col("category") == "statistics") & F.col("_whole"), "index rebuilt")
     d = d.withColumn("_gone", F.when(F.col("kind") != "skip", gone))
     for c in {"intent", "target"} & set(d.columns):
@@ -211,14 +216,14 @@ def suppress_redundant(decisions: DataFrame) -> DataFrame:
     return d.withColumn("reason", F.coalesce("_gone", "reason")).withColumn("kind", F.when(F.col("_gone").isNotNull(), "skip").otherwise(F.col("kind"))).select(*decisions.columns)
 
 
-def pre_shrink_measures(inventory: DataFrame, physical: DataFrame) -> DataFrame:
+def pre_shrink_measures(inventory: DataFrame, physical: DataFrame, estate: tuple[str, ...] = ESTATE) -> DataFrame:
     """Per object and index: pages, and the worst density of partitions that have pages (100: all are empty)."""
-    j = inventory.join(physical, ["part_key", "partition_number"], "left")
+    j = inventory.join(physical, [*estate, "part_key", "partition_number"], "left")
     low = F.coalesce(F.min(F.when(F.col("page_count") > 0, F.col("density"))), F.lit(100.0))
-    return j.groupBy("object_id", "index_id", "type").agg(F.coalesce(F.sum("page_count"), F.lit(0)).alias("page_count"), low.alias("density"), F.sum(truncated(F.col("size_mb"))).alias("size_mb"))
+    return j.groupBy(*estate, "object_id", "index_id", "type").agg(F.coalesce(F.sum("page_count"), F.lit(0)).alias("page_count"), low.alias("density"), F.sum(truncated(F.col("size_mb"))).alias("size_mb"))
 
 
-def pre_shrink_plan(measures: DataFrame, confirmed: DataFrame, min_pages: int, low_density: float, keys: tuple[str, ...] = ("database",)) -> DataFrame:
+def pre_shrink_plan(measures: DataFrame, confirmed: DataFrame, min_pages: int, low_density: float, keys: tuple[str, ...] = ESTATE) -> DataFrame:
     """Candidates of a database, confirmed ones first: by tail position before by lock, nearest the end, most blocked. ``ord`` is the place."""
     c = confirmed.where("confirmed_by <> 'transient'").select(*keys, "object_id", F.col("confirmed_by"), "times_blocked", "page_from_end")
     d = measures.where("type <> 0").join(c, [*keys, "object_id"], "left").where((F.col("page_count") >= min_pages) & ((F.col("density") < low_density) | F.col("confirmed_by").isNotNull()))
@@ -226,25 +231,31 @@ def pre_shrink_plan(measures: DataFrame, confirmed: DataFrame, min_pages: int, l
     return d.withColumn("ord", F.row_number().over(order))
 
 
-def expand_all(operations: DataFrame, indexes: DataFrame) -> DataFrame:
-    """index = ALL becomes one row per index, clustered first; the rest stays; compression goes for anything but rowstore."""
-    i = indexes.select(F.col("object_id").alias("_o"), F.col("index_name").alias("_i"), F.col("type").alias("_type"), F.col("index_id").alias("_id")).distinct()
-    every = operations.join(i, (F.col("index") == "ALL") & (F.col("object_id") == F.col("_o")), "left")
-    place = F.row_number().over(W.partitionBy("op_index").orderBy(F.col("_type") != 1, "_id"))
-    return every.withColumn("place", place).withColumn("index", F.coalesce("_i", "index")).withColumn("compression", F.when(~F.coalesce("_type", F.lit(1)).isin(0, 1, 2), None).otherwise(F.col("compression"))).drop("_o", "_i", "_type", "_id")
+def expand_all(operations: DataFrame, indexes: DataFrame, estate: tuple[str, ...] = ESTATE, manifest: tuple[str, ...] = ()) -> DataFrame:
+    """index = ALL becomes one row per index, clustered first; the rest stays; compression goes for anything but rowstore.
+
+    An operation is one op_index of a database, and of a manifest if its columns are named.
+    """
+    own = [*estate, "object_id"]
+    i = indexes.select(*(F.col(k).alias(f"_{k}") for k in own), F.col("index_name").alias("_i"), F.col("type").alias("_type"), F.col("index_id").alias("_id")).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in own])
+    every = operations.join(i, (F.col("index") == "ALL") & same, "left")
+    place = F.row_number().over(W.partitionBy(*estate, *manifest, "op_index").orderBy(F.col("_type") != 1, "_id"))
+    every = every.withColumn("place", place).withColumn("index", F.coalesce("_i", "index")).withColumn("compression", F.when(~F.coalesce("_type", F.lit(1)).isin(0, 1, 2), None).otherwise(F.col("compression")))
+    return every.drop(*(f"_{k}" for k in own), "_i", "_type", "_id")
 
 
-def compression_satisfied(ops: DataFrame, inventory: DataFrame) -> DataFrame:
+def compression_satisfied(ops: DataFrame, inventory: DataFrame, estate: tuple[str, ...] = ESTATE) -> DataFrame:
     """A compression rebuild is satisfied if there are partitions and all have the target."""
-    same = F.bool_and(F.col("compression") == F.col("target"))
-    return ops.join(inventory.select("object_id", "index_id", "compression"), ["object_id", "index_id"], "left").groupBy("object_id", "index_id", "target").agg(F.coalesce(same, F.lit(False)).alias("satisfied"))
+    same, own = F.bool_and(F.col("compression") == F.col("target")), [*estate, "object_id", "index_id"]
+    return ops.join(inventory.select(*own, "compression"), own, "left").groupBy(*own, "target").agg(F.coalesce(same, F.lit(False)).alias("satisfied"))
 
 
-def stranded_resumables(resumables: DataFrame, queued: DataFrame) -> DataFrame:
-    """Paused builds, and whether a queued operation names the same index."""
-    q = queued.select(F.lower("table_name").alias("_t"), F.lower("index_name").alias("_i")).distinct().withColumn("_q", F.lit(True))
+def stranded_resumables(resumables: DataFrame, queued: DataFrame, estate: tuple[str, ...] = ESTATE) -> DataFrame:
+    """Paused builds, and whether a queued operation of their database names the same index."""
+    q = queued.select(*estate, F.lower("table_name").alias("_t"), F.lower("index_name").alias("_i")).distinct().withColumn("_q", F.lit(True))
     d = resumables.where("state = 'PAUSED'").withColumn("_t", F.lower("table_name")).withColumn("_i", F.lower("index_name"))
-    return d.join(q, ["_t", "_i"], "left").withColumn("covered", F.coalesce("_q", F.lit(False))).drop("_t", "_i", "_q")
+    return d.join(q, [*estate, "_t", "_i"], "left").withColumn("covered", F.coalesce("_q", F.lit(False))).drop("_t", "_i", "_q")
 
 
 def same_statement(pairs: DataFrame) -> DataFrame:
@@ -253,9 +264,28 @@ def same_statement(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("same", (norm("stored") == norm("planned")) & (norm("stored") != ""))
 
 
-def trend_report(runs: DataFrame, days: int = 30) -> DataFrame:
-    """Runs of a manifest in the ``days`` before each, and whether its outcome changed."""
-    w = W.partitionBy("manifest").orderBy(F.unix_timestamp("started_at"))
-    recent = F.count("*").over(w.rangeBetween(-days * 86400, 0))
-    turned = F.coalesce(F.lag("outcome").over(W.partitionBy("manifest").orderBy("started_at", "run_id")) != F.col("outcome"), F.lit(False))
-    return runs.withColumn("recent", recent).withColumn("turned", turned)
+def trend_report(history: DataFrame, days: int = 30, often: int = 3, estate: tuple[str, ...] = ESTATE) -> DataFrame:
+    """Of recorded decisions (server, database, plan_id, generated_at, target, decision, fragmentation, current_compression, chosen_compression): each with what came before.
+
+    rebuilds: of the target in the ``days`` up to it, itself included; oscillates: it is a rebuild, and they are
+    ``often`` at least; held: the compression that was chosen last is the current one (NULL: none was chosen before);
+    slope: points of fragmentation a day since the measurement before (NULL without one, or on the same second).
+    """
+    of = [*estate, "target"]
+    w = W.partitionBy(*of).orderBy(F.unix_timestamp("generated_at"))
+    before = W.partitionBy(*of).orderBy("generated_at", "plan_id").rowsBetween(W.unboundedPreceding, -1)
+    rebuild = F.col("decision").isin("rebuild", "rebuild_heap")
+    d = history.withColumn("rebuilds", F.count_if(rebuild).over(w.rangeBetween(-days * 86400, 0)))
+    d = d.withColumn("oscillates", rebuild & (F.col("rebuilds") >= often))
+    d = d.withColumn("held", F.last("chosen_compression", ignorenulls=True).over(before) == F.col("current_compression"))
+    last = F.last(F.when(F.col("fragmentation").isNotNull(), F.struct("generated_at", "fragmentation")), ignorenulls=True).over(before)
+    d = d.withColumn("_last", last).withColumn("_s", F.unix_timestamp("generated_at") - F.unix_timestamp("_last.generated_at"))
+    return d.withColumn("slope", F.when(F.col("_s") > 0, (F.col("fragmentation") - F.col("_last.fragmentation")) * 86400 / F.col("_s"))).drop("_last", "_s")
+
+
+def trend_summary(history: DataFrame, days: int = 30, often: int = 3, estate: tuple[str, ...] = ESTATE) -> DataFrame:
+    """Per target: records, rebuilds, the most of them in ``days``, compressions that did not hold, and the trend of fragmentation in points a day."""
+    t = trend_report(history, days, often, estate)
+    day = F.unix_timestamp("generated_at") / 86400
+    sums = [F.count("*").alias("records"), F.count_if(F.col("decision").isin("rebuild", "rebuild_heap")).alias("total_rebuilds"), F.max("rebuilds").alias("most_rebuilds"), F.bool_or("oscillates").alias("oscillates"), F.count_if(~F.col("held")).alias("lost")]
+    return t.groupBy(*estate, "target").agg(*sums, F.regr_slope("fragmentation", day).alias("trend"))

@@ -312,19 +312,19 @@ def window_filter(s):
     return p.window_filter(s, "poll_ts", "22:30", "05:00", [1, 7]).select("server", "poll_ts")
 
 
-MEASURED = """SELECT i.object_id, i.schema_name, i.table_name, i.index_id, i.index_name, i.part_key, CAST(sum(CAST(floor(size_mb) AS BIGINT)) AS BIGINT) AS size_mb, CAST(sum(page_count) AS BIGINT) AS page_count, max(fragmentation) AS fragmentation, min_by(compression, i.partition_number) AS compression
-  FROM object_inventory i LEFT JOIN physical_stats p ON i.part_key = p.part_key AND i.partition_number = p.partition_number WHERE type IN (1, 2) GROUP BY ALL"""
+MEASURED = """SELECT i.server, i.database, i.object_id, i.schema_name, i.table_name, i.index_id, i.index_name, i.part_key, CAST(sum(CAST(floor(size_mb) AS BIGINT)) AS BIGINT) AS size_mb, CAST(sum(page_count) AS BIGINT) AS page_count, max(fragmentation) AS fragmentation, min_by(compression, i.partition_number) AS compression
+  FROM object_inventory i LEFT JOIN physical_stats p ON i.server = p.server AND i.database = p.database AND i.part_key = p.part_key AND i.partition_number = p.partition_number WHERE type IN (1, 2) GROUP BY ALL"""
 
 
-@query("object_inventory physical_stats", MEASURED.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6"))
+@query("object_inventory physical_stats", MEASURED.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"))
 def index_measurements(i, ph):
     return m.index_measurements(i, ph)
 
 
-HEAPS = """SELECT g.*, f.forwarded, f.records, f.fragmentation, f.density, heap_mb + index_mb AS rewrite_mb FROM (SELECT object_id, schema_name, table_name, CAST(sum(CASE WHEN type = 0 THEN CAST(floor(size_mb) AS BIGINT) END) AS BIGINT) AS heap_mb,
-   CAST(coalesce(sum(CASE WHEN type <> 0 THEN CAST(floor(size_mb) AS BIGINT) END), 0) AS BIGINT) AS index_mb, count(DISTINCT CASE WHEN type <> 0 THEN index_id END) AS indexes FROM object_inventory GROUP BY 1, 2, 3) g
-  LEFT JOIN (SELECT i.object_id, CAST(sum(forwarded_count) AS BIGINT) AS forwarded, CAST(sum(record_count) AS BIGINT) AS records, max(fragmentation) AS fragmentation, least(min(density), 100.0) AS density FROM object_inventory i JOIN physical_stats p ON i.part_key = p.part_key AND i.partition_number = p.partition_number WHERE type = 0 GROUP BY i.object_id) f
-  ON g.object_id = f.object_id WHERE heap_mb >= 100"""
+HEAPS = """SELECT g.*, f.forwarded, f.records, f.fragmentation, f.density, heap_mb + index_mb AS rewrite_mb FROM (SELECT server, database, object_id, schema_name, table_name, CAST(sum(CASE WHEN type = 0 THEN CAST(floor(size_mb) AS BIGINT) END) AS BIGINT) AS heap_mb,
+   CAST(coalesce(sum(CASE WHEN type <> 0 THEN CAST(floor(size_mb) AS BIGINT) END), 0) AS BIGINT) AS index_mb, count(DISTINCT CASE WHEN type <> 0 THEN index_id END) AS indexes FROM object_inventory GROUP BY 1, 2, 3, 4, 5) g
+  LEFT JOIN (SELECT i.server, i.database, i.object_id, CAST(sum(forwarded_count) AS BIGINT) AS forwarded, CAST(sum(record_count) AS BIGINT) AS records, max(fragmentation) AS fragmentation, least(min(density), 100.0) AS density FROM object_inventory i JOIN physical_stats p ON i.server = p.server AND i.database = p.database AND i.part_key = p.part_key AND i.partition_number = p.partition_number WHERE type = 0 GROUP BY 1, 2, 3) f
+  ON g.server = f.server AND g.database = f.database AND g.object_id = f.object_id WHERE heap_mb >= 100"""
 
 
 @query("object_inventory physical_stats", HEAPS)
@@ -334,31 +334,31 @@ def heap_measurements(i, ph):
 
 PROFILE = m.Profile(max_rebuild_mb=1500, overrides=(("dbo.T?", "skip"), ("dbo.T1*", "no_rebuild"), ("dbo.t2*", "PAGE")), heap_min_mb=100)
 OVERRIDE = "CASE WHEN regexp_matches(table_name, '^T.$') THEN 'skip' WHEN table_name LIKE 'T1%' THEN 'no_rebuild' WHEN table_name LIKE 'T2%' THEN 'PAGE' END"
-DECIDED = f"""SELECT object_id, schema_name, table_name, index_name, size_mb, CASE WHEN ov = 'skip' OR fragmentation IS NULL OR page_count < 1000 THEN 'skip' WHEN want AND NOT barred THEN 'rebuild' WHEN fragmentation >= 5 THEN 'reorganize' ELSE 'skip' END AS kind,
+DECIDED = f"""SELECT server, database, object_id, schema_name, table_name, index_name, size_mb, CASE WHEN ov = 'skip' OR fragmentation IS NULL OR page_count < 1000 THEN 'skip' WHEN want AND NOT barred THEN 'rebuild' WHEN fragmentation >= 5 THEN 'reorganize' ELSE 'skip' END AS kind,
    CASE WHEN ov = 'skip' OR fragmentation IS NULL OR page_count < 1000 THEN NULL WHEN want AND NOT barred THEN CASE WHEN fragmentation >= 30 THEN 'fragmentation' ELSE 'compression' END WHEN fragmentation >= 5 THEN 'fragmentation' END AS intent,
    CASE WHEN NOT (ov = 'skip') IS TRUE AND fragmentation IS NOT NULL AND page_count >= 1000 AND want AND NOT barred THEN target END AS target,
    CASE WHEN ov = 'skip' THEN 'override' WHEN fragmentation IS NULL THEN 'not measured' WHEN page_count < 1000 THEN 'too small' WHEN want AND barred THEN 'rebuild not allowed' WHEN fragmentation >= 30 THEN 'fragmented' WHEN want THEN 'compression' WHEN fragmentation >= 5 THEN 'slightly fragmented' ELSE 'healthy' END AS reason
-  FROM (SELECT *, fragmentation >= 30 OR target IS NOT NULL AS want, coalesce(ov = 'no_rebuild', false) OR size_mb > 1500 AS barred FROM (SELECT *, CASE WHEN ov = 'PAGE' AND compression <> 'PAGE' THEN 'PAGE' END AS target FROM (SELECT *, {OVERRIDE} AS ov FROM ({MEASURED.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6")}) a) b) b2) c"""
+  FROM (SELECT *, fragmentation >= 30 OR target IS NOT NULL AS want, coalesce(ov = 'no_rebuild', false) OR size_mb > 1500 AS barred FROM (SELECT *, CASE WHEN ov = 'PAGE' AND compression <> 'PAGE' THEN 'PAGE' END AS target FROM (SELECT *, {OVERRIDE} AS ov FROM ({MEASURED.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6, 7, 8")}) a) b) b2) c"""
 
 
 @query("object_inventory physical_stats", DECIDED)
 def decide_index(i, ph):
     d = m.match_overrides(m.index_measurements(i, ph), PROFILE.overrides).withColumn("target", F.when((F.col("override") == "PAGE") & (F.col("compression") != "PAGE"), "PAGE"))
-    return m.decide_index(d, PROFILE).select("object_id", "schema_name", "table_name", "index_name", "size_mb", "kind", "intent", "target", "reason")
+    return m.decide_index(d, PROFILE).select("server", "database", "object_id", "schema_name", "table_name", "index_name", "size_mb", "kind", "intent", "target", "reason")
 
 
-HEAP_DECIDED = f"""SELECT object_id, schema_name, table_name, heap_mb, CASE WHEN gate IS NULL AND hit IS NOT NULL THEN 'rebuild_heap' ELSE 'skip' END AS kind, coalesce(gate, hit, 'healthy') AS reason FROM (
+HEAP_DECIDED = f"""SELECT server, database, object_id, schema_name, table_name, heap_mb, CASE WHEN gate IS NULL AND hit IS NOT NULL THEN 'rebuild_heap' ELSE 'skip' END AS kind, coalesce(gate, hit, 'healthy') AS reason FROM (
   SELECT *, CASE WHEN {OVERRIDE} = 'skip' THEN 'override' WHEN {OVERRIDE} = 'no_rebuild' THEN 'rebuild not allowed' WHEN heap_mb < 100 THEN 'too small' WHEN object_id % 9 = 0 THEN 'would re-enable IX_a, IX_b' WHEN records IS NULL THEN 'not measured' END AS gate,
    CASE WHEN 100 * forwarded / nullif(records, 0) >= 10 THEN 'forwarded records' WHEN fragmentation >= 30 THEN 'fragmented' WHEN 100 - density >= 30 THEN 'free space' END AS hit FROM ({HEAPS}) h) x"""
 
 
 def _disabled(i):
-    return i.where("object_id % 9 = 0").select("object_id", F.array(F.lit("IX_a"), F.lit("IX_b")).alias("names")).distinct()
+    return i.where("object_id % 9 = 0").select("server", "database", "object_id", F.array(F.lit("IX_a"), F.lit("IX_b")).alias("names")).distinct()
 
 
 @query("object_inventory physical_stats", HEAP_DECIDED)
 def decide_heap(i, ph):
-    return m.decide_heap(m.match_overrides(m.heap_measurements(i, ph, 100, disabled=_disabled(i)), PROFILE.overrides), PROFILE).select("object_id", "schema_name", "table_name", "heap_mb", "kind", "reason")
+    return m.decide_heap(m.match_overrides(m.heap_measurements(i, ph, 100, disabled=_disabled(i)), PROFILE.overrides), PROFILE).select("server", "database", "object_id", "schema_name", "table_name", "heap_mb", "kind", "reason")
 
 
 #: Compression measures of a whole index, or of each partition of one that has several.
@@ -367,8 +367,8 @@ def _grain(part):
 
 
 def _estimate_sql(several):
-    return f"""SELECT object_id, index_id, pn, CAST(sum(c) AS BIGINT) AS cur, CAST(sum(floor(c * (part_key % 10) / 10)) AS BIGINT) AS row_kb, CAST(sum(floor(c * (part_key % 7) / 10)) AS BIGINT) AS page_kb, CAST(sum(40 * (part_key % 5 + part_key % 7)) AS BIGINT) AS w, CAST(sum(40 * (part_key % 11 + part_key % 4)) AS BIGINT) AS r
-      FROM (SELECT *, {several} AS pn, floor(size_mb * 1024) AS c FROM object_inventory) s GROUP BY 1, 2, 3"""
+    return f"""SELECT server, database, object_id, index_id, pn, CAST(sum(c) AS BIGINT) AS cur, CAST(sum(floor(c * (part_key % 10) / 10)) AS BIGINT) AS row_kb, CAST(sum(floor(c * (part_key % 7) / 10)) AS BIGINT) AS page_kb, CAST(sum(40 * (part_key % 5 + part_key % 7)) AS BIGINT) AS w, CAST(sum(40 * (part_key % 11 + part_key % 4)) AS BIGINT) AS r
+      FROM (SELECT *, {several} AS pn, floor(size_mb * 1024) AS c FROM object_inventory) s GROUP BY 1, 2, 3, 4, 5"""
 
 
 TIER = """CASE WHEN ov IN ('NONE', 'ROW', 'PAGE') THEN ov WHEN compression = 'PAGE' OR cur IS NULL THEN NULL ELSE CASE WHEN row_kb > 0 AND 100 * (row_kb - page_kb) / row_kb >= 10 AND cur > 0 AND 100 * (cur - page_kb) / cur >= 10
@@ -377,43 +377,43 @@ TIER = """CASE WHEN ov IN ('NONE', 'ROW', 'PAGE') THEN ov WHEN compression = 'PA
 
 def _plan_sql(several):
     """Index and heap decisions with estimates; several: the partition number where an index has several and they are asked for."""
-    measured = f"""SELECT schema_name, table_name, index_name AS name, object_id, index_id, pn, CAST(sum(CAST(floor(size_mb) AS BIGINT)) AS BIGINT) AS size_mb, CAST(sum(page_count) AS BIGINT) AS pages, max(fragmentation) AS frag, min_by(compression, partition_number) AS compression
-      FROM (SELECT i.*, {several} AS pn, p.page_count, p.fragmentation FROM (SELECT *, count(*) OVER (PARTITION BY part_key) AS parts FROM object_inventory) i LEFT JOIN physical_stats p ON i.part_key = p.part_key AND i.partition_number = p.partition_number WHERE type IN (1, 2)) x GROUP BY 1, 2, 3, 4, 5, 6"""
+    measured = f"""SELECT server, database, schema_name, table_name, index_name AS name, object_id, index_id, pn, CAST(sum(CAST(floor(size_mb) AS BIGINT)) AS BIGINT) AS size_mb, CAST(sum(page_count) AS BIGINT) AS pages, max(fragmentation) AS frag, min_by(compression, partition_number) AS compression
+      FROM (SELECT i.*, {several} AS pn, p.page_count, p.fragmentation FROM (SELECT *, count(*) OVER (PARTITION BY server, database, part_key) AS parts FROM object_inventory) i LEFT JOIN physical_stats p ON i.server = p.server AND i.database = p.database AND i.part_key = p.part_key AND i.partition_number = p.partition_number WHERE type IN (1, 2)) x GROUP BY 1, 2, 3, 4, 5, 6, 7, 8"""
     measured = measured.replace("CASE WHEN parts > 1 THEN partition_number END", "CASE WHEN parts > 1 THEN i.partition_number END")
     whole = several.startswith("CAST(NULL")
     estimates = _estimate_sql("CAST(NULL AS INTEGER)") if whole else f"{_estimate_sql('CAST(NULL AS INTEGER)')} UNION ALL {_estimate_sql('partition_number')}"
-    return f"""SELECT schema_name, table_name, name, 'index' AS category, CASE WHEN ov = 'skip' OR frag IS NULL OR pages < 1000 THEN 'skip' WHEN want AND NOT barred THEN 'rebuild' WHEN frag >= 5 THEN 'reorganize' ELSE 'skip' END AS kind, pn AS partition_number,
+    return f"""SELECT server, database, schema_name, table_name, name, 'index' AS category, CASE WHEN ov = 'skip' OR frag IS NULL OR pages < 1000 THEN 'skip' WHEN want AND NOT barred THEN 'rebuild' WHEN frag >= 5 THEN 'reorganize' ELSE 'skip' END AS kind, pn AS partition_number,
       CASE WHEN ov = 'skip' THEN 'override' WHEN frag IS NULL THEN 'not measured' WHEN pages < 1000 THEN 'too small' WHEN want AND barred THEN 'rebuild not allowed' WHEN frag >= 30 THEN 'fragmented' WHEN want THEN 'compression' WHEN frag >= 5 THEN 'slightly fragmented' ELSE 'healthy' END AS reason, frag, CASE WHEN NOT (ov = 'skip') IS TRUE AND pages >= 1000 AND frag IS NOT NULL AND want AND NOT barred THEN target END AS target, size_mb
      FROM (SELECT *, frag >= 30 OR target IS NOT NULL AS want, coalesce(ov = 'no_rebuild', false) OR size_mb > 1500 AS barred FROM (SELECT *, CASE WHEN {TIER} <> compression THEN {TIER} END AS target FROM (
-      SELECT m.*, {OVERRIDE} AS ov, cur, row_kb, page_kb, w, r FROM ({measured}) m LEFT JOIN ({estimates}) e ON m.object_id = e.object_id AND m.index_id = e.index_id AND m.pn IS NOT DISTINCT FROM e.pn) a) b) c
-     UNION ALL SELECT h.schema_name, h.table_name, 'heap', 'heap', h.kind, CAST(NULL AS INTEGER), h.reason, CAST(NULL AS DOUBLE), CASE WHEN h.kind = 'rebuild_heap' AND {TIER} <> compression THEN {TIER} END, h.heap_mb FROM (
-      SELECT d.*, {OVERRIDE} AS ov, compression, cur, row_kb, page_kb, w, r FROM ({HEAP_DECIDED}) d JOIN (SELECT object_id AS o, min_by(compression, partition_number) AS compression FROM object_inventory WHERE type = 0 GROUP BY 1) n ON n.o = d.object_id
-      LEFT JOIN ({_estimate_sql("CAST(NULL AS INTEGER)")}) e ON e.object_id = d.object_id AND e.index_id = 0) h
-     UNION ALL SELECT schema_name, table_name, name, 'statistics', CASE WHEN NOT coalesce({OVERRIDE} = 'skip', false) AND mods >= sqrt(1000 * rows) THEN 'update_statistics' ELSE 'skip' END, CAST(NULL AS INTEGER),
+      SELECT m.*, {OVERRIDE} AS ov, cur, row_kb, page_kb, w, r FROM ({measured}) m LEFT JOIN ({estimates}) e ON m.server = e.server AND m.database = e.database AND m.object_id = e.object_id AND m.index_id = e.index_id AND m.pn IS NOT DISTINCT FROM e.pn) a) b) c
+     UNION ALL SELECT h.server, h.database, h.schema_name, h.table_name, 'heap', 'heap', h.kind, CAST(NULL AS INTEGER), h.reason, CAST(NULL AS DOUBLE), CASE WHEN h.kind = 'rebuild_heap' AND {TIER} <> compression THEN {TIER} END, h.heap_mb FROM (
+      SELECT d.*, {OVERRIDE} AS ov, compression, cur, row_kb, page_kb, w, r FROM ({HEAP_DECIDED}) d JOIN (SELECT server, database, object_id AS o, min_by(compression, partition_number) AS compression FROM object_inventory WHERE type = 0 GROUP BY 1, 2, 3) n ON n.o = d.object_id AND n.server = d.server AND n.database = d.database
+      LEFT JOIN ({_estimate_sql("CAST(NULL AS INTEGER)")}) e ON e.server = d.server AND e.database = d.database AND e.object_id = d.object_id AND e.index_id = 0) h
+     UNION ALL SELECT server, database, schema_name, table_name, name, 'statistics', CASE WHEN NOT coalesce({OVERRIDE} = 'skip', false) AND mods >= sqrt(1000 * rows) THEN 'update_statistics' ELSE 'skip' END, CAST(NULL AS INTEGER),
       CASE WHEN {OVERRIDE} = 'skip' THEN 'override' WHEN mods >= sqrt(1000 * rows) THEN 'modified' ELSE 'few modifications' END, CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM ({STATISTICS}) s"""
 
 
-STATISTICS = "SELECT DISTINCT schema_name, table_name, index_name AS name, part_key * 100 AS rows, part_key * 13 % 9000 AS mods FROM object_inventory WHERE part_key % 6 <> 0"
+STATISTICS = "SELECT DISTINCT server, database, schema_name, table_name, index_name AS name, part_key * 100 AS rows, part_key * 13 % 9000 AS mods FROM object_inventory WHERE part_key % 6 <> 0"
 
 
 def _suppressed(plan):
     gone = """CASE WHEN kind <> 'skip' AND category IN ('index', 'statistics') AND heap THEN 'heap rebuilt' WHEN kind <> 'skip' AND category = 'statistics' AND whole THEN 'index rebuilt' END"""
-    return f"""SELECT schema_name, table_name, name, category, CASE WHEN gone IS NOT NULL THEN 'skip' ELSE kind END AS kind, partition_number, coalesce(gone, reason) AS reason, CASE WHEN gone IS NULL THEN intent END AS intent, CASE WHEN gone IS NULL THEN target END AS target, size_mb FROM (SELECT *, {gone} AS gone FROM (
+    return f"""SELECT server, database, schema_name, table_name, name, category, CASE WHEN gone IS NOT NULL THEN 'skip' ELSE kind END AS kind, partition_number, coalesce(gone, reason) AS reason, CASE WHEN gone IS NULL THEN intent END AS intent, CASE WHEN gone IS NULL THEN target END AS target, size_mb FROM (SELECT *, {gone} AS gone FROM (
       SELECT *, CASE WHEN category <> 'index' OR kind = 'skip' THEN NULL WHEN kind = 'reorganize' OR frag >= 30 THEN 'fragmentation' ELSE 'compression' END AS intent,
-       bool_or(kind = 'rebuild_heap') OVER (PARTITION BY lower(table_name)) AS heap, bool_or(kind = 'rebuild' AND partition_number IS NULL) OVER (PARTITION BY lower(table_name), lower(name)) AS whole FROM ({plan}) p) q) r"""
+       bool_or(kind = 'rebuild_heap') OVER (PARTITION BY server, database, lower(table_name)) AS heap, bool_or(kind = 'rebuild' AND partition_number IS NULL) OVER (PARTITION BY server, database, lower(table_name), lower(name)) AS whole FROM ({plan}) p) q) r"""
 
 
 PLAN_INDEX = _plan_sql("CAST(NULL AS INTEGER)")
-CHECKED = "SELECT CAST(NULL AS VARCHAR) AS schema_name, CAST(NULL AS VARCHAR) AS table_name, 'sales' AS name, 'checkdb' AS category, 'check_db' AS kind, CAST(NULL AS INTEGER) AS partition_number, 'scheduled integrity check' AS reason, CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BIGINT) AS size_mb"
+CHECKED = "SELECT DISTINCT server, database, CAST(NULL AS VARCHAR) AS schema_name, CAST(NULL AS VARCHAR) AS table_name, database AS name, 'checkdb' AS category, 'check_db' AS kind, CAST(NULL AS INTEGER) AS partition_number, 'scheduled integrity check' AS reason, CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BIGINT) AS size_mb FROM object_inventory"
 
 
 def _measures(i):
     kb = F.floor(F.col("size_mb") * 1024).cast("long")
-    savings = i.select("object_id", "index_id", "partition_number", "part_key", kb.alias("current_kb"), F.explode(F.array(F.lit("ROW"), F.lit("PAGE"))).alias("setting"))
+    savings = i.select("server", "database", "object_id", "index_id", "partition_number", "part_key", kb.alias("current_kb"), F.explode(F.array(F.lit("ROW"), F.lit("PAGE"))).alias("setting"))
     savings = savings.withColumn("estimated_kb", F.expr("CAST(floor(current_kb * (CASE setting WHEN 'ROW' THEN part_key % 10 ELSE part_key % 7 END) / 10) AS BIGINT)"))
-    activity = i.selectExpr("object_id", "index_id", "partition_number", "40 * (part_key % 5) AS inserts", "40 * (part_key % 7) AS updates", "0 AS deletes", "40 * (part_key % 11) AS scans", "40 * (part_key % 4) AS lookups")
-    statistics = i.where("part_key % 6 <> 0").selectExpr("schema_name", "table_name", "index_name AS name", "part_key * 100 AS rows", "part_key * 13 % 9000 AS modifications").distinct()
-    return {"savings": savings, "activity": activity, "statistics": statistics, "disabled": _disabled(i), "database": "sales"}
+    activity = i.selectExpr("server", "database", "object_id", "index_id", "partition_number", "40 * (part_key % 5) AS inserts", "40 * (part_key % 7) AS updates", "0 AS deletes", "40 * (part_key % 11) AS scans", "40 * (part_key % 4) AS lookups")
+    statistics = i.where("part_key % 6 <> 0").selectExpr("server", "database", "schema_name", "table_name", "index_name AS name", "part_key * 100 AS rows", "part_key * 13 % 9000 AS modifications").distinct()
+    return {"savings": savings, "activity": activity, "statistics": statistics, "disabled": _disabled(i)}
 
 
 @query("object_inventory physical_stats", f"{_suppressed(_plan_sql('CAST(NULL AS INTEGER)'))} UNION ALL {CHECKED}", "analyze")
@@ -431,7 +431,7 @@ def _analyze_statistics(i, ph):
     return analyze(i, ph, PROFILE, ("statistics", "checkdb"), **_measures(i))
 
 
-@query("object_inventory physical_stats", f"SELECT schema_name, table_name, name, category, 'skip' AS kind, CAST(NULL AS INTEGER) AS partition_number, CASE WHEN reason IN ('override', 'not measured') THEN reason ELSE 'too small' END AS reason, CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS target, size_mb FROM ({_plan_sql('CAST(NULL AS INTEGER)')}) x WHERE category = 'index'", "analyze_compression")
+@query("object_inventory physical_stats", f"SELECT server, database, schema_name, table_name, name, category, 'skip' AS kind, CAST(NULL AS INTEGER) AS partition_number, CASE WHEN reason IN ('override', 'not measured') THEN reason ELSE 'too small' END AS reason, CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS target, size_mb FROM ({_plan_sql('CAST(NULL AS INTEGER)')}) x WHERE category = 'index'", "analyze_compression")
 def _analyze_compression(i, ph):
     return analyze(i, ph, PROFILE, ("compression",), **_measures(i))
 
@@ -441,22 +441,41 @@ def object_scope(i):
     return m.object_scope(i, ("dbo.t3*", "*IX_77"), ("dbo.T3?",)).select("object_id", "index_name", "partition_number")
 
 
-@query("object_inventory physical_stats", """SELECT i.object_id, index_id, type, CAST(coalesce(sum(page_count), 0) AS BIGINT) AS page_count, coalesce(min(CASE WHEN page_count > 0 THEN density END), 100.0) AS density, CAST(sum(CAST(floor(size_mb) AS BIGINT)) AS BIGINT) AS size_mb
-  FROM object_inventory i LEFT JOIN physical_stats p ON i.part_key = p.part_key AND i.partition_number = p.partition_number GROUP BY 1, 2, 3""")
+@query("object_inventory physical_stats", """SELECT i.server, i.database, i.object_id, index_id, type, CAST(coalesce(sum(page_count), 0) AS BIGINT) AS page_count, coalesce(min(CASE WHEN page_count > 0 THEN density END), 100.0) AS density, CAST(sum(CAST(floor(size_mb) AS BIGINT)) AS BIGINT) AS size_mb
+  FROM object_inventory i LEFT JOIN physical_stats p ON i.server = p.server AND i.database = p.database AND i.part_key = p.part_key AND i.partition_number = p.partition_number GROUP BY 1, 2, 3, 4, 5""")
 def pre_shrink_measures(i, ph):
     return m.pre_shrink_measures(i, ph)
 
 
-@query("object_inventory", "SELECT object_id, index_id, target, bool_and(compression = target) AS satisfied FROM (SELECT object_id, index_id, compression, CASE WHEN object_id % 2 = 0 THEN 'PAGE' ELSE 'ROW' END AS target FROM object_inventory) x GROUP BY 1, 2, 3")
+@query("object_inventory", "SELECT server, database, object_id, index_id, target, bool_and(compression = target) AS satisfied FROM (SELECT server, database, object_id, index_id, compression, CASE WHEN object_id % 2 = 0 THEN 'PAGE' ELSE 'ROW' END AS target FROM object_inventory) x GROUP BY 1, 2, 3, 4, 5")
 def compression_satisfied(i):
-    ops = i.select("object_id", "index_id", F.when(F.col("object_id") % 2 == 0, "PAGE").otherwise("ROW").alias("target")).distinct()
+    ops = i.select("server", "database", "object_id", "index_id", F.when(F.col("object_id") % 2 == 0, "PAGE").otherwise("ROW").alias("target")).distinct()
     return m.compression_satisfied(ops, i)
 
 
-@query("run_history", """SELECT run_id, manifest, outcome, count(*) OVER (PARTITION BY manifest ORDER BY CAST(floor(epoch(started_at)) AS BIGINT) RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW) AS recent,
-  coalesce(lag(outcome) OVER (PARTITION BY manifest ORDER BY started_at, run_id) <> outcome, false) AS turned FROM run_history""")
-def trend_report(runs):
-    return m.trend_report(runs).select("run_id", "manifest", "outcome", "recent", "turned")
+HISTORY = """SELECT concat('srv', o_custkey % 2) AS server, concat('db', o_custkey % 3) AS database, o_orderkey AS plan_id, o_orderdate AS generated_at, concat('dbo.T', o_custkey % 40) AS target,
+  CASE WHEN o_orderkey % 5 < 2 THEN 'rebuild' WHEN o_orderkey % 5 = 2 THEN 'rebuild_heap' ELSE 'reorganize' END AS decision, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey % 100 AS DOUBLE) END AS fragmentation,
+  CASE o_orderkey % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'ROW' ELSE 'PAGE' END AS current_compression, CASE o_orderkey % 4 WHEN 0 THEN 'PAGE' WHEN 1 THEN 'ROW' END AS chosen_compression FROM orders"""
+TREND = f"""SELECT server, database, plan_id, target, decision LIKE 'rebuild%' AS r, rebuilds, decision LIKE 'rebuild%' AND rebuilds >= 3 AS oscillates, was = current_compression AS held, generated_at, fragmentation, CASE WHEN secs > 0 THEN (fragmentation - prev.f) * 86400 / secs END AS slope FROM (
+  SELECT *, epoch(generated_at) - epoch(prev.t) AS secs FROM (SELECT *, count(*) FILTER (WHERE decision LIKE 'rebuild%') OVER (PARTITION BY server, database, target ORDER BY CAST(epoch(generated_at) AS BIGINT) RANGE BETWEEN 2592000 PRECEDING AND CURRENT ROW) AS rebuilds,
+   last_value(chosen_compression IGNORE NULLS) OVER w AS was, last_value(CASE WHEN fragmentation IS NOT NULL THEN {{'t': generated_at, 'f': fragmentation}} END IGNORE NULLS) OVER w AS prev
+   FROM ({HISTORY}) h WINDOW w AS (PARTITION BY server, database, target ORDER BY generated_at, plan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x) y"""
+
+
+def _history(o):
+    o.createOrReplaceTempView("orders")
+    return o.sparkSession.sql(HISTORY)
+
+
+@on_tables("orders", sql=f"SELECT server, database, plan_id, rebuilds, oscillates, held, slope FROM ({TREND}) t")
+def trend_report(o):
+    return m.trend_report(_history(o)).select("server", "database", "plan_id", "rebuilds", "oscillates", "held", "slope")
+
+
+@on_tables("orders", sql=f"""SELECT server, database, target, count(*) AS records, count(*) FILTER (WHERE r) AS total_rebuilds, max(rebuilds) AS most_rebuilds, bool_or(oscillates) AS oscillates, count(*) FILTER (WHERE NOT held) AS lost,
+  round(regr_slope(fragmentation, epoch(generated_at) / 86400), 6) AS trend FROM ({TREND}) t GROUP BY 1, 2, 3""")
+def trend_summary(o):
+    return m.trend_summary(_history(o)).withColumn("trend", F.round("trend", 6))
 
 
 @query("run_history", "SELECT manifest, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{n}') AS {n}" for n in ("done", "failed", "incomplete", "interrupted", "deferred", "skipped")) + " FROM run_history GROUP BY manifest")
@@ -515,27 +534,36 @@ def check_log(s):
     return d.select("server.server", "severity", "server.poll_ts")
 
 
-@query("session_snapshots", "SELECT poll_ts, count(*) FILTER (WHERE blocking_spid <> 0) AS blocked, CASE WHEN count(*) FILTER (WHERE blocking_spid <> 0) > 0 THEN 'WARN' ELSE 'PASS' END AS severity FROM session_snapshots GROUP BY poll_ts")
+@query("session_snapshots", "SELECT server, poll_ts, count(*) FILTER (WHERE blocking_spid <> 0) AS blocked, CASE WHEN count(*) FILTER (WHERE blocking_spid <> 0) > 0 THEN 'WARN' ELSE 'PASS' END AS severity FROM session_snapshots GROUP BY server, poll_ts")
 def check_blocking(s):
     return fleet.check_blocking(s)
 
 
-@query("object_inventory", "SELECT b.part_key, b.partition_number, coalesce(b.kb, -1) AS before_kb, coalesce(a.kb, -1) AS after_kb FROM (SELECT part_key, partition_number, CAST(floor(size_mb * 1024) AS BIGINT) AS kb FROM object_inventory) b LEFT JOIN (SELECT part_key, partition_number, CAST(floor(size_mb * 512) AS BIGINT) AS kb FROM object_inventory WHERE compression <> 'NONE') a ON a.part_key = b.part_key AND a.partition_number = b.partition_number")
+@query("object_inventory", """SELECT server, database, object_id, index_id, CASE WHEN index_id = 0 THEN 'heap' ELSE index_name END AS name, was_disabled, before_kb, after_kb FROM (
+  SELECT coalesce(b.server, a.server) AS server, coalesce(b.database, a.database) AS database, coalesce(b.object_id, a.object_id) AS object_id, coalesce(b.index_id, a.index_id) AS index_id, coalesce(b.index_name, a.index_name) AS index_name, coalesce(b.off, false) AS was_disabled, coalesce(b.kb, -1) AS before_kb, coalesce(a.kb, -1) AS after_kb
+  FROM (SELECT server, database, object_id, index_id, index_name, part_key % 3 = 0 AS off, CAST(floor(size_mb * 1024) AS BIGINT) AS kb FROM object_inventory WHERE partition_number = 1 AND part_key % 4 <> 1) b
+  FULL JOIN (SELECT server, database, object_id, index_id, index_name, CAST(floor(size_mb * 512) AS BIGINT) AS kb FROM object_inventory WHERE partition_number = 1 AND compression <> 'NONE') a ON a.server = b.server AND a.database = b.database AND a.object_id = b.object_id AND a.index_id = b.index_id) x""")
 def size_lines(i):
+    one = i.where("partition_number = 1").withColumnRenamed("index_name", "name").withColumn("is_disabled", F.col("part_key") % 3 == 0)
     kb = lambda k: F.floor(F.col("size_mb") * k).cast("long").alias("kb")
-    return r.size_lines(i.select("part_key", "partition_number", kb(1024)), i.where("compression <> 'NONE'").select("part_key", "partition_number", kb(512)), ["part_key", "partition_number"])
+    keys = ["server", "database", "object_id", "index_id"]
+    return r.size_lines(one.where("part_key % 4 <> 1").select(*keys, "name", "is_disabled", kb(1024)), one.where("compression <> 'NONE'").select(*keys, "name", "is_disabled", kb(512)), keys)
 
 
-@query("object_inventory", "SELECT object_id, index_id, keys, partition_number, size_mb FROM object_inventory JOIN (SELECT object_id AS o, index_id AS i, string_agg(DISTINCT index_name, ', ' ORDER BY index_name) AS keys FROM object_inventory GROUP BY 1, 2) k ON o = object_id AND i = index_id WHERE compression = 'NONE' AND table_name LIKE 'T1%'")
+@query("object_inventory", "SELECT i.server, i.database, object_id, index_id, keys, partition_number, size_mb FROM object_inventory i JOIN (SELECT server AS s, database AS d, object_id AS o, index_id AS i, string_agg(DISTINCT index_name, ', ' ORDER BY index_name) AS keys FROM object_inventory GROUP BY 1, 2, 3, 4) k ON s = i.server AND d = i.database AND o = object_id AND k.i = index_id WHERE compression = 'NONE' AND table_name LIKE 'T1%'")
 def uncompressed_objects(i):
-    k = i.select("object_id", "index_id", F.col("index_name").alias("column"), F.col("index_name").alias("ordinal")).distinct()
-    return catalog.uncompressed_objects(i, k, "T1%").select("object_id", "index_id", "keys", "partition_number", "size_mb")
+    k = i.select("server", "database", "object_id", "index_id", F.col("index_name").alias("column"), F.col("index_name").alias("ordinal")).distinct()
+    return catalog.uncompressed_objects(i, k, "T1%").select("server", "database", "object_id", "index_id", "keys", "partition_number", "size_mb")
 
 
-@query("object_inventory", "SELECT file_id, object_id, page, last - page AS from_end FROM (SELECT object_id % 7 AS file_id, object_id, max(part_key * 10 + partition_number) OVER (PARTITION BY object_id % 7) AS last, part_key * 10 + partition_number AS page, row_number() OVER (PARTITION BY object_id % 7 ORDER BY part_key * 10 + partition_number DESC) AS rn FROM object_inventory) x WHERE rn = 1")
+@query("object_inventory", """SELECT server, database, file_id, object_id, page, size - 1 - page AS from_end FROM (SELECT *, row_number() OVER (PARTITION BY server, database, file_id ORDER BY page DESC) AS rn FROM (
+  SELECT server, database, object_id % 7 AS file_id, object_id, part_key * 10 + partition_number AS page, (SELECT max(part_key) * 10 FROM object_inventory) + 40 AS size FROM object_inventory) x WHERE page >= size - 1 - 150) y WHERE rn = 1""")
 def tail_object(i):
-    pages = i.select((F.col("object_id") % 7).alias("file_id"), "object_id", (F.col("part_key") * 10 + F.col("partition_number")).alias("page"))
-    return catalog.tail_object(pages, 1000)
+    own = ["server", "database", (F.col("object_id") % 7).alias("file_id")]
+    pages = i.select(*own, "object_id", (F.col("part_key") * 10 + F.col("partition_number")).alias("page"))
+    free = i.select(*own, F.lit(None).cast("long").alias("object_id"), (F.col("part_key") * 10 + 9).alias("page"))
+    size = i.agg((F.max("part_key") * 10 + 40).alias("size_pages"))
+    return catalog.tail_object(pages.unionByName(free), i.select(*own).distinct().join(F.broadcast(size)), 150)
 
 
 from . import estate_queries  # noqa: E402, F401  (registers its queries above; it needs the names defined here)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import maintenance
+from ..operators.maintenance import ESTATE
+
 CONTENDED = "database string, observed array<struct<object_id: bigint, first_seen: timestamp, last_seen: timestamp, times_blocked: int, confirmed_by: string, page_from_end: int>>"
 #: The kinds of events that may leave the system.
 EVENTS = ("cancel", "fail", "pause", "abort", "run_failure")
@@ -26,11 +29,11 @@ def object_inventory(objects: DataFrame, indexes: DataFrame, partitions: DataFra
     return j.join(s, "part_key").withColumn("size_mb", F.col("pages") * 8 / 1024).drop("pages")
 
 
-def structure_sizes(indexes: DataFrame, stats: DataFrame, partition: int | None = None) -> DataFrame:
+def structure_sizes(indexes: DataFrame, stats: DataFrame, partition: int | None = None, estate: tuple[str, ...] = ESTATE) -> DataFrame:
     """KB of each structure; those without pages stay, with 0."""
     s = stats.where(F.col("partition_number") == partition) if partition is not None else stats
-    j = indexes.where("NOT is_hypothetical").join(s, ["object_id", "index_id"], "left")
-    return j.groupBy("object_id", "index_id", "name").agg((F.coalesce(F.sum("pages"), F.lit(0)) * 8).alias("kb"))
+    j = indexes.where("NOT is_hypothetical").join(s, [*estate, "object_id", "index_id"], "left")
+    return j.groupBy(*estate, "object_id", "index_id", "name").agg((F.coalesce(F.sum("pages"), F.lit(0)) * 8).alias("kb"))
 
 
 def file_space(files: DataFrame) -> DataFrame:
@@ -45,13 +48,13 @@ def file_growth(files: DataFrame) -> DataFrame:
     return files.withColumn("next_mb", step).withColumn("headroom_mb", room).withColumn("growth_off", F.col("growth") == 0)
 
 
-def disabled_indexes(indexes: DataFrame) -> DataFrame:
+def disabled_indexes(indexes: DataFrame, estate: tuple[str, ...] = ESTATE) -> DataFrame:
     own = F.array_sort(F.collect_list(F.struct("index_id", "name")))
-    return indexes.where("is_disabled AND name IS NOT NULL").groupBy("object_id").agg(F.transform(own, lambda x: x["name"]).alias("names"))
+    return indexes.where("is_disabled AND name IS NOT NULL").groupBy(*estate, "object_id").agg(F.transform(own, lambda x: x["name"]).alias("names"))
 
 
-def rebuildable_indexes(indexes: DataFrame) -> DataFrame:
-    return indexes.where("type <> 0 AND NOT is_disabled AND name IS NOT NULL").withColumn("ord", F.row_number().over(W.partitionBy("object_id").orderBy(F.col("type") != 1, "index_id")))
+def rebuildable_indexes(indexes: DataFrame, estate: tuple[str, ...] = ESTATE) -> DataFrame:
+    return indexes.where("type <> 0 AND NOT is_disabled AND name IS NOT NULL").withColumn("ord", F.row_number().over(W.partitionBy(*estate, "object_id").orderBy(F.col("type") != 1, "index_id")))
 
 
 def database_eligibility(databases: DataFrame, replicas: DataFrame, mirroring: DataFrame) -> DataFrame:
@@ -61,23 +64,41 @@ def database_eligibility(databases: DataFrame, replicas: DataFrame, mirroring: D
     return d.select("database_id", "name", why.alias("reason"))
 
 
-def resolve_databases(databases: DataFrame, explicit: DataFrame) -> DataFrame:
-    """An explicit list (ord, name) against the eligible databases: selected, or the reason why not; order kept."""
-    d = explicit.join(databases, "name", "left")
-    return d.select("ord", "name", F.when(F.col("reason").isNull(), "unknown").when(F.col("reason") != "", F.col("reason")).alias("skipped"))
+def resolve_databases(databases: DataFrame, explicit: DataFrame | None = None, connected: DataFrame | None = None, include: tuple[str, ...] = ("*",), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(server, ord, name, skipped): what to work on, in order; skipped is NULL for the selected, or the reason why not.
+
+    databases (server, database_id, name, reason), reason '' is eligible. An explicit list (server, ord, name) is met by name
+    without blanks and case; blank entries are no entries, unknown names are skipped. Without a list, connected
+    (server, name) is all that is selected; without either, all databases in scope are, the others silently left out.
+    """
+    if explicit is not None:
+        asked = explicit.select("server", "ord", F.trim("name").alias("asked")).where("asked <> ''").withColumn("_n", F.lower("asked"))
+        known = databases.select("server", F.lower("name").alias("_n"), "name", "reason")
+        d = asked.join(known, ["server", "_n"], "left")
+        why = F.when(F.col("reason").isNull(), "not found on server").when(F.col("reason") != "", F.col("reason"))
+        return d.select("server", "ord", F.coalesce("name", "asked").alias("name"), why.alias("skipped"))
+    if connected is not None:
+        return connected.select("server", F.lit(1).cast("long").alias("ord"), "name", F.lit(None).cast("string").alias("skipped"))
+    d = maintenance.database_scope(databases, include, exclude)
+    return d.select("server", F.col("database_id").cast("long").alias("ord"), "name", F.nullif("reason", F.lit("")).alias("skipped"))
 
 
-def uncompressed_objects(inventory: DataFrame, key_columns: DataFrame, like: str = "%") -> DataFrame:
+def uncompressed_objects(inventory: DataFrame, key_columns: DataFrame, like: str = "%", estate: tuple[str, ...] = ESTATE) -> DataFrame:
     """Uncompressed partitions with their key columns in order, largest first."""
-    k = key_columns.groupBy("object_id", "index_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"]), ", ").alias("keys"))
-    return inventory.where(F.col("table_name").like(like) & (F.col("compression") == "NONE")).join(k, ["object_id", "index_id"], "left").orderBy(F.desc("size_mb"), "object_id", "index_id", "partition_number")
+    own = [*estate, "object_id", "index_id"]
+    k = key_columns.groupBy(*own).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"]), ", ").alias("keys"))
+    return inventory.where(F.col("table_name").like(like) & (F.col("compression") == "NONE")).join(k, own, "left").orderBy(F.desc("size_mb"), *own, "partition_number")
+
 
+def tail_object(pages: DataFrame, files: DataFrame, max_back: int, estate: tuple[str, ...] = ESTATE) -> DataFrame:
+    """Per file (server, database, file_id, size_pages) the page nearest the end that an object owns, if within max_back pages of the end.
 
-def tail_object(pages: DataFrame, max_back: int) -> DataFrame:
-    """Per file the allocated page nearest the end that an object owns, if within max_back pages."""
-    last = pages.groupBy("file_id").agg(F.max("page").alias("last"))
-    p = pages.join(last, "file_id").where((F.col("object_id").isNotNull()) & (F.col("page") >= F.col("last") - max_back))
-    return p.groupBy("file_id").agg(F.max_by(F.struct("object_id", "page", (F.col("last") - F.col("page")).alias("from_end")), "page").alias("t")).select("file_id", "t.*")
+    pages (server, database, file_id, page, object_id) are allocated ones; the file ends with its last page, allocated or not.
+    """
+    f = files.select(*estate, "file_id", (F.col("size_pages") - 1).alias("last"))
+    p = pages.where("object_id IS NOT NULL").join(f, [*estate, "file_id"]).where(F.col("page") >= F.col("last") - max_back)
+    top = F.max_by(F.struct("object_id", "page", (F.col("last") - F.col("page")).alias("from_end")), "page")
+    return p.groupBy(*estate, "file_id").agg(top.alias("t")).select(*estate, "file_id", "t.*")
 
 
 def contended_source(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -101,9 +101,13 @@ def test_compression_decisions(spark):
 
 
 def test_suppression(spark):
-    s = "schema_name string, table_name string, name string, category string, kind string, partition_number int, reason string"
+    s = "server string, database string, schema_name string, table_name string, name string, category string, kind string, partition_number int, reason string"
     rows = [("d", "A", "heap", "heap", "rebuild_heap", None, ""), ("d", "a", "i", "index", "rebuild", None, ""), ("d", "B", "I", "index", "rebuild", None, ""), ("d", "b", "i", "statistics", "update_statistics", None, ""), ("d", "C", "i", "index", "rebuild", 2, ""), ("d", "C", "i", "statistics", "update_statistics", None, "")]
-    got = {(x.table_name, x.category): x.kind for x in m.suppress_redundant(spark.createDataFrame(rows, s)).collect()}
+    every = [("s", "a", *r) for r in rows] + [("s", "b", *r) for r in rows if r[4] != "rebuild_heap"] + [("t", "a", *r) for r in rows if r[3] != "index"]
+    found = m.suppress_redundant(spark.createDataFrame(every, s)).collect()
+    assert {(x.table_name, x.category): x.kind for x in found if x.database == "b"}["a", "index"] == "rebuild"  # its heap stays, another database's doesn't
+    assert {(x.table_name, x.category): x.kind for x in found if x.server == "t"}["b", "statistics"] == "update_statistics"
+    got = {(x.table_name, x.category): x.kind for x in found if (x.server, x.database) == ("s", "a")}
     assert got == {("A", "heap"): "rebuild_heap", ("a", "index"): "skip", ("B", "index"): "rebuild", ("b", "statistics"): "skip", ("C", "index"): "rebuild", ("C", "statistics"): "update_statistics"}
 
 
@@ -148,9 +152,14 @@ def test_alter_column(spark):
             c.alter_column(bad, "v", "int", nullable).collect()
 
 
+def _rules(spark, matrix):
+    full = [(k, {o: (r["min_major"], r["editions"], r.get("requires")) for o, r in options.items()}) for k, options in matrix.items()]
+    return fleet.compat_rules(spark.createDataFrame(full, fleet.RULES))
+
+
 def test_options(spark):
     ent = ["enterprise", "azure"]
-    rules = fleet.compat_rules(spark, {"rebuild_index": {"online": {"min_major": 9, "editions": ent}, "resumable": {"min_major": 14, "editions": ent, "requires": ["online"]}, "sort_in_tempdb": {"min_major": 9, "editions": [*ent, "standard"]}}})
+    rules = _rules(spark, {"rebuild_index": {"online": {"min_major": 9, "editions": ent}, "resumable": {"min_major": 14, "editions": ent, "requires": ["online"]}, "sort_in_tempdb": {"min_major": 9, "editions": [*ent, "standard"]}}})
     servers = spark.createDataFrame([("new", 16, "enterprise", "db", {}), ("old", 13, "enterprise", "db", {"resumable": True}), ("std", 16, "standard", "db", {}), ("tmp", 16, "enterprise", "tempdb", {}), ("odd", 16, "?", "db", {}), ("az", 12, "azure", "db", {"sort_in_tempdb": True})], "server string, major int, tier string, database string, policy map<string,boolean>")
     ops = spark.createDataFrame([(0, "rebuild_index", "i", None, True, {}), (1, "rebuild_index", "i", None, True, {"online": False})], "op_index int, command string, index string, partition int, rowstore boolean, overrides map<string,boolean>")
     ops = servers.select("server").crossJoin(ops)
@@ -166,7 +175,8 @@ def test_preflight(spark):
     s = spark.createDataFrame([("a", "enterprise"), ("b", None)], "server string, tier string")
     need = spark.createDataFrame([("a", 50), ("b", 50)], "server string, need_mb long")
     files = spark.createDataFrame([("a", 10, 20), ("b", 10, None)], "server string, free_mb long, headroom_mb long")
-    got = {x.server: (x.fails, x.warns, x.severity) for x in fleet.preflight(fleet.check_server(s), fleet.check_free_space(need, files)).collect()}
+    runs = spark.createDataFrame([("m", "a"), ("m", "b")], "manifest string, server string")
+    got = {x.server: (x.fails, x.warns, x.severity) for x in fleet.preflight(runs, {"tier": fleet.check_server(s), "space": fleet.check_free_space(need, files)}).collect()}
     assert got == {"a": (1, 0, "FAIL"), "b": (1, 1, "FAIL")}
 
 
@@ -174,6 +184,39 @@ def test_sizes(spark):
     lines = spark.createDataFrame([(0, 1, 100, 80), (1, 1, 80, 60), (2, 2, -1, 7), (3, 3, -1, -1)], "op_index int, id int, before_kb long, after_kb long")
     assert tuple(r.size_totals(lines, ["id"]).first()) == (100, 67, 2)
     assert [x.change_pct for x in r.size_change(lines).orderBy("op_index").collect()] == [-20.0, -25.0, None, None]
+    assert [x.text for x in r.size_change(lines).orderBy("op_index").collect()] == ["100 KB -> 80 KB (-20.0%)", "80 KB -> 60 KB (-25.0%)", "unknown -> 7 KB", "unknown -> unknown"]
+    big = spark.createDataFrame([(1, 461056, 1 << 31), (1, -1, 5)], "op int, before_kb long, after_kb long")
+    assert {x.text for x in r.size_change(big).collect()} == {"450.2 MB -> 2.00 TB (+465675.0%)", "unknown -> 5 KB"}
+    assert [(x.total, x.measured, x.before_kb) for x in r.size_changes(big, ["op"]).collect()] == [(2, 1, 461056)]
+    side = "id int, index_id int, name string, is_disabled boolean, kb long"
+    both = r.size_lines(spark.createDataFrame([(1, 0, None, False, 5), (1, 2, "a", True, 0)], side), spark.createDataFrame([(1, 2, "a", False, 9), (1, 3, "b", False, 1)], side), ["id", "index_id"])
+    assert {(x.index_id, x.name, x.was_disabled, x.before_kb, x.after_kb) for x in both.collect()} == {(0, "heap", False, 5, -1), (2, "a", True, 0, 9), (3, "b", False, -1, 1)}
+
+
+def test_cancels_that_roll_back(spark):
+    ops = spark.createDataFrame([(1, 1, "rebuild_index", False, "done"), (1, 2, "create_index", False, "interrupted"), (1, 3, "create_index", True, "failed"), (1, 4, "update_statistics", False, "failed"), (1, 5, "alter_column", False, "failed"), (2, 1, "rebuild_heap", None, None)], "run_id int, op_id int, command string, resumable boolean, outcome string")
+    reactions = spark.createDataFrame([(1, 1, "cancel"), (1, 1, "cancel"), (1, 2, "cancel"), (1, 3, "cancel"), (1, 4, "cancel"), (1, 5, "pause"), (2, 1, "cancel")], "run_id int, op_id int, kind string")
+    assert {tuple(x) for x in r.cancel_only_summary(ops, reactions).collect()} == {(1, 2, 1, 1), (2, 1, 0, 1)}
+
+
+def test_trends(spark):
+    day = 86400
+    rows = [("s", "d", i, at(i * 10 * day), "t", k, f, c1, c2) for i, (k, f, c1, c2) in enumerate([("rebuild", 10.0, "NONE", "PAGE"), ("reorganize", None, "PAGE", None), ("rebuild", 30.0, "NONE", None), ("rebuild", 40.0, "PAGE", None)])]
+    d = spark.createDataFrame([*rows, ("s", "e", 9, at(0), "t", "rebuild", 1.0, "NONE", None)], "server string, database string, plan_id int, generated_at timestamp, target string, decision string, fragmentation double, current_compression string, chosen_compression string")
+    got = {(x.database, x.plan_id): (x.rebuilds, x.oscillates, x.held, x.slope) for x in m.trend_report(d).collect()}
+    assert got == {("d", 0): (1, False, None, None), ("d", 1): (1, False, True, None), ("d", 2): (2, False, False, 1.0), ("d", 3): (3, True, True, 1.0), ("e", 9): (1, False, None, None)}
+    x = m.trend_summary(d).where("database = 'd'").first()
+    assert (x.records, x.total_rebuilds, x.most_rebuilds, x.oscillates, x.lost, round(x.trend, 6)) == (4, 3, 3, True, 1, 1.0)
+
+
+def test_one_server_is_not_another(spark):
+    inv = "server string, database string, object_id int, schema_name string, table_name string, index_id int, type int, index_name string, partition_number int, compression string, part_key int, size_mb double"
+    i = spark.createDataFrame([("a", d, 5, "dbo", "t", k, min(k, 1), "i", 1, "NONE", k, 500.0) for d in ("x", "y") for k in (0, 1)], inv)
+    ph = spark.createDataFrame([("a", "x", 1, 1, 50.0, 2000, 10, 5, 90.0)], "server string, database string, part_key int, partition_number int, fragmentation double, page_count long, record_count long, forwarded_count long, density double")
+    assert {(x.database, x.size_mb, x.fragmentation) for x in m.index_measurements(i, ph).collect()} == {("x", 500, 50.0), ("y", 500, None)}
+    s = spark.createDataFrame([("a", T0, 55, 1, 60), ("b", T0, 55, 1, 0), ("a", T0, 60, 1, 0)], "server string, poll_ts timestamp, spid int, wait_ms int, blocking_spid int")
+    runs = spark.createDataFrame([("a", T0, 60), ("b", T0, 60)], "server string, poll_ts timestamp, run_spid int")
+    assert [(x.server, x.spid) for x in b.direct_victims(s, runs).collect()] == [("a", 55)]
 
 
 def test_history(spark, tmp_path):
@@ -267,12 +310,30 @@ def test_key_ranges_of_outlying_keys(spark):
 def test_no_window_takes_all_rows_into_one_task(spark):
     shape = "server string, login string, host string, poll_ts timestamp, identity string, blocker_spid int, rule int, run_spid int, spid int, blocking_spid int, job string, batch int, rows int, seconds int, database string, object_id int, index_id int, type int, page_count int, density double, confirmed_by string, times_blocked int, page_from_end int"
     d = spark.createDataFrame([], shape)
-    measures, confirmed = d.select("database", "object_id", "index_id", "type", "page_count", "density"), d.select("database", "object_id", "confirmed_by", "times_blocked", "page_from_end")
+    measures, confirmed = d.select("server", "database", "object_id", "index_id", "type", "page_count", "density"), d.select("server", "database", "object_id", "confirmed_by", "times_blocked", "page_from_end")
     plans = (b.offender_debt(d, d), b.rule_debt(d), b.suspension_episodes(d.select("server", "poll_ts", "spid", "blocking_spid", "login", "host"), d.select("server", "poll_ts", "run_spid")), c.batch_progress(d, 5), m.pre_shrink_plan(measures, confirmed, 1, 1.0))
     for x in plans:
         assert "SinglePartition" not in x._jdf.queryExecution().executedPlan().toString()
 
 
+def test_preflight_by_manifest(spark):
+    manifests = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 3)], "manifest string, server int")
+    of_server = spark.createDataFrame([(1, "PASS"), (2, "FAIL")], "server int, severity string")
+    own = spark.createDataFrame([("a", 1, "WARN", "x"), ("a", 1, "FAIL", "y"), ("b", 1, "WARN", "z"), ("b", 2, "FAIL", "another server's")], "manifest string, server int, severity string, detail string")
+    rows = fleet.preflight_checks(manifests, {"tier": of_server, "targets": own})
+    assert {(x.manifest, x.name, x.severity) for x in rows.collect()} == {("a", "tier", "PASS"), ("b", "tier", "PASS"), ("c", "tier", "FAIL"), ("a", "targets", "WARN"), ("a", "targets", "FAIL"), ("b", "targets", "WARN")}
+    got = {x.manifest: (x.severity, x.fails, x.warns, x.blocking) for x in fleet.preflight(manifests, {"tier": of_server, "targets": own}).collect()}
+    assert got == {"a": ("FAIL", 1, 1, "targets: y"), "b": ("WARN", 0, 1, ""), "c": ("FAIL", 1, 0, "tier"), "d": ("PASS", 0, 0, "")}
+
+
+def test_rules_are_strict_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"command": "c", "options": {"o": {"min_major": 9, "editions": ["x"]}, "p": {"min_major": 14, "editions": ["x", "y"], "requires": ["o"]}}}')
+    assert {(x.command, x.option, x.min_major, *x.editions, *x.requires) for x in fleet.compat_source(spark, str(tmp_path)).collect()} == {("c", "o", 9, "x"), ("c", "p", 14, "x", "y", "o")}
+    (tmp_path / "b.json").write_text('{"command": "c", "options": {"o": {"min_major": "nine", "editions": ["x"]}}}')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        fleet.compat_source(spark, str(tmp_path)).collect()
+
+
 def test_permissions_and_disabled_indexes(spark):
     ops = spark.createDataFrame([("a", "shrink_tempdb", None, True), ("b", "batch_delete", "t", False), ("c", "shrink", None, False)], "server string, command string, table_name string, kills boolean")
     grants = spark.createDataFrame([("a", "owner", None), ("b", "DELETE", "t"), ("c", "owner", None)], "server string, grant string, table_name string")
