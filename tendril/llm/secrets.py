@@ -19,27 +19,42 @@ CANDIDATE, SAMPLE = r"[A-Za-z0-9+/_=-]{16,}", 2_000
 #: Least log-likelihood ratio in all, and a pair of characters; weight of a class's single characters in the smoothing.
 LEAST_RATIO, LEAST_PAIR, PRIOR = 12.0, 1.25, 40.0
 
+#: Matches whose places are summed in one fold.
+BLOCK = 256
 _SPAN = "array<struct<kind:string,start:int,end:int,rank:int>>"
 
 
-def _matches(text: Column, pattern: str, kind: str, rank: int, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches: the texts between them and the matches, measured in turn."""
+def _matches(text: Column, pattern: str, kind: str, rank: int, ok=None) -> Column:
+    """Spans of the leftmost non-overlapping matches: the texts between them and the matches, measured in turn.
+
+    ok: of the array of matches, an array that says which count. Places are summed in blocks of BLOCK matches, and
+    over the blocks, so that no step copies more than a block's spans: the time grows with the matches.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    long_enough = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda v: F.length(v) >= least) if least else F.transform(found, lambda _: F.lit(True))
-    steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("hit"), long_enough.alias("ok"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+    steps = F.arrays_zip(gaps.alias("gap"), F.transform(found, F.length).alias("hit"), (ok(found) if ok else F.transform(found, lambda _: F.lit(True))).alias("ok"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
         own = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.lit(rank).alias("rank")))
         return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, begin, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+    def placed(blocks: Column) -> Column:
+        widths = F.transform(blocks, lambda k: F.aggregate(k, F.lit(0), lambda acc, x: acc + x["gap"] + x["hit"]))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(widths, none, lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        one = lambda z: F.aggregate(z["block"], F.struct(z["start"].alias("at"), F.array().cast(_SPAN).alias("spans")), step, lambda acc: acc["spans"])
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), starts.alias("start")), one))
+
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))
+    bound = F.transform(F.array(steps), cut)  # evaluated once
+    return F.when(text.rlike(pattern), F.transform(bound, placed)[0]).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
-    return F.concat(_matches(text, ASSIGN, "assign", 0, LEAST_VALUE), _matches(text, ACCESS, "access", 1), _matches(text, HEX, "hex", 2))
+    long_enough = lambda _: F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE)
+    return F.concat(_matches(text, ASSIGN, "assign", 0, long_enough), _matches(text, ACCESS, "access", 1), _matches(text, HEX, "hex", 2))
 
 
 def _code(c: Column) -> Column:
@@ -129,11 +144,9 @@ def _spans(docs: DataFrame, model: list[float]) -> DataFrame:
     are ``likely``. Null and empty texts have none. Columns of docs stay inside ``row``, so their names can't clash.
     """
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    d = d.withColumn("base", base_spans(F.col("text"))).withColumn("more", _matches(F.col("text"), CANDIDATE, "markov", 3))
+    d = d.withColumn("base", base_spans(F.col("text"))).withColumn("more", _matches(F.col("text"), CANDIDATE, "markov", 3, lambda found: F.transform(found, lambda hit: likely(hit, model))))
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     d = d.withColumn("more", F.filter("more", free))
-    rather = lambda c: likely(F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"]), model)
-    d = d.withColumn("more", F.when(F.size("more") > 0, F.filter("more", rather)).otherwise(F.array().cast(_SPAN)))
     order = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return d.select("row", "text", order(F.concat("base", "more")).alias("spans"))
 
