@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -158,27 +161,69 @@ def blind_channels(polls: DataFrame, keys: list[str], now: Column, after_s: int
     return d.select(*keys, "last_ok_ts", F.expr("last_ok_ts + make_dt_interval(0, 0, 0, limit_s)").alias("blind_ts"), "recovered_ts", "silent_s")
 
 
+def next_eta(anchor: tuple[float, float] | None, elapsed: float, pct: float) -> tuple[tuple[float, float] | None, int | None]:
+    """The anchor after a reading, and the remaining whole seconds that it tells."""
+    if pct <= 0:
+        return None, None
+    if anchor is None or elapsed < anchor[0] or pct < anchor[1]:
+        return (elapsed, pct), None
+    took, gained = elapsed - anchor[0], pct - anchor[1]
+    return anchor, int(took * (100 - pct) // gained) if gained > 0 and took > 0 else None
+
+
 def progress_eta(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Of (poll_ts, elapsed_s, pct): remaining seconds from an anchor reading, cut to whole ones.
 
     The first reading with progress is the anchor; it moves where elapsed or pct fall below it, and goes where pct
-    is 0 or less. A request's readings are folded in order.
+    is 0 or less. Where it moves depends on where it was, which no window function tells: each request's readings are
+    taken in order, once, by the step that the streaming form takes. NULL readings have no answer and change nothing.
     """
-    rows = F.array_sort(F.collect_list(F.struct("poll_ts", F.col("elapsed_s").cast("double").alias("e"), F.col("pct").cast("double").alias("p"))))
-    out = f"array<struct<poll_ts:{dict(samples.dtypes)['poll_ts']},eta_s:bigint>>"
-    begin = F.struct(F.lit(None).cast("double").alias("e"), F.lit(None).cast("double").alias("p"), F.array().cast(out).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        dead = x["p"] <= 0
-        new = acc["e"].isNull() | (x["e"] < acc["e"]) | (x["p"] < acc["p"])
-        gained, took = x["p"] - acc["p"], x["e"] - acc["e"]
-        eta = F.when(~dead & ~new & (gained > 0) & (took > 0), F.floor(took * (100 - x["p"]) / gained))
-        anchor = lambda k: F.when(dead, F.lit(None).cast("double")).when(new, x[k]).otherwise(acc[k])
-        one = F.array(F.struct(x["poll_ts"].alias("poll_ts"), eta.cast("bigint").alias("eta_s")))
-        return F.struct(anchor("e").alias("e"), anchor("p").alias("p"), F.concat(acc["out"], one).alias("out"))
-
-    d = samples.groupBy(*keys).agg(F.aggregate(rows, begin, step, lambda a: a["out"]).alias("o"))
-    return d.select(*keys, F.explode("o").alias("x")).select(*keys, "x.*")
+    kinds = dict(samples.dtypes)
+
+    def fold(rows: pa.Table) -> pa.Table:
+        anchor, etas = None, []
+        for e, q in zip(rows["elapsed_s"].to_pylist(), rows["pct"].to_pylist(), strict=True):
+            eta = None
+            if e is not None and q is not None:
+                anchor, eta = next_eta(anchor, e, q)
+            etas.append(eta)
+        return rows.select([*keys, "poll_ts"]).append_column("eta_s", pa.array(etas, pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:  # sorted by request, then time: a request ends where the next one begins
+            held.append(batch)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            edge = _last_group(rows, keys)
+            for part in _groups(rows.slice(0, edge), keys):
+                yield from fold(part).to_batches()
+            held = rows.slice(edge).to_batches()
+        if held:
+            for part in _groups(pa.Table.from_batches(held), keys):
+                yield from fold(part).to_batches()
+
+    d = samples.select(*keys, "poll_ts", F.col("elapsed_s").cast("double").alias("elapsed_s"), F.col("pct").cast("double").alias("pct"))
+    shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", poll_ts {kinds['poll_ts']}, eta_s long"
+    return d.repartition(*keys).sortWithinPartitions(*keys, "poll_ts").mapInArrow(run, shape)
+
+
+def _edges(rows: pa.Table, keys: list[str]) -> list[int]:
+    """Where a row's keys differ from those of the one before."""
+    if not len(rows):
+        return []
+    shown = list(zip(*(rows[k].to_pylist() for k in keys), strict=True))
+    return [0] + [i for i in range(1, len(shown)) if shown[i] != shown[i - 1]]
+
+
+def _last_group(rows: pa.Table, keys: list[str]) -> int:
+    edges = _edges(rows, keys)
+    return edges[-1] if edges else 0
+
+
+def _groups(rows: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    edges = [*_edges(rows, keys), len(rows)]
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        yield rows.slice(a, z - a)
 
 
 def counter_rate(samples: DataFrame, value: str, keys: list[str]) -> DataFrame:

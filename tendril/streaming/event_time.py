@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import pressure
+
 #: Part of every state variable's name: a checkpoint of another version is not read as this one.
 VERSION = "v2"
 
@@ -255,6 +257,27 @@ class Latest(InOrder):
             yield (row[0], *now)
 
 
+class Progress(InOrder):
+    """Remaining seconds of a request, reading by reading."""
+
+    shape, names = "us long, elapsed_s double, pct double", ("us", "eta_s")
+
+    def begin(self, handle):
+        self.anchor = handle.getValueState(f"anchor_{VERSION}", "elapsed_s double, pct double")
+
+    def take(self, row):
+        us, elapsed, pct = row
+        eta = None
+        if elapsed is not None and pct is not None:
+            was = tuple(self.anchor.get()) if self.anchor.exists() else None
+            now, eta = pressure.next_eta(was, elapsed, pct)
+            if now is None and was is not None:
+                self.anchor.clear()
+            elif now is not None and now != was:
+                self.anchor.update(now)
+        yield (us, eta)
+
+
 def _run(sides: list[DataFrame], delay: str, keys: list[str], processor: InOrder, out: str) -> DataFrame:
     """Rows (keys, ts, columns) of all sides through the processor, behind the slowest side's watermark; out: what it gives, beside the keys."""
     each = [s.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", delay) for s in sides]
@@ -306,6 +329,13 @@ def time_to_relief_stream(pauses: DataFrame, samples: DataFrame, drain_timeout_s
     return got.select(*keys, _at("pause_us").alias("pause_ts"), "ended", _at("relief_us").alias("relief_ts"))
 
 
+def progress_eta_stream(samples: DataFrame, keys: list[str], delay: str = "2 minutes") -> DataFrame:
+    """(keys, poll_ts, eta_s) of each reading, as ``pressure.progress_eta`` has it."""
+    s = samples.select(*keys, F.col("poll_ts").alias("ts"), F.col("elapsed_s").cast("double").alias("elapsed_s"), F.col("pct").cast("double").alias("pct"))
+    got = _run([s], delay, keys, Progress(*keys), "us long, eta_s long")
+    return got.select(*keys, _at("us").alias("poll_ts"), "eta_s")
+
+
 def _latest(sides: list[DataFrame], keys: list[str], values: dict[str, str], asked: tuple[int, ...], delay: str) -> DataFrame:
     rows = []
     for n, s in enumerate(sides):

@@ -127,6 +127,15 @@ def test_suppression_joins_two_streams(spark, stream):
     assert {(x.spid, x.poll_ts) for x in want if x.server == "s"} == {(60 + i % 3, at(10 * i)) for i in range(30)} - {(60, at(30))} - {(61, at(10 * i)) for i in range(10, 30)}
 
 
+def test_progress_in_order(spark, stream):
+    rng = random.Random(9)
+    rows = [(f"r{k}", at(20 * i + k), float(rng.choice([i, i, i, 2])), rng.choice([float(i), float(i), 1.0, 0.0, None])) for k in range(2) for i in range(50)]
+    shape = "request string, poll_ts timestamp, elapsed_s double, pct double"
+    got = stream.run(e.progress_eta_stream(stream("eta", shape, *shuffled(rows, rng, 1, ("z", at(10**6), 0.0, 0.0))), ["request"]), "eta").where("request <> 'z'").collect()
+    want = p.progress_eta(spark.createDataFrame(rows, shape), ["request"]).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want))) and sum(x.eta_s is not None for x in want) > 20
+
+
 def test_held_through_once(spark, stream):
     rows = [("s", at(i), 1 + i % 2, "l", "p") for i in range(40)]
     got = stream.run(e.held_through_stream(stream("held", "server string, poll_ts timestamp, spid int, login string, program string", rows[:20], rows[20:], rows[5:9])), "held").collect()
