@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,8 +19,9 @@ from .words import SPLIT, texts, whole_groups, words
 
 #: Fingerprints of a shard at most (on average, where a bucket is split), of a bundle of shards; MB of trees that a wave broadcasts.
 SHARD, BUNDLE, WAVE_MB = 512, 65_536, 16
-#: Near copies: words a shingle; seeded fingerprints of distinct words, the bits they may differ in; masks of each, bits of a mask.
-SHINGLE, SEEDS, RADIUS, MASKS, MASK_BITS = 5, 10, 16, 8, 16
+#: Near copies: words a shingle; seeded fingerprints, those of them that are of distinct words (the others are of distinct shingles),
+#: the bits they may differ in; masks of each, bits of a mask (both at least: see ``masks``); the share of bits that a pair of 0.8 differs in.
+SHINGLE, SEEDS, OF_WORDS, RADIUS, MASKS, MASK_BITS, FLIPPED = 5, 10, 4, 16, 8, 16, 0.15
 #: Bits of the min-hash that spares pairs the exact check, and the least similarity it must show: 0.8 less over four errors (0.075).
 MINIMA, LEAST = 64, 0.45
 #: Candidates of a node that are checked when it is asked again; what is left after that is checked whole.
@@ -66,6 +68,15 @@ def reseeded(hashes: np.ndarray, seed: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
+def seeded(words_of: np.ndarray, shingles_of: np.ndarray) -> list[int]:
+    """A text's SEEDS fingerprints, from the hashes of its distinct words and shingles.
+
+    Of words, texts with single words changed differ in few bits. Of shingles, texts of a similarity of 0.8 differ in
+    about FLIPPED of the bits, whatever was changed, also where an added passage has most of a text's distinct words.
+    """
+    return [fingerprint(reseeded(words_of if s < OF_WORDS else shingles_of, s)) for s in range(SEEDS)]
+
+
 def minima(hashes: np.ndarray) -> int:
     """One bit of the least of the hashes under each of MINIMA multipliers; 0 for no hashes.
 
@@ -304,10 +315,16 @@ def node_of(text: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SPLIT, " ")))
 
 
-def masks() -> list[int]:
-    """MASKS choices of MASK_BITS of 64 bits, made by a rule."""
-    order = [sorted(range(64), key=lambda b: xxhash.xxh64_intdigest(f"{i}:{b}".encode())) for i in range(MASKS)]
-    return [sum(1 << b for b in o[:MASK_BITS]) for o in order]
+def masks(nodes: int = 0) -> list[int]:
+    """Choices of some of 64 bits, made by a rule, for so many nodes.
+
+    A mask has as many bits as leave a bucket SHARD nodes on average, MASK_BITS at least, so that comparisons grow in
+    proportion to the nodes. A pair agrees on a longer mask less often; so there are more masks, by the chance of a pair
+    that differs in FLIPPED of its bits: 1.17 times as many a bit, about nodes ** 0.23 in all.
+    """
+    bits = min(48, max(MASK_BITS, math.ceil(math.log2(max(nodes, 1) / SHARD))))
+    order = [sorted(range(64), key=lambda b: xxhash.xxh64_intdigest(f"{i}:{b}".encode())) for i in range(math.ceil(MASKS * (1 - FLIPPED) ** (MASK_BITS - bits)))]
+    return [sum(1 << b for b in o[:bits]) for o in order]
 
 
 def _likeliest(node: np.ndarray, other: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -371,12 +388,12 @@ def candidates(classes: DataFrame, labels: bool = False, known: DataFrame | None
     """Of classes (node, f0, f1 and so on, sig): pairs of which a fingerprint is within RADIUS and agrees on a mask.
 
     A mask's bucket is a shard with its own BK-tree; here trees are built where they are asked, since there are
-    SEEDS * MASKS of them a text, too many to broadcast. A bucket of more than 2 * SHARD nodes is cut; its shards meet
+    SEEDS times as many as ``masks`` a text, too many to broadcast. A bucket of more than 2 * SHARD nodes is cut; its shards meet
     in pairs, each a group of bounded size. labels: nodes of different ``label`` only. Of what tasks return, but for
     known pairs, each node keeps its likeliest pair (AGAIN of them, if pairs are known) and the smallest of the smaller nodes.
     every: all of them, but for known pairs; classes have ``wide`` then.
     """
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks()]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(classes.count())]
     extra = ["sig", *(["label"] if labels else []), *(["wide"] if every else [])]
     fps = [f"f{i}" for i in range(SEEDS)]
     at = F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m).cast("long")) for c in fps for m in signed)))
@@ -442,9 +459,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
         for batch in batches:
             made = np.zeros((len(batch), len(names)), np.int64)
             for i, text in enumerate(batch.column("text").to_pylist()):
-                w = _hashes(list(set(shingles(text, 1))))
-                made[i, :-1] = np.array([fingerprint(reseeded(w, s)) for s in range(SEEDS)], np.uint64).view(np.int64)
-                made[i, -1] = minima(_hashes(list(set(shingles(text, SHINGLE)))))
+                of = [_hashes(list(set(shingles(text, size)))) for size in (1, SHINGLE)]
+                made[i, :-1] = np.array(seeded(*of), np.uint64).view(np.int64)
+                made[i, -1] = minima(of[1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), *map(pa.array, made.T.copy())], ["doc_id", "node", *names])
 
     rows = scratch.table(own.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "node", *names))), "fps")

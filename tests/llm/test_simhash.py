@@ -123,3 +123,67 @@ def test_masks_reach_texts_with_a_passage_added():
         differ = [int(sum(1 << b for b in np.flatnonzero(f))) for f in flips]
         found += any(not d & m and d.bit_count() <= simhash.RADIUS for d in differ for m in simhash.masks())
     assert found >= 0.95 * 400
+
+
+def test_masks_grow_with_the_nodes():
+    assert simhash.masks() == simhash.masks(2**25) and {m.bit_count() for m in simhash.masks()} == {simhash.MASK_BITS}
+    rng = np.random.default_rng(9)
+    for nodes in (2**27, 10**9, 10**11):
+        made = simhash.masks(nodes)
+        bits = made[0].bit_count()
+        assert {m.bit_count() for m in made} == {bits} and len(set(made)) == len(made)
+        assert nodes / 2**bits <= simhash.SHARD < 2 * nodes / 2**bits and len(made) <= 2 * (nodes / simhash.SHARD) ** 0.23 * simhash.MASKS / 16**0.9
+        found = 0
+        for _ in range(200):
+            flips = rng.random((simhash.SEEDS, 64)) < simhash.FLIPPED
+            differ = [int(sum(1 << b for b in np.flatnonzero(f))) for f in flips]
+            found += any(not d & m and d.bit_count() <= simhash.RADIUS for d in differ for m in made)
+        assert found >= 0.92 * 200
+
+
+def edited(words, kind, rng):
+    """A text's words after one kind of edit that leaves about nine tenths of its shingles."""
+    n, w = len(words), list(words)
+    if kind == "words replaced":
+        for i in rng.sample(range(n), max(1, n // 60)):
+            w[i] = f"new{rng.randrange(10**6)}"
+    elif kind == "passage added":
+        at = rng.randrange(n)
+        w[at:at] = [f"new{rng.randrange(10**6)}" for _ in range(n // 8)]
+    elif kind == "end cut":
+        w = w[: n - n // 9]
+    elif kind == "blocks moved":
+        w = w[n // 2 :] + w[: n // 2]
+    elif kind == "words dropped":
+        for i in sorted(rng.sample(range(n), max(1, n // 60)), reverse=True):
+            del w[i]
+    return w
+
+
+KINDS = ("words replaced", "passage added", "end cut", "blocks moved", "words dropped")
+
+
+def reached(a, b):
+    """Whether two texts share a mask's bucket within the radius, and pass each of the floors; None below 0.8."""
+    x, y = (set(simhash.shingles(t, simhash.SHINGLE)) for t in (a, b))
+    if 5 * len(x & y) < 4 * len(x | y):
+        return None
+    ha, hb = (simhash._hashes(list(set(simhash.shingles(t, 1)))) for t in (a, b))
+    hx, hy = (simhash._hashes(list(s)) for s in (x, y))
+    differ = [p ^ q for p, q in zip(simhash.seeded(ha, hx), simhash.seeded(hb, hy), strict=True)]
+    masked = any(not d & m and d.bit_count() <= simhash.RADIUS for d in differ for m in simhash.masks())
+    like = 1 - 2 * ((simhash.minima(hx) ^ simhash.minima(hy)) & (2**64 - 1)).bit_count() / simhash.MINIMA
+    far = int(np.bitwise_count(np.frombuffer(simhash.wide_minima(hx), np.uint8) ^ np.frombuffer(simhash.wide_minima(hy), np.uint8)).sum())
+    return masked, like >= simhash.LEAST, 1 - 2 * far / simhash.WIDE >= simhash.LEAST_WIDE
+
+
+def test_candidates_reach_every_kind_of_edit():
+    rng = random.Random(10)
+    for kind in KINDS:
+        got = []
+        for _ in range(60):
+            n = rng.choice([40, 120, 400, 1500])
+            words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(n)]
+            got.append(reached(" ".join(words).encode(), " ".join(edited(words, kind, rng)).encode()))
+        got = [g for g in got if g]
+        assert len(got) >= 30 and all(sum(x) >= 0.95 * len(got) for x in zip(*got, strict=True)), kind
