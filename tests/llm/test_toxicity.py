@@ -1,4 +1,9 @@
+import math
 import random
+import zlib
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tendril.llm import toxicity
 from tendril.llm.toxicity import Lexicon, fold
@@ -61,3 +66,38 @@ def test_repeats_long_texts_and_clashing_columns(spark):
     assert sorted(r.doc_id or 0 for r in toxicity.keep_clean(docs, lex).collect()) == [0, 2]
     same = spark.createDataFrame([(1, 1), (1, 0), (1, None), (None, 1)], "doc_id long, toxic int")
     assert toxicity.train(docs, same).terms
+
+
+def plain_measure(lexicon, text):
+    """Every term and every exception phrase tried at every place where a word begins, without an automaton."""
+    t = toxicity.fold(text)
+    ends = lambda i: i == len(t) or not t[i].isalpha()
+    starts = [i for i in range(len(t)) if not i or not t[i - 1].isalpha()]
+    spared = {j for i in starts for p in toxicity.EXCEPTIONS if t.startswith(p, i) and ends(i + len(p)) for j in range(i, i + len(p))}
+    best = {i: max((w for term, prefix, w in lexicon.terms if t.startswith(term, i) and (prefix or ends(i + len(term)))), default=0.0) for i in starts if i not in spared}
+    best = [w for w in best.values() if w > 0]
+    z = sum(c * x for c, x in zip(lexicon.curve, (1.0, math.log1p(sum(best)), math.log1p(100 * sum(best) / (len(t.split()) + 20))), strict=True))
+    return len(t.split()), sum(best), len(best), 1 / (1 + math.exp(-z))
+
+
+PARTS = ["trash", "TRASH", "tr4sh", "trаsh", "can", "cans", "clown", "class", "idiot", "idiots", "id", "idio", "1d10t", " ", " ", " ", ".", "-", "ø", "ß", "fish", "x", "sc​um", "\n"]
+LEXICON = toxicity.Lexicon((("clown", False, 1.5), ("id", True, 0.25), ("idio", True, 0.75), ("idiot", False, 2.0), ("scum", False, 1.0), ("tra", True, 0.5), ("trash", False, 1.25), ("trash", True, 0.125)))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=30).map("".join))
+def test_automaton_measures_as_a_plain_search_does(text):
+    n, total, hits = LEXICON.measure(toxicity.fold(text), LEXICON.matcher())
+    want = plain_measure(LEXICON, text)
+    assert (n, hits) == (want[0], want[2]) and abs(total - want[1]) < 1e-9 and abs(LEXICON.score(n, total) - want[3]) < 1e-9
+
+
+def test_scores_of_a_table_are_those_of_a_plain_search(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(60))) for _ in range(300)] + ["", "x " * 50_000 + "idiot"]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), LEXICON).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n, _, hits, score = plain_measure(LEXICON, texts[r.doc_id])
+        assert (r.n_words, r.n_hits, r.predicted) == (n, hits, int(score >= toxicity.THRESHOLD)) and abs(r.score - score) < 1e-9
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
