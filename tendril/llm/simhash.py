@@ -24,8 +24,6 @@ SHARD, BUNDLE, WAVE_MB = 512, 65_536, 16
 SHINGLE, SEEDS, OF_WORDS, RADIUS, MASKS, MASK_BITS, FLIPPED = 5, 10, 4, 16, 8, 16, 0.15
 #: Bits of the min-hash that spares pairs the exact check, and the least similarity it must show: 0.8 less over four errors (0.075).
 MINIMA, LEAST = 64, 0.45
-#: Candidates of a node that are checked when it is asked again; what is left after that is checked whole.
-AGAIN = 6
 #: Bits of the longer min-hash of nodes asked for all their pairs, and the least similarity it must show: 0.8 less over four errors (0.027).
 WIDE, LEAST_WIDE = 512, 0.68
 #: Visits of a slice of questions at most, so that what a search holds is bounded.
@@ -327,28 +325,19 @@ def masks(nodes: int = 0) -> list[int]:
     return [sum(1 << b for b in o[:bits]) for o in order]
 
 
-def _likeliest(node: np.ndarray, other: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of pairs seen from both ends: each node's likeliest other node, the smaller of ties."""
-    u, v, k = np.r_[node, other], np.r_[other, node], np.r_[like, like]
-    order = np.lexsort((v, -k, u))
-    first = order[np.r_[True, u[order][1:] != u[order][:-1]][: len(u)]]
-    return u[first], v[first], k[first]
-
-
-def _close(labels: bool, every: bool):
-    """Of dealt rows: a forest of the pairs within RADIUS and LEAST, the likeliest first; with labels, each node's likeliest pair across them.
+def _close(every: bool):
+    """Of dealt rows: a forest of the pairs within RADIUS and LEAST, the likeliest first; every: of those across labels that are within LEAST_WIDE too.
 
     So a task returns a pair or so a node, however large a group of near copies is. like: bits of the minima that agree.
-    every: all pairs across labels that are within LEAST_WIDE too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, alike, across = Forest(), {}, []
+        forest, alike = Forest(), {}
         for rows in whole_groups(batches, "key"):
             key, side, node = (rows[c].to_numpy() for c in ("key", "side", "node"))
             fp, sig = rows["fp"].to_numpy().view(np.uint64), rows["sig"].to_numpy().view(np.uint64)
-            label = rows["label"].to_numpy() if labels else node
-            wide = np.frombuffer(b"".join(rows["wide"].to_pylist()), np.uint64).reshape(len(node), -1) if every else None
+            label = rows["label"].to_numpy() if every else node
+            wide = _matrix(rows["wide"]) if every else None
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             guests = np.repeat(np.add.reduceat(side, starts) > 0, np.diff(np.r_[starts, len(key)]))
             own, ask = np.flatnonzero(side == 0), np.flatnonzero((side == 1) | ~guests)
@@ -356,67 +345,100 @@ def _close(labels: bool, every: bool):
                 i, j = own[i], ask[j]
                 like = MINIMA - np.bitwise_count(sig[i] ^ sig[j]).astype(np.int64)
                 ok = ((side[j] == 1) | (i < j)) & (label[i] != label[j]) & (2 * like >= MINIMA * (1 + LEAST))
+                i, j, like = i[ok], j[ok], like[ok]
                 if every:
+                    ok = _could(wide[i], wide[j])
                     i, j, like = i[ok], j[ok], like[ok]
-                    far = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64)
-                    ok = 2 * (WIDE - far) >= WIDE * (1 + LEAST_WIDE)
-                    if ok.any():
-                        pairs = np.unique(np.stack([np.maximum(node[i[ok]], node[j[ok]]), np.minimum(node[i[ok]], node[j[ok]])]), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*pairs, np.zeros(pairs.shape[1]))], ["u", "v", "like"])
-                    continue
-                i, j, like = node[i[ok]], node[j[ok]], like[ok]
-                if labels and len(i):
-                    across.append(_likeliest(i, j, like))
-                for at in () if labels else (20 * like >= 19 * MINIMA, 20 * like < 19 * MINIMA):
+                i, j = node[i], node[j]
+                for at in (20 * like >= 19 * MINIMA, 20 * like < 19 * MINIMA):
                     before = len(forest.pairs)
                     if at.any():
                         forest.add(i[at], j[at])
                     if len(forest.pairs) > before:
                         new = set(forest.pairs[before:])
                         alike.update((x, k) for x, k in zip(zip(i[at].tolist(), j[at].tolist(), strict=True), like[at].tolist(), strict=True) if x in new)
-        if across:
-            u, v, k = _likeliest(*(np.concatenate(x) for x in zip(*across, strict=True)))
-        else:
-            u, v = map(list, zip(*forest.pairs, strict=True)) if forest.pairs else ([], [])
-            k = [alike[x] for x in forest.pairs]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, k)], ["u", "v", "like"])
+        u, v = map(list, zip(*forest.pairs, strict=True)) if forest.pairs else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, [alike[x] for x in forest.pairs])], ["u", "v", "like"])
 
     return run
 
 
-def candidates(classes: DataFrame, labels: bool = False, known: DataFrame | None = None, every: bool = False) -> DataFrame:
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _could(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether longer min-hashes show LEAST_WIDE."""
+    far = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    return 2 * (WIDE - far) >= WIDE * (1 + LEAST_WIDE)
+
+
+def _dealt(rows: DataFrame, *extra: str) -> DataFrame:
+    """Rows of (bucket, node) and more, as groups (key) of bounded size, in which all pairs of a bucket meet.
+
+    A bucket of more than 2 * SHARD nodes is cut; its shards meet in pairs. side: 1 in the later shard of two.
+    """
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b"))))
+    dealt = split_hot(rows).select("bucket", "node", *extra, "own", pairs.alias("p"))
+    dealt = dealt.select(F.xxhash64("bucket", "p.a", "p.b").alias("key"), (F.col("own") > F.col("p.a")).cast("int").alias("side"), "node", *extra)
+    return dealt.repartition("key").sortWithinPartitions("key")
+
+
+def candidates(classes: DataFrame, every: bool = False) -> DataFrame:
     """Of classes (node, f0, f1 and so on, sig): pairs of which a fingerprint is within RADIUS and agrees on a mask.
 
     A mask's bucket is a shard with its own BK-tree; here trees are built where they are asked, since there are
-    SEEDS times as many as ``masks`` a text, too many to broadcast. A bucket of more than 2 * SHARD nodes is cut; its shards meet
-    in pairs, each a group of bounded size. labels: nodes of different ``label`` only. Of what tasks return, but for
-    known pairs, each node keeps its likeliest pair (AGAIN of them, if pairs are known) and the smallest of the smaller nodes.
-    every: all of them, but for known pairs; classes have ``wide`` then.
+    SEEDS times as many as ``masks`` a text, too many to broadcast. Of what tasks return, each node keeps its likeliest
+    pair and the smallest of the smaller nodes. every: pairs of nodes of different ``label``, whose ``wide`` could be of
+    0.8 or more; all that tasks return stay, and so any such pair is joined by a chain of those given.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(classes.count())]
-    extra = ["sig", *(["label"] if labels else []), *(["wide"] if every else [])]
+    extra = ["sig", *(["label", "wide"] if every else [])]
     fps = [f"f{i}" for i in range(SEEDS)]
     at = F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m).cast("long")) for c in fps for m in signed)))
     fp = F.element_at(F.array(*fps), (F.floor(F.col("t") / len(signed)) + 1).cast("int"))
     rows = classes.select("node", *fps, *extra, at.alias("t", "value")).select("node", fp.alias("fp"), *extra, F.xxhash64("t", "value").alias("bucket"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b"))))
-    dealt = split_hot(rows).select("bucket", "node", "fp", *extra, "own", pairs.alias("p"))
-    dealt = dealt.select(F.xxhash64("bucket", "p.a", "p.b").alias("key"), (F.col("own") > F.col("p.a")).cast("int").alias("side"), "node", "fp", *extra)
-    got = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_close(labels, every), "u long, v long, like long")
-    got = got.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "like")
-    got = got if known is None else got.join(known, ["u", "v"], "left_anti")
+    got = _dealt(rows, "fp", *extra).mapInArrow(_close(every), "u long, v long, like long")
     if every:
-        return got.select("u", "v").distinct()
+        return got.select("u", "v")
     end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "like")
     seen = got.select(F.explode(F.array(end("u", "v"), end("v", "u"))).alias("e")).select("e.*")
     best = F.max_by("y", F.struct("like", -F.col("y")))
-    if known is not None:  # few nodes are left; a node has a pair or so from each task
-        best = F.transform(F.slice(F.sort_array(F.collect_set(F.struct("like", (-F.col("y")).alias("y"))), False), 1, AGAIN), lambda e: -e["y"])
-    kept = seen.groupBy("x").agg((best if known is not None else F.array(best)).alias("a"), F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("b"))
-    kept = kept.select("x", F.explode(F.array_distinct(F.array_compact(F.concat("a", F.array("b"))))).alias("y"))
+    kept = seen.groupBy("x").agg(best.alias("a"), F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("b"))
+    kept = kept.select("x", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("y"))
     return kept.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of dealt rows: a forest of each group's pairs across labels whose sets of hashes have a similarity of 0.8 or more."""
+    for rows in whole_groups(batches, "key"):
+        key, side, node, label = (rows[c].to_numpy() for c in ("key", "side", "node", "label"))
+        starts, found = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), []
+        for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+            of, wide, sets = label[s:e].copy(), _matrix(rows["wide"].slice(s, e - s)), [np.frombuffer(x, np.uint64) for x in rows["hashes"].slice(s, e - s).to_pylist()]
+            size = np.array([len(x) for x in sets])
+            begin = np.cumsum(size) - size
+            flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            mark, guest = np.zeros(len(flat), np.int32), side[s:e] == 1
+            for j in np.flatnonzero(guest) if guest.any() else range(e - s):
+                i = np.flatnonzero(~guest) if guest.any() else np.arange(j)
+                i = i[(of[i] != of[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))]
+                i = i[_could(wide[i], wide[j])]
+                if not len(i):
+                    continue
+                own, n = flat[begin[j] : begin[j] + size[j]], size[i]
+                mark[own] = 1
+                at = np.cumsum(n) - n
+                both = np.add.reduceat(mark[flat[np.repeat(begin[i] - at, n) + np.arange(n.sum())]], at)
+                mark[own] = 0
+                for x in i[9 * both >= 4 * (n + size[j])]:
+                    if of[x] != of[j]:  # not joined by an earlier pair
+                        found.append((node[s + x], node[s + j]))
+                        of[of == of[x]] = of[j]
+        if found:
+            yield _pair_batch(*np.array(found, np.int64).T)
+
+
 def _alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """(u, v, alike) of pairs of nodes: whether the Jaccard similarity of their texts' shingles is 0.8 or more, exactly."""
 
@@ -438,8 +460,9 @@ def _alike(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 def _widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [wide_minima(_hashes(list(set(shingles(text, SHINGLE))))) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "wide"])
+        hashes = [_hashes(list(set(shingles(text, SHINGLE)))) for text in batch.column("text").to_pylist()]
+        made = [[wide_minima(h) for h in hashes], [h.tobytes() for h in hashes]]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(x, pa.binary()) for x in made)], ["node", "wide", "hashes"])
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -447,9 +470,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Links join nodes whose sets of SHINGLE-word shingles have a Jaccard similarity of 0.8 or more; each is checked on
     the texts themselves. Each node's likeliest and smallest candidates are checked first, and make groups. Where a
-    check failed, another candidate may hold in its stead: so all nodes with candidates are asked again, first for a
-    few and then for all unchecked ones in other groups. So a group of copies costs a few checks a node, not one a
-    pair, and no candidate between groups stays unchecked. Null and empty texts are one node; an empty table gives no
+    check failed, another candidate may hold in its stead: so all nodes with candidates are asked again for those in
+    other groups. Such candidates are not written as pairs: nodes that they connect are one cluster, whose sets of
+    shingle hashes meet in blocks of bounded size, where all of a cluster's pairs between groups are told and a forest
+    of the links is returned. So rows grow with the nodes, not with the pairs of a group of copies, and no candidate
+    between groups stays unchecked. Null and empty texts are one node; an empty table gives no
     rows; other columns take no part.
     """
     names = [*(f"f{i}" for i in range(SEEDS)), "sig"]
@@ -473,12 +498,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     linked = checked.where("alike").select("u", "v")
     roots = components(linked)
     if not checked.where("NOT alike").isEmpty():
-        labelled = lambda some: some.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        some = scratch.table(classes.join(ends, "node", "left_semi").join(asked.mapInArrow(_widen, "node long, wide binary"), "node"), "some")
-        for every in (False, True):
-            more = candidates(labelled(some if every else some.drop("wide")), True, checked.select("u", "v"), every)
-            more = scratch.table(_alike(more, asked), "more")
-            checked = checked.union(more)
-            if not (joined := more.where("alike").select("u", "v")).isEmpty():
-                roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(joined))
+        some = asked.mapInArrow(_widen, "node long, wide binary, hashes binary").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        some = scratch.table(some, "some")
+        clusters = components(candidates(classes.join(some.drop("hashes"), "node"), every=True))
+        meet = clusters.join(some, "node").withColumnRenamed("root", "bucket")
+        more = _dealt(meet, "label", "wide", "hashes").mapInArrow(_similar, "u long, v long").distinct()
+        more = scratch.table(_alike(more, asked), "more")
+        if not (joined := more.where("alike").select("u", "v")).isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(joined))
     return rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
