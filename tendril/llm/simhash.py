@@ -473,8 +473,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     check failed, another candidate may hold in its stead: so all nodes with candidates are asked again for those in
     other groups. Such candidates are not written as pairs: nodes that they connect are one cluster, whose sets of
     shingle hashes meet in blocks of bounded size, where all of a cluster's pairs between groups are told and a forest
-    of the links is returned. So rows grow with the nodes, not with the pairs of a group of copies, and no candidate
-    between groups stays unchecked. Null and empty texts are one node; an empty table gives no
+    of the links is returned. So tasks return a pair or so a node, not the pairs of a group of copies, and no candidate
+    between groups stays unchecked; sets of a cluster of n nodes, if over 2 * SHARD, travel n / SHARD times. Null and empty texts are one node; an empty table gives no
     rows; other columns take no part.
     """
     names = [*(f"f{i}" for i in range(SEEDS)), "sig"]
