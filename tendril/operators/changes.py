@@ -100,9 +100,10 @@ def key_range_key(keys: DataFrame) -> DataFrame:
     return g.select("table", F.when(why.isNull(), F.col("column")).alias("key"), why.alias("reason"))
 
 
-def spared_count(df: DataFrame, condition: Column, limit: int = 1000) -> DataFrame:
-    """One row (spared): how many rows a filter spares, counted up to a limit, after which reading stops."""
-    return spared_rows(df, condition).select(F.lit(1)).limit(limit).agg(F.count("*").alias("spared"))
+def spared_count(df: DataFrame, condition: Column, limit: int | None = 1000) -> DataFrame:
+    """One row (spared): how many rows a filter spares, counted up to a limit, after which reading stops; without one, all."""
+    rows = spared_rows(df, condition).select(F.lit(1))
+    return (rows if limit is None else rows.limit(limit)).agg(F.count("*").alias("spared"))
 
 
 def unmatched_rows(df: DataFrame, condition: Column, limit: int = 1000) -> int:

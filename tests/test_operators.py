@@ -14,6 +14,7 @@ from tendril.operators import maintenance as m
 from tendril.operators import pressure as p
 from tendril.operators import reports as r
 from tendril.operators import waits as w
+from tendril.queries import QUERIES
 from tendril.sources import catalog
 
 T0 = dt.datetime(2026, 1, 5, 22, 0, 0)  # a Monday
@@ -343,3 +344,11 @@ def test_permissions_and_disabled_indexes(spark):
     parts = spark.createDataFrame([("s", 1, 2, "b", 8, True), ("s", 1, 1, "a", 8, True), ("s", 2, 2, "b", 8, True), ("s", 4, 0, None, 8, False)], "server string, object_id int, index_id int, name string, kb long, is_disabled boolean")
     assert {x.object_id: (x.severity, x.detail) for x in fleet.check_reenabled_indexes(heaps, parts).collect()} == {1: ("FAIL", "a, b"), 2: ("WARN", "b"), 3: ("FAIL", "unread"), 4: ("PASS", "")}
     assert {x.object_id: (x.severity, x.detail) for x in fleet.check_heap_scope(heaps, parts).collect()} == {1: ("WARN", "2/16"), 2: ("WARN", "1/8"), 3: ("PASS", "0/0"), 4: ("PASS", "0/8")}
+
+
+SPARED = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+
+
+def test_unmatched_rows_beyond_the_limit(spark, tmp_path):
+    spark.createDataFrame([(i, 1, "F", 1000.0 if i < 1500 else 300000.0, T0, "1-URGENT") for i in range(4000)], SPARED).write.parquet(str(tmp_path / "orders.parquet"))
+    assert QUERIES["unmatched_rows"](spark, str(tmp_path)).first().few == 1500
