@@ -308,6 +308,20 @@ def merge_statistics(statistics: DataFrame, quantiles: tuple[float, ...] = (0.25
     return g.select("column_name", "rows", "nulls", "low", "high", "distinct", F.array(*at).alias("quantiles"))
 
 
+def quantile_ranks(df: DataFrame, merged: DataFrame) -> DataFrame:
+    """(column_name, n, below, upto) of rows of ``merge_statistics``: df's numbers in all, and of each quantile those below it and up to it; NULL for no number.
+
+    One pass counts them where they are, so no task holds values; the driver has merged's rows, one a column.
+    """
+    each = []
+    for name, quantiles in merged.select("column_name", "quantiles").collect():
+        x, known = F.col(name).try_cast("double"), [F.lit(q) for q in quantiles]
+        count = lambda tests: F.array(*(F.when(q.isNotNull(), F.count_if(t)) for q, t in zip(known, tests, strict=True)))  # noqa: B023, E731
+        each.append(F.struct(F.lit(name).alias("column_name"), F.count(x).alias("n"), count([x < q for q in known]).alias("below"), count([x <= q for q in known]).alias("upto")))
+    none = "array<struct<column_name: string, n: bigint, below: array<bigint>, upto: array<bigint>>>"
+    return df.agg((F.array(*each) if each else F.array()).cast(none).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def sampled_files(df: DataFrame, share: float) -> DataFrame:
     """Rows of about that share of df's files, whole files at a time: the others aren't opened."""
     return df.where(F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tendril.operators import changes as c
+from tendril.queries import QUERIES
 from tendril.sources import tables as t
 
 
@@ -158,6 +159,24 @@ def test_statistics_are_merged_from_partitions(spark, tmp_path):
     assert t.merge_statistics(each.limit(0)).collect() == []
 
 
+def test_ranks_of_quantiles_are_counted(spark):
+    d = spark.range(10_000).selectExpr("CASE WHEN id % 10 > 0 THEN id DIV 4 END AS k", "concat('s', id % 3) AS s")
+    merged = spark.createDataFrame([("k", [500.0, None, 3000.0]), ("s", [None, None, None])], "column_name string, quantiles array<double>")
+    ranks = t.quantile_ranks(d, merged)
+    values = [i // 4 for i in range(10_000) if i % 10]
+    got = {x.column_name: (x.n, x.below, x.upto) for x in ranks.collect()}
+    assert got == {"k": (9000, [sum(v < 500 for v in values), None, 9000], [sum(v <= 500 for v in values), None, 9000]), "s": (0, [None] * 3, [None] * 3)}
+    assert t.quantile_ranks(d, merged.limit(0)).collect() == []
+
+
+def test_merged_statistics_hold_no_values(spark, tmp_path):
+    d = spark.range(20_000).selectExpr("id AS o_orderkey", "CAST(id % 3 AS string) AS o_orderstatus", "CAST(id * 37 % 9973 AS double) AS o_totalprice", "CAST(id % 5 AS string) AS o_orderpriority")
+    d.write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES["merged_statistics"](spark, str(tmp_path))
+    assert {tuple(x) for x in found.collect()} == {(c, 20_000, 0, True) for c in ("o_orderkey", "o_orderstatus", "o_totalprice")}
+    assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()  # an exact one keeps every distinct value in a task
+
+
 def test_sampling_takes_whole_files(spark, tmp_path):
     spark.range(1000).repartition(40).write.parquet(str(tmp_path / "t"))
     d = spark.read.parquet(str(tmp_path / "t"))
