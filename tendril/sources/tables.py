@@ -7,6 +7,7 @@ same call finishes.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -178,15 +179,17 @@ def _swap(spark: SparkSession, path: str, stage: str) -> None:
             fs.delete(_at(spark, old), False)
 
 
-def _mark(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+def _marks(df: DataFrame, by: Column) -> dict:
+    """Of each group: how many rows, and a sum of their hashes; ``by`` may be a path of ``_metadata``."""
+    h = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    return {r[0]: (r[1], r[2]) for r in df.select(by.alias("_by"), h.alias("_h")).groupBy("_by").agg(F.count("*"), F.sum("_h")).toLocalIterator()}
 
 
 def compact_files(spark: SparkSession, path: str, target_mb: float, paths: int = PATHS) -> int:
     """Puts a table's small files together, in their folders, up to ``target_mb``; returns how many files are gone.
 
     Sizes are read from the listing; files are binned by first-fit decreasing; only bins of several files are
-    rewritten, a file each, in a hidden folder; rows and hashes must agree; a journal is written; then the new files
+    rewritten, a file each by a task each that holds no rows, in a hidden folder; rows and hashes of each bin must agree; a journal is written; then the new files
     are moved in and the old ones deleted, which ``recover`` can finish. A job reads at most about ``paths`` files, and
     the driver knows the names of no more. What is dense enough isn't touched, so a second call does nothing.
     """
@@ -210,22 +213,29 @@ def _compact(spark: SparkSession, path: str, batch: list) -> int:
     names = [(f, n) for n, row in enumerate(batch) for f in row.files]
     old = spark.read.parquet(*(_at(spark, f).toString() for f, _ in names))
     columns = old.columns  # without partition columns, which folders hold
-    bins = spark.createDataFrame(names, "_file string, _bin long")  # at most ``paths`` rows and a bin
+    bins = spark.createDataFrame(names, "_file string, _bin int")  # at most ``paths`` rows and a bin
     tagged = old.select("*", F.col("_metadata.file_path").alias("_file")).join(F.broadcast(bins), "_file").drop("_file")
-    tagged.repartition(len(batch), "_bin").sortWithinPartitions("_bin").write.partitionBy("_bin").parquet(f"{path}/{stage}/files")
-    new = spark.read.parquet(f"{path}/{stage}/files")
-    if _mark(old.select(columns)) != _mark(new.select(columns)):
-        raise ValueError(f"{path}: the compacted files don't hold the same rows")
-    made = {r._bin: r.file for r in new.select("_bin", F.col("_metadata.file_path").alias("file")).distinct().toLocalIterator()}
-    if len(made) != len(batch):
+    # a task has one bin and writes its rows as they come: nothing is sorted or held
+    tagged.repartitionById(len(batch), F.col("_bin")).select(columns).write.parquet(f"{path}/{stage}/files")
+    at = F.col("_metadata.file_path")
+    written = _marks(spark.read.parquet(f"{path}/{stage}/files"), at)
+    made = {int(re.search(r"/part-(\d+)-[^/]*$", f)[1]): f for f in written}
+    if len(made) != len(written):
         raise ValueError(f"{path}: a bin has become several files")
-    moves = [json.dumps({"new": made[n], "to": f"{row.folder}/part-{uuid.uuid4().hex}.parquet", "old": list(row.files)}) for n, row in enumerate(batch)]
+    which, before = dict(names), {}
+    for f, (n, h) in _marks(old, at).items():
+        was = before.get(which[f], (0, 0))
+        before[which[f]] = (was[0] + n, was[1] + h)
+    if before != {n: written[f] for n, f in made.items()}:
+        raise ValueError(f"{path}: the compacted files don't hold the same rows")
+    # a bin of files without rows has no new file, and keeps its own
+    moves = [json.dumps({"new": f, "to": f"{batch[n].folder}/part-{uuid.uuid4().hex}.parquet", "old": list(batch[n].files)}) for n, f in made.items()]
     spark.createDataFrame([(m,) for m in moves], "value string").coalesce(1).write.text(f"{path}/{stage}/journal")
     _swap(spark, path, stage)
     fs, at = _fs(spark, f"{path}/{stage}")
     fs.delete(at, True)
     spark.catalog.refreshByPath(path)
-    return len(names) - len(batch)
+    return sum(len(batch[n].files) - 1 for n in made)
 
 
 def _shown(c: str) -> Column:

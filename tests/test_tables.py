@@ -103,6 +103,24 @@ def test_compaction_by_bins(spark, tmp_path):
     assert t.compact_files(spark, str(path), target) == 0 and not [x for x in os.listdir(path) if x.startswith("_compact")]
 
 
+def test_compaction_sorts_nothing(spark, tmp_path, monkeypatch):
+    path = tmp_path / "t"
+    d = spark.range(20_000).select("id", (F.col("id") % 5).alias("p"))
+    d.repartition(6).write.partitionBy("p").parquet(str(path))
+    before = {tuple(x) for x in spark.read.parquet(str(path)).collect()}
+
+    def no(*_):
+        raise AssertionError("a task would hold a whole bin")
+
+    monkeypatch.setattr(type(d), "sortWithinPartitions", no)
+    monkeypatch.setattr(type(d.write), "partitionBy", no)
+    assert t.compact_files(spark, str(path), 64) == 25
+    assert {tuple(x) for x in spark.read.parquet(str(path)).collect()} == before and len(stamps(path)) == 5
+    spark.range(0).select("id").coalesce(1).write.parquet(str(path / "p=9"))
+    spark.range(0).select("id").coalesce(1).write.mode("append").parquet(str(path / "p=9"))
+    assert t.compact_files(spark, str(path), 64) == 0 and {tuple(x) for x in spark.read.parquet(str(path)).collect()} == before
+
+
 def test_a_swap_that_crashes_is_finished(spark, tmp_path, monkeypatch):
     path = tmp_path / "t"
     spark.range(1000).repartition(6).write.parquet(str(path))
