@@ -24,8 +24,8 @@ from ..functions import scratch
 DEPTH, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if a longer one around it has this share of its count: 80 %.
 SHARE = (80, 100)
-#: Bytes of text whose suffixes are merged before they travel; words to a shard; at most so many shards.
-CHUNK, SHARD, SHARDS = 8 << 20, 500_000, 1 << 20
+#: Bytes of text whose suffixes are merged before they travel (twice as many at once); words to a shard; at most so many shards.
+CHUNK, SHARD, SHARDS = 2 << 20, 500_000, 1 << 20
 #: One of so many suffixes is looked at to tell which leading sequences are too common for one shard: a matter of balance only.
 SAMPLE = 512
 #: A sequence that was seen less often than this is never taken for too common.

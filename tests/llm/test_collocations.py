@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tendril.llm import collocations as c
 
@@ -94,3 +95,10 @@ def test_quicksort_counts_equal_partitions():
                 want[tuple(rows[:d, i].tolist())] += int(weight[i])
     for least in (1, 30, 200, 10**9):
         assert {tuple(rows[:d, i].tolist()): t for d, i, t in c.quicksort(rows, weight, least)} == {k: v for k, v in want.items() if v >= least}
+
+
+def test_streams_leave_a_worker_little_memory():
+    text = b"some words of a text, " * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 1000), pa.array([text] * 1000, pa.binary())], ["lang", "text"])
+    found = [(len(data), own) for _, data, own in c._streams(batch, c.CHUNK)]
+    assert max(n for n, _ in found) < 5 << 20 and sum(own for _, own in found) >= 1000 * len(text)
