@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ AMPLIFYING = ("ALTER INDEX", "ALTER TABLE", "CREATE INDEX", "CREATE STATISTICS",
 MAINTENANCE = ("ALTER INDEX", "DBCC")
 #: Ids of sessions are unique in one server only.
 SERVER = ("server",)
+#: Most waits of a poll whose queues one task counts.
+POLL = 100_000
 JOB = r"^SQLAgent - TSQL JobStep \(Job 0x([0-9A-Fa-f]+) : Step (\d+)\)$"
 
 
@@ -33,15 +39,92 @@ def self_block(sessions: DataFrame, runs: DataFrame, keys: tuple[str, ...] = SER
     return me.join(b, [*on, "blocker_spid"], "left")
 
 
-def blocked_behind(sessions: DataFrame, keys: tuple[str, ...] = SERVER) -> DataFrame:
+def _sizes(group: np.ndarray, waiter: np.ndarray, blocker: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of waits, one a waiter: (session, a row that has its group, sessions behind it) of all with any behind them."""
+    groups, names = np.r_[group, group], np.r_[waiter, blocker]
+    order = np.lexsort((names, groups))
+    new = np.r_[True, (np.diff(groups[order]) != 0) | (np.diff(names[order]) != 0)]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    n = int(new.sum())
+    up, size = np.full(n, -1, np.int64), np.ones(n, np.int64)
+    up[of[: len(waiter)]] = of[len(waiter) :]
+    waiting = np.bincount(up[up >= 0], minlength=n)
+    now = np.flatnonzero(waiting == 0)
+    while len(now := now[up[now] >= 0]):  # sessions whom nobody is behind any more pass on what they have counted
+        at = up[now]
+        np.add.at(size, at, size[now])
+        np.subtract.at(waiting, at, 1)
+        now = np.unique(at)
+        now = now[waiting[now] == 0]
+    ring = np.flatnonzero(waiting > 0)
+    if len(ring):
+        place = np.empty(n, np.int64)
+        place[ring] = np.arange(len(ring))
+        ahead, low = place[up[ring]], np.arange(len(ring))
+        for _ in range(len(ring).bit_length()):
+            low, ahead = np.minimum(low, low[ahead]), ahead[ahead]
+        total = np.zeros(len(ring), np.int64)
+        np.add.at(total, low, size[ring])
+        size[ring] = total[low]
+    found = np.flatnonzero(size > 1)
+    first = order[new][found]
+    return names[first], first % max(len(waiter), 1), size[found] - 1
+
+
+def _polls(keys: list[str]):
+    """Of waits sorted by keys: who has how many behind, of whole polls, a few at a time."""
+
+    def counted(rows: pa.Table, edge: np.ndarray) -> pa.RecordBatch:
+        waiter, blocker = (rows[x].to_numpy().astype(np.int64) for x in ("spid", "ptr"))
+        session, at, behind = _sizes(np.cumsum(edge), waiter, blocker)
+        of = rows.select(keys).take(pa.array(at)).combine_chunks()
+        columns = [*(of[k].combine_chunks() for k in keys), pa.array(session).cast(rows.schema.field("spid").type), pa.array(behind)]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "spid", "behind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            edge = np.zeros(len(rows), bool)
+            for k in keys:
+                edge[1:] |= pc.not_equal(rows[k][1:], rows[k][:-1]).to_numpy()
+            last = int(np.flatnonzero(edge)[-1]) if edge.any() else 0
+            rest = rows.slice(last)
+            if last:
+                yield counted(rows.slice(0, last), edge[:last])
+        if rest is not None:
+            yield counted(rest, np.zeros(len(rest), bool))
+
+    return run
+
+
+def blocked_behind(sessions: DataFrame, keys: tuple[str, ...] = SERVER, poll: int = POLL) -> DataFrame:
     """Distinct sessions of a server and poll queued behind each other one over any number of steps, itself left out.
 
     A session waits for one blocker (of several rows: the smallest id), so a poll is trees that hang on roots or
-    cycles. Pointers are doubled until only cycles are pointed at; a cycle becomes one node, and sums are doubled up
-    the trees. Both take as many rounds as the longest chain has binary digits, and each round writes a row a session.
+    cycles. Polls of at most ``poll`` waits are each counted in one task; larger ones by joins, which give the same.
     """
     on = [*keys, "poll_ts"]
-    waits = sessions.where("blocking_spid <> 0").groupBy(*on, "spid").agg(F.min("blocking_spid").alias("ptr"))
+    waits = scratch.table(sessions.where("blocking_spid <> 0 AND spid IS NOT NULL").dropna(subset=on).groupBy(*on, "spid").agg(F.min("blocking_spid").alias("ptr")), "waits")
+    large = scratch.table(waits.groupBy(*on).count().where(F.col("count") > poll).select(*on), "large")
+    some = not large.isEmpty()
+    small = waits.join(large, on, "left_anti") if some else waits
+    types = {f.name: f.dataType.simpleString() for f in waits.schema}
+    shape = ", ".join(f"`{x}` {types[x]}" for x in [*on, "spid"]) + ", behind long"
+    counted = small.repartition(*on).sortWithinPartitions(*on).select(*on, "spid", "ptr").mapInArrow(_polls(on), shape)
+    return counted.unionByName(_behind_by_joins(waits.join(large, on, "left_semi"), on)) if some else counted
+
+
+def _behind_by_joins(waits: DataFrame, on: list[str]) -> DataFrame:
+    """``blocked_behind`` of polls of any size.
+
+    Pointers are doubled until only cycles are pointed at; a cycle becomes one node, and sums are doubled up the trees.
+    Both take as many rounds as the longest chain has binary digits, and each round writes a row a session.
+    """
     nodes = waits.select(*on, F.explode(F.array("spid", "ptr")).alias("spid")).distinct().join(waits, [*on, "spid"], "left")
     first = d = scratch.table(nodes.withColumn("low", F.col("spid")).withColumn("moved", F.lit(True)), "waits")
     pointed = lambda t: t.where("ptr IS NOT NULL").select(*on, F.col("ptr").alias("spid")).distinct()

@@ -362,3 +362,18 @@ def test_untouched_rows_beyond_the_limit(spark, tmp_path):
 def test_unmatched_rows_are_all_counted(spark, tmp_path):
     spark.createDataFrame([(i, 1, "P" if i % 2 else "F", 300000.0, T0, "1-URGENT") for i in range(5000)], SPARED).write.parquet(str(tmp_path / "orders.parquet"))
     assert tuple(QUERIES["unmatched_rows"](spark, str(tmp_path)).first()) == (2500, 0)
+
+
+def test_queues_of_a_poll_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [("x", k, i, rng.randrange(1, 40)) for k in range(30) for i in range(1, 40) if rng.random() < 0.8] + [("y", 1, i + 1, i) for i in range(1, 300)] + [("y", 2, 5, 5), ("y", 2, None, 5), (None, 1, 2, 1)]
+    sessions = spark.createDataFrame(rows, "server string, poll_ts int, spid int, blocking_spid int").repartition(3)
+    written, real = [], b.scratch.table
+    monkeypatch.setattr(b.scratch, "table", lambda df, name: written.append(name) or real(df, name))
+    got = sorted(map(tuple, b.blocked_behind(sessions).collect()))
+    assert written == ["waits", "large"]  # not one a round
+    for limit in (0, 33):  # all polls, or some of them, by joins
+        assert sorted(map(tuple, b.blocked_behind(sessions, poll=limit).collect())) == got
+    for server, t in {(x, k) for x, k, *_ in rows if x}:
+        edges = [(a, u) for x, k, a, u in rows if (x, k) == (server, t) and a]
+        assert {x[2]: x[3] for x in got if x[:2] == (server, t)} == {u: n for u in {u for _, u in edges} if (n := search(edges, u))}
