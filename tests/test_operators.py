@@ -377,3 +377,13 @@ def test_queues_of_a_poll_take_no_rounds(spark, monkeypatch):
     for server, t in {(x, k) for x, k, *_ in rows if x}:
         edges = [(a, u) for x, k, a, u in rows if (x, k) == (server, t) and a]
         assert {x[2]: x[3] for x in got if x[:2] == (server, t)} == {u: n for u in {u for _, u in edges} if (n := search(edges, u))}
+
+
+def test_amplifying_victims_take_no_rounds(spark, monkeypatch):
+    s = "server string, poll_ts int, spid int, blocking_spid int, login string, host string, program string, command string, statement string, batch string, wait_ms long"
+    chain = [("s", 1, i + 1, i, "l", "h", "app", "ALTER INDEX", "", "", 1) for i in range(1, 200)]
+    written, real = [], b.scratch.table
+    monkeypatch.setattr(b.scratch, "table", lambda df, name: written.append(name) or real(df, name))
+    runs = spark.createDataFrame([("s", 1, 1)], "server string, poll_ts int, run_spid int")
+    assert [(x.spid, x.behind) for x in b.amplifying_victims(spark.createDataFrame(chain, s), runs, []).collect()] == [(2, 198)]
+    assert len(written) == 2
