@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scratch
-from .components import components
+from .components import Forest, _pair_batch, components
 from .words import SPLIT, texts, whole_groups, words
 
 #: Fingerprints of a shard at most (on average, where a bucket is split), of a bundle of shards; MB of trees that a wave broadcasts.
@@ -174,44 +174,6 @@ class Trees:
                 q = np.repeat(q, n)
 
 
-class Forest:
-    """Spanning forest of the links seen so far, by union-find."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-        self.pairs: list[tuple[int, int]] = []
-
-    def find(self, x: int) -> int:
-        up, top = self.up, x
-        while (y := up.get(top, top)) != top:
-            top = y
-        while (y := up.get(x, x)) != top:
-            up[x], x = top, y
-        return top
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        top = np.array([self.find(x) for x in ids.tolist()], np.int64)[at]
-        x, y = top[: len(a)], top[len(a) :]
-        if (new := x != y).any():
-            tops, first = np.unique(np.stack([x[new], y[new]]), axis=1, return_index=True)
-            for (p, q), i in zip(tops.T.tolist(), np.flatnonzero(new)[first].tolist(), strict=True):
-                p, q = self.find(p), self.find(q)
-                if p != q:
-                    low, high = min(p, q), max(p, q)
-                    self.up[high] = low
-                    self.up.setdefault(low, low)
-                    self.pairs.append((int(a[i]), int(b[i])))
-
-    def edges(self) -> tuple[list[int], list[int]]:
-        u = [x for x, y in self.up.items() if x != y]
-        return u, [self.find(x) for x in u]
-
-
-def _pair_batch(u, v) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-
 def split_hot(rows: DataFrame) -> DataFrame:
     """Of rows with a bucket and a node: adds ``m`` and ``own``: buckets of more than 2 * SHARD rows are cut into m shards."""
     hot = scratch.table(rows.groupBy("bucket").count().where(F.col("count") > 2 * SHARD).select("bucket", F.ceil(F.col("count") / SHARD).cast("int").alias("m")), "hot")
@@ -326,9 +288,10 @@ def masks(nodes: int = 0) -> list[int]:
 
 
 def _close(every: bool):
-    """Of dealt rows: a forest of the pairs within RADIUS and LEAST, the likeliest first; every: of those across labels that are within LEAST_WIDE too.
+    """Of dealt rows: a forest of the pairs within RADIUS and LEAST, the likeliest first, told as ``_chosen`` of it;
 
-    So a task returns a pair or so a node, however large a group of near copies is. like: bits of the minima that agree.
+    every: of the pairs across labels that are within LEAST_WIDE too, told as the nodes that they connect, each beside the
+    smallest. So a task returns a row a node that it has read at most, however large a group of near copies is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,12 +320,25 @@ def _close(every: bool):
                     if len(forest.pairs) > before:
                         new = set(forest.pairs[before:])
                         alike.update((x, k) for x, k in zip(zip(i[at].tolist(), j[at].tolist(), strict=True), like[at].tolist(), strict=True) if x in new)
-        u, v = map(list, zip(*forest.pairs, strict=True)) if forest.pairs else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, [alike[x] for x in forest.pairs])], ["u", "v", "like"])
+        if every:  # which nodes are together is all that is asked, and smallest nodes are the same in many tasks
+            yield _pair_batch(*forest.edges())
+        elif forest.pairs:
+            yield _chosen(np.array(forest.pairs, np.int64).T, np.array([alike[x] for x in forest.pairs], np.int64))
 
     return run
 
 
+def _chosen(pairs: np.ndarray, like: np.ndarray) -> pa.RecordBatch:
+    """Of pairs: a row a node x, with the likeliest other node (a, the smallest of these), its likeness, and the smallest smaller one (b)."""
+    x, y, like = np.concatenate(pairs), np.concatenate(pairs[::-1]), np.r_[like, like]
+    order = np.lexsort((y, -like, x))
+    x, y, like = x[order], y[order], like[order]
+    first, none = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), np.iinfo(np.int64).max
+    b = np.minimum.reduceat(np.where(y < x, y, none), first)
+    columns = [pa.array(x[first]), pa.array(y[first]), pa.array(like[first]), pa.array(b, mask=b == none)]
+    return pa.RecordBatch.from_arrays(columns, ["x", "a", "like", "b"])
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
@@ -390,7 +366,8 @@ def candidates(classes: DataFrame, every: bool = False) -> DataFrame:
     A mask's bucket is a shard with its own BK-tree; here trees are built where they are asked, since there are
     SEEDS times as many as ``masks`` a text, too many to broadcast. Of what tasks return, each node keeps its likeliest
     pair and the smallest of the smaller nodes. every: pairs of nodes of different ``label``, whose ``wide`` could be of
-    0.8 or more; all that tasks return stay, and so any such pair is joined by a chain of those given.
+    0.8 or more; all that tasks return stay, the nodes that a task connects beside their smallest, so any such pair
+    is joined by a chain of rows.
     """
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(classes.count())]
     extra = ["sig", *(["label", "wide"] if every else [])]
@@ -398,13 +375,11 @@ def candidates(classes: DataFrame, every: bool = False) -> DataFrame:
     at = F.posexplode(F.array(*(F.col(c).bitwiseAND(F.lit(m).cast("long")) for c in fps for m in signed)))
     fp = F.element_at(F.array(*fps), (F.floor(F.col("t") / len(signed)) + 1).cast("int"))
     rows = classes.select("node", *fps, *extra, at.alias("t", "value")).select("node", fp.alias("fp"), *extra, F.xxhash64("t", "value").alias("bucket"))
-    got = _dealt(rows, "fp", *extra).mapInArrow(_close(every), "u long, v long, like long")
+    dealt = _dealt(rows, "fp", *extra)
     if every:
-        return got.select("u", "v")
-    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "like")
-    seen = got.select(F.explode(F.array(end("u", "v"), end("v", "u"))).alias("e")).select("e.*")
-    best = F.max_by("y", F.struct("like", -F.col("y")))
-    kept = seen.groupBy("x").agg(best.alias("a"), F.min(F.when(F.col("y") < F.col("x"), F.col("y"))).alias("b"))
+        return dealt.mapInArrow(_close(True), "u long, v long")
+    told = dealt.mapInArrow(_close(False), "x long, a long, like long, b long")
+    kept = told.groupBy("x").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a"), F.min("b").alias("b"))
     kept = kept.select("x", F.explode(F.array_distinct(F.array_compact(F.array("a", "b")))).alias("y"))
     return kept.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
