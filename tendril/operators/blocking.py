@@ -210,8 +210,11 @@ def classify_commands(sessions: DataFrame, allow: list[str] | None = None) -> Da
 def amplifying_victims(sessions: DataFrame, runs: DataFrame, rules: list[dict], own_program: str = "tendril", min_behind: int = 1, keys: tuple[str, ...] = SERVER) -> DataFrame:
     """Direct victims with an amplifying verb: not ours, not ignored, not our own blocker, with enough sessions behind."""
     on = [*keys, "poll_ts", "spid"]
-    v = classify_commands(first_matching_rule(direct_victims(sessions, runs, keys), rules).where("rule IS NULL").drop("rule", "delay")).where("is_amplifying")
-    v = v.where(~F.col("program").startswith(own_program)).join(self_block(sessions, runs, keys).select(*on[:-1], F.col("blocker_spid").alias("spid")), on, "left_anti")
+    near = sessions.join(runs.select(*on[:-1], "run_spid"), on[:-1]).where("(blocking_spid = run_spid AND run_spid <> 0) OR (spid = run_spid AND blocking_spid <> 0)")
+    own = F.collect_set(F.when(F.col("spid") == F.col("run_spid"), F.col("blocking_spid"))).over(over(on[:-1]))
+    near = near.withColumn("own", own).where("blocking_spid = run_spid AND run_spid <> 0 AND NOT array_contains(own, spid)").drop("own")
+    v = classify_commands(first_matching_rule(near, rules).where("rule IS NULL").drop("rule", "delay")).where("is_amplifying")
+    v = v.where(~F.col("program").startswith(own_program))
     return v.join(blocked_behind(sessions, keys), on).where(F.col("behind") >= max(1, min_behind))
 
 

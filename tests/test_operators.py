@@ -387,3 +387,20 @@ def test_amplifying_victims_take_no_rounds(spark, monkeypatch):
     runs = spark.createDataFrame([("s", 1, 1)], "server string, poll_ts int, run_spid int")
     assert [(x.spid, x.behind) for x in b.amplifying_victims(spark.createDataFrame(chain, s), runs, []).collect()] == [(2, 198)]
     assert len(written) == 2
+
+
+def test_amplifying_victims_read_sessions_once_beside_the_counting(spark, tmp_path):
+    rng = random.Random(11)
+    s = "server string, poll_ts int, spid int, blocking_spid int, login string, host string, program string, command string, statement string, batch string, wait_ms long"
+    rows = [(rng.choice("ab"), rng.randrange(40), rng.randrange(1, 12), rng.randrange(12), rng.choice("lm"), "h", rng.choice(["app", "tendril x"]), rng.choice(["ALTER INDEX", "SELECT"]), "", "", 1) for _ in range(800)]
+    told = [(x, t, rng.randrange(12)) for x in "ab" for t in range(40) for _ in range(2)]  # two runs a poll, also of session 0 and of the same session
+    spark.createDataFrame(rows, s).write.parquet(f"{tmp_path}/sessions")
+    sessions, runs = spark.read.parquet(f"{tmp_path}/sessions"), spark.createDataFrame(told, "server string, poll_ts int, run_spid int")
+    rules = [{"login": "m"}]
+    got = b.amplifying_victims(sessions, runs, rules)
+    behind = {tuple(x)[:3]: x.behind for x in b.blocked_behind(sessions).collect()}
+    own = {(x, t, r[3]) for x, t, run in told for r in rows if r[:3] == (x, t, run) and r[3]}
+    want = [(*r[:3], run, behind[r[:3]]) for x, t, run in told for r in rows if run and (*r[:2], r[3]) == (x, t, run) and r[4] != "m" and r[6] == "app" and r[7] == "ALTER INDEX" and r[:3] not in own and r[:3] in behind]
+    assert len(want) > 2 and sorted(map(tuple, got.select("server", "poll_ts", "spid", "run_spid", "behind").collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation" in x and "blocking_spid" in x for x in plan) == 1
